@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Window starts that are worked on at a time; bounds the memory of one long document too.
-BLOCK = 1 << 18
+BLOCK = 1 << 17
 
 _U = np.uint64
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}

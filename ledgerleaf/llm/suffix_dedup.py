@@ -1,8 +1,8 @@
 """Operator 2: removal of repeated byte strings by a depth-limited radix sort of suffixes.
 
 Only the first ``threshold`` bytes of a suffix decide, so suffixes are ordered no
-deeper than that, by most-significant-digit passes, and a group that one pass
-leaves with a single document is finished and carried no further:
+deeper than that, by most-significant-digit passes, and what a pass leaves alone
+in its group is finished and carried no further:
 
 * Which suffixes are sorted: every window of ``threshold`` bytes contains exactly
   one *anchor*, the ``DIGIT`` bytes with the smallest hash in it (leftmost of
@@ -12,11 +12,13 @@ leaves with a single document is finished and carried no further:
 * Pass 2: the digit is the whole neighbourhood, from the first byte of the first
   window that chose the anchor to the last byte of the last one. In an equal
   group all documents but the smallest repeat all these windows.
-* Pass 3: one entry of each such group whose anchor other documents share goes
-  down to the full depth: its windows are sorted one by one. Equal groups are
+* Pass 3: of entries in one group with different neighbourhoods, those that share
+  the bytes before or after the anchor - half of what a window adds to it, so one
+  of the two is part of every window - with another document go on.
+* Pass 4: these go down to the full depth, window by window. Equal groups are
   exactly the repeated windows.
 
-Digits are compared by 64-bit hashes, the last ones by 128 bits.
+Digits are compared by hashes, of 64 bits in the first pass and 128 in the last.
 
 Skew: each task first closes what repeats among its own documents, so a passage
 that a third of all documents share arrives from each task once. Null texts are
@@ -36,20 +38,25 @@ from pyspark.sql import functions as F
 from ledgerleaf.llm import _bytes, _shared
 
 THRESHOLD = 50
-#: Bytes of the first digit.
-DIGIT = 24
+#: Bytes of the first digit; at most 31 windows may choose one anchor.
+DIGIT = 20
 #: Entries between two rounds of closing what repeats within a task.
-LOCAL = 600_000
+LOCAL = 300_000
 
-_ENTRY = "h long, e long, doc long, tag long, lo long, n int"
-_NAMES = [x.split()[0] for x in _ENTRY.split(", ")]
-_TYPES = [pa.int64()] * 5 + [pa.int32()]
+#: x: 32 bits of the neighbourhood's hash, 16 each of the bytes before and after the anchor (0: no window needs them).
+#: at: 22 bits of the text's CRC-32, the first window's start, 5 bits for the number of windows less one.
+#: A finished range has its length as x, and at with the sign bit.
+_ENTRY = "h long, x long, at long, doc long"
+_NAMES = [n.split()[0] for n in _ENTRY.split(", ")]
+_TAG = (1 << 22) - 1
+_U = np.uint64
 
 
 def _entries(raw: np.ndarray, offsets: np.ndarray, threshold: int, digit: int) -> list[np.ndarray]:
-    """(anchor hash, neighbourhood hash, document index, first window's start, number of windows) of one batch."""
+    """(anchor hash, x, document index, first window's start, number of windows) of one batch."""
     out = []
     ends, begins = offsets[1:], offsets[:-1]
+    half = (threshold - digit) // 2
     for at in range(0, len(raw) - threshold + 1, _bytes.BLOCK):
         data = raw[at : at + _bytes.BLOCK + threshold - 1]
         n = len(data) - threshold + 1
@@ -69,10 +76,13 @@ def _entries(raw: np.ndarray, offsets: np.ndarray, threshold: int, digit: int) -
         last = np.r_[first[1:], len(valid)] - 1
         lo, hi, mid = valid[first], valid[last], mine[first]
         c2 = _bytes.prefix(data, 1)
-        shape = ((mid - lo) * 4096 + (hi - lo) + 1).astype(np.uint64)
-        e = _bytes.mix(_bytes.ranges(c2, lo, hi + threshold, 1) + shape * np.uint64(0xA24BAED4963EE407))
-        out.append([h[mid], e, np.searchsorted(ends, lo + at, "right"), lo + at, hi - lo + 1])
-    return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)] * 3
+        shape = ((mid - lo) * 4096 + (hi - lo) + 1).astype(_U)
+        e = _bytes.mix(_bytes.ranges(c2, lo, hi + threshold, 1) + shape * _U(0xA24BAED4963EE407))
+        x = (e >> _U(32)) << _U(32)
+        for needed, start, end, shift in ((mid - lo >= half, np.maximum(mid - half, 0), mid, 16), (mid - hi <= threshold - digit - half, mid + digit, np.minimum(mid + digit + half, len(data)), 0)):
+            x |= np.where(needed, (_bytes.mix(_bytes.ranges(c2, start, end, 1)) >> _U(48)) | _U(1), _U(0)) << _U(shift)
+        out.append([h[mid], x, np.searchsorted(ends, lo + at, "right"), lo + at, hi - lo + 1])
+    return [np.concatenate(y) for y in zip(*out)] if out else [np.zeros(0, _U)] * 2 + [np.zeros(0, np.int64)] * 3
 
 
 def _merged(doc: np.ndarray, lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,21 +94,22 @@ def _merged(doc: np.ndarray, lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarra
 
 
 def _close(parts: list, threshold: int):
-    """Entries of one task: those that a smaller document of the task repeats become finished ranges (n < 0)."""
-    h, e, doc, tag, lo, n = (np.concatenate(x) for x in zip(*parts))
-    key = _bytes.mix(h * np.uint64(0x9FB21C651E98DF25) + e)
+    """Entries of one task: those that a smaller document of the task repeats become finished ranges."""
+    h, x, doc, tag, lo, n = (np.concatenate(y) for y in zip(*parts))
+    key = _bytes.mix(h * _U(0x9FB21C651E98DF25) + x)
     order = np.argsort(key, kind="stable")
     first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
     least = np.empty(len(key), np.int64)
     least[order] = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.r_[first, len(key)]))
-    done = least < doc
-    new, start, end = _merged(np.cumsum(np.r_[0, (doc[done][1:] != doc[done][:-1]) | (lo[done][1:] < lo[done][:-1])]) if done.any() else doc[done], lo[done], lo[done] + n[done] + threshold - 1)
-    at = np.flatnonzero(done)[new]
-    spread = _bytes.mix((doc[at].astype(np.uint64) << np.uint64(20)) + start.astype(np.uint64))
-    left = ~done
-    cols = [np.r_[h[left], spread].view(np.int64), np.r_[e[left], np.zeros(len(at), np.uint64)].view(np.int64), np.r_[doc[left], doc[at]], np.r_[tag[left], tag[at]], np.r_[lo[left], start], np.r_[n[left], start - end].astype(np.int32)]
-    for k in range(0, len(cols[0]), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000], t) for c, t in zip(cols, _TYPES)], _NAMES)
+    done = np.flatnonzero(least < doc)
+    run = np.cumsum(np.r_[0, (doc[done][1:] != doc[done][:-1]) | (lo[done][1:] < lo[done][:-1])][: len(done)])
+    new, start, end = _merged(run, lo[done], lo[done] + n[done] + threshold - 1)
+    at, left = done[new], least == doc
+    spread = _bytes.mix((doc[at].astype(_U) << _U(20)) + start.astype(_U))
+    where = (tag << 41) | (lo << 5)
+    cols = [np.r_[h[left], spread].view(np.int64), np.r_[x[left].view(np.int64), end - start], np.r_[(where | (n - 1))[left], where[at] | np.int64(-1 << 63)], np.r_[doc[left], doc[at]]]
+    for k in range(0, len(cols[0]), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 50_000], pa.int64()) for c in cols], _NAMES)
 
 
 def _digits(threshold: int, digit: int):
@@ -106,8 +117,9 @@ def _digits(threshold: int, digit: int):
         parts, held = [], 0
         for batch in batches:
             doc, tag = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            h, e, i, lo, n = _entries(*(b := _bytes.buffers(batch.column(2))), threshold, digit)
-            parts.append((h, e, doc[i], tag[i], lo - b[1][i], n))
+            raw, offsets = _bytes.buffers(batch.column(2))
+            h, x, i, lo, n = _entries(raw, offsets, threshold, digit)
+            parts.append((h, x, doc[i], tag[i], lo - offsets[i], n))
             held += len(h)
             if held >= LOCAL:
                 yield from _close(parts, threshold)
@@ -118,27 +130,22 @@ def _digits(threshold: int, digit: int):
     return run
 
 
-def _windows(threshold: int):
-    """Pass 3: the 128-bit digits of the windows of the open entries; in: doc, tag, text, open."""
+def _neighbourhoods(threshold: int):
+    """The bytes of the open entries; in: doc, tag, text, open."""
 
     def run(batches):
-        names = ["w1", "w2", "doc", "tag", "lo"]
+        names = ["h", "doc", "tag", "lo", "bytes"]
         for batch in batches:
-            doc, tag = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            texts, opened = batch.column(2), batch.column(3)
-            for k in range(len(batch)):
-                raw, _ = _bytes.buffers(texts.slice(k, 1))
-                lo = np.array(opened[k].values.field("lo"), np.int64)
-                n = np.array(opened[k].values.field("n"), np.int64)
-                order = np.argsort(lo, kind="stable")
-                lo, n = lo[order], n[order]
-                for block in np.unique(lo // _bytes.BLOCK):
-                    m = lo // _bytes.BLOCK == block
-                    at = int(lo[m][0])
-                    data = raw[at : int((lo[m] + n[m]).max()) + threshold - 1]
-                    p = np.repeat(lo[m] - at - np.r_[0, np.cumsum(n[m])[:-1]], n[m]) + np.arange(n[m].sum())
-                    w = [_bytes.mix(_bytes.ranges(_bytes.prefix(data, x), p, p + threshold, x)).view(np.int64) for x in (0, 1)]
-                    yield pa.RecordBatch.from_arrays([pa.array(w[0]), pa.array(w[1]), pa.array(np.full(len(p), doc[k])), pa.array(np.full(len(p), tag[k])), pa.array(p + at)], names)
+            raw, offsets = _bytes.buffers(batch.column(2))
+            opened = batch.column(3)
+            size = np.diff(opened.offsets.to_numpy())
+            doc, tag, begin = (np.repeat(y, size) for y in (batch.column(0).to_numpy(), batch.column(1).to_numpy(), offsets[:-1]))
+            flat = opened.flatten()
+            lo, n, h = (flat.field(f).to_numpy() for f in ("lo", "n", "h"))
+            for k in range(0, len(lo), 50_000):
+                some = slice(k, k + 50_000)
+                pieces = [raw[a : a + m].tobytes() for a, m in zip((begin + lo)[some].tolist(), (n + threshold - 1)[some].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(h[some]), pa.array(doc[some]), pa.array(tag[some]), pa.array(lo[some]), pa.array(pieces, pa.binary())], names)
 
     return run
 
@@ -177,22 +184,35 @@ def _unions(lo: np.ndarray, end: np.ndarray):
 def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIGIT) -> DataFrame:
     """(doc, tag, lo, len): byte ranges that windows starting in smaller documents repeat; they may overlap.
 
-    ``tag`` is the CRC-32 of the text, which tells rows with one doc_id apart.
+    ``tag`` holds bits of the text's CRC-32, which tell rows with one doc_id apart.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.crc32("text").alias("tag"), "text").where("doc is not null and octet_length(text) >= " + str(threshold))
+    if not 0 < threshold - digit < 32:
+        raise ValueError("a digit must be less than the threshold by 1 to 31 bytes")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), _tag(), "text").where(f"doc is not null and octet_length(text) >= {threshold}")
     entries = texts.mapInArrow(_digits(threshold, digit), _ENTRY)
-    by_anchor = Window.partitionBy("h").orderBy("e").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    seen = entries.select("*", F.min("doc").over(by_anchor).alias("least"), F.max("doc").over(by_anchor).alias("most"), F.min("doc").over(Window.partitionBy("h", "e")).alias("same"))
-    seen = seen.where("n < 0 or same < doc or least < most")
-    found = _shared.stage(seen.select("doc", "tag", "lo", "n", F.expr("n < 0 or same < doc").alias("done")), "suffix")
-    done = found.where("done").select("doc", "tag", "lo", F.expr(f"cast(if(n < 0, -n, n + {threshold - 1}) as long)").alias("len"))
-    opened = found.where("not done").groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "n")).alias("open"))
-    deep = texts.join(_shared.small_side(opened), ["doc", "tag"]).select("doc", "tag", "text", "open")
-    windows = deep.mapInArrow(_windows(threshold), "w1 long, w2 long, doc long, tag long, lo long")
-    again = windows.withColumn("same", F.min("doc").over(Window.partitionBy("w1", "w2"))).where("same < doc")
+    anchor = Window.partitionBy("h").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    seen = entries.select("*", *(f(c).over(anchor).alias(f"{f.__name__}_{c}") for c in ("doc", "x") for f in (F.min, F.max)), F.min("doc").over(Window.partitionBy("h", "x")).alias("same"))
+    seen = seen.withColumn("done", F.expr("at < 0 or same < doc")).where("done or (min_doc < max_doc and min_x < max_x)")
+    for side, shift in (("before", 16), ("after", 0)):
+        seen = seen.withColumn(side, F.expr(f"shiftright(x, {shift}) & 65535"))
+        own, group = F.expr("if(done, null, doc)"), Window.partitionBy("h", side)
+        seen = seen.withColumn(f"{side}_shared", (F.min(own).over(group) < F.max(own).over(group)) & (F.col(side) > 0))
+    seen = seen.where("done or before_shared or after_shared")
+    decoded = seen.select("h", "doc", "done", F.expr(f"shiftright(at & {(1 << 63) - 1}, 41)").alias("tag"), F.expr(f"shiftright(at, 5) & {(1 << 36) - 1}").alias("lo"), F.expr("if(at < 0, 0, (at & 31) + 1)").alias("n"), F.expr(f"if(at < 0, x, (at & 31) + {threshold})").alias("len"))
+    found = _shared.stage(decoded, "suffixes")
+    done = found.where("done").select("doc", "tag", "lo", "len")
+    opened = found.where("not done").groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "n", "h")).alias("open"))
+    deep = texts.join(_shared.small_side(opened), ["doc", "tag"]).select("doc", "tag", "text", "open").mapInArrow(_neighbourhoods(threshold), "h long, doc long, tag long, lo long, bytes binary")
+    deep = deep.repartition("h").select("h", "doc", "tag", "lo", F.posexplode(F.expr(f"transform(sequence(1, octet_length(bytes) - {threshold - 1}), i -> substring(bytes, i, {threshold}))")).alias("i", "window"))
+    deep = deep.select("h", "doc", "tag", (F.col("lo") + F.col("i")).alias("lo"), F.xxhash64("window").alias("w1"), F.xxhash64("window", F.lit(1)).alias("w2"))
+    again = deep.withColumn("same", F.min("doc").over(Window.partitionBy("h", "w1", "w2"))).where("same < doc")
     return done.unionByName(again.select("doc", "tag", "lo", F.lit(threshold).cast("long").alias("len")))
 
 
+def _tag():
+    return F.expr(f"crc32(text) & {_TAG}").alias("tag")
+
+
 def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIGIT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
@@ -201,6 +221,6 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIG
     ``docs`` are ignored.
     """
     spans = _shared.stage(repeated_spans(docs, threshold, digit).groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "len")).alias("spans")), "spans")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.crc32("text").alias("tag"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _tag())
     kept = rows.join(_shared.small_side(spans.withColumnRenamed("doc", "doc_id")), ["doc_id", "tag"], "left")
     return kept.select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
