@@ -150,6 +150,24 @@ def _neighbourhoods(threshold: int):
     return run
 
 
+def _joined(batches):
+    """The unions of the ranges of each document."""
+    for batch in batches:
+        ranges = batch.column(2)
+        size, flat = np.diff(ranges.offsets.to_numpy()), ranges.flatten()
+        row = np.repeat(np.arange(len(batch)), size)
+        lo, length = flat.field("lo").to_numpy(), flat.field("len").to_numpy()
+        order = np.lexsort((lo, row))
+        row, lo, end = row[order], lo[order], (lo + length)[order]
+        top = end.copy()  # the furthest end so far in the document
+        for a, b in zip(np.r_[0, np.cumsum(size)[:-1]], np.cumsum(size)):
+            np.maximum.accumulate(end[a:b], out=top[a:b])
+        new, lo, end = _merged(row, lo, top)
+        at = np.searchsorted(row[new], np.arange(len(batch) + 1)).astype(np.int32)
+        spans = pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays([pa.array(lo), pa.array(end - lo)], ["lo", "len"]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), spans], ["doc", "tag", "spans"])
+
+
 def _cut(batches):
     """In: doc_id, text, spans (or null); out: the digest of each row."""
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
@@ -163,8 +181,7 @@ def _cut(batches):
             if spans[k].is_valid:
                 lo = np.array(spans[k].values.field("lo"), np.int64)
                 end = lo + np.array(spans[k].values.field("len"), np.int64)
-                order = np.argsort(lo, kind="stable")
-                for lo, end in _unions(lo[order], end[order]):
+                for lo, end in zip(lo.tolist(), end.tolist()):
                     digest.update(data[at:lo])
                     removed, runs, at = removed + end - lo, runs + 1, end
             digest.update(data[at:])
@@ -173,14 +190,6 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names)
 
 
-def _unions(lo: np.ndarray, end: np.ndarray):
-    """Maximal runs of ranges sorted by start."""
-    top = np.maximum.accumulate(end) if len(end) else end
-    new = np.flatnonzero(np.r_[True, lo[1:] > top[:-1]]) if len(lo) else []
-    for a, b in zip(new, np.r_[new[1:], len(lo)] if len(lo) else []):
-        yield int(lo[a]), int(top[b - 1])
-
-
 def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIGIT) -> DataFrame:
     """(doc, tag, lo, len): byte ranges that windows starting in smaller documents repeat; they may overlap.
 
@@ -202,7 +211,8 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIG
     found = _shared.stage(decoded, "suffixes")
     done = found.where("done").select("doc", "tag", "lo", "len")
     opened = found.where("not done").groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "n", "h")).alias("open"))
-    deep = texts.join(_shared.small_side(opened), ["doc", "tag"]).select("doc", "tag", "text", "open").mapInArrow(_neighbourhoods(threshold), "h long, doc long, tag long, lo long, bytes binary")
+    with_open = texts.join(_shared.small_side(found.where("not done").select("doc", "tag").distinct()), ["doc", "tag"], "left_semi")
+    deep = with_open.join(opened, ["doc", "tag"]).select("doc", "tag", "text", "open").mapInArrow(_neighbourhoods(threshold), "h long, doc long, tag long, lo long, bytes binary")
     deep = deep.repartition("h").select("h", "doc", "tag", "lo", F.posexplode(F.expr(f"transform(sequence(1, octet_length(bytes) - {threshold - 1}), i -> substring(bytes, i, {threshold}))")).alias("i", "window"))
     deep = deep.select("h", "doc", "tag", (F.col("lo") + F.col("i")).alias("lo"), F.xxhash64("window").alias("w1"), F.xxhash64("window", F.lit(1)).alias("w2"))
     again = deep.withColumn("same", F.min("doc").over(Window.partitionBy("h", "w1", "w2"))).where("same < doc")
@@ -220,7 +230,9 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIG
     with a smaller doc_id; strings are judged on the input. Other columns of
     ``docs`` are ignored.
     """
-    spans = _shared.stage(repeated_spans(docs, threshold, digit).groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "len")).alias("spans")), "spans")
+    ranges = repeated_spans(docs, threshold, digit).groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "len")).alias("ranges"))
+    spans = _shared.stage(ranges.mapInArrow(_joined, "doc long, tag long, spans array<struct<lo: long, len: long>>"), "spans")
+    n_spans = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _tag())
-    kept = rows.join(_shared.small_side(spans.withColumnRenamed("doc", "doc_id")), ["doc_id", "tag"], "left")
+    kept = rows.join(_shared.small_side(spans.withColumnRenamed("doc", "doc_id"), n_spans), ["doc_id", "tag"], "left")
     return kept.select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
