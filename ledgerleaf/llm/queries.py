@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerleaf.llm import mixing, ngram_join, packing, secrets, suffix_dedup, toxicity
+from ledgerleaf.llm import licenses, mixing, ngram_join, packing, secrets, suffix_dedup, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
@@ -38,8 +42,8 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_packing, op4_toxicity, op8_mixing, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_packing, op4_toxicity, op7_license_scan, op8_mixing, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": secrets.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL}
+    return {"op1_secret_scan": secrets.ORACLE_SQL, "op7_license_scan": licenses.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL}
