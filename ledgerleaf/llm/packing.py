@@ -126,6 +126,9 @@ def pack_block(lengths: list[int], tiers: tuple[int, ...]) -> tuple[list[list[tu
         low = size // 2 if size > tiers[0] else 0
         while pool and pool[-1][0] > low and total >= size:
             n, d, s = pool.pop()
+            if n > size:  # of a longer tier that had too few tokens for another sequence
+                insort(pool, (n - size, d, s + size))
+                n = size
             own, gap = [(d, s, n)], size - n
             while gap:
                 i = bisect_right(pool, (gap, 1 << 62, 0)) - 1
