@@ -36,7 +36,7 @@ ORDERS = 3
 #: Shingles a task counts together, and the count within them from which one is reported as frequent.
 COUNTED, FREQUENT = 2_000_000, 4
 #: At most so many frequent shingles, the most frequent ones, shape the orders; any order is a right one.
-LISTED = 65_536
+LISTED = 1_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -86,11 +86,12 @@ def _sized(k: int):
     return run
 
 
-def _prefixes(k: int, percent: int, token: np.ndarray, rank: np.ndarray):
+def _prefixes(k: int, percent: int, listed):
     """(sid, n, p1, p2, ...): the prefixes of each set that the task meets first; p1 in order, the others as 32 bits."""
     schema = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("p1", pa.list_(pa.int64()))] + [(f"p{i + 1}", pa.list_(pa.int32())) for i in range(1, ORDERS)])
 
     def run(batches):
+        token, rank = listed.value
         met: set[int] = set()
         for batch in batches:
             sids, sizes, lists = [], [], [[] for _ in range(ORDERS)]
@@ -147,10 +148,11 @@ def similar_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     token = listed["token"].to_numpy(np.int64).view(np.uint64)
     rank = np.minimum(np.floor(np.log2(np.maximum(listed["df"].to_numpy(np.float64), 1))), 62).astype(np.int64)
     order = np.argsort(token)
+    frequent = docs.sparkSession.sparkContext.broadcast((token[order], rank[order].astype(np.uint8)))
     documents = sized.where("token is null").select("doc", "sid", "n")
 
     lists = ", ".join(["p1 array<long>"] + [f"p{i + 1} array<int>" for i in range(1, ORDERS)])
-    found = texts.where("doc is not null").mapInArrow(_prefixes(words, percent, token[order], rank[order]), f"sid long, n long, {lists}")
+    found = texts.where("doc is not null").mapInArrow(_prefixes(words, percent, frequent), f"sid long, n long, {lists}")
     prefixes = _shared.stage(found, "prefixes")
 
     entries = prefixes.select("sid", "n", F.posexplode("p1").alias("rank", "token"))
@@ -168,7 +170,7 @@ def similar_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         own = prefixes.select("sid", *(f"p{i + 1}" for i in range(1, ORDERS))).dropDuplicates(["sid"])
         pairs = _shared.stage(pairs.distinct(), f"{name}-pairs")
-        met = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        met = _shared.stage(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct(), f"{name}-sids")
         n_met = met.count()
         own = own.join(_shared.small_side(met, n_met), "sid")
         for side in "ab":
