@@ -22,6 +22,7 @@ documents of their own; a null doc_id is kept.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from array import array
 from bisect import bisect_left, bisect_right, insort
@@ -39,8 +40,8 @@ TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 8 * 2048
 #: Tokens that are packed together.
 BLOCK_TOKENS = 2_000_000
-#: Chunks and words whose ids a worker remembers.
-CACHED = 400_000
+#: Parts of texts whose ids a worker remembers.
+CACHED = 800_000
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, step_group long"
 
@@ -54,57 +55,52 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Latin letters in lower case, as the tokenizer sees them; a text of others, or with what it treats apart, goes the plain way.
+_LETTERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u024f"
+_PARTS = re.compile(f"[{_LETTERS}]+|[^{_LETTERS} \t\n\r]+")
+_APART = re.compile("['\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\u00b2\u00b3\u00b9\u00bc-\u00be\u0130\u0250-\U0010ffff]|<\\|")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter with which byte-level BPE writes each byte: printable ones as they are, the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
 class Ids(dict):
-    """Chunk without blanks -> its number; ``flat[start[i]:start[i] + size[i]]`` are the ids of number i.
+    """Part of a text -> its ids as bytes of unsigned 32-bit numbers.
 
-    The tokenizer drops white space and never joins across it, so the ids of a
-    text are those of its chunks; a word of ASCII letters is one pre-token of its
-    own, before any full stop or comma.
+    The tokenizer lower-cases, drops white space, and cuts between letters and other
+    characters before its merges, so the ids of a text are those of its parts: runs
+    of letters and runs of others, or in texts with characters of ``_APART`` whatever
+    stands between blanks. Only the parts that are new to a worker are encoded.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.marks = {m: self._encoded(m) for m in ".,"}
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
-        self.words: dict[str, list[int]] = {}
-        self.start, self.size, self.flat = array("q"), array("q"), array("I")
-
-    def _encoded(self, chunk: str) -> list[int]:
-        return self.tokenizer.encode(chunk, add_special_tokens=False).ids
-
-    def _word(self, word: str) -> list[int]:
-        if (ids := self.words.get(word)) is None:
-            ids = self.words[word] = [t.id for t in self.tokenizer.model.tokenize(word)]
-        return ids
-
-    def __missing__(self, chunk: str) -> int:
-        core, mark = (chunk[:-1], chunk[-1]) if chunk[-1:] in self.marks else (chunk, "")
-        if core.isascii() and core.isalpha():
-            ids = self._word(core.lower()) + (self.marks[mark] if mark else [])
+        self.pieces, self.letters = self.tokenizer.model.tokenize, _byte_letters()
+
+    def __missing__(self, part: str) -> bytes:
+        if part.isascii() and part.islower() and part.isalpha():
+            ids = [t.id for t in self.pieces(part)]
+        elif part.islower() and part.isalpha() and not _APART.search(part):
+            ids = [t.id for t in self.pieces(part.encode().decode("latin-1").translate(self.letters))]
         else:
-            ids = self._encoded(chunk)
-        number = self[chunk] = len(self.start)
-        self.start.append(len(self.flat))
-        self.size.append(len(ids))
-        self.flat.extend(ids)
-        return number
-
-    def of(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text."""
-        if len(self) + len(self.words) > CACHED:
-            self.reset()
-        find = self.__getitem__
-        numbers = [np.fromiter(map(find, t.replace("\n", " ").split(" ")), np.int64) for t in texts]
-        start, size, flat = np.array(self.start), np.array(self.size), np.array(self.flat, dtype=np.uint32)
-        for n in numbers:
-            own = size[n]
-            ends = np.cumsum(own)
-            yield flat[np.repeat(start[n] - ends + own, own) + np.arange(ends[-1])] if len(n) else flat[:0]
+            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+        found = self[part] = array("I", ids).tobytes()
+        return found
+
+    def of(self, texts: list[str], end_id: int) -> Iterator[np.ndarray]:
+        """The ids of each text, and the end id."""
+        if len(self) > CACHED:
+            self.clear()
+        end = array("I", [end_id]).tobytes()
+        for t in texts:
+            parts = t.replace("\n", " ").split(" ") if _APART.search(t) else _PARTS.findall(t.lower())
+            yield np.frombuffer(b"".join(map(self.__getitem__, parts)) + end, np.uint32)
 
 
 _ids: dict[str, Ids] = {}
@@ -193,7 +189,7 @@ def _pack(tokenizer: str, tiers: tuple[int, ...], end_id: int, step_tokens: int)
                 at, length = 0, sum(n for _, _, n in own)
                 for d, s, n in own:
                     doc_id, tokens, start, ids = held[d]
-                    rows.append((doc_id, start + s, n, zlib.crc32(ids[s : s + n].tobytes()), tokens, counted["sequence"], at, length, counted["group"] + g))
+                    rows.append((doc_id, start + s, n, zlib.crc32(ids[s : s + n].astype("<u4").tobytes()), tokens, counted["sequence"], at, length, counted["group"] + g))
                     at += n
                 counted["sequence"] += 1
             counted["group"] += groups
@@ -213,8 +209,7 @@ def _pack(tokenizer: str, tiers: tuple[int, ...], end_id: int, step_tokens: int)
             for k in range(0, len(batch), 500):
                 some = batch.slice(k, 500)
                 texts = [t or "" for t in some.column(1).to_pylist()]
-                for doc_id, ids in zip(some.column(0).to_pylist(), ids_of.of(texts)):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                for doc_id, ids in zip(some.column(0).to_pylist(), ids_of.of(texts, end_id)):
                     held.append((doc_id, len(ids), 0, ids))
                     count += len(ids)
                 if count >= BLOCK_TOKENS:
