@@ -22,7 +22,7 @@ WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
 MOST = 2
 #: Rows that are sorted together.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 _KEY_BITS = 60
 
 
