@@ -171,17 +171,17 @@ def _regex(template: str) -> str:
 
 
 def _oracle() -> str:
-    places = {k: f"list_filter(range(1, len(w) + 1), lambda i: w[i:i + {len(p.split()) - 1}] = {p.split()})" for k, p in BASE.items()}
+    places = {k: f"list_filter(range(1, len(w) + 1), lambda i: list_slice(w, i, i + {len(p.split()) - 1}) = {p.split()})" for k, p in BASE.items()}
     labels = [f"CASE WHEN regexp_matches(t, '{_regex(p)}') THEN '{k}' END" for k, _, p in TEMPLATES]
     scores = [f"CASE WHEN regexp_matches(t, '{_regex(p)}') THEN {s} ELSE 0.0 END" for _, s, p in TEMPLATES]
     based = [f"CASE WHEN len({v}) > 0 THEN '{k}' END" for k, v in places.items()]
     joined = "array_to_string(list_sort(list_distinct(list_filter([{}], lambda x: x IS NOT NULL))), ',')"
     return f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
-e AS (SELECT doc_id, w, CASE WHEN len(w) > 0 THEN ' ' || array_to_string(w, ' ') ELSE '' END AS t, list_concat(list_concat({', '.join(list(places.values())[:2])}), {list(places.values())[2]}) AS at FROM d)
-SELECT doc_id, len(w) AS n_words, len(at) AS n_base, list_min(at) - 1 AS first_word, list_max(at) - 1 AS last_word,
+e AS (SELECT doc_id, w, CASE WHEN len(w) > 0 THEN ' ' || array_to_string(w, ' ') ELSE '' END AS t, list_concat(list_concat({', '.join(list(places.values())[:2])}), {list(places.values())[2]}) AS places FROM d)
+SELECT doc_id, len(w) AS n_words, len(places) AS n_base, list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word,
        {joined.format(', '.join(based))} AS base_labels, {joined.format(', '.join(based + labels))} AS labels,
-       CAST(greatest({', '.join(scores)}, CASE WHEN len(at) > 0 THEN 0.5 ELSE 0.0 END) AS DOUBLE) AS score
+       CAST(greatest({', '.join(scores)}, CASE WHEN len(places) > 0 THEN 0.5 ELSE 0.0 END) AS DOUBLE) AS score
 FROM e
 """
 
