@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerleaf.llm import licenses, lm_scoring, mixing, ngram_join, packing, secrets, suffix_dedup, toxicity
+from ledgerleaf.llm import lattice_dedup, licenses, lm_scoring, mixing, ngram_join, packing, secrets, suffix_dedup, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op5_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -46,7 +50,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_packing, op4_toxicity, op6_lm_scoring, op7_license_scan, op8_mixing, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_packing, op4_toxicity, op5_lattice_dedup, op6_lm_scoring, op7_license_scan, op8_mixing, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
