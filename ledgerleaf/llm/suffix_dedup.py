@@ -29,6 +29,7 @@ lose nothing; rows with one doc_id do not remove from each other.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,9 +53,8 @@ _TAG = (1 << 22) - 1
 _U = np.uint64
 
 
-def _entries(raw: np.ndarray, offsets: np.ndarray, threshold: int, digit: int) -> list[np.ndarray]:
-    """(anchor hash, x, document index, first window's start, number of windows) of one batch."""
-    out = []
+def _entries(raw: np.ndarray, offsets: np.ndarray, threshold: int, digit: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(anchor hash, x, document index, first window's start, number of windows) of one batch, block by block."""
     ends, begins = offsets[1:], offsets[:-1]
     half = (threshold - digit) // 2
     for at in range(0, len(raw) - threshold + 1, _bytes.BLOCK):
@@ -81,8 +81,7 @@ def _entries(raw: np.ndarray, offsets: np.ndarray, threshold: int, digit: int) -
         x = (e >> _U(32)) << _U(32)
         for needed, start, end, shift in ((mid - lo >= half, np.maximum(mid - half, 0), mid, 16), (mid - hi <= threshold - digit - half, mid + digit, np.minimum(mid + digit + half, len(data)), 0)):
             x |= np.where(needed, (_bytes.mix(_bytes.ranges(c2, start, end, 1)) >> _U(48)) | _U(1), _U(0)) << _U(shift)
-        out.append([h[mid], x, np.searchsorted(ends, lo + at, "right"), lo + at, hi - lo + 1])
-    return [np.concatenate(y) for y in zip(*out)] if out else [np.zeros(0, _U)] * 2 + [np.zeros(0, np.int64)] * 3
+        yield h[mid], x, np.searchsorted(ends, lo + at, "right"), lo + at, hi - lo + 1
 
 
 def _merged(doc: np.ndarray, lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,12 +117,12 @@ def _digits(threshold: int, digit: int):
         for batch in batches:
             doc, tag = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             raw, offsets = _bytes.buffers(batch.column(2))
-            h, x, i, lo, n = _entries(raw, offsets, threshold, digit)
-            parts.append((h, x, doc[i], tag[i], lo - offsets[i], n))
-            held += len(h)
-            if held >= LOCAL:
-                yield from _close(parts, threshold)
-                parts, held = [], 0
+            for h, x, i, lo, n in _entries(raw, offsets, threshold, digit):
+                parts.append((h, x, doc[i], tag[i], lo - offsets[i], n))
+                held += len(h)
+                if held >= LOCAL:
+                    yield from _close(parts, threshold)
+                    parts, held = [], 0
         if held:
             yield from _close(parts, threshold)
 
