@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerleaf.llm import lattice_dedup, licenses, lm_scoring, mixing, ngram_join, packing, secrets, suffix_dedup, toxicity
+from ledgerleaf.llm import additive_search, lattice_dedup, licenses, lm_scoring, mixing, ngram_join, packing, secrets, suffix_dedup, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,12 +46,18 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
 
+def op9_additive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive_search.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_documents(spark, sf_dir), words=3, percent=90)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_packing, op4_toxicity, op5_lattice_dedup, op6_lm_scoring, op7_license_scan, op8_mixing, op10_ngram_join)}
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_packing, op4_toxicity, op5_lattice_dedup, op6_lm_scoring, op7_license_scan, op8_mixing, op9_additive_search, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
