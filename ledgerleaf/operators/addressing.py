@@ -13,7 +13,7 @@ SUFFIXES = range(6, 65, 2)
 
 def base_slug(path: Column) -> Column:
     """Slugs of the names below the root, joined; empty for the root itself."""
-    return F.array_join(F.transform(F.slice(path, F.lit(2), F.greatest(F.size(path) - 1, F.lit(0))), labels.slug_segment), "/")
+    return F.array_join(F.transform(F.slice(path, F.lit(2), F.greatest(F.size(path) - 1, F.lit(0))), lambda x: labels.slug_segment(x)), "/")
 
 
 def suffixed(base: Column, item: Column, length: int) -> Column:

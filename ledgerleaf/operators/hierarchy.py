@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerleaf.sources import shared
+
 MAX_DEPTH = 64
 
 
@@ -71,17 +73,20 @@ def duplicate_ids(items: DataFrame) -> DataFrame:
     return counts.select(F.lit("duplicate_id").alias("code"), F.col("id").alias("item_id"), F.explode(F.expr("sequence(2, n)")).alias("occurrence")).select("code", "item_id", F.col("occurrence").cast("long"))
 
 
-def cycles(links: DataFrame, max_rounds: int = 40) -> DataFrame:
+def cycles(links: DataFrame) -> DataFrame:
     """(item, related): items on a cycle of parents, with their parent; links have at most one parent per id.
 
-    Pointer doubling: after k rounds every item points 2**k steps up, or nowhere if
-    the way up ends before. What still points somewhere is on a cycle or below one;
-    what such items point at lies on a cycle.
+    Pointer doubling: after k rounds every item points 2**k steps up, and those whose
+    way up ends before are gone. A way without a cycle is no longer than the items that
+    are left, so the rounds end after the logarithm of the depth; what the last items
+    point at lies on cycles.
     """
-    n = links.count()
-    up = links.where("parent is not null").select("id", F.col("parent").alias("at"))
-    for _ in range(min(max_rounds, max(1, n.bit_length()))):
-        up = up.alias("a").join(up.select(F.col("id").alias("mid"), F.col("at").alias("far")), F.col("at") == F.col("mid")).select("id", F.col("far").alias("at"))
+    up = shared.stage(links.where("parent is not null").select("id", F.col("parent").alias("at")), "cycles")
+    steps = 1
+    while 0 < up.count() >= steps:
+        far = up.select(F.col("id").alias("mid"), F.col("at").alias("far"))
+        up = shared.stage(up.join(far, F.col("at") == F.col("mid")).select("id", F.col("far").alias("at")), "cycles")
+        steps *= 2
     on = up.select(F.col("at").alias("id")).distinct()
     return links.join(on, "id", "left_semi").select(F.lit("cycle").alias("code"), F.col("id").alias("item_id"), F.col("parent").alias("related_id"))
 
