@@ -27,7 +27,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/ledgerleaf-{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def drop(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing still to be run reads."""
+    for df in staged:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def small_side(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -53,7 +62,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        edges = stage(small.where("a <> b").distinct(), "edges")
+        before, edges = edges, stage(small.where("a <> b").distinct(), "edges")
+        drop(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == seen:
             break

@@ -36,12 +36,15 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, np.searchsorted(starts, offsets)
 
 
-def shingles(words: np.ndarray, k: int) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles; shorter texts give their whole sequence as one, empty ones none."""
+def shingles(words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of the k-word shingles, and where each stands first.
+
+    Shorter texts give their whole sequence as one shingle, empty ones none.
+    """
     if not len(words):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     m = min(k, len(words))
     h = np.full(len(words) - m + 1, m, np.uint64)
     for i in range(m):
         h = h * np.uint64(0x9E3779B97F4A7C15) + words[i : len(words) - m + 1 + i]
-    return np.unique(_bytes.mix(h))
+    return np.unique(_bytes.mix(h), return_index=True)

@@ -4,9 +4,11 @@ A document's set holds its distinct k-word shingles. If two sets reach the
 threshold, then under any global order of the shingles their first few shingles
 (the prefix, whose length follows from the sizes and the threshold) share one. The
 filters of ``ORDERS`` different orders are intersected before a pair is verified.
-All orders put frequent shingles last, by powers of two of their document
-frequency, so the shared text of a large group of copies is met only by documents
-that differ from it little; within a class each order has its own hash.
+All orders put frequent shingles last, by powers of two of their document frequency:
+of shingles that tasks report as frequent their count, and of all others what the
+frequencies of their words make likely. So chance repetitions of common words are
+hardly met at all, and the shared text of a large group of copies only by documents
+that differ from it little. Within a class each order has its own hash.
 
 Groups of copies never become all pairs. Equal sets are one node. Each bucket
 (documents with one prefix shingle) first compares its members with the member
@@ -33,17 +35,19 @@ from ledgerleaf.llm import _bytes, _shared, _words
 
 WORDS, PERCENT = 5, 80
 ORDERS = 3
-#: Shingles a task counts together, and the count within them from which one is reported as frequent.
-COUNTED, FREQUENT = 2_000_000, 4
-#: At most so many frequent shingles, the most frequent ones, shape the orders; any order is a right one.
-LISTED = 1_000_000
+#: Shingles a task counts together; the count from which it reports one, and the share of words from which it reports a word.
+COUNTED, FREQUENT, COMMON = 2_000_000, 4, 1 / 500_000
+#: At most so many shingles and words, the most frequent ones, shape the orders; any order is a right one.
+LISTED, LISTED_WORDS = 1_000_000, 200_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
-def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
+def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(shingles, where each stands first, words) of each document."""
     words, first = _words.word_hashes(batch.column(1))
     for i in range(len(batch)):
-        yield _words.shingles(words[first[i] : first[i + 1]], k)
+        own = words[first[i] : first[i + 1]]
+        yield *_words.shingles(own, k), own
 
 
 def _digest(s: np.ndarray) -> int:
@@ -55,86 +59,125 @@ def _digest(s: np.ndarray) -> int:
 
 
 def _sized(k: int):
-    """Rows (doc, sid, n, null, null) per document and (null, null, null, token, count) per frequent shingle."""
+    """Rows (0, doc, sid, n) per document, and (1, token, df) and (2, word, count) of frequent shingles and words."""
 
-    def rows(*cols):
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc", "sid", "n", "token", "df"])
+    def rows(kind, *cols):
+        none = [None] * len(cols[0])
+        full = [*cols, none] if kind == 0 else [*cols, none, none][:3]
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(none), pa.int32()), *(pa.array(c, pa.int64()) for c in full[:3])], ["kind", "a", "b", "c"])
 
-    def counted(parts):
-        token, df = np.unique(np.concatenate(parts), return_counts=True)
-        token, df = token[df >= FREQUENT].view(np.int64), df[df >= FREQUENT]
-        none = [None] * len(token)
-        return rows(none, none, none, token, df)
+    def counted(kind, parts, least):
+        token, n = np.unique(np.concatenate(parts), return_counts=True)
+        some = n >= least
+        return rows(kind, token[some].view(np.int64), n[some])
 
     def run(batches):
-        parts, held = [], 0
+        parts, words, held = [], [], 0
         for batch in batches:
             sids, sizes = [], []
-            for s in _sets(batch, k):
+            for s, _, own in _sets(batch, k):
                 sids.append(_digest(s))
                 sizes.append(len(s))
                 parts.append(s)
-                held += len(s)
+                words.append(own)
+                held += len(own)
                 if held >= COUNTED:
-                    yield counted(parts)
-                    parts, held = [], 0
-            none = [None] * len(batch)
-            yield rows(batch.column(0), sids, sizes, none, none)
+                    yield counted(1, parts, FREQUENT)
+                    yield counted(2, words, max(FREQUENT, COMMON * held))
+                    parts, words, held = [], [], 0
+            yield rows(0, batch.column(0), sids, sizes)
         if held:
-            yield counted(parts)
+            yield counted(1, parts, FREQUENT)
+            yield counted(2, words, max(FREQUENT, COMMON * held))
 
     return run
 
 
-def _prefixes(k: int, percent: int, listed):
-    """(sid, n, p1, p2, ...): the prefixes of each set that the task meets first; p1 in order, the others as 32 bits."""
-    schema = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("p1", pa.list_(pa.int64()))] + [(f"p{i + 1}", pa.list_(pa.int32())) for i in range(1, ORDERS)])
+def _listed(sized: DataFrame, kind: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, counts) of the most frequent shingles or words that tasks reported."""
+    top = sized.where(F.col("kind") == kind).groupBy(F.col("a").alias("token")).agg(F.sum("b").alias("n")).orderBy(F.desc("n"), "token").limit(most).toPandas()
+    token, n = top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.float64)
+    order = np.argsort(token)
+    return token[order], n[order]
+
+
+def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, other: float) -> np.ndarray:
+    if not len(keys):
+        return np.full(len(wanted), other)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], other)
+
+
+class Frequencies:
+    """The class of a shingle: about the logarithm of the number of documents with it."""
+
+    def __init__(self, shingles, words, total: int):
+        self.shingles, self.words = (shingles[0], np.log2(shingles[1])), (words[0], np.log2(words[1] / max(total, 1)))
+        self.total, self.rare = np.log2(max(total, 1)), np.log2(COMMON / 2)
+
+    def classes(self, s: np.ndarray, first: np.ndarray, words: np.ndarray, k: int) -> np.ndarray:
+        share = np.r_[0, np.cumsum(_looked_up(*self.words, words, self.rare))]
+        likely = self.total + share[np.minimum(first + k, len(words))] - share[first]
+        return np.clip(np.maximum(likely, _looked_up(*self.shingles, s, -99)) + 30, 0, 63).astype(np.uint64)
+
+    def prefix(self, order: int, s: np.ndarray, first: np.ndarray, words: np.ndarray, k: int, length: int) -> np.ndarray:
+        """The first ``length`` shingles in one of the orders."""
+        key = self.classes(s, first, words, k) << np.uint64(58) | _bytes.mix(s * _ODD[order]) >> np.uint64(6)
+        some = np.argpartition(key, length - 1)[:length] if length < len(s) else np.arange(len(s))
+        return s[some[np.argsort(key[some], kind="stable")]]
+
+
+def _needed(percent: int, m: int, n: int) -> int:
+    """Shared shingles without which sets of these sizes can't reach the threshold."""
+    return -(-percent * (m + n) // (100 + percent))
+
+
+def _prefixes(k: int, percent: int, shared):
+    """(sid, n, prefix): the prefix in the first order of each set that the task meets first."""
 
     def run(batches):
-        token, rank = listed.value
+        frequencies = shared.value
         met: set[int] = set()
         for batch in batches:
-            sids, sizes, lists = [], [], [[] for _ in range(ORDERS)]
-            for s in _sets(batch, k):
+            sids, sizes, prefixes = [], [], []
+            for s, first, own in _sets(batch, k):
                 sid = _digest(s)
                 if not len(s) or sid in met:
                     continue
                 if len(met) < 1_000_000:
                     met.add(sid)
-                at = np.minimum(np.searchsorted(token, s), max(len(token) - 1, 0))
-                high = np.where(token[at] == s, rank[at], 0).astype(np.uint64) << np.uint64(58) if len(token) else np.uint64(0)
-                m = len(s) - (percent * len(s) + 99) // 100 + 1
-                for i in range(ORDERS):
-                    key = high | (_bytes.mix(s * _ODD[i]) >> np.uint64(6))
-                    first = np.argpartition(key, m - 1)[:m] if m < len(s) else np.arange(len(s))
-                    first = first[np.argsort(key[first], kind="stable")]
-                    lists[i].append(s[first].view(np.int64) if not i else (key[first] ^ (key[first] >> np.uint64(32))).astype(np.uint32).view(np.int32))
                 sids.append(sid)
                 sizes.append(len(s))
-            ends = [np.r_[0, np.cumsum([len(x) for x in own])].astype(np.int32) for own in lists]
-            cols = [pa.ListArray.from_arrays(pa.array(e), pa.array(np.concatenate(own) if own else [], schema.field(2 + i).type.value_type)) for i, (e, own) in enumerate(zip(ends, lists))]
-            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), *cols], schema=schema)
+                prefixes.append(frequencies.prefix(0, s, first, own, k, len(s) - (percent * len(s) + 99) // 100 + 1).view(np.int64))
+            ends = np.r_[0, np.cumsum([len(x) for x in prefixes])].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes) if prefixes else [], pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), lists], ["sid", "n", "prefix"])
 
     return run
 
 
-def _verified(k: int, percent: int):
-    """In: a, text_a, b, text_b; out: the pairs that reach the threshold."""
+def _verified(k: int, percent: int, shared):
+    """In: a, text_a, b, text_b; out: the pairs that pass the other orders' filters and reach the threshold."""
 
     def run(batches):
+        frequencies = shared.value
         for batch in batches:
-            own: dict[int, np.ndarray] = {}
+            sets: dict[int, tuple] = {}
             for i in (0, 2):
-                ids = batch.column(i).to_pylist()
-                new = {x: j for j, x in enumerate(ids) if x not in own}
-                some = pa.RecordBatch.from_arrays([pa.array(list(new)), batch.column(i + 1).take(pa.array(list(new.values()), pa.int64()))], ["id", "text"])
-                own.update(zip(new, _sets(some, k)))
+                new = {x: j for j, x in enumerate(batch.column(i).to_pylist()) if x not in sets}
+                some = pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), batch.column(i + 1).take(pa.array(list(new.values()), pa.int64()))], ["id", "text"])
+                for x, (s, first, own) in zip(new, _sets(some, k)):
+                    longest = len(s) - (percent * len(s) + 99) // 100 + 1
+                    sets[x] = s, [frequencies.prefix(o, s, first, own, k, longest) for o in range(1, ORDERS)]
             a, b = [], []
             for x, y in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                shared = len(np.intersect1d(own[x], own[y], assume_unique=True))
-                if shared and 100 * shared >= percent * (len(own[x]) + len(own[y]) - shared):
-                    a.append(x)
-                    b.append(y)
+                (u, first_u), (v, first_v) = sets[x], sets[y]
+                need = _needed(percent, len(u), len(v))
+                if all(np.isin(p[: len(u) - need + 1], q[: len(v) - need + 1]).any() for p, q in zip(first_u, first_v)):
+                    both = len(np.intersect1d(u, v, assume_unique=True))
+                    if 100 * both >= percent * (len(u) + len(v) - both):
+                        a.append(x)
+                        b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
@@ -143,19 +186,13 @@ def _verified(k: int, percent: int):
 def similar_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(documents, links): (doc, sid, n) of each document, and verified links (a, b) between the sids of different sets."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
-    sized = _shared.stage(texts.mapInArrow(_sized(words), "doc long, sid long, n long, token long, df long"), "sized")
-    listed = sized.where("token is not null").groupBy("token").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "token").limit(LISTED).toPandas()
-    token = listed["token"].to_numpy(np.int64).view(np.uint64)
-    rank = np.minimum(np.floor(np.log2(np.maximum(listed["df"].to_numpy(np.float64), 1))), 62).astype(np.int64)
-    order = np.argsort(token)
-    frequent = docs.sparkSession.sparkContext.broadcast((token[order], rank[order].astype(np.uint8)))
-    documents = sized.where("token is null").select("doc", "sid", "n")
-
-    lists = ", ".join(["p1 array<long>"] + [f"p{i + 1} array<int>" for i in range(1, ORDERS)])
-    found = texts.where("doc is not null").mapInArrow(_prefixes(words, percent, frequent), f"sid long, n long, {lists}")
-    prefixes = _shared.stage(found, "prefixes")
+    sized = _shared.stage(texts.mapInArrow(_sized(words), "kind int, a long, b long, c long"), "sized")
+    documents = sized.where("kind = 0").select(F.col("a").alias("doc"), F.col("b").alias("sid"), F.col("c").alias("n"))
+    total = documents.agg(F.sum("n")).first()[0] or 0
+    frequent = docs.sparkSession.sparkContext.broadcast(Frequencies(_listed(sized, 1, LISTED), _listed(sized, 2, LISTED_WORDS), total))
 
-    entries = prefixes.select("sid", "n", F.posexplode("p1").alias("rank", "token"))
+    prefixes = _shared.stage(texts.where("doc is not null").mapInArrow(_prefixes(words, percent, frequent), "sid long, n long, prefix array<long>"), "prefixes")
+    entries = prefixes.select("sid", "n", F.posexplode("prefix").alias("rank", "token"))
     bucket = Window.partitionBy("token")
     first = F.min(F.struct("rank", "sid", "n")).over(bucket)
     live = entries.withColumn("first", first).withColumn("least", F.min("sid").over(bucket)).withColumn("most", F.max("sid").over(bucket))
@@ -168,20 +205,17 @@ def similar_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     rep = documents.where("doc is not null and n > 0").groupBy("sid").agg(F.min("doc").alias("doc"))
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        own = prefixes.select("sid", *(f"p{i + 1}" for i in range(1, ORDERS))).dropDuplicates(["sid"])
         pairs = _shared.stage(pairs.distinct(), f"{name}-pairs")
         met = _shared.stage(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct(), f"{name}-sids")
         n_met = met.count()
-        own = own.join(_shared.small_side(met, n_met), "sid")
-        for side in "ab":
-            pairs = pairs.join(own.select(F.col("sid").alias(side), *(F.col(f"p{i + 1}").alias(f"{side}{i}") for i in range(1, ORDERS))), side)
-        pairs = pairs.where(" and ".join(f"arrays_overlap(a{i}, b{i})" for i in range(1, ORDERS)))
         wanted = rep.join(_shared.small_side(met, n_met), "sid")
         text = _shared.stage(texts.join(_shared.small_side(wanted, n_met), "doc").select("sid", "text").dropDuplicates(["sid"]), f"{name}-texts")
         both = pairs.select("a", "b")
         for side in "ab":
             both = both.join(text.select(F.col("sid").alias(side), F.col("text").alias(f"text_{side}")), side)
-        return _shared.stage(both.select("a", "text_a", "b", "text_b").mapInArrow(_verified(words, percent), "a long, b long"), f"{name}-links")
+        links = _shared.stage(both.select("a", "text_a", "b", "text_b").mapInArrow(_verified(words, percent, frequent), "a long, b long"), f"{name}-links")
+        _shared.drop(pairs, met, text)
+        return links
 
     star = live.where("sid <> first.sid").where(possible("rank", "n", "first.rank", "first.n"))
     links = verified(star.select(F.least("sid", "first.sid").alias("a"), F.greatest("sid", "first.sid").alias("b")), "star")
@@ -193,6 +227,7 @@ def similar_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.component") != F.col("y.component")) & possible("x.rank", "x.n", "y.rank", "y.n"))
     rest = rest.where("x.sid <> x.first.sid and y.sid <> x.first.sid")
     more = verified(rest.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")), "rest")
+    _shared.drop(prefixes, live)
     return documents, links.unionByName(more)
 
 
