@@ -24,8 +24,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Of rows that share a doc_id one stays; rows without doc_id, and texts without
     words, stay.
     """
-    found = ngram_join.jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    found = _shared.stage(ngram_join.jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    kept = docs.join(_shared.small_side(found), "doc_id", "left_anti").select(*docs.columns)
     again = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
     if again.isEmpty():
         return kept
