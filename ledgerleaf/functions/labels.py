@@ -69,7 +69,7 @@ def natural_key(text: Column) -> Column:
 
 def description(text: Column, limit: int = DESCRIPTION) -> Column:
     """White space collapsed; cut at the last blank if that keeps most of it, else at the limit; with an ellipsis."""
-    flat = F.trim(F.regexp_replace(text, r"[\s ]+", " "))
+    flat = F.trim(F.regexp_replace(text, r"[\s\x{00A0}]+", " "))
     head = F.substring(flat, 1, limit + 1)
     last = F.length(head) - F.instr(F.reverse(head), " ")
     cut = F.when((F.instr(head, " ") > 0) & (last >= limit * WORD_SHARE), last).otherwise(F.lit(limit))

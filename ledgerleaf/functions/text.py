@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def newlines(text: Column) -> Column:
     """No byte order mark, and line feeds alone."""
-    return F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r\n|\r| | ", "\n")
+    return F.regexp_replace(F.regexp_replace(text, r"^\x{FEFF}", ""), r"\r\n|[\r\x{2028}\x{2029}]", "\n")
 
 
 def sha256(text: Column) -> Column:
