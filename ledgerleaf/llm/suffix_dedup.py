@@ -231,7 +231,6 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIG
     """
     ranges = repeated_spans(docs, threshold, digit).groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "len")).alias("ranges"))
     spans = _shared.stage(ranges.mapInArrow(_joined, "doc long, tag long, spans array<struct<lo: long, len: long>>"), "spans")
-    n_spans = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _tag())
-    kept = rows.join(_shared.small_side(spans.withColumnRenamed("doc", "doc_id"), n_spans), ["doc_id", "tag"], "left")
+    kept = rows.join(spans.withColumnRenamed("doc", "doc_id").hint("shuffle_merge"), ["doc_id", "tag"], "left")
     return kept.select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
