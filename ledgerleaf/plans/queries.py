@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions import labels, text, urls
-from ledgerleaf.operators import addressing, checks, corpus, hierarchy, links, ordering, reconcile
+from ledgerleaf.operators import addressing, bodies, checks, corpus, hierarchy, links, ordering, reconcile
 from ledgerleaf.sources import bindings
 
 IGNORED = ["r1", "n3"]
@@ -492,3 +492,42 @@ def checks_files(spark, d):
     expected = bindings.documents(spark, d).select(F.concat(F.lit("docs/"), "id").alias("path"))
     actual = bindings.manifest(spark, d).select(F.concat(F.lit("docs/"), "id").alias("path"))
     return checks.files(expected, actual)
+
+
+# -- bodies of pages ---------------------------------------------------------
+
+
+@query
+def html_sanitize(spark, d):
+    return bindings.table(spark, d, "pages").select("page_id", bodies.sanitized(F.col("html")).alias("html"))
+
+
+@query
+def html_to_markdown(spark, d):
+    return bindings.table(spark, d, "pages").select("page_id", bodies.to_markdown(F.col("html")).alias("markdown"))
+
+
+@query
+def table_complexity(spark, d):
+    """Lists stand for tables: items as rows of one cell, or of two if they hold a comma."""
+    table = F.expr("concat('<table>', regexp_replace(regexp_replace(html, '(?s)^.*?<ul>|</ul>.*$', ''), '<li>(.*?)</li>', '<tr><td>$1</td></tr>'), '</table>')")
+    rows = bindings.table(spark, d, "pages").select("page_id", F.regexp_replace(table, ",</a>", "</a><td>").alias("t"))
+    return rows.select("page_id", bodies.complex_table(F.col("t")).alias("complex"))
+
+
+@query
+def markdown_normalize(spark, d):
+    shaped = bindings.bodies(spark, d).withColumn("body", F.expr("concat('# ', if(doc_id % 2 = 0, title, 'Other'), '\n\n', body)"))
+    return shaped.select("doc_id", bodies.normalized_headings(F.col("body"), F.col("title")).alias("body"))
+
+
+@query
+def fence_check(spark, d):
+    fenced = bindings.bodies(spark, d).withColumn("body", F.expr("concat('```\n', body, if(doc_id % 3 = 0, '\n```', ''))"))
+    return fenced.select("doc_id", bodies.unclosed_fences(F.col("body")).alias("unclosed"))
+
+
+@query
+def published_projection(spark, d):
+    made = bindings.bodies(spark, d).withColumn("content", bodies.document(F.substring("title", 1, 80), F.concat(F.lit("docs/"), "doc_id"), text.sha256(F.col("body")), F.trim("body")))
+    return made.select("doc_id", text.sha256(F.col("content")).alias("file_hash"), F.length(bodies.document_body(F.col("content"))).alias("body_length"))
