@@ -155,6 +155,19 @@ def test_toxicity(spark):
     assert toxicity.score(frame(spark, rows[:5]), labels.limit(0)).where("score <> 0.5").count() == 0
 
 
+def test_toxicity_keeps_the_ratio_of_the_classes(spark):
+    rng = random.Random(8)
+    plain = ["river", "stone", "market", "paper", "window", "garden"]
+    rows, truth = [], []
+    for i in range(1500):
+        toxic = int(i % 10 == 0)
+        rows.append((i, " ".join(rng.choices([*plain, "vile"], [1] * 6 + [3 if toxic else 1], k=8))))
+        truth.append((i, 0, toxic))
+    labels = spark.createDataFrame(truth, "doc_id long, quality int, toxic int")
+    rate = lambda **some: toxicity.score(frame(spark, rows), labels, **some).agg(F.avg("score")).first()[0]
+    assert abs(rate(sample=(120, 120)) - 0.1) < 0.06 and abs(rate() - 0.1) < 0.04
+
+
 def test_lm_scoring(spark):
     texts = [(i, "the fine prose of the good book " * 3 if i % 2 else "junk zzz junk qqq junk " * 3) for i in range(40)] + [(100, None), (101, " ")]
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
