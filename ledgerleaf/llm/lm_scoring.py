@@ -1,57 +1,44 @@
 """Operator 6: language-model scoring by cross-entropy difference.
 
 Two word bigram models that differ in nothing but their counts - of a target sample
-and of the whole corpus - share one vocabulary: the most frequent words of all
-documents, and hash classes that hold every other word. Both are interpolated
-(bigram, unigram, uniform; weights after Witten and Bell). Each token has a loss, the
-negative log-probability, under both; a document's score is the mean over its tokens
-of background loss minus target loss, so documents like the target score high.
-
-The counts cover all documents: every task adds up its own, and Spark the tasks'. What
-is broadcast, the two matrices of losses, has a size that the vocabulary fixes. The
-target sample is documents labelled with quality 1, at most ``TARGET``, those with the
-smallest hashes of doc_id. Words are runs of non-blanks with A-Z lower-cased. Null and
-blank texts have no tokens, no losses and score 0; with no target sample the target
-model is uniform. Repeated rows count each time and are scored alike.
+and of the whole corpus - share one vocabulary, every word of all documents. Both are
+interpolated (bigram, unigram, uniform; weights after Witten and Bell, see ``losses``).
+Words and bigrams count that occur in ``DOCUMENTS`` documents at least: others tell
+nothing of any other document and have the uniform and unigram shares alone. Each token
+has a loss, the negative log-probability, under both models; a document's score is the
+mean over its tokens of background loss minus target loss, so documents like the target
+score high.
+
+The counts are over all documents and all of the target sample, which is every document
+labelled with quality 1. Nothing of them is gathered: texts are cut into blocks, each
+block sends its own bigrams in packed rows to buckets by hash, the buckets add them up
+and answer each block with the sums of its own bigrams, and likewise for the totals of
+the words before. Blocks and buckets are of bounded size and grow in number.
+
+Words are 64-bit hashes of runs of non-blanks with A-Z lower-cased. Null and blank texts
+have no tokens, no losses and score 0; with no target sample the target model is
+uniform. Repeated rows count each time and are scored alike.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm import _words
+from ledgerleaf.llm import _bytes, _shared, _words
 
-#: Words with an id of their own, and classes of the others.
-FREQUENT, CLASSES = 768, 256
-TARGET = 20_000
-#: Words that a task counts together.
-COUNTED = 2_000_000
-
-
-class Vocabulary:
-    def __init__(self, hashes: np.ndarray, classes: int):
-        self.order = np.argsort(hashes, kind="stable")
-        self.hashes, self.classes = hashes[self.order], classes
-        self.size = len(hashes) + classes
-
-    def ids(self, words: np.ndarray) -> np.ndarray:
-        """0 to len(hashes) - 1 by frequency, then the classes."""
-        other = len(self.hashes) + (words >> np.uint64(17)) % np.uint64(self.classes)
-        if not len(self.hashes):
-            return other.astype(np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == words, self.order[at], other).astype(np.int64)
-
-    def cells(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(cell of each token in the table of (word before, word), first token of each document and the end)."""
-        words, first = _words.word_hashes(texts)
-        ids = self.ids(words)
-        before = np.r_[self.size, ids[:-1]] if len(ids) else ids
-        before[first[:-1][first[:-1] < len(ids)]] = self.size
-        return before * self.size + ids, first
+#: Documents that a word or bigram must occur in to count.
+DOCUMENTS = 2
+#: Bytes of text in a block, and for which there is one bucket.
+BLOCK = 8 << 20
+#: In place of the word before: the start of a document, any word, and the key of the size of the vocabulary.
+START, ANY, SIZE = (np.uint64(i) for i in (1, 2, 3))
+_SUMS = "bucket int, block long, before binary, word binary, sums binary"
+_NAMES = ["bucket", "block", "before", "word", "sums"]
 
 
 def losses(counts: np.ndarray) -> np.ndarray:
@@ -64,75 +51,201 @@ def losses(counts: np.ndarray) -> np.ndarray:
     return -np.log((counts + followers * unigram) / (total + followers)).astype(np.float64)
 
 
-def _word_counts(batches):
-    def counted(parts):
-        word, n = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n, pa.int64())], ["word", "n"])
+def _key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return _bytes.mix(before * np.uint64(0x9E3779B97F4A7C15) + word)
+
+
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word before each word, word, first word of each document and the end)."""
+    word, first = _words.word_hashes(texts)
+    before = np.r_[START, word[:-1]][: len(word)]
+    before[first[:-1][first[:-1] < len(word)]] = START
+    return before, word, first
+
+
+def _runs(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys starts."""
+    new = np.zeros(max(len(sorted_keys[0]) - 1, 0), bool)
+    for k in sorted_keys:
+        new |= k[1:] != k[:-1]
+    return np.flatnonzero(np.r_[True, new][: len(sorted_keys[0])])
+
+
+def _packed(sums: np.ndarray) -> bytes:
+    """The sums in the narrowest whole numbers that hold them, after the width of these."""
+    kind = np.min_scalar_type(sums.max(initial=0))
+    return bytes([kind.itemsize]) + sums.astype(kind).tobytes()
+
+
+def _unpacked(data: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).reshape(width, -1).astype(np.int64)
+
 
-    parts, held = [], 0
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), *[pa.binary()] * 3))], _NAMES)
+
+
+def _dealt(block: int, buckets: int, key: np.ndarray, before: np.ndarray, word: np.ndarray, sums: np.ndarray) -> list[tuple]:
+    """Packed rows, one for each bucket."""
+    bucket = ((key >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((word, before, bucket))
+    bucket, before, word, sums = bucket[order], before[order], word[order], sums[:, order]
+    at = _runs(bucket)
+    return [(int(bucket[i]), block, before[i:j].tobytes(), word[i:j].tobytes(), _packed(sums[:, i:j])) for i, j in zip(at, np.r_[at[1:], len(bucket)])]
+
+
+def _blocks(batches):
+    """In: doc_id, text, target; adds the block."""
+    block, held = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64)
+        at = held + np.cumsum(size)
+        held = int(at[-1]) if len(at) else held
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block + at // BLOCK), pa.array(size)], ["doc_id", "text", "target", "block", "size"])
+
+
+def _by_block(batches):
     for batch in batches:
-        words, _ = _words.word_hashes(batch.column(0))
-        parts.append(words)
-        held += len(words)
-        if held >= COUNTED:
-            yield counted(parts)
-            parts, held = [], 0
-    if held:
-        yield counted(parts)
+        block = batch.column(2).to_numpy()
+        at = _runs(block)
+        for i, j in zip(at, np.r_[at[1:], len(block)]):
+            yield int(block[i]), batch.slice(i, j - i)
 
 
-def _cell_counts(vocabulary):
-    """In: text, target; out: the task's counts of cells in all its documents and in those of the target."""
+def _bigrams(buckets: int):
+    """In: text, target, block; out: each block's words and bigrams, with their tokens in all and in target documents, and documents."""
 
     def run(batches):
-        v = vocabulary.value
-        counts = np.zeros((2, (v.size + 1) * v.size), np.int64)
-        for batch in batches:
-            cells, first = v.cells(batch.column(0))
-            target = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), np.diff(first))
-            for i, some in enumerate((cells, cells[target])):
-                cell, n = np.unique(some, return_counts=True)
-                counts[i][cell] += n
-        cell = np.flatnonzero(counts[0])
-        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(counts[0][cell]), pa.array(counts[1][cell])], ["cell", "n", "target"])
+        for block, part in _by_block(batches):
+            before, word, first = _tokens(part.column(0))
+            doc = np.repeat(np.arange(len(part)), np.diff(first))
+            target = part.column(1).to_numpy(zero_copy_only=False)[doc].astype(np.int64)
+            before, word, doc, target = np.r_[before, np.full(len(word), ANY)], np.r_[word, word], np.r_[doc, doc], np.r_[target, target]
+            key = _key(before, word)
+            order = np.argsort(key, kind="stable")  # documents of one key stay in order
+            k, d = key[order], doc[order]
+            at = _runs(k)
+            if len(at):
+                new = np.zeros(len(k), np.int64)
+                new[_runs(k, d)] = 1
+                sums = np.array([np.diff(np.r_[at, len(k)]), np.add.reduceat(target[order], at), np.add.reduceat(new, at)])
+                one = order[at]
+                yield _batch(_dealt(block, buckets, key[one], before[one], word[one], sums))
 
     return run
 
 
-def _scored(model):
+def _contexts(buckets: int):
+    """In: text, target, block; out: the words whose totals each block needs, with sums of 0."""
+
     def run(batches):
-        vocabulary, background, target = model.value
-        names = ["doc_id", "n_tokens", "target_loss", "background_loss", "score"]
-        for batch in batches:
-            cells, first = vocabulary.cells(batch.column(1))
-            n = np.diff(first)
-            sums = [np.diff(np.r_[0, np.cumsum(table.ravel()[cells])][first]) for table in (target, background)]
-            some = n > 0
-            t, b = (np.divide(s, n, out=np.zeros(len(n)), where=some) for s in sums)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(t, mask=~some), pa.array(b, mask=~some), pa.array(b - t)], names)
+        for block, part in _by_block(batches):
+            word = np.unique(np.r_[_words.word_hashes(part.column(0))[0], START, ANY, SIZE])
+            yield _batch(_dealt(block, buckets, _bytes.mix(word), word, word, np.zeros((4, len(word)), np.int64)))
+
+    return run
+
+
+def _added(table: pa.Table, width: int):
+    """(block, before, word and run of each row; first of each run, before and sums of each run)."""
+    read = lambda c, kind: [np.frombuffer(x, kind) for x in table.column(c).to_pylist()]
+    befores, words = read("before", np.uint64), read("word", np.uint64)
+    sums = np.concatenate([_unpacked(x, width) for x in table.column("sums").to_pylist()], axis=1)
+    before, word = np.concatenate(befores), np.concatenate(words)
+    order = np.lexsort((word, before))
+    at = _runs(before[order], word[order])
+    run = np.empty(len(order), np.int64)
+    run[order] = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(order)]))
+    sums = np.add.reduceat(sums[:, order], at, axis=1)
+    ends = np.cumsum([len(b) for b in befores])
+    rows = [(block, b, w, run[end - len(b) : end]) for block, b, w, end in zip(table.column("block").to_pylist(), befores, words, ends)]
+    return rows, before[order][at], sums
+
+
+def _bigram_sums(buckets: int, least: int):
+    """Of one bucket: the answers to the blocks, and (block -1) what it adds to the totals of the words before."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows, before, sums = _added(table, 3)
+        keep = sums[2] >= least
+        out = []
+        for block, b, w, r in rows:
+            some = keep[r]
+            out.append((0, block, b"", _key(b, w)[some].tobytes(), _packed(sums[:2, r[some]])))
+        b, n, t = before[keep], sums[0][keep], sums[1][keep]
+        at = _runs(b)
+        totals = np.array([np.add.reduceat(x, at) for x in (n, np.ones_like(n), t, (t > 0).astype(np.int64))]) if len(at) else np.zeros((4, 0), np.int64)
+        b = np.r_[b[at], SIZE]
+        totals = np.c_[totals, [(before == ANY).sum(), 0, 0, 0]]
+        out += _dealt(-1, buckets, _bytes.mix(b), b, b, totals)
+        return pa.Table.from_batches([_batch(out)])
 
     return run
 
 
-def target_sample(labels: DataFrame, most: int = TARGET) -> DataFrame:
-    """doc_id of labelled rows with quality 1, at most ``most``."""
+def _context_sums(table: pa.Table) -> pa.Table:
+    rows, _, sums = _added(table, 4)
+    return pa.Table.from_batches([_batch([(1, block, b"", _key(b, w).tobytes(), _packed(sums[:, r])) for block, b, w, r in rows if block >= 0])])
+
+
+def _found(table: pa.Table, kind: int, width: int):
+    """A function from (before, word) to the sums that the rows of ``kind`` give, 0 where there are none."""
+    rows = [r for r in table.to_pylist() if r["bucket"] == kind]
+    sums = np.concatenate([np.zeros((width, 0), np.int64), *(_unpacked(r["sums"], width) for r in rows)], axis=1)
+    key = np.frombuffer(b"".join(r["word"] for r in rows), np.uint64)  # answers name bigrams by their keys
+    order = np.argsort(key)
+    key, sums = key[order], np.c_[sums[:, order], np.zeros((width, 1), np.int64)]
+
+    def find(b: np.ndarray, w: np.ndarray) -> np.ndarray:
+        asked = _key(b, w)
+        at = np.searchsorted(key, asked)
+        hit = np.r_[key, np.uint64(0)][at] == asked
+        return sums[:, np.where(hit & (at < len(key)), at, len(key))].astype(np.float64)
+
+    return find
+
+
+def _scored(texts: pa.Table, answers: pa.Table) -> pa.Table:
+    """Losses and score of the documents of one block."""
+    text = texts.column("text").combine_chunks()
+    before, word, first = _tokens(text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks) if text.num_chunks else pa.array([], pa.string()))
+    bigram, context = _found(answers, 0, 2), _found(answers, 1, 4)
+    own, alone, totals = bigram(before, word), bigram(np.full(len(word), ANY), word), context(before, before)
+    special = np.array([ANY, SIZE])
+    (every, kinds, target_every, target_kinds), (size, *_) = context(special, special).T
+    n = np.diff(first)
+    some, losses = n > 0, []
+    for i, (all_, k) in enumerate(((every, kinds), (target_every, target_kinds))):
+        k = max(k, 1)
+        unigram = (alone[i] + k / max(size, 1)) / (all_ + k)
+        total, followers = totals[2 * i], np.maximum(totals[2 * i + 1], 1)
+        sums = np.diff(np.r_[0, np.cumsum(-np.log((own[i] + followers * unigram) / (total + followers)))][first])
+        losses.append(np.divide(sums, n, out=np.zeros(len(n)), where=some))
+    b, t = losses
+    names = ["doc_id", "n_tokens", "target_loss", "background_loss", "score"]
+    return pa.table([texts.column("doc_id"), pa.array(n, pa.int64()), pa.array(t, mask=~some), pa.array(b, mask=~some), pa.array(b - t)], names)
+
+
+def target_sample(labels: DataFrame) -> DataFrame:
+    """doc_id of all labelled rows with quality 1."""
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
-    return good.select(F.col("doc_id").cast("long").alias("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return good.select(F.col("doc_id").cast("long").alias("doc_id"))
+
 
+def score(docs: DataFrame, labels: DataFrame, frequent: int | None = None, classes: int | None = None, least: int = DOCUMENTS) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_tokens, target_loss, background_loss, score.
 
-def score(docs: DataFrame, labels: DataFrame, frequent: int = FREQUENT, classes: int = CLASSES, most_target: int = TARGET) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_tokens, target_loss, background_loss, score."""
-    spark = docs.sparkSession
+    ``frequent`` and ``classes`` bounded the vocabulary once; they are accepted and have no effect.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counted = texts.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(frequent).toPandas()
-    vocabulary = Vocabulary(top["word"].to_numpy(np.int64).view(np.uint64), classes)
-    shared = spark.sparkContext.broadcast(vocabulary)
-    sample = F.broadcast(target_sample(labels, most_target).withColumn("target", F.lit(True)))  # bounded by ``most_target``
-    marked = texts.join(sample, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    cells = marked.mapInArrow(_cell_counts(shared), "cell int, n long, target long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("target").alias("target")).toPandas()
-    table = np.zeros((2, (vocabulary.size + 1) * vocabulary.size))
-    table[0][cells["cell"]], table[1][cells["cell"]] = cells["n"], cells["target"]
-    background, target = (losses(t.reshape(vocabulary.size + 1, vocabulary.size)) for t in table)
-    model = spark.sparkContext.broadcast((vocabulary, background, target))
-    return texts.mapInArrow(_scored(model), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    sample = _shared.small_side(target_sample(labels).withColumn("target", F.lit(True)))
+    marked = texts.join(sample, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    texts = _shared.stage(marked.mapInArrow(_blocks, "doc_id long, text string, target boolean, block long, size long"), "lm-texts")
+    buckets = int(texts.agg(F.sum("size")).first()[0] or 0) // BLOCK + 1
+    parts = texts.select("text", "target", "block")
+    sums = _shared.stage(parts.mapInArrow(_bigrams(buckets), _SUMS).groupBy("bucket").applyInArrow(_bigram_sums(buckets, least), _SUMS), "lm-bigrams")
+    totals = parts.mapInArrow(_contexts(buckets), _SUMS).unionByName(sums.where("block < 0")).groupBy("bucket").applyInArrow(_context_sums, _SUMS)
+    answers = sums.where("block >= 0").unionByName(totals)
+    schema = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+    return texts.select("doc_id", "text", "block").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored, schema)

@@ -177,6 +177,41 @@ def test_lm_scoring(spark):
     assert got[1].n_tokens == 21
 
 
+def test_lm_scoring_counts_every_word(spark, monkeypatch):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(1500)]
+    # the two halves differ in words that are far from the most frequent ones
+    texts = [(i, " ".join(rng.choices(words[:800], k=40) + rng.choices(words[800 + i % 2 * 350 :][:350], k=20))) for i in range(200)] + [(None, "w1 w2"), (7, "w3 once")]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(lm_scoring, "BLOCK", 3000)
+    got = sorted((r.doc_id or -1, r.n_tokens, r.score, r.background_loss, r.target_loss) for r in lm_scoring.score(frame(spark, texts), labels).collect())
+    ids = {w: k for k, w in enumerate(sorted({w for _, t in texts for w in t.split()}))}
+    seen, counts = [{}, {}], np.zeros((2, len(ids) + 1, len(ids)))
+    docs = [(i or -1, [ids[w] for w in t.split()]) for i, t in texts]
+    pairs = [(i, list(zip([len(ids), *d[:-1]], d))) for i, d in docs]
+    alone = np.zeros((2, len(ids)))
+    for i, some in pairs:
+        for p in set(some):
+            seen[0][p] = seen[0].get(p, 0) + 1
+        for w in {w for _, w in some}:
+            seen[1][w] = seen[1].get(w, 0) + 1
+    for i, some in pairs:
+        for m in range(2 if i in range(120) and i % 2 else 1):
+            for b, w in some:
+                counts[m][b, w] += seen[0][b, w] > 1
+                alone[m][w] += seen[1][w] > 1
+    want = []
+    for i, some in pairs:
+        mean = []
+        for c, a in zip(counts, alone):
+            kinds = max((a > 0).sum(), 1)
+            uni = (a + kinds / len(ids)) / (a.sum() + kinds)
+            mean.append(np.mean([-np.log((c[b, w] + max((c[b] > 0).sum(), 1) * uni[w]) / (c[b].sum() + max((c[b] > 0).sum(), 1))) for b, w in some]))
+        want.append((i, len(some), mean[0] - mean[1], *mean))
+    assert [g[:2] for g in got] == [w[:2] for w in sorted(want)]
+    assert np.allclose([g[2:] for g in got], [w[2:] for w in sorted(want)])
+
+
 def test_lm_losses_are_probabilities():
     counts = np.random.default_rng(0).integers(0, 4, (6, 5)).astype(float)
     assert np.allclose(np.exp(-lm_scoring.losses(counts)).sum(axis=1), 1)
