@@ -18,7 +18,7 @@ in its group is finished and carried no further:
 * Pass 4: these go down to the full depth, window by window. Equal groups are
   exactly the repeated windows.
 
-Digits are compared by hashes, of 64 bits in the first pass and 128 in the last.
+Digits are compared by hashes, of 64 bits in the first two passes and 128 in the last.
 
 Skew: each task first closes what repeats among its own documents, so a passage
 that a third of all documents share arrives from each task once. Null texts are
@@ -44,17 +44,17 @@ DIGIT = 20
 #: Entries between two rounds of closing what repeats within a task.
 LOCAL = 300_000
 
-#: x: 32 bits of the neighbourhood's hash, 16 each of the bytes before and after the anchor (0: no window needs them).
+#: x and y: the upper and the lower 32 bits of the neighbourhood's hash; in x also 16 bits each of the bytes before and after the anchor (0: no window needs them).
 #: at: 22 bits of the text's CRC-32, the first window's start, 5 bits for the number of windows less one.
-#: A finished range has its length as x, and at with the sign bit.
-_ENTRY = "h long, x long, at long, doc long"
+#: A finished range has its length as x, 0 as y, and at with the sign bit.
+_ENTRY = "h long, x long, y int, at long, doc long"
 _NAMES = [n.split()[0] for n in _ENTRY.split(", ")]
 _TAG = (1 << 22) - 1
 _U = np.uint64
 
 
 def _entries(raw: np.ndarray, offsets: np.ndarray, threshold: int, digit: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(anchor hash, x, document index, first window's start, number of windows) of one batch, block by block."""
+    """(anchor hash, x, y, document index, first window's start, number of windows) of one batch, block by block."""
     ends, begins = offsets[1:], offsets[:-1]
     half = (threshold - digit) // 2
     for at in range(0, len(raw) - threshold + 1, _bytes.BLOCK):
@@ -81,7 +81,7 @@ def _entries(raw: np.ndarray, offsets: np.ndarray, threshold: int, digit: int) -
         x = (e >> _U(32)) << _U(32)
         for needed, start, end, shift in ((mid - lo >= half, np.maximum(mid - half, 0), mid, 16), (mid - hi <= threshold - digit - half, mid + digit, np.minimum(mid + digit + half, len(data)), 0)):
             x |= np.where(needed, (_bytes.mix(_bytes.ranges(c2, start, end, 1)) >> _U(48)) | _U(1), _U(0)) << _U(shift)
-        yield h[mid], x, np.searchsorted(ends, lo + at, "right"), lo + at, hi - lo + 1
+        yield h[mid], x, e.astype(np.uint32), np.searchsorted(ends, lo + at, "right"), lo + at, hi - lo + 1
 
 
 def _merged(doc: np.ndarray, lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,8 +94,8 @@ def _merged(doc: np.ndarray, lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarra
 
 def _close(parts: list, threshold: int):
     """Entries of one task: those that a smaller document of the task repeats become finished ranges."""
-    h, x, doc, tag, lo, n = (np.concatenate(y) for y in zip(*parts))
-    key = _bytes.mix(h * _U(0x9FB21C651E98DF25) + x)
+    h, x, y, doc, tag, lo, n = (np.concatenate(c) for c in zip(*parts))
+    key = _bytes.mix(_bytes.mix(h * _U(0x9FB21C651E98DF25) + x) + y)
     order = np.argsort(key, kind="stable")
     first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
     least = np.empty(len(key), np.int64)
@@ -106,9 +106,9 @@ def _close(parts: list, threshold: int):
     at, left = done[new], least == doc
     spread = _bytes.mix((doc[at].astype(_U) << _U(20)) + start.astype(_U))
     where = (tag << 41) | (lo << 5)
-    cols = [np.r_[h[left], spread].view(np.int64), np.r_[x[left].view(np.int64), end - start], np.r_[(where | (n - 1))[left], where[at] | np.int64(-1 << 63)], np.r_[doc[left], doc[at]]]
+    cols = [np.r_[h[left], spread].view(np.int64), np.r_[x[left].view(np.int64), end - start], np.r_[y[left].view(np.int32), np.zeros(len(at), np.int32)], np.r_[(where | (n - 1))[left], where[at] | np.int64(-1 << 63)], np.r_[doc[left], doc[at]]]
     for k in range(0, len(cols[0]), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 50_000], pa.int64()) for c in cols], _NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 50_000]) for c in cols], _NAMES)
 
 
 def _digits(threshold: int, digit: int):
@@ -117,8 +117,8 @@ def _digits(threshold: int, digit: int):
         for batch in batches:
             doc, tag = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             raw, offsets = _bytes.buffers(batch.column(2))
-            for h, x, i, lo, n in _entries(raw, offsets, threshold, digit):
-                parts.append((h, x, doc[i], tag[i], lo - offsets[i], n))
+            for h, x, y, i, lo, n in _entries(raw, offsets, threshold, digit):
+                parts.append((h, x, y, doc[i], tag[i], lo - offsets[i], n))
                 held += len(h)
                 if held >= LOCAL:
                     yield from _close(parts, threshold)
@@ -198,9 +198,9 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIG
         raise ValueError("a digit must be less than the threshold by 1 to 31 bytes")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), _tag(), "text").where(f"doc is not null and octet_length(text) >= {threshold}")
     entries = texts.mapInArrow(_digits(threshold, digit), _ENTRY)
-    anchor = Window.partitionBy("h").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    seen = entries.select("*", *(f(c).over(anchor).alias(f"{f.__name__}_{c}") for c in ("doc", "x") for f in (F.min, F.max)), F.min("doc").over(Window.partitionBy("h", "x")).alias("same"))
-    seen = seen.withColumn("done", F.expr("at < 0 or same < doc")).where("done or (min_doc < max_doc and min_x < max_x)")
+    anchor = Window.partitionBy("h").orderBy("x", "y").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    seen = entries.select("*", *(f(c).over(anchor).alias(f"{f.__name__}_{c}") for c in ("doc", "x", "y") for f in (F.min, F.max)), F.min("doc").over(Window.partitionBy("h", "x", "y")).alias("same"))
+    seen = seen.withColumn("done", F.expr("at < 0 or same < doc")).where("done or (min_doc < max_doc and (min_x < max_x or min_y < max_y))")
     for side, shift in (("before", 16), ("after", 0)):
         seen = seen.withColumn(side, F.expr(f"shiftright(x, {shift}) & 65535"))
         own, group = F.expr("if(done, null, doc)"), Window.partitionBy("h", side)

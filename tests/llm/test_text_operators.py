@@ -155,6 +155,21 @@ def test_toxicity(spark):
     assert toxicity.score(frame(spark, rows[:5]), labels.limit(0)).where("score <> 0.5").count() == 0
 
 
+def test_suffix_dedup_tells_variants_of_one_line_apart():
+    import pyarrow as pa
+
+    # a varying number far from the anchor that most lines share; each line is one window, and no two are equal
+    n = 290_000
+    lines = pa.array([f"{i:08x} visitors came to this page since the first of May" for i in range(n)])
+    lines = pa.array([x[: suffix_dedup.THRESHOLD].ljust(suffix_dedup.THRESHOLD, ".") for x in lines.to_pylist()])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([0] * n, pa.int64()), lines], ["doc", "tag", "text"])
+    out = list(suffix_dedup._digits(suffix_dedup.THRESHOLD, suffix_dedup.DIGIT)(iter([batch])))
+    rows = pa.Table.from_batches(out)
+    keys = rows.drop_columns(["at", "doc"])
+    assert keys.group_by(keys.column_names).aggregate([]).num_rows == rows.num_rows == n
+    assert min(rows["at"].to_pylist()) >= 0  # none is finished as a repeat
+
+
 def test_toxicity_keeps_the_ratio_of_the_classes(spark):
     rng = random.Random(8)
     plain = ["river", "stone", "market", "paper", "window", "garden"]
