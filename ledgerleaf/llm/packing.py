@@ -58,7 +58,9 @@ def tokenizer_path(name: str) -> str:
 #: Latin letters in lower case, as the tokenizer sees them; a text of others, or with what it treats apart, goes the plain way.
 _LETTERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u024f"
 _PARTS = re.compile(f"[{_LETTERS}]+|[^{_LETTERS} \t\n\r]+")
-_APART = re.compile("['\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\u00b2\u00b3\u00b9\u00bc-\u00be\u0130\u0250-\U0010ffff]|<\\|")
+#: Capitals below U+0250 whose lower case isn't.
+_FAR = "".join(c for c in map(chr, range(0x250)) if max(c.lower()) > "\u024f")
+_APART = re.compile(f"['\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\u00b2\u00b3\u00b9\u00bc-\u00be\u0250-\U0010ffff{_FAR}]|<\\|")
 
 
 def _byte_letters() -> dict[int, str]:
