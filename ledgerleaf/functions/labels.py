@@ -12,9 +12,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: One to three digits in brackets, or before a hyphen, a dash or a full stop.
-ORDER_PREFIX = r"^(?:\[(\d{1,3})\]|(\d{1,3})\s*[-–—.])\s*"
-SPACED_DIGITS = r"^\d{1,3}(?:\s|$)"
+# What counts as a number before a name - one to three digits in brackets, or
+# before a hyphen, a dash or a full stop - what looks like an attempt at one, and the name of nothing.
+NUMBERED = r"^(?:\[(\d{1,3})\]|(\d{1,3})\s*[-–—.])\s*"
+BARE_NUMBER = r"^\d{1,3}(?:\s|$)"
 UNTITLED = "Untitled"
 #: Longest description in characters, and the share of it below which a word is cut.
 DESCRIPTION, WORD_SHARE = 200, 0.6
@@ -35,28 +36,40 @@ def normalized(form: str):
     return run
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind around it."""
+    return F.regexp_replace(text, r"^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+$", "")
+
+
 def order_number(name: Column) -> Column:
     """The number of an order prefix, or null."""
-    text = F.trim(name)
-    bracketed, plain = (F.regexp_extract(text, ORDER_PREFIX, i) for i in (1, 2))
+    text = trimmed(name)
+    bracketed, plain = (F.regexp_extract(text, NUMBERED, i) for i in (1, 2))
     return F.when(bracketed != "", bracketed).when(plain != "", plain).cast("int")
 
 
 def label(name: Column) -> Column:
     """The name without its order prefix."""
-    rest = F.trim(F.regexp_replace(F.trim(name), ORDER_PREFIX, ""))
+    rest = trimmed(F.regexp_replace(trimmed(name), NUMBERED, ""))
     return F.when(rest == "", F.lit(UNTITLED)).otherwise(rest)
 
 
 def unrecognized_prefix(name: Column) -> Column:
     """Digits and a blank: an attempt at numbering that the convention does not know."""
-    text = F.trim(name)
-    return text.rlike(SPACED_DIGITS) & ~text.rlike(ORDER_PREFIX)
+    text = trimmed(name)
+    return text.rlike(BARE_NUMBER) & ~text.rlike(NUMBERED)
+
+
+def composed(name: Column) -> Column:
+    """The name in NFC; only names beyond ASCII leave the JVM."""
+    return F.coalesce(normalized("NFC")(F.when(needs_normalizing(name), name)), name)
 
 
-def slug_segment(name: Column, decompose: Column | None = None) -> Column:
-    """One part of an address. ``decompose``: the label in NFKD, where it isn't plain ASCII."""
-    text = F.regexp_replace(F.lower(label(name) if decompose is None else decompose), r"\p{M}+", "")
+def slug_segment(name: Column) -> Column:
+    """One part of an address: the label in NFKD without marks, in lower case, other characters as single hyphens."""
+    plain = label(name)
+    text = F.coalesce(normalized("NFKD")(F.when(needs_normalizing(plain), plain)), plain)
+    text = F.regexp_replace(F.lower(F.regexp_replace(text, r"\p{M}+", "")), r"\p{M}+", "")
     slug = F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{N}]+", "-"), r"^-+|-+$", "")
     return F.when(slug == "", F.lit("untitled")).otherwise(slug)
 
@@ -77,12 +90,13 @@ def description(text: Column, limit: int = DESCRIPTION) -> Column:
 
 
 def age_phrase(days: Column) -> Column:
+    """Days below a month, then months below a year, then years; one month or year is the last one."""
     months, years = F.floor(days / 30.44 + 0.5), F.floor(days / 365.25 + 0.5)
-    return (
-        F.when(days < 0, "just now").when(days == 0, "today").when(days == 1, "yesterday").when(days < 30, F.concat(days, F.lit(" days ago")))
-        .when(months == 1, "last month").when(months < 12, F.concat(months, F.lit(" months ago")))
-        .when(years == 1, "last year").otherwise(F.concat(years, F.lit(" years ago")))
-    )
+    unit = F.when(days < 30, "day").when(months < 12, "month").otherwise("year")
+    count = F.when(days < 30, days).when(months < 12, months).otherwise(years)
+    near = F.when(days < 0, "just now").when(days < 2, F.element_at(F.array(F.lit("today"), F.lit("yesterday")), (days + 1).cast("int")))
+    single = F.when((days >= 30) & (count == 1), F.concat(F.lit("last "), unit))
+    return F.coalesce(near, single, F.concat(count.cast("string"), F.lit(" "), unit, F.lit("s ago")))
 
 
 def freshness(days: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerleaf.functions import labels
+
 SCHEME = r"(?i)^[a-z][a-z0-9+.-]*:"
 SAFE_SCHEME = r"(?i)^(https?|mailto):"
 CONTROL = r"[\x00-\x1F\x7F]"
@@ -23,6 +25,17 @@ def allowed(url: Column) -> Column:
     return shape & (~url.rlike(SCHEME) | url.rlike(SAFE_SCHEME))
 
 
+def safe_in_markdown(url: Column) -> Column:
+    """In NFKC, without blanks, control and format characters: an anchor, a path that begins with a slash or dots, or a safe scheme.
+
+    Unlike ``allowed`` bare words are refused.
+    """
+    compatible = F.coalesce(labels.normalized("NFKC")(F.when(labels.needs_normalizing(url), url)), url)
+    plain = F.regexp_replace(compatible, r"[\s\p{Cc}\p{Cf}\p{Z}]+", "")
+    local = plain.startswith("#") | plain.startswith("./") | plain.startswith("../") | (plain.startswith("/") & ~plain.startswith("//"))
+    return local | plain.rlike(SAFE_SCHEME)
+
+
 def unwrapped(url: Column) -> Column:
     """The target of a search redirect, or null where the URL is none or its target isn't an allowed absolute one."""
     query = F.regexp_extract(url, REDIRECT, 1)

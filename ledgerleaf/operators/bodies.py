@@ -10,6 +10,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from xml.parsers import expat
 
 import pandas as pd
@@ -141,7 +142,7 @@ def _archive(data: bytes | None) -> tuple[str | None, list | None]:
             if not info.is_dir():
                 found.append({"path": path, "bytes": archive.read(info)})
         return None, sorted(found, key=lambda e: e["path"])
-    except (zipfile.BadZipFile, EOFError, NotImplementedError, OSError, ValueError) as e:
+    except (zipfile.BadZipFile, EOFError, NotImplementedError, OSError, ValueError, RuntimeError, zlib.error) as e:
         return f"unreadable: {type(e).__name__}", None
 
 

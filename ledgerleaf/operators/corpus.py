@@ -46,6 +46,11 @@ def groups(documents: DataFrame) -> DataFrame:
     return counted.join(described, "folder", "left").select("folder", "document_count", "newest", "description", labels.folder_anchor(F.col("folder")).alias("anchor"))
 
 
+def groups_in_order(grouped: DataFrame) -> DataFrame:
+    """Rows of ``groups``: newest edit first, undated last, then by name in English collation."""
+    return grouped.orderBy(F.col("newest").desc_nulls_last(), F.collate("folder", "UNICODE"), "folder")
+
+
 def cards(documents: DataFrame, titles: int = 3) -> DataFrame:
     """(folder, place, title): the first documents of each folder by recency."""
     ranked = trailed(documents).withColumn("place", F.row_number().over(Window.partitionBy("folder").orderBy(*recency())))
@@ -75,11 +80,23 @@ def terms(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 def search(queries: DataFrame, index_terms: DataFrame, documents: int | DataFrame, top: int = 5) -> DataFrame:
-    """(query, place, id, score): by the sum of tf * idf of the query's terms; queries: (query, term)."""
+    """(query, place, id, score): documents with the query's rarest term, by the sum of tf * idf of all its terms; queries: (query, term).
+
+    The rarest term alone (of equally rare ones the first) makes candidates, so a
+    common word never joins all documents; terms that no document holds are left out.
+    """
     frequency = index_terms.groupBy("term").agg(F.count("*").alias("df"))
-    asked = queries.distinct()
+    asked = queries.distinct().join(frequency, "term")
+    rarest = asked.groupBy("query").agg(F.min(F.struct("df", "term")).alias("rarest")).select("query", F.col("rarest.term").alias("term"))
     total = documents if isinstance(documents, int) else documents.count()
-    hits = index_terms.join(asked, "term").join(frequency, "term")
-    scored = hits.groupBy("query", "id").agg(F.round(F.sum(F.col("tf") * F.ln(F.lit(float(total)) / F.col("df"))), 6).alias("score"))
+    candidates = rarest.join(index_terms.select("term", "id"), "term").select("query", "id")
+    wanted = candidates.join(asked, "query").join(index_terms, ["term", "id"])
+    scored = wanted.groupBy("query", "id").agg(F.round(F.sum(F.col("tf") * F.ln(F.lit(float(total)) / F.col("df"))), 6).alias("score"))
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
     return scored.withColumn("place", place).where(F.col("place") <= top).select("query", "place", "id", "score")
+
+
+def found_in_top(expected: DataFrame, results: DataFrame, top: int = 5) -> DataFrame:
+    """(query, found): whether each expected (query, id) is among the first ``top`` results (query, place, id)."""
+    hits = results.where(F.col("place") <= top).select("query", "id", F.lit(True).alias("hit")).distinct()
+    return expected.join(hits, ["query", "id"], "left").select("query", F.coalesce("hit", F.lit(False)).alias("found"))

@@ -1,38 +1,62 @@
 """The hierarchy of an inventory: paths, subtrees, selection counters, children and defects.
 
 Inventories have (id, name, kind, parent, modified); kind is folder, document or
-unsupported. Levels are joined one by one, so a plan holds as many joins as the
-hierarchy is deep, and no row ever meets the whole table.
+unsupported. Paths are found by pointer doubling: in each round every item takes over
+the path of the item that it points at, and what that one points at, so the rounds are
+the logarithm of the depth, whatever the number of items. A round is one join on id,
+staged in the shared folder.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerleaf.sources import shared
 
-MAX_DEPTH = 64
 
+def _climbed(state: DataFrame, arrays: list[str]) -> DataFrame:
+    """Rows (row, id, at, arrays) that reach an end, where ``at`` is null; the arrays hold all that is passed on the way."""
+    state = shared.stage(state, "paths")
+    ended = -1
+    while True:
+        now = state.agg(F.count_if(F.col("at").isNull()), F.count("at")).first()
+        if not now[1] or now[0] == ended:  # none is open, or the open ones are in or below cycles
+            return state.where("at is null")
+        ended = now[0]
+        up = state.select(F.col("id").alias("up_id"), F.col("at").alias("up_at"), *(F.col(c).alias(f"up_{c}") for c in arrays))
+        open_ = state.where("at is not null").join(up, F.col("at") == F.col("up_id"))
+        further = open_.select("row", "id", F.col("up_at").alias("at"), *(F.concat(f"up_{c}", c).alias(c) for c in arrays))
+        before, state = state, shared.stage(state.where("at is null").unionByName(further), "paths")
+        shared.drop(before)
 
-def paths(items: DataFrame, root: str = "root", max_depth: int = MAX_DEPTH) -> DataFrame:
+
+def _placed(items: DataFrame, end: Column, along: dict[str, Column]) -> DataFrame:
+    arrays = {"path": F.col("name"), "ids": F.col("id")} | along
+    start = items.select(F.struct(*items.columns).alias("row"), "id", F.when(~end, F.col("parent")).alias("at"), *(F.array(c).alias(k) for k, c in arrays.items()))
+    return _climbed(start, list(arrays)).select("row.*", *arrays, (F.size("ids") - 1).alias("depth"))
+
+
+def paths(items: DataFrame, root: str = "root", **along: Column) -> DataFrame:
     """Descendants of ``root``, itself included, with path (names from it), ids (likewise) and depth.
 
-    An item that a cycle or a missing parent keeps from the root has no row.
+    ``along``: further arrays of a value of each item on the way. An item that a cycle
+    or a missing parent keeps from the root has no row.
     """
-    spark = items.sparkSession
-    return spark.sql(
-        f"""
-        WITH RECURSIVE tree(id, path, ids, depth) MAX RECURSION LEVEL {max_depth} AS (
-          SELECT id, array(name), array(id), 0 FROM {{items}} WHERE id = {{root}}
-          UNION ALL
-          SELECT i.id, concat(t.path, array(i.name)), concat(t.ids, array(i.id)), t.depth + 1
-          FROM {{items}} i JOIN tree t ON i.parent = t.id)
-        SELECT i.*, t.path, t.ids, t.depth FROM tree t JOIN {{items}} i ON i.id = t.id
-        """,
-        items=items,
-        root=root,
-    )
+    is_root = F.col("id") == root
+    return _placed(items.where(is_root | F.col("parent").isNotNull()), is_root, along)
+
+
+def paths_of_selection(items: DataFrame, **along: Column) -> DataFrame:
+    """All items with their paths; one whose parent is not among them starts a new path."""
+    known = items.select(F.col("id").alias("parent"), F.lit(True).alias("_known")).distinct()
+    marked = items.join(known, "parent", "left")
+    return _placed(marked.select(*items.columns, "_known"), F.col("_known").isNull(), along).drop("_known")
+
+
+def in_order(placed: DataFrame) -> DataFrame:
+    """Rows of ``paths`` in the order of a selection: by path, then by id."""
+    return placed.orderBy(F.array_join("path", "/"), "id")
 
 
 def without_subtrees(placed: DataFrame, ignored: list[str]) -> DataFrame:
@@ -74,21 +98,49 @@ def duplicate_ids(items: DataFrame) -> DataFrame:
 
 
 def cycles(links: DataFrame) -> DataFrame:
-    """(item, related): items on a cycle of parents, with their parent; links have at most one parent per id.
-
-    Pointer doubling: after k rounds every item points 2**k steps up, and those whose
-    way up ends before are gone. A way without a cycle is no longer than the items that
-    are left, so the rounds end after the logarithm of the depth; what the last items
-    point at lies on cycles.
+    """(item, related): the link that closes each cycle of parents; links have at most one parent per id.
+
+    The link is the one that a walk up from the smallest id comes to last, of all
+    items that lead into the cycle. After k rounds of pointer doubling every item
+    points 2**k steps up, and those whose way up ends before are gone. A way without a
+    cycle is no longer than the items that are left, so the rounds end after the
+    logarithm of the depth; what the last items point at lies on cycles. The same
+    rounds find the smallest id on the way.
     """
-    up = shared.stage(links.where("parent is not null").select("id", F.col("parent").alias("at")), "cycles")
+    up = shared.stage(links.where("parent is not null").select("id", F.col("parent").alias("at"), F.col("id").alias("low")), "cycles")
     steps = 1
     while 0 < up.count() >= steps:
-        far = up.select(F.col("id").alias("mid"), F.col("at").alias("far"))
-        up = shared.stage(up.join(far, F.col("at") == F.col("mid")).select("id", F.col("far").alias("at")), "cycles")
+        far = up.select(F.col("id").alias("mid"), F.col("at").alias("far"), F.col("low").alias("far_low"))
+        before, up = up, shared.stage(up.join(far, F.col("at") == F.col("mid")).select("id", F.col("far").alias("at"), F.least("low", "far_low").alias("low")), "cycles")
+        shared.drop(before)
         steps *= 2
-    on = up.select(F.col("at").alias("id")).distinct()
-    return links.join(on, "id", "left_semi").select(F.lit("cycle").alias("code"), F.col("id").alias("item_id"), F.col("parent").alias("related_id"))
+    on = up.select(F.col("at").alias("id")).distinct().withColumn("on", F.lit(True))
+    # every way into a cycle, up to the first item on it; all items on a cycle share the smallest id of it
+    held = links.where("parent is not null").join(up.select("id", "low"), "id").join(on, "id", "left")
+    start = held.select(F.struct("id").alias("row"), "id", F.when(F.col("on").isNull(), F.col("parent")).alias("at"), F.array("id").alias("ids"))
+    ways = _climbed(start, ["ids"]).select("id", F.get("ids", 0).alias("entry"))
+    cycle = held.where("on").select(F.col("id").alias("entry"), F.col("low").alias("cycle"))
+    first = ways.join(cycle, "entry").groupBy("cycle").agg(F.min(F.struct("id", "entry")).alias("first"))
+    closing = held.where("on").select("id", "parent").join(first.select(F.col("first.entry").alias("parent")), "parent")
+    return closing.select(F.lit("cycle").alias("code"), F.col("id").alias("item_id"), F.col("parent").alias("related_id"))
+
+
+def root_issues(items: DataFrame, root: str = "root") -> DataFrame:
+    """What is wrong with the root: not there, or not a folder."""
+    found = items.where(F.col("id") == root).agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "folder").alias("folders"))
+    code = F.when(F.col("n") == 0, "root_not_found").when(F.col("folders") == 0, "root_not_folder")
+    return found.select(code.alias("code"), F.lit(root).alias("item_id")).where("code is not null")
+
+
+def require_sound(*issues: DataFrame, report: int = 50) -> None:
+    """Raises one error that lists the issues (code, item_id), up to ``report`` of them and their number."""
+    found = issues[0].select("code", "item_id")
+    for more in issues[1:]:
+        found = found.unionByName(more.select("code", "item_id"))
+    n = found.count()
+    if n:
+        some = found.orderBy("code", "item_id").limit(report).collect()
+        raise ValueError(f"{n} issues of the inventory: " + "; ".join(f"{r['code']} {r['item_id']}" for r in some))
 
 
 def ignored_issues(items: DataFrame, placed: DataFrame, ignored: list[str], root: str = "root") -> DataFrame:

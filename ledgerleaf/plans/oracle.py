@@ -52,7 +52,16 @@ taken AS (
 claims AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY kind <> 'folder', id) AS claim FROM fresh WHERE base <> ''),
 slugs AS (
   SELECT id, kind, base, CASE WHEN claim = 1 AND base NOT IN (SELECT slug FROM taken) THEN base ELSE base || '--' || substr(sha256(id), 1, 6) END AS slug FROM claims)"""
-_REDIRECTS = "redirects AS (SELECT 'old/' || id AS old_slug, slug AS target, id AS owner FROM slugs WHERE id LIKE 's%' AND CAST(substr(id, 2) AS BIGINT) % 9 = 0)"
+_REDIRECTS = "redirects AS (SELECT 'old/' || id AS old_slug, slug AS target, id AS owner FROM slugs WHERE id LIKE 's%')"
+_STATIC = "['', 'about', 'documents']"
+
+
+def _claimed(kept: str, taken: str) -> str:
+    """Slugs of what isn't in ``kept`` around ``taken``: the first free claimant of a base has it, others get a suffix."""
+    return f"""todo AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY kind <> 'folder', id) AS k FROM fresh WHERE base <> '' AND id NOT IN (SELECT id FROM {kept})),
+given AS (SELECT id, kind, CASE WHEN k = 1 AND base NOT IN (SELECT slug FROM {taken}) THEN base ELSE base || '--' || substr(sha256(id), 1, 6) END AS slug FROM todo)"""
+
+
 _MANIFEST = f"""WITH {_ITEMS.strip()},
 current AS (SELECT * FROM items WHERE kind = 'document'),
 manifest AS (
@@ -95,8 +104,8 @@ _ROUTE = """
 plain AS (SELECT source, href, regexp_replace(href, '[?#].*$', '') AS p FROM src),
 full_path AS (SELECT source, href, CASE WHEN starts_with(p, '/') THEN p WHEN starts_with(p, '../') THEN regexp_replace('/' || source, '/[^/]*$', '') || substr(p, 3) WHEN starts_with(p, './') THEN '/' || source || substr(p, 2) ELSE '/' || source || '/' || p END AS p FROM plain),
 routed AS (SELECT source, href, url_decode(replace(array_to_string(list_filter(string_split(p, '/'), lambda x: x <> '' AND x <> '.'), '/'), '+', '%2B')) AS route FROM full_path WHERE NOT starts_with(href, '#') AND NOT starts_with(href, '//'))"""
-_VALID = "valid AS (SELECT 'a/p' || page_id AS slug FROM pages UNION SELECT substr(href, 2) FROM l WHERE position = 0 UNION SELECT unnest(['', 'about', 'documents']))"
-_PROVIDER = "p AS (SELECT doc_id, doc_id % 400 AS t FROM documents)"
+_VALID = "valid AS (SELECT 'a/p' || page_id AS slug FROM pages UNION SELECT substr(href, 2) FROM l GROUP BY href HAVING count(DISTINCT page_id) > 1 UNION SELECT unnest(['', 'about', 'documents']))"
+_PROVIDER = "p AS (SELECT doc_id, doc_id + 1 AS t FROM documents)"
 _TARGET = "CASE doc_id % 7 WHEN 3 THEN 'https://docs.google.com/document/d/d' || t || '/edit' WHEN 4 THEN 'https://example.com/' || t END"
 _CORPUS = f"""{_TREE},
 docs AS (
@@ -105,6 +114,13 @@ docs AS (
 foldered AS (SELECT *, coalesce(trail[1], 'General') AS folder FROM docs),
 byfolder AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY modified DESC NULLS LAST, title, id) AS place FROM foldered)"""
 _TERMS = r"words AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}-]+')) AS term FROM documents), terms AS (SELECT term, id, count(*) AS tf FROM words WHERE length(term) >= 4 AND NOT regexp_matches(term, '^[0-9]+$') GROUP BY term, id)"
+_SEARCH = rf"""WITH {_TERMS},
+asked AS (SELECT DISTINCT doc_id AS query, term FROM (SELECT doc_id, unnest(regexp_extract_all(lower(regexp_extract(text, '^([^\n]*)', 1)), '[\p{{L}}\p{{N}}-]+')) AS term FROM documents WHERE doc_id % 20 = 0) WHERE length(term) >= 4 AND NOT regexp_matches(term, '^[0-9]+$')),
+df AS (SELECT term, count(*) AS df FROM terms GROUP BY term),
+rarest AS (SELECT query, first(term ORDER BY df, term) AS term FROM asked JOIN df USING (term) GROUP BY query),
+candidates AS (SELECT query, id FROM rarest JOIN terms USING (term)),
+scores AS (SELECT query, id, round(sum(tf * ln((SELECT count(*) FROM documents)::DOUBLE / df)), 6) AS score FROM candidates JOIN asked USING (query) JOIN terms USING (term, id) JOIN df USING (term) GROUP BY query, id),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS place FROM scores)"""
 _DAYS = "CAST(floor((epoch(TIMESTAMP '2001-01-01') - epoch(date_trunc('second', o_orderdate))) / 86400) AS BIGINT)"
 
 ORACLE: dict[str, str] = {
@@ -116,8 +132,8 @@ ORACLE: dict[str, str] = {
     "issues_multiple_parents": f"{_PARENTS} {_MULTIPLE}",
     "issues_unresolved_parent": f"{_PARENTS} {_UNRESOLVED}",
     "issues_duplicate_id": f"{_PARENTS} SELECT 'duplicate_id' AS code, id AS item_id, unnest(range(2, n + 1)) AS occurrence FROM (SELECT id, count(*) AS n FROM links GROUP BY id HAVING count(*) > 1)",
-    "issues_cycle": f"{_PARENTS}, one AS (SELECT id, min(parent) AS parent FROM links GROUP BY id) SELECT 'cycle' AS code, a.id AS item_id, a.parent AS related_id FROM one a JOIN one b ON a.parent = b.id WHERE b.parent = a.id",
-    "issues_ignored": "SELECT * FROM (VALUES ('ignored_root', 'root'), ('ignored_not_folder', 'c1'), ('ignored_not_found', 'nowhere'), ('ignored_not_folder', 'p2')) t(code, item_id)",
+    "issues_cycle": f"{_PARENTS}, one AS (SELECT id, min(parent) AS parent FROM links GROUP BY id) SELECT 'cycle' AS code, a.id AS item_id, a.parent AS related_id FROM one a JOIN one b ON a.parent = b.id WHERE b.parent = a.id AND b.id < a.id",
+    "issues_ignored": f"{_TREE}, asked AS (SELECT DISTINCT unnest(['root', 'r1', 'c1', 'nowhere', 'n3', 'n3', 'p2']) AS item_id), known AS (SELECT a.item_id, i.kind, a.item_id IN (SELECT id FROM tree) AS inside FROM asked a LEFT JOIN items i ON i.id = a.item_id) SELECT CASE WHEN item_id = 'root' THEN 'ignored_root' WHEN kind IS NULL THEN 'ignored_not_found' WHEN kind <> 'folder' THEN 'ignored_not_folder' ELSE 'ignored_outside_root' END AS code, item_id FROM known WHERE item_id = 'root' OR kind IS DISTINCT FROM 'folder' OR NOT inside",
     "order_prefix": f"WITH {_ITEMS.strip()} SELECT id, {_order('name')} AS order_number, {_label('name')} AS label FROM items",
     "unrecognized_prefix": rf"WITH c AS (SELECT c_custkey, (c_custkey % 1500) || CASE c_custkey % 4 WHEN 0 THEN ' ' WHEN 1 THEN ' - ' WHEN 2 THEN '. ' ELSE '' END || c_mktsegment AS name FROM customer) SELECT c_custkey, name, regexp_matches(name, '^\d{{1,3}}(?:\s|$)') AND NOT regexp_matches(name, '{_PREFIX}') AS unrecognized FROM c",
     "slug_segment": f"WITH {_ITEMS.strip()} SELECT id, {_segment('name')} AS slug FROM items",
@@ -125,7 +141,11 @@ ORACLE: dict[str, str] = {
     "slug_collisions": f"{_TREE}, {_NEW.strip()} SELECT base, count(*) AS claims FROM fresh WHERE base <> '' GROUP BY base HAVING count(*) > 1",
     "slug_allocation": f"{_TREE}, {_NEW.strip()} SELECT id, slug FROM slugs",
     "redirect_map": f"{_TREE}, {_NEW.strip()}, {_REDIRECTS} SELECT '/' || old_slug || '/' AS source, '/' || target || '/' AS destination FROM redirects",
-    "redirects_retargeted": f"{_TREE}, {_NEW.strip()}, {_REDIRECTS}, moved AS (SELECT slug, 'moved/' || id AS new_slug FROM slugs WHERE id LIKE 's%' AND CAST(substr(id, 2) AS BIGINT) % 18 = 0) SELECT old_slug, coalesce(new_slug, target) AS target FROM redirects LEFT JOIN moved ON target = slug UNION ALL SELECT slug, new_slug FROM moved",
+    "redirects_retargeted": f"{_TREE}, {_NEW.strip()}, {_REDIRECTS}, moved AS (SELECT slug, 'moved/' || id AS new_slug FROM slugs WHERE id LIKE 's%' OR id LIKE 'c%') SELECT old_slug, coalesce(new_slug, target) AS target FROM redirects LEFT JOIN moved ON target = slug UNION ALL SELECT slug, new_slug FROM moved",
+    "reseed_slug": f"{_TREE}, {_NEW.strip()}, nothing AS (SELECT id FROM fresh WHERE kind <> 'document'), used AS (SELECT slug FROM taken UNION ALL SELECT unnest({_STATIC})), {_claimed('nothing', 'used')} SELECT id, 'earlier/' || id AS old_slug, slug AS new_slug FROM given",
+    "slug_carry_forward": f"{_TREE}, {_NEW.strip()}, old AS (SELECT id, 'earlier/' || id AS slug FROM fresh WHERE kind = 'folder' OR id LIKE '%2' OR id LIKE '%5'), used AS (SELECT slug FROM old UNION ALL SELECT base FROM fresh WHERE kind = 'folder' UNION ALL SELECT unnest({_STATIC})), {_claimed('old', 'used')} SELECT id, slug, true AS kept FROM old UNION ALL SELECT id, slug, false FROM given",
+    "slug_universe": f"{_TREE}, {_NEW.strip()} SELECT 'old/' || base AS slug, 'redirect' AS owner FROM fresh WHERE base <> '' AND kind = 'folder' UNION ALL SELECT base, kind FROM fresh WHERE base <> '' UNION ALL SELECT unnest({_STATIC}), 'route'",
+    "slug_manifest_issues": f"{_TREE}, {_NEW.strip()} SELECT base AS slug, count(*) AS claims FROM (SELECT base FROM fresh WHERE base <> '' UNION ALL SELECT base FROM fresh WHERE base <> '' AND kind = 'folder') GROUP BY base HAVING count(*) > 1",
     "sibling_order": f"{_TREE}, {_RANKED.strip()} SELECT id, parent, sibling_rank FROM ranked",
     "navigation_issues": f"{_TREE}, {_RANKED.strip()}, {_NAVIGATION.strip()} SELECT * FROM issues",
     "sidebar_nodes": f"{_ORDER} SELECT r.id, r.parent, r.label, r.sibling_rank, s.size AS documents FROM ranked r JOIN sizes s ON r.id = s.id",
@@ -136,10 +156,10 @@ ORACLE: dict[str, str] = {
     "reconcile_classes": f"{_MANIFEST} SELECT id, class FROM classed",
     "reconcile_counters": f"{_MANIFEST} SELECT count(*) FILTER (WHERE class = 'added') AS added, count(*) FILTER (WHERE class = 'changed') AS changed, count(*) FILTER (WHERE class = 'unchanged') AS unchanged, count(*) FILTER (WHERE class = 'removed') AS removed FROM classed",
     "needs_export": f"{_MANIFEST} SELECT id, class <> 'unchanged' AS needs_export FROM classed WHERE class <> 'removed'",
-    "needs_export_broad": f"{_MANIFEST} SELECT true AS needs_export, count(*) AS documents FROM current",
+    "needs_export_broad": f"{_MANIFEST} SELECT class <> 'unchanged' OR (SELECT bool_or(class IN ('added', 'removed')) FROM classed) AS needs_export, count(*) AS documents FROM classed WHERE class <> 'removed' GROUP BY 1",
     "removed_documents": f"{_MANIFEST} SELECT id FROM manifest WHERE id NOT IN (SELECT id FROM current)",
     "corpus_changed": f"{_MANIFEST} SELECT count(*) FILTER (WHERE class IN ('added', 'removed')) > 0 AS corpus_changed FROM classed",
-    "folder_shape_changed": "SELECT * FROM (VALUES ('renumbered', false), ('moved', true)) t(run, shape_changed)",
+    "folder_shape_changed": f"WITH {_ITEMS.strip()}, folders AS (SELECT id, {_label('name')} AS label, {_label("regexp_replace(name, '^0', '1')")} AS renumbered, parent, CASE WHEN id = 'n4' THEN 'r0x' ELSE parent END AS moved FROM items WHERE kind = 'folder') SELECT 'renumbered' AS run, bool_or(label IS DISTINCT FROM renumbered) AS shape_changed FROM folders UNION ALL SELECT 'moved', bool_or(parent IS DISTINCT FROM moved) FROM folders",
     "overlay_folders": f"{_MANIFEST}, fresh AS (SELECT id, upper(name) AS name, parent FROM current WHERE parent IN ('n1', 'n2')) SELECT * FROM fresh UNION ALL SELECT id, name, parent FROM manifest WHERE id NOT IN (SELECT id FROM fresh)",
     "run_summary": f"{_MANIFEST} SELECT counter, (SELECT count(*) FROM classed WHERE class = counter) AS value FROM (VALUES ('added'), ('changed'), ('unchanged'), ('removed')) t(counter)",
     "warning_counts": f"{_PARENTS}, {_TREE_ONLY}, {_RANKED.strip()}, {_NAVIGATION.strip()}, every AS (SELECT * FROM ({_MULTIPLE}) UNION ALL SELECT * FROM ({_UNRESOLVED}) UNION ALL SELECT * FROM issues) SELECT code, count(*) AS issues FROM every GROUP BY code",
@@ -149,14 +169,15 @@ ORACLE: dict[str, str] = {
     "description_truncate": _DESCRIPTION,
     "newline_normalize": "SELECT doc_id, 'sha256:' || sha256(text) AS hash FROM documents",
     "heading_escape": r"""SELECT doc_id, regexp_replace(t, '([\\`*_\[\]<>#])', '\\\1', 'g') AS heading, replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped FROM (SELECT doc_id, regexp_extract(text, '^([^\n]*)', 1) AS t FROM documents)""",
-    "asset_mime": "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'png' WHEN 1 THEN 'jpg' WHEN 2 THEN 'gif' WHEN 3 THEN 'webp' END AS type FROM documents",
+    "asset_mime": r"""WITH b AS (SELECT doc_id, (CASE doc_id % 6 WHEN 0 THEN '\x89PNG\x0D\x0A\x1A\x0A'::BLOB WHEN 1 THEN '\xFF\xD8\xFF\xE0'::BLOB WHEN 2 THEN 'GIF89a'::BLOB WHEN 3 THEN 'RIFF\x00\x00\x00\x00WEBP'::BLOB ELSE ''::BLOB END) || encode(text) AS data FROM documents), h AS (SELECT doc_id, hex(data) AS h FROM b)
+        SELECT doc_id, CASE WHEN starts_with(h, hex('\x89PNG\x0D\x0A\x1A\x0A'::BLOB)) THEN 'png' WHEN h LIKE 'FFD8FF%' THEN 'jpg' WHEN starts_with(h, hex('GIF87a'::BLOB)) OR starts_with(h, hex('GIF89a'::BLOB)) THEN 'gif' WHEN starts_with(h, hex('RIFF'::BLOB)) AND substr(h, 17, 8) = hex('WEBP'::BLOB) THEN 'webp' END AS type FROM h""",
     "link_extract": f"WITH {_LINKS} SELECT page_id, CAST(position AS BIGINT) AS position, href FROM l",
     "link_policy": f"WITH {_LINKS} SELECT page_id, CAST(position AS BIGINT) AS position, (page_id + position) % 6 IN (0, 1, 5) AS allowed FROM l",
     "link_route_path": f"WITH {_SOURCES}, {_ROUTE.strip()} SELECT source, href, route FROM routed",
     "valid_slugs": f"WITH {_LINKS}, {_VALID} SELECT slug FROM valid",
     "broken_links": f"WITH {_SOURCES}, {_ROUTE.strip()}, {_VALID} SELECT source, route AS target, count(*) AS links FROM routed WHERE route NOT IN (SELECT slug FROM valid) GROUP BY ALL",
     "link_unwrap": f"WITH {_PROVIDER} SELECT doc_id, {_TARGET} AS target FROM p",
-    "link_rewrite": f"""WITH {_PROVIDER}, known AS (SELECT doc_id AS k FROM documents WHERE doc_id < 400 AND doc_id % 3 <> 0)
+    "link_rewrite": f"""WITH {_PROVIDER}, known AS (SELECT doc_id AS k FROM documents JOIN labels USING (doc_id))
         SELECT doc_id, CASE WHEN doc_id % 7 <= 3 AND k IS NOT NULL THEN '/section/doc-' || t || '/' || CASE doc_id % 7 WHEN 1 THEN '#intro' ELSE '' END
                ELSE coalesce({_TARGET}, CASE doc_id % 7 WHEN 0 THEN 'https://docs.google.com/document/d/d' || t || '/edit#heading=h.x1' WHEN 1 THEN 'https://docs.google.com/document/d/d' || t || '/view?usp=sharing#intro' WHEN 2 THEN 'https://drive.google.com/open?id=d' || t WHEN 5 THEN 'https://www.google.com/url?q=javascript:x' ELSE 'https://example.com/p' || t || '#part' END) END AS new_href,
                doc_id % 7 = 0 AND k IS NOT NULL AS removed_anchor
@@ -170,7 +191,8 @@ ORACLE: dict[str, str] = {
     "freshness": f"WITH o AS (SELECT o_orderkey, o_orderdate, {_DAYS} AS d FROM orders), m AS (SELECT *, CAST(floor(d / 30.44 + 0.5) AS BIGINT) AS mo, CAST(floor(d / 365.25 + 0.5) AS BIGINT) AS y FROM o) SELECT o_orderkey, CASE WHEN d < 0 THEN 'just now' WHEN d = 0 THEN 'today' WHEN d = 1 THEN 'yesterday' WHEN d < 30 THEN d || ' days ago' WHEN mo = 1 THEN 'last month' WHEN mo < 12 THEN mo || ' months ago' WHEN y = 1 THEN 'last year' ELSE y || ' years ago' END AS age, CASE WHEN d <= 14 THEN 'fresh' WHEN d <= 90 THEN 'recent' ELSE 'older' END AS freshness, strftime(o_orderdate, '%b %-d, %Y') AS shown FROM m",
     "docs_index": f"{_CORPUS}, {_NEW.strip()} SELECT d.id, d.title, s.slug, 'docs/' || d.id || '.md' AS markdown_path, array_to_string(d.trail, '/') AS folder_path, 'en' AS language FROM docs d JOIN slugs s ON s.id = d.id",
     "search_terms": f"WITH {_TERMS} SELECT term, id, tf FROM terms",
-    "search_topk": f"WITH {_TERMS}, asked AS (SELECT DISTINCT doc_id AS query, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}-]{{4,}}')[1:3]) AS term FROM documents WHERE doc_id % 20 = 0), df AS (SELECT term, count(*) AS df FROM terms GROUP BY term), s AS (SELECT query, id, round(sum(tf * ln((SELECT count(*) FROM documents)::DOUBLE / df)), 6) AS score FROM terms JOIN asked USING (term) JOIN df USING (term) GROUP BY query, id), p AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS place FROM s) SELECT query, place, id, score FROM p WHERE place <= 5",
+    "search_topk": f"{_SEARCH} SELECT query, place, id, score FROM placed WHERE place <= 5",
+    "search_own_title": f"{_SEARCH} SELECT DISTINCT query, EXISTS (SELECT 1 FROM placed p WHERE p.query = a.query AND p.id = a.query AND p.place <= 5) AS found FROM asked a",
     "checks_slug_unique": f"{_TREE}, {_NEW.strip()} SELECT 'slug_unique' AS rule, base AS key, CAST(count(*) AS VARCHAR) AS detail FROM fresh WHERE base <> '' GROUP BY base HAVING count(*) > 1",
     "checks_redirects": f"{_TREE}, {_NEW.strip()}, {_REDIRECTS}, r AS (SELECT CASE WHEN owner LIKE '%7' THEN target ELSE old_slug END AS old_slug, CASE WHEN owner LIKE '%6' THEN 'stale' ELSE target END AS target, owner FROM redirects) SELECT 'redirect_source_used' AS rule, old_slug AS key, s.id AS detail FROM r JOIN slugs s ON s.slug = r.old_slug UNION ALL SELECT 'redirect_to_itself', old_slug, target FROM r WHERE old_slug = target UNION ALL SELECT 'redirect_target', old_slug, target FROM r LEFT JOIN slugs s ON s.id = r.owner WHERE r.target IS DISTINCT FROM s.slug",
     "checks_orphans": "SELECT 'orphan' AS rule, 'assets/' || doc_id || '.png' AS key, CAST(NULL AS VARCHAR) AS detail FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.functions import labels, text, urls
 from ledgerleaf.operators import addressing, bodies, checks, corpus, hierarchy, links, ordering, reconcile
-from ledgerleaf.sources import bindings
+from ledgerleaf.sources import bindings, shared
 
 IGNORED = ["r1", "n3"]
 #: The instant that ages are counted from.
@@ -22,8 +22,8 @@ def query(f):
     return f
 
 
-def _placed(spark, d):
-    return hierarchy.paths(bindings.items(spark, d))
+def _placed(spark, d, **along):
+    return hierarchy.paths(bindings.items(spark, d), **along)
 
 
 def _ranked(spark, d):
@@ -108,17 +108,17 @@ def slug_segment(spark, d):
 
 @query
 def slug_unicode(spark, d):
-    titles = bindings.bodies(spark, d).select("doc_id", F.substring("title", 1, 80).alias("title"))
-    return titles.select("doc_id", labels.slug_segment(F.col("title"), labels.normalized("NFKD")(labels.label(F.col("title")))).alias("slug"))
+    return bindings.bodies(spark, d).select("doc_id", labels.slug_segment(F.col("title")).alias("slug"))
 
 
 @query
 def base_slug(spark, d):
-    return _placed(spark, d).select("id", addressing.base_slug(F.col("path")).alias("base"))
+    return _new(spark, d, True).select("id", "base")
 
 
-def _new(spark, d):
-    return _placed(spark, d).where("kind in ('folder', 'document')").select("id", "kind", addressing.base_slug(F.col("path")).alias("base"))
+def _new(spark, d, every=False):
+    placed = _placed(spark, d, segments=labels.slug_segment(F.col("name")))
+    return (placed if every else placed.where("kind in ('folder', 'document')")).select("id", "kind", addressing.base_slug(F.col("segments")).alias("base"))
 
 
 @query
@@ -126,13 +126,14 @@ def slug_collisions(spark, d):
     return _new(spark, d).where("base <> ''").groupBy("base").agg(F.count("*").alias("claims")).where("claims > 1")
 
 
-def _taken(spark, d):
+def _taken(spark, d, new):
     nations = bindings.table(spark, d, "nation").where("n_nationkey % 5 = 0")
-    return nations.select(F.concat(F.lower(F.col("n_name"))).alias("slug")).unionByName(_new(spark, d).where("kind = 'folder' and id like 'n%' and try_cast(substring(id, 2) as int) % 4 = 1").select(F.col("base").alias("slug")))
+    return nations.select(F.concat(F.lower(F.col("n_name"))).alias("slug")).unionByName(new.where("kind = 'folder' and id like 'n%' and try_cast(substring(id, 2) as int) % 4 = 1").select(F.col("base").alias("slug")))
 
 
 def _slugs(spark, d):
-    return addressing.allocate(_new(spark, d), _taken(spark, d))
+    new = _new(spark, d)
+    return addressing.allocate(new, _taken(spark, d, new))
 
 
 @query
@@ -140,28 +141,51 @@ def slug_allocation(spark, d):
     return _slugs(spark, d)
 
 
-def _redirects(spark, d):
-    """Every ninth supplier's address was another before, and some before that."""
-    slugs = _slugs(spark, d).where("id like 's%' and try_cast(substring(id, 2) as bigint) % 9 = 0")
-    return slugs.select(F.concat(F.lit("old/"), "id").alias("old_slug"), F.col("slug").alias("target"), F.col("id").alias("owner"))
+@query
+def slug_carry_forward(spark, d):
+    """Items that the manifest knows keep their slugs, which are like those of an earlier run; the others are allocated around these."""
+    items = _new(spark, d)
+    old = items.where("kind = 'folder' or id like '%2' or id like '%5'").select("id", "kind", F.concat(F.lit("earlier/"), "id").alias("slug"))
+    redirects = items.where("kind = 'folder'").select(F.col("base").alias("old_slug"))
+    return addressing.stable(items, old, redirects, links.STATIC)
+
+
+@query
+def slug_universe(spark, d):
+    items = _new(spark, d).where("base <> ''")
+    return addressing.universe(items.where("kind = 'folder'").select(F.concat(F.lit("old/"), "base").alias("old_slug")), items.select("kind", F.col("base").alias("slug")), links.STATIC)
+
+
+@query
+def slug_manifest_issues(spark, d):
+    items = _new(spark, d).where("base <> ''")
+    return addressing.manifest_issues(items.select("id", F.col("base").alias("slug")), items.where("kind = 'folder'").select(F.col("base").alias("old_slug")))
+
+
+def _redirects(slugs):
+    """Every supplier's address was another before."""
+    return slugs.where("id like 's%'").select(F.concat(F.lit("old/"), "id").alias("old_slug"), F.col("slug").alias("target"), F.col("id").alias("owner"))
 
 
 @query
 def redirect_map(spark, d):
-    return addressing.redirect_map(_redirects(spark, d))
+    return addressing.redirect_map(_redirects(_slugs(spark, d)))
 
 
 @query
 def redirects_retargeted(spark, d):
-    moved = _slugs(spark, d).where("id like 's%' and try_cast(substring(id, 2) as bigint) % 18 = 0").select(F.col("slug").alias("old_slug"), F.concat(F.lit("moved/"), "id").alias("new_slug"))
-    return addressing.redirects_after(_redirects(spark, d).select("old_slug", "target"), moved)
+    """All documents move; redirects that led to them follow."""
+    slugs = _slugs(spark, d)
+    moved = slugs.where("id like 's%' or id like 'c%'").select(F.col("slug").alias("old_slug"), F.concat(F.lit("moved/"), "id").alias("new_slug"))
+    return addressing.redirects_after(_redirects(slugs).select("old_slug", "target"), moved)
 
 
 @query
 def reseed_slug(spark, d):
-    slugs = _slugs(spark, d)
-    mine = _new(spark, d).join(slugs, "id").where("kind = 'document' and pmod(crc32(id), 50) = 0")
-    return addressing.reseed(mine, slugs.select("slug", F.col("id").alias("owner")))
+    """All documents anew, around the addresses that redirects and routes hold."""
+    items = _new(spark, d)
+    documents = items.where("kind = 'document'").select("id", "base", F.concat(F.lit("earlier/"), "id").alias("slug"))
+    return addressing.reseed(documents, _taken(spark, d, items).unionByName(spark.createDataFrame([(r,) for r in links.STATIC], "slug string")))
 
 
 # -- order -------------------------------------------------------------------
@@ -198,7 +222,7 @@ def reading_order(spark, d):
 @query
 def prev_next(spark, d):
     placed = _placed(spark, d)
-    return ordering.neighbours(ordering.reading_order(placed, ordering.siblings(placed)))
+    return ordering.neighbours(shared.stage(ordering.reading_order(placed, ordering.siblings(placed)), "reading-order"))
 
 
 @query
@@ -246,8 +270,9 @@ def corpus_changed(spark, d):
 
 @query
 def folder_shape_changed(spark, d):
-    folders = bindings.items(spark, d).where("kind = 'folder'").select("id", labels.label(F.col("name")).alias("label"), "parent")
-    renumbered = bindings.items(spark, d).where("kind = 'folder'").select("id", labels.label(F.regexp_replace("name", "^0", "1")).alias("label"), "parent")
+    named = bindings.items(spark, d).where("kind = 'folder'")
+    folders = named.select("id", labels.label(F.col("name")).alias("label"), "parent")
+    renumbered = named.select("id", labels.label(F.regexp_replace("name", "^0", "1")).alias("label"), "parent")
     moved = folders.withColumn("parent", F.expr("if(id = 'n4', 'r0x', parent)"))
     return reconcile.shape_changed(folders, renumbered).select(F.lit("renumbered").alias("run"), "shape_changed").unionByName(reconcile.shape_changed(folders, moved).select(F.lit("moved").alias("run"), "shape_changed"))
 
@@ -314,8 +339,9 @@ def heading_escape(spark, d):
 
 @query
 def asset_mime(spark, d):
+    """Whole texts behind the first bytes of six kinds of file."""
     magic = F.expr("case doc_id % 6 when 0 then unhex('89504E470D0A1A0A') when 1 then unhex('FFD8FFE0') when 2 then encode('GIF89a', 'UTF-8') when 3 then concat(encode('RIFF', 'UTF-8'), unhex('00000000'), encode('WEBP', 'UTF-8')) else encode('', 'UTF-8') end")
-    data = F.concat(magic, F.encode(F.substring("text", 1, 20), "UTF-8"))
+    data = F.concat(magic, F.encode("text", "UTF-8"))
     return bindings.table(spark, d, "documents").select("doc_id", text.image_type(data).alias("type"))
 
 
@@ -348,7 +374,8 @@ def link_route_path(spark, d):
 
 def _valid(spark, d):
     documents = bindings.table(spark, d, "pages").select(F.concat(F.lit("a/p"), "page_id").alias("slug"))
-    redirects = bindings.page_links(spark, d).where("position = 0").select(F.expr("substring(href, 2)").alias("old_slug"))
+    twice = bindings.page_links(spark, d).groupBy("href").agg(F.countDistinct("page_id").alias("pages")).where("pages > 1")
+    redirects = twice.select(F.expr("substring(href, 2)").alias("old_slug"))
     return links.valid_slugs(documents, redirects)
 
 
@@ -363,7 +390,7 @@ def broken_links(spark, d):
 
 
 def _provider_links(spark, d):
-    base = bindings.table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 400).alias("to"))
+    base = bindings.table(spark, d, "documents").select("doc_id", (F.col("doc_id") + 1).alias("to"))
     return base.select("doc_id", F.expr("case doc_id % 7 when 0 then concat('https://docs.google.com/document/d/d', to, '/edit#heading=h.x1') when 1 then concat('https://docs.google.com/document/d/d', to, '/view?usp=sharing#intro') when 2 then concat('https://drive.google.com/open?id=d', to) when 3 then concat('https://www.google.com/url?q=https://docs.google.com/document/d/d', to, '/edit&sa=D') when 4 then concat('https://www.google.com/url?url=https://example.com/', to) when 5 then 'https://www.google.com/url?q=javascript:x' else concat('https://example.com/p', to, '#part') end").alias("href"))
 
 
@@ -374,7 +401,7 @@ def link_unwrap(spark, d):
 
 @query
 def link_rewrite(spark, d):
-    slugs = bindings.table(spark, d, "documents").where("doc_id < 400 and doc_id % 3 <> 0").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.concat(F.lit("section/doc-"), "doc_id").alias("slug"))
+    slugs = bindings.table(spark, d, "documents").join(bindings.table(spark, d, "labels").select("doc_id"), "doc_id").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.concat(F.lit("section/doc-"), "doc_id").alias("slug"))
     return links.rewritten(_provider_links(spark, d), slugs).select("doc_id", "new_href", "removed_anchor")
 
 
@@ -440,10 +467,24 @@ def search_terms(spark, d):
     return corpus.terms(_texts(spark, d))
 
 
+def _asked(spark, d):
+    """The words of the titles of a stated set of documents."""
+    titles = bindings.bodies(spark, d).where("doc_id % 20 = 0").select(F.col("doc_id").alias("id"), "title")
+    return corpus.terms(titles, "title").select(F.col("id").alias("query"), "term")
+
+
 @query
 def search_topk(spark, d):
-    asked = _texts(spark, d).where("id % 20 = 0").select(F.col("id").alias("query"), F.explode(F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}-]{4,}"), F.lit(0)), 1, 3)).alias("term"))
-    return corpus.search(asked, corpus.terms(_texts(spark, d)), _texts(spark, d)).select("query", F.col("place").cast("long").alias("place"), "id", "score")
+    texts = _texts(spark, d)
+    return corpus.search(_asked(spark, d), shared.stage(corpus.terms(texts), "terms"), texts).select("query", F.col("place").cast("long").alias("place"), "id", "score")
+
+
+@query
+def search_own_title(spark, d):
+    """Whether each of these documents is among the first five that its own title finds."""
+    texts, asked = _texts(spark, d), _asked(spark, d)
+    results = corpus.search(asked, shared.stage(corpus.terms(texts), "terms"), texts)
+    return corpus.found_in_top(asked.select("query", F.col("query").alias("id")).distinct(), results)
 
 
 # -- checks ------------------------------------------------------------------
@@ -456,8 +497,9 @@ def checks_slug_unique(spark, d):
 
 @query
 def checks_redirects(spark, d):
-    rows = _redirects(spark, d).select(F.expr("if(owner like '%7', target, old_slug)").alias("old_slug"), F.expr("if(owner like '%6', 'stale', target)").alias("target"), "owner")
-    return checks.redirects(rows, _slugs(spark, d))
+    slugs = shared.stage(_slugs(spark, d), "slugs")
+    rows = _redirects(slugs).select(F.expr("if(owner like '%7', target, old_slug)").alias("old_slug"), F.expr("if(owner like '%6', 'stale', target)").alias("target"), "owner")
+    return checks.redirects(rows, slugs)
 
 
 @query
@@ -509,10 +551,10 @@ def html_to_markdown(spark, d):
 
 @query
 def table_complexity(spark, d):
-    """Lists stand for tables: items as rows of one cell, or of two if they hold a comma."""
-    table = F.expr("concat('<table>', regexp_replace(regexp_replace(html, '(?s)^.*?<ul>|</ul>.*$', ''), '<li>(.*?)</li>', '<tr><td>$1</td></tr>'), '</table>')")
-    rows = bindings.table(spark, d, "pages").select("page_id", F.regexp_replace(table, ",</a>", "</a><td>").alias("t"))
-    return rows.select("page_id", bodies.complex_table(F.col("t")).alias("complex"))
+    """All lists of all pages stand for tables: items as rows of one cell, or of two if they hold a comma."""
+    lists = bindings.table(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("(?s)<ul>(.*?)</ul>"), F.lit(1))).alias("position", "items"))
+    table = F.expr("concat('<table>', regexp_replace(items, '<li>(.*?)</li>', '<tr><td>$1</td></tr>'), '</table>')")
+    return lists.select("page_id", F.col("position").cast("long").alias("position"), bodies.complex_table(F.regexp_replace(table, ",</a>", "</a><td>")).alias("complex"))
 
 
 @query
@@ -529,5 +571,5 @@ def fence_check(spark, d):
 
 @query
 def published_projection(spark, d):
-    made = bindings.bodies(spark, d).withColumn("content", bodies.document(F.substring("title", 1, 80), F.concat(F.lit("docs/"), "doc_id"), text.sha256(F.col("body")), F.trim("body")))
+    made = bindings.bodies(spark, d).withColumn("content", bodies.document(F.col("title"), F.concat(F.lit("docs/"), "doc_id"), text.sha256(F.col("body")), F.trim("body")))
     return made.select("doc_id", text.sha256(F.col("content")).alias("file_hash"), F.length(bodies.document_body(F.col("content"))).alias("body_length"))

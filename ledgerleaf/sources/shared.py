@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where it is unset."""
+    """The folder that all executors share, which ``spark.checkpoint.dir`` or ``setCheckpointDir`` names."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        where = tempfile.mkdtemp(prefix="ledgerleaf-")
-        spark.sparkContext.setCheckpointDir(where)
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return where.rstrip("/")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back, without its lineage."""
+    """Write ``df`` as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/ledgerleaf-{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def drop(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing still to be run reads."""
+    for df in staged:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)

@@ -56,6 +56,13 @@ def test_bad_archives_and_drawings(spark):
         z.writestr("zeros", b"\0" * 1_000_000)
     assert one(spark, bomb.getvalue(), bodies.archive_entries(F.col("v")).alias("x"), kind="binary").x.issue == "too_large"
     assert one(spark, b"junk", bodies.archive_entries(F.col("v")).alias("x"), kind="binary").x.issue.startswith("unreadable")
+    good = io.BytesIO()
+    with zipfile.ZipFile(good, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.txt", "tide and time " * 30)
+    data = good.getvalue()
+    damaged = [data[:i] + bytes([data[i] ^ 0xFF]) + data[i + 1 :] for i in range(len(data))]
+    got = spark.createDataFrame([(d,) for d in damaged], "v binary").select(bodies.archive_entries(F.col("v")).issue.alias("issue")).collect()
+    assert len(got) == len(damaged) and sum(r.issue is not None for r in got) > len(data) // 3
     drawings = ["<svg><path d='M0'/></svg>", "<svg><script/></svg>", "<svg><use href='https://e.org'/></svg>", "<!DOCTYPE svg><svg/>", "<svg onload='x'/>", "<svg>", "<p/>"]
     assert [one(spark, d, bodies.drawing_issue(F.col("v")))[0] for d in drawings] == [None, "element", "reference", "doctype", "attribute", "unreadable", "not_svg"]
 

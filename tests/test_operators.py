@@ -44,11 +44,36 @@ def test_any_order_of_rows_gives_one_result(spark, items):
 
 
 def test_cycles(spark):
-    parents = spark.createDataFrame([("root", None), ("a", "b"), ("b", "a"), ("below", "a"), ("x", "root"), ("self", "self")], "id string, parent string")
-    assert rows(hierarchy.cycles(parents).select("item_id", "related_id")) == [("a", "b"), ("b", "a"), ("self", "self")]
+    """Of each cycle the link that a walk from the smallest id into it comes to last."""
+    parents = spark.createDataFrame([("root", None), ("m", "n"), ("n", "o"), ("o", "m"), ("below", "n"), ("x", "root"), ("self", "self"), ("lost", "gone"), ("p", "q"), ("q", "p")], "id string, parent string")
+    assert rows(hierarchy.cycles(parents).select("item_id", "related_id")) == [("m", "n"), ("q", "p"), ("self", "self")]
     assert hierarchy.cycles(parents.where("id in ('root', 'x')")).count() == 0
 
 
+def test_paths_of_any_depth_and_number(spark):
+    deep = [("root", "r", "folder", None)] + [(f"d{i}", f"n{i}", "folder", f"d{i - 1}" if i else "root") for i in range(200)] + [("loop", "l", "folder", "loop"), ("tail", "t", "folder", "loop")]
+    placed = hierarchy.paths(spark.createDataFrame(deep, "id string, name string, kind string, parent string"))
+    last = placed.where("id = 'd199'").first()
+    assert placed.count() == 201 and last.depth == 200 and last.path == ["r", *(f"n{i}" for i in range(200))]
+    wide = spark.range(1_200_000).selectExpr("if(id = 0, 'root', cast(id as string)) as id", "'x' as name", "'document' as kind", "if(id = 0, null, if(id < 1000, 'root', cast(id % 999 + 1 as string))) as parent")
+    assert hierarchy.paths(wide).where("ids[0] = 'root'").count() == 1_200_000
+
+
+def test_paths_of_a_selection(spark, items):
+    placed = hierarchy.paths_of_selection(items.where("id <> 'eng'"))
+    got = {r.id: (r.depth, "/".join(r.path)) for r in placed.collect()}
+    assert got["doc-a"] == (0, "Overview") and got["doc-r"] == (1, "Published/Root page") and got["out"] == (0, "Elsewhere")
+    assert [r.id for r in hierarchy.in_order(placed).collect()][0] == "doc-b"
+
+
+def test_sound_inventories(spark, items):
+    assert hierarchy.root_issues(items).count() == 0
+    assert rows(hierarchy.root_issues(items, "doc-a")) == [("root_not_folder", "doc-a")] and rows(hierarchy.root_issues(items, "zz")) == [("root_not_found", "zz")]
+    hierarchy.require_sound(hierarchy.root_issues(items), hierarchy.duplicate_ids(items))
+    with pytest.raises(ValueError, match="2 issues of the inventory: duplicate_id a; root_not_found zz"):
+        hierarchy.require_sound(hierarchy.root_issues(items, "zz"), hierarchy.duplicate_ids(spark.createDataFrame([("a",), ("a",)], "id string")))
+
+
 def test_sibling_order_and_reading_order(spark, items):
     placed = hierarchy.paths(items)
     ranked = ordering.siblings(placed)
@@ -72,6 +97,33 @@ def test_allocation(spark):
     assert slugs["d1"].startswith("team/guide--") and len(set(slugs.values())) == 5
 
 
+def test_stable_addresses(spark):
+    items = spark.createDataFrame([("a", "document", "quay"), ("b", "document", "quay"), ("c", "folder", "fleet"), ("d", "document", "about"), ("e", "document", "ferry")], "id string, kind string, base string")
+    manifest = spark.createDataFrame([("b", "document", "quay"), ("gone", "document", "fleet"), ("c", "folder", None)], "id string, kind string, slug string")
+    redirects = spark.createDataFrame([("ferry",)], "old_slug string")
+    got = {r.id: (r.slug, r.kept) for r in addressing.stable(items, manifest, redirects, links.STATIC).collect()}
+    assert got["b"] == ("quay", True) and all(got[i][0].startswith(f"{s}--") and not got[i][1] for i, s in (("a", "quay"), ("c", "fleet"), ("d", "about"), ("e", "ferry")))
+    assert rows(addressing.manifest_issues(manifest, spark.createDataFrame([("quay",)], "old_slug string"))) == [("quay", 2)]
+
+
+def test_reseeded_documents_never_clash(spark):
+    documents = spark.createDataFrame([(f"i{i}", "old", "same") for i in range(300)] + [("z", "old", "free")], "id string, slug string, base string")
+    import hashlib
+
+    first = {hashlib.sha256(f"i{i}".encode()).hexdigest()[:6] for i in range(5)}
+    taken = spark.createDataFrame([("same",), *((f"same--{h}",) for h in first)], "slug string")
+    got = dict(rows(addressing.reseed(documents, taken).select("id", "new_slug")))
+    assert len(set(got.values())) == 301 and got["z"] == "free" and len(got["i0"]) == len("same--") + 8 and len(got["i9"]) == len("same--") + 6
+
+
+def test_search_finds_own_titles(spark):
+    terms = spark.createDataFrame([("tide", i, 1) for i in range(20)] + [("harbour", 3, 2), ("harbour", 4, 1), ("beacon", 4, 1)], "term string, id int, tf int")
+    asked = spark.createDataFrame([(3, "tide"), (3, "harbour"), (4, "beacon"), (4, "harbour"), (5, "absent")], "query int, term string")
+    found = corpus.search(asked, terms, 20)
+    assert rows(found.select("query", "place", "id")) == [(3, 1, 3), (3, 2, 4), (4, 1, 4)]
+    assert rows(corpus.found_in_top(asked.select("query", F.col("query").alias("id")).distinct(), found)) == [(3, True), (4, True), (5, False)]
+
+
 def test_redirects_have_no_chains(spark):
     old = spark.createDataFrame([("first", "second"), ("other", "x")], "old_slug string, target string")
     changes = spark.createDataFrame([("second", "third"), ("same", "same")], "old_slug string, new_slug string")
@@ -88,9 +140,9 @@ def test_reconcile(spark):
 
 
 def test_broken_links(spark):
-    found = spark.createDataFrame([("z/source", "/missing/page/#fragment"), ("a/source", "../missing/"), ("a/source", "/known/"), ("a/source", "https://e.org")], "source string, href string")
-    valid = spark.createDataFrame([("known",)], "slug string")
-    assert rows(links.broken(found, valid)) == [("a/source", "a/missing"), ("z/source", "missing/page")]
+    found = spark.createDataFrame([("fleet", "tug"), ("fleet", "tug?new=1"), ("fleet", "../ferry#deck"), ("quay/north", "/fleet/"), ("quay/north", "../south/"), ("quay/north", "mailto:crew@port.example"), ("fleet", None)], "source string, href string")
+    valid = links.valid_slugs(spark.createDataFrame([("fleet",), ("quay/north",)], "slug string"), spark.createDataFrame([("ferry",)], "old_slug string"))
+    assert rows(links.broken(found, valid)) == [("fleet", "fleet/tug"), ("fleet", "fleet/tug"), ("quay/north", "quay/south")]
 
 
 def test_link_rewrite(spark):
