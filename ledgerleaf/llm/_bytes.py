@@ -94,3 +94,15 @@ def window_argmin(h: np.ndarray, w: int) -> np.ndarray:
         s = w - size
         at = np.where(h[s:] < h[:-s], at[s:], at[:-s])
     return at
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20):
+    """``batch`` in slices with about ``most`` bytes of text in ``column`` (one row at least)."""
+    texts = batch.column(column)
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    at = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1)
+    i = 0
+    while i < len(batch):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
+        yield batch.slice(i, j - i)
+        i = j

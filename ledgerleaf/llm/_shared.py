@@ -2,41 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerleaf.sources.shared import drop, shared_dir, stage
+
+__all__ = ["connected_components", "drop", "runs", "shared_dir", "small_batches", "small_side", "stage", "worker_cache"]
+
 #: A side of a join is broadcast only when a count shows that it has at most so many (narrow) rows.
 BROADCAST_ROWS = 200_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="ledgerleaf-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Texts go to Python in Arrow batches of at most so many rows, unless the session asks for another number than Spark's.
+
+    A task holds a batch on both sides, beside the heap, and Spark's 10,000 rows of texts are tens of MB each time.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ledgerleaf-{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    out = spark.read.schema(schema).parquet(path)
-    out.staged_path = path
-    return out
+_caches: dict[str, dict] = {}
 
 
-def drop(*staged: DataFrame) -> None:
-    """Delete staged tables that nothing still to be run reads."""
-    for df in staged:
-        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+def worker_cache(owner: str) -> dict:
+    """What an operator keeps in a Python worker from task to task; workers outlive stages, so what others keep there goes."""
+    for other in [k for k in _caches if k != owner]:
+        del _caches[other]
+    return _caches.setdefault(owner, {})
 
 
 def small_side(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -44,13 +39,37 @@ def small_side(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROW
     return F.broadcast(df) if (df.count() if rows is None else rows) <= most else df
 
 
+def runs(batches, columns: int):
+    """Batches with one value of the first ``columns`` columns each, from batches that are sorted by these."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = [batch.column(i).to_numpy() for i in range(columns)]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in keys], axis=0)) + 1
+        for start, end in zip(np.r_[0, cuts], np.r_[cuts, len(batch)]):
+            piece = batch.slice(start, end - start)
+            if held and [held[-1].column(i)[0] for i in range(columns)] != [piece.column(i)[0] for i in range(columns)]:
+                yield _one(held)
+                held = []
+            held.append(piece)
+    if held:
+        yield _one(held)
+
+
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    if len(batches) == 1:
+        return batches[0]
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of ``edges`` (columns a, b; longs).
 
     Alternating large-star and small-star rounds: every round replaces the edges by
     an equivalent set that is closer to one star per component, so no round holds
-    more rows than twice the edges, and a hub is only ever a group key of a
-    partially aggregated minimum. Rounds end when an edge set repeats.
+    more rows than twice the edges. A hub's rows are aggregated before they are
+    shuffled, and joined with one row, so AQE can split them. Rounds end when an edge set repeats.
     """
     edges = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     seen = None

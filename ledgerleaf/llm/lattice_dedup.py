@@ -140,31 +140,13 @@ def _linked(cosine: float):
         return pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(links[some].astype(np.int64)), pa.array(low[some])], ["rep", "links", "other"])
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            names = [batch.column(i).to_numpy() for i in range(3)]
-            cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in names], axis=0)) + 1
-            for start, end in zip(np.r_[0, cuts], np.r_[cuts, len(batch)]):
-                piece = batch.slice(start, end - start)
-                if held and [held[-1].column(i)[0] for i in range(3)] != [piece.column(i)[0] for i in range(3)]:
-                    if (out := group(_one(held))) is not None:
-                        yield out
-                    held = []
-                held.append(piece)
-        if held and (out := group(_one(held))) is not None:
-            yield out
+        for rows in _shared.runs(batches, 3):
+            if (out := group(rows)) is not None:
+                yield out
 
     return run
 
 
-def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-    if len(batches) == 1:
-        return batches[0]
-    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
-
-
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, part: int = PART, **options) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept."""
     every = _shared.stage(_vectors.one_each(vectors).select("vec_id", "embedding", F.xxhash64("embedding").alias("h1"), F.xxhash64("embedding", F.lit(1)).alias("h2")), "vectors")
