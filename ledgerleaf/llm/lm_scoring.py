@@ -1,23 +1,25 @@
 """Operator 6: language-model scoring by cross-entropy difference.
 
 Two word bigram models that differ in nothing but their counts - of a target sample
-and of the whole corpus - share one vocabulary, every word of all documents. Both are
-interpolated (bigram, unigram, uniform; weights after Witten and Bell, see ``losses``).
-Words and bigrams count that occur in ``DOCUMENTS`` documents at least: others tell
-nothing of any other document and have the uniform and unigram shares alone. Each token
-has a loss, the negative log-probability, under both models; a document's score is the
-mean over its tokens of background loss minus target loss, so documents like the target
-score high.
+and of the whole corpus - share one vocabulary, every word of all documents and the end
+of a document. A word's share is ``(count + 1) / (all + size of the vocabulary)``, and
+after a given word ``(count of both + PRIOR * share) / (count of that word + PRIOR)``. A
+document is scored by the counts of the others: its own are taken off first, so a word
+that it alone has is unseen, and a copy elsewhere shows. Each token, and the document's
+end, has a loss, the negative log-probability, under both models; the score is the mean
+of background loss minus target loss, so documents like the target score high.
 
 The counts are over all documents and all of the target sample, which is every document
-labelled with quality 1. Nothing of them is gathered: texts are cut into blocks, each
-block sends its own bigrams in packed rows to buckets by hash, the buckets add them up
-and answer each block with the sums of its own bigrams, and likewise for the totals of
-the words before. Blocks and buckets are of bounded size and grow in number.
-
-Words are 64-bit hashes of runs of non-blanks with A-Z lower-cased. Null and blank texts
-have no tokens, no losses and score 0; with no target sample the target model is
-uniform. Repeated rows count each time and are scored alike.
+labelled with quality 1, and nothing of them is gathered: texts are cut into blocks,
+each block sends its own words and bigrams, once each with their counts, to buckets by
+hash, the buckets add them up and answer each block in the order of its asking. Blocks and
+buckets are of bounded size and grow in number with the corpus; as every block counts
+before it sends, a frequent word reaches its bucket once from each block.
+
+Words are 64-bit hashes of runs of non-blanks with A-Z lower-cased; 40 bits of a bigram's
+hash and its bucket tell it from others. Null and blank texts have no tokens, no losses
+and score 0; with no target sample the target model knows no more than the vocabulary.
+Repeated rows count each time, see each other and are scored alike.
 """
 
 from __future__ import annotations
@@ -31,44 +33,43 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.llm import _bytes, _shared, _words
 
-#: Documents that a word or bigram must occur in to count.
-DOCUMENTS = 2
+#: How many tokens a word's share counts for, beside those that follow a given word.
+PRIOR = 4.0
 #: Bytes of text in a block, and for which there is one bucket.
 BLOCK = 8 << 20
-#: In place of the word before: the start of a document, any word, and the key of the size of the vocabulary.
-START, ANY, SIZE = (np.uint64(i) for i in (1, 2, 3))
-_SUMS = "bucket int, block long, before binary, word binary, sums binary"
-_NAMES = ["bucket", "block", "before", "word", "sums"]
+#: Stand for the start of a document, its end, and no word before.
+START, END, ANY = (np.uint64(i) for i in (1, 2, 3))
+_SUMS = "bucket int, block long, kind int, low binary, high binary, sums binary"
+_NAMES = [c.split()[0] for c in _SUMS.split(", ")]
+WORD, BIGRAM, SIZE = range(3)
 
 
-def losses(counts: np.ndarray) -> np.ndarray:
-    """Negative log-probabilities of a word after each word, or at the start; counts: (size + 1, size)."""
-    size = counts.shape[1]
-    word = counts.sum(axis=0)
-    kinds = max((word > 0).sum(), 1)
-    unigram = (word + kinds / size) / (word.sum() + kinds)
-    total, followers = counts.sum(axis=1, keepdims=True), np.maximum((counts > 0).sum(axis=1, keepdims=True), 1)
-    return -np.log((counts + followers * unigram) / (total + followers)).astype(np.float64)
+def losses(pair: np.ndarray, word: np.ndarray, before: np.ndarray, every, size) -> np.ndarray:
+    """Negative log-probabilities from counts of bigrams, of their words, of the words before, of all tokens, and the vocabulary's size."""
+    return -np.log((pair + PRIOR * (word + 1) / (every + size)) / (before + PRIOR))
 
 
-def _key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+def _key(before, word: np.ndarray) -> np.ndarray:
     return _bytes.mix(before * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
-def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word before each word, word, first word of each document and the end)."""
+def _events(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word before, word or END, document) of every token and end of a document with words."""
     word, first = _words.word_hashes(texts)
-    before = np.r_[START, word[:-1]][: len(word)]
-    before[first[:-1][first[:-1] < len(word)]] = START
-    return before, word, first
+    sizes = np.diff(first)
+    some = np.flatnonzero(sizes)
+    doc = np.repeat(np.arange(len(sizes)), sizes + (sizes > 0))
+    ends = np.cumsum(sizes[some] + 1) - 1
+    after = np.full(len(doc), END)
+    after[np.setdiff1d(np.arange(len(doc)), ends, assume_unique=True)] = word
+    before = np.r_[START, after[:-1]][: len(doc)]
+    before[before == END] = START
+    return before, after, doc
 
 
-def _runs(*sorted_keys: np.ndarray) -> np.ndarray:
-    """Where each run of equal keys starts."""
-    new = np.zeros(max(len(sorted_keys[0]) - 1, 0), bool)
-    for k in sorted_keys:
-        new |= k[1:] != k[:-1]
-    return np.flatnonzero(np.r_[True, new][: len(sorted_keys[0])])
+def _dealt(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket's part of sorted keys starts, and the end."""
+    return np.searchsorted((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
 
 
 def _packed(sums: np.ndarray) -> bytes:
@@ -82,17 +83,8 @@ def _unpacked(data: bytes, width: int) -> np.ndarray:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) or [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), *[pa.binary()] * 3))], _NAMES)
-
-
-def _dealt(block: int, buckets: int, key: np.ndarray, before: np.ndarray, word: np.ndarray, sums: np.ndarray) -> list[tuple]:
-    """Packed rows, one for each bucket."""
-    bucket = ((key >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
-    order = np.lexsort((word, before, bucket))
-    bucket, before, word, sums = bucket[order], before[order], word[order], sums[:, order]
-    at = _runs(bucket)
-    return [(int(bucket[i]), block, before[i:j].tobytes(), word[i:j].tobytes(), _packed(sums[:, i:j])) for i, j in zip(at, np.r_[at[1:], len(bucket)])]
+    cols = list(zip(*rows)) or [()] * len(_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 3))], _NAMES)
 
 
 def _blocks(batches):
@@ -102,150 +94,100 @@ def _blocks(batches):
         size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64)
         at = held + np.cumsum(size)
         held = int(at[-1]) if len(at) else held
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block + at // BLOCK), pa.array(size)], ["doc_id", "text", "target", "block", "size"])
-
-
-def _by_block(batches):
-    for batch in batches:
-        block = batch.column(2).to_numpy()
-        at = _runs(block)
-        for i, j in zip(at, np.r_[at[1:], len(block)]):
-            yield int(block[i]), batch.slice(i, j - i)
-
-
-def _bigrams(buckets: int):
-    """In: text, target, block; out: each block's words and bigrams, with their tokens in all and in target documents, and documents."""
-
-    def run(batches):
-        for block, part in _by_block(batches):
-            before, word, first = _tokens(part.column(0))
-            doc = np.repeat(np.arange(len(part)), np.diff(first))
-            target = part.column(1).to_numpy(zero_copy_only=False)[doc].astype(np.int64)
-            before, word, doc, target = np.r_[before, np.full(len(word), ANY)], np.r_[word, word], np.r_[doc, doc], np.r_[target, target]
-            key = _key(before, word)
-            order = np.argsort(key, kind="stable")  # documents of one key stay in order
-            k, d = key[order], doc[order]
-            at = _runs(k)
-            if len(at):
-                new = np.zeros(len(k), np.int64)
-                new[_runs(k, d)] = 1
-                sums = np.array([np.diff(np.r_[at, len(k)]), np.add.reduceat(target[order], at), np.add.reduceat(new, at)])
-                one = order[at]
-                yield _batch(_dealt(block, buckets, key[one], before[one], word[one], sums))
-
-    return run
+        yield pa.RecordBatch.from_arrays([pa.array(block + at // BLOCK), *batch.columns, pa.array(size)], ["block", "doc_id", "text", "target", "size"])
 
 
-def _contexts(buckets: int):
-    """In: text, target, block; out: the words whose totals each block needs, with sums of 0."""
+def _asked(buckets: int):
+    """In: block, text, target; out: each block's words and bigrams, with their counts in all and in target documents."""
 
     def run(batches):
-        for block, part in _by_block(batches):
-            word = np.unique(np.r_[_words.word_hashes(part.column(0))[0], START, ANY, SIZE])
-            yield _batch(_dealt(block, buckets, _bytes.mix(word), word, word, np.zeros((4, len(word)), np.int64)))
+        for part in _shared.runs(batches, 1):
+            block = part.column(0)[0].as_py()
+            before, word, doc = _events(part.column(1))
+            target = part.column(2).to_numpy(zero_copy_only=False)[doc].astype(np.float64)
+            for kind, key in ((WORD, _key(ANY, word)), (BIGRAM, _key(before, word))):
+                key, which, n = np.unique(key, return_inverse=True, return_counts=True)
+                sums = np.array([n, np.bincount(which, target, len(key))]).astype(np.int64)
+                at, low, high = _dealt(key, buckets), key.astype(np.uint32), (key >> np.uint64(32)).astype(np.uint8)
+                yield _batch([(b, block, kind, low[i:j].tobytes(), high[i:j].tobytes(), _packed(sums[:, i:j])) for b, (i, j) in enumerate(zip(at, at[1:])) if i < j])
 
     return run
 
 
-def _added(table: pa.Table, width: int):
-    """(block, before, word and run of each row; first of each run, before and sums of each run)."""
-    read = lambda c, kind: [np.frombuffer(x, kind) for x in table.column(c).to_pylist()]
-    befores, words = read("before", np.uint64), read("word", np.uint64)
-    sums = np.concatenate([_unpacked(x, width) for x in table.column("sums").to_pylist()], axis=1)
-    before, word = np.concatenate(befores), np.concatenate(words)
-    order = np.lexsort((word, before))
-    at = _runs(before[order], word[order])
-    run = np.empty(len(order), np.int64)
-    run[order] = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(order)]))
-    sums = np.add.reduceat(sums[:, order], at, axis=1)
-    ends = np.cumsum([len(b) for b in befores])
-    rows = [(block, b, w, run[end - len(b) : end]) for block, b, w, end in zip(table.column("block").to_pylist(), befores, words, ends)]
-    return rows, before[order][at], sums
-
-
-def _bigram_sums(buckets: int, least: int):
-    """Of one bucket: the answers to the blocks, and (block -1) what it adds to the totals of the words before."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows, before, sums = _added(table, 3)
-        keep = sums[2] >= least
-        out = []
-        for block, b, w, r in rows:
-            some = keep[r]
-            out.append((0, block, b"", _key(b, w)[some].tobytes(), _packed(sums[:2, r[some]])))
-        b, n, t = before[keep], sums[0][keep], sums[1][keep]
-        at = _runs(b)
-        totals = np.array([np.add.reduceat(x, at) for x in (n, np.ones_like(n), t, (t > 0).astype(np.int64))]) if len(at) else np.zeros((4, 0), np.int64)
-        b = np.r_[b[at], SIZE]
-        totals = np.c_[totals, [(before == ANY).sum(), 0, 0, 0]]
-        out += _dealt(-1, buckets, _bytes.mix(b), b, b, totals)
-        return pa.Table.from_batches([_batch(out)])
+def _added(table: pa.Table) -> pa.Table:
+    """Of one bucket: the sums in the order in which each block asked, and the number of its words (block -1)."""
+    out = []
+    for kind in (WORD, BIGRAM):
+        rows = table.filter(pc.equal(table["kind"], kind)).to_pylist()
+        if not rows:
+            continue
+        bucket = rows[0]["bucket"]
+        key = np.concatenate([np.frombuffer(r["high"], np.uint8).astype(np.uint64) << np.uint64(32) | np.frombuffer(r["low"], np.uint32) for r in rows])
+        sums = np.concatenate([_unpacked(r["sums"], 2) for r in rows], axis=1)
+        found, which = np.unique(key, return_inverse=True)
+        sums = np.array([np.bincount(which, s, len(found)) for s in sums]).astype(np.int64)
+        at = np.r_[0, np.cumsum([len(r["high"]) for r in rows])]
+        out += [(bucket, r["block"], kind, b"", b"", _packed(sums[:, which[i:j]])) for r, i, j in zip(rows, at, at[1:])]
+        if kind == WORD:
+            out.append((bucket, -1, SIZE, b"", b"", np.array([len(found), *sums.sum(axis=1)]).astype("<i8").tobytes()))
+    return pa.Table.from_batches([_batch(out)])
+
+
+def _scored(size: int, every: tuple[int, int]):
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        """Losses and score of the documents of one block."""
+        text = texts["text"].combine_chunks()
+        before, word, doc = _events(text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks) if text.num_chunks else pa.array([], pa.string()))
+        target = texts["target"].to_numpy()[doc].astype(np.int64)
+        events = np.bincount(doc, minlength=len(texts))
+        # END's count stands for START's too: both come once in each document with words
+        keys = {"word": _key(ANY, word), "before": _key(ANY, np.where(before == START, END, before)), "pair": _key(before, word)}
+        all_, own = {}, {}
+        for name, key in keys.items():
+            asked, which = np.unique(key if name != "before" else np.r_[keys["word"]], return_inverse=True)
+            if name == "before":
+                which = np.searchsorted(asked, key)
+            rows = sorted((r for r in answers.to_pylist() if r["kind"] == (BIGRAM if name == "pair" else WORD)), key=lambda r: r["bucket"])
+            sums = np.concatenate([np.zeros((2, 0), np.int64), *(_unpacked(r["sums"], 2) for r in rows)], axis=1)
+            all_[name] = sums[:, which]
+            if name != "before":
+                mine, own_which, n = np.unique(doc * len(asked) + which, return_inverse=True, return_counts=True)
+                own[name] = n[own_which]
+                if name == "word":
+                    own_words, own_n, n_words = mine, n, len(asked)
+            else:
+                own[name] = own_n[np.searchsorted(own_words, doc * n_words + which)]
+        found = []
+        for model, (all_events, takes_own) in enumerate(zip(every, (1, target))):
+            pair, alone, context = (all_[k][model] - own[k] * takes_own for k in ("pair", "word", "before"))
+            loss = losses(pair, alone, context, all_events - events[doc] * takes_own, size)
+            found.append(np.bincount(doc, loss, len(texts)) / np.maximum(events, 1))
+        b, t = found
+        none = events == 0
+        names = ["doc_id", "n_tokens", "target_loss", "background_loss", "score"]
+        return pa.table([texts["doc_id"], pa.array(np.maximum(events - 1, 0), pa.int64()), pa.array(t, mask=none), pa.array(b, mask=none), pa.array(b - t)], names)
 
     return run
 
 
-def _context_sums(table: pa.Table) -> pa.Table:
-    rows, _, sums = _added(table, 4)
-    return pa.Table.from_batches([_batch([(1, block, b"", _key(b, w).tobytes(), _packed(sums[:, r])) for block, b, w, r in rows if block >= 0])])
-
-
-def _found(table: pa.Table, kind: int, width: int):
-    """A function from (before, word) to the sums that the rows of ``kind`` give, 0 where there are none."""
-    rows = [r for r in table.to_pylist() if r["bucket"] == kind]
-    sums = np.concatenate([np.zeros((width, 0), np.int64), *(_unpacked(r["sums"], width) for r in rows)], axis=1)
-    key = np.frombuffer(b"".join(r["word"] for r in rows), np.uint64)  # answers name bigrams by their keys
-    order = np.argsort(key)
-    key, sums = key[order], np.c_[sums[:, order], np.zeros((width, 1), np.int64)]
-
-    def find(b: np.ndarray, w: np.ndarray) -> np.ndarray:
-        asked = _key(b, w)
-        at = np.searchsorted(key, asked)
-        hit = np.r_[key, np.uint64(0)][at] == asked
-        return sums[:, np.where(hit & (at < len(key)), at, len(key))].astype(np.float64)
-
-    return find
-
-
-def _scored(texts: pa.Table, answers: pa.Table) -> pa.Table:
-    """Losses and score of the documents of one block."""
-    text = texts.column("text").combine_chunks()
-    before, word, first = _tokens(text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks) if text.num_chunks else pa.array([], pa.string()))
-    bigram, context = _found(answers, 0, 2), _found(answers, 1, 4)
-    own, alone, totals = bigram(before, word), bigram(np.full(len(word), ANY), word), context(before, before)
-    special = np.array([ANY, SIZE])
-    (every, kinds, target_every, target_kinds), (size, *_) = context(special, special).T
-    n = np.diff(first)
-    some, losses = n > 0, []
-    for i, (all_, k) in enumerate(((every, kinds), (target_every, target_kinds))):
-        k = max(k, 1)
-        unigram = (alone[i] + k / max(size, 1)) / (all_ + k)
-        total, followers = totals[2 * i], np.maximum(totals[2 * i + 1], 1)
-        sums = np.diff(np.r_[0, np.cumsum(-np.log((own[i] + followers * unigram) / (total + followers)))][first])
-        losses.append(np.divide(sums, n, out=np.zeros(len(n)), where=some))
-    b, t = losses
-    names = ["doc_id", "n_tokens", "target_loss", "background_loss", "score"]
-    return pa.table([texts.column("doc_id"), pa.array(n, pa.int64()), pa.array(t, mask=~some), pa.array(b, mask=~some), pa.array(b - t)], names)
-
-
 def target_sample(labels: DataFrame) -> DataFrame:
     """doc_id of all labelled rows with quality 1."""
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
     return good.select(F.col("doc_id").cast("long").alias("doc_id"))
 
 
-def score(docs: DataFrame, labels: DataFrame, frequent: int | None = None, classes: int | None = None, least: int = DOCUMENTS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_tokens, target_loss, background_loss, score.
-
-    ``frequent`` and ``classes`` bounded the vocabulary once; they are accepted and have no effect.
-    """
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_tokens, target_loss, background_loss, score."""
+    _shared.small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sample = _shared.small_side(target_sample(labels).withColumn("target", F.lit(True)))
     marked = texts.join(sample, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
-    texts = _shared.stage(marked.mapInArrow(_blocks, "doc_id long, text string, target boolean, block long, size long"), "lm-texts")
+    texts = _shared.stage(marked.mapInArrow(_blocks, "block long, doc_id long, text string, target boolean, size long"), "lm-texts")
     buckets = int(texts.agg(F.sum("size")).first()[0] or 0) // BLOCK + 1
-    parts = texts.select("text", "target", "block")
-    sums = _shared.stage(parts.mapInArrow(_bigrams(buckets), _SUMS).groupBy("bucket").applyInArrow(_bigram_sums(buckets, least), _SUMS), "lm-bigrams")
-    totals = parts.mapInArrow(_contexts(buckets), _SUMS).unionByName(sums.where("block < 0")).groupBy("bucket").applyInArrow(_context_sums, _SUMS)
-    answers = sums.where("block >= 0").unionByName(totals)
+    asked = texts.select("block", "text", "target").mapInArrow(_asked(buckets), _SUMS)
+    sums = _shared.stage(asked.groupBy("bucket").applyInArrow(_added, _SUMS), "lm-sums")
+    sizes = [np.frombuffer(r["sums"], "<i8") for r in sums.where("block < 0").select("sums").collect()]  # one row of each bucket
+    size, *every = (int(n) for n in np.sum([np.zeros(3, np.int64), *sizes], axis=0))
     schema = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
-    return texts.select("doc_id", "text", "block").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored, schema)
+    blocks = texts.select("block", "doc_id", "text", "target").groupBy("block").cogroup(sums.where("block >= 0").groupBy("block"))
+    return blocks.applyInArrow(_scored(size, tuple(every)), schema)
