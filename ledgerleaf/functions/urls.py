@@ -68,3 +68,40 @@ def route(url: Column, source: Column) -> Column:
     decoded = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
     outside = url.isNull() | (url == "") | url.startswith("#") | url.startswith("//") | url.rlike(SCHEME)
     return F.when(~outside, decoded)
+
+
+def asset_path(href: Column, folder: Column) -> Column:
+    """The archive path that a relative reference of a page in ``folder`` means; null where it leads out of the archive or isn't plain.
+
+    Refused: schemes, absolute paths, queries, fragments, backslashes, control
+    characters, broken or doubly encoded escapes, and ways above the archive's root.
+    """
+    decoded = F.try_url_decode(F.replace(href, F.lit("+"), F.lit("%2B")))
+    plain = href.isNotNull() & (href != "") & ~href.rlike(SCHEME) & ~href.startswith("/") & ~href.rlike(r"[?#]") & ~href.rlike(r"%(?![0-9A-Fa-f]{2})")
+    safe = plain & ~decoded.contains("\\") & ~decoded.rlike(CONTROL) & ~decoded.contains("%") & ~decoded.startswith("/")
+    parts = F.split(F.concat(F.coalesce(folder, F.lit("")), F.lit("/"), decoded), "/")
+    walked = F.aggregate(
+        parts,
+        F.struct(F.array().cast("array<string>").alias("path"), F.lit(True).alias("inside")),
+        lambda s, x: F.when(x.isin("", "."), s)
+        .when(x == "..", F.struct(F.slice(s["path"], F.lit(1), F.greatest(F.size(s["path"]) - 1, F.lit(0))).alias("path"), (s["inside"] & (F.size(s["path"]) > 0)).alias("inside")))
+        .otherwise(F.struct(F.concat(s["path"], F.array(x)).alias("path"), s["inside"].alias("inside"))),
+    )
+    return F.when(safe & walked["inside"] & (F.size(walked["path"]) > 0), F.array_join(walked["path"], "/"))
+
+
+def https_origin(url: Column) -> Column:
+    """Whether a URL is an HTTPS origin alone, without user, path, query or fragment."""
+    return url.rlike(r"^https://[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?(?::\d{1,5})?/?$")
+
+
+def safe_slug(slug: Column) -> Column:
+    """Whether all parts are letters and digits with single hyphens between."""
+    return slug.rlike(r"^[\p{L}\p{N}]+(?:-+[\p{L}\p{N}]+)*(?:/[\p{L}\p{N}]+(?:-+[\p{L}\p{N}]+)*)*$")
+
+
+def readable_fragment(url: Column) -> Column:
+    """The decoded fragment with which readers can have marked a place; null for the service's own, unreadable or broken ones."""
+    decoded = F.try_url_decode(F.replace(F.regexp_extract(url, r"#(.*)$", 1), F.lit("+"), F.lit("%2B")))
+    marked = F.concat(F.lit("#"), decoded)
+    return F.when(marked.rlike(READABLE_ANCHOR) & ~marked.rlike(PROVIDER_ANCHOR), decoded)

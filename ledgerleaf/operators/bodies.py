@@ -95,11 +95,6 @@ def normalized_headings(markdown: Column, title: Column) -> Column:
     return F.regexp_replace(rest, r"(?m)^# ", "## ")
 
 
-def unclosed_fences(markdown: Column) -> Column:
-    """Whether the number of lines that open or close code is odd."""
-    return F.regexp_count(markdown, F.lit(r"(?m)^(?:```|~~~)")) % 2 == 1
-
-
 def document(title: Column, slug: Column, content_hash: Column, body: Column) -> Column:
     """A generated file: front matter, the marker, and the body."""
     meta = F.concat(*(part for name, value in (("title", title), ("slug", slug), ("contentHash", content_hash)) for part in (F.lit(f"{name}: "), F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r"^\{\"v\":(.*)\}$", 1), F.lit("\n"))))

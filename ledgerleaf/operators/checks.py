@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerleaf.functions import settings
+from ledgerleaf.operators import bodies, markdown, runs
+
 
 def _found(rows: DataFrame, rule: str, key: str | Column, detail: str | Column) -> DataFrame:
     return rows.select(F.lit(rule).alias("rule"), (F.col(key) if isinstance(key, str) else key).cast("string").alias("key"), (F.col(detail) if isinstance(detail, str) else detail).cast("string").alias("detail"))
@@ -59,6 +62,71 @@ def files(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return missing.unionByName(_found(actual.select("path").join(expected.select("path"), "path", "left_anti"), "file_unexpected", "path", F.lit(None)))
 
 
+def folder_slugs(folders: DataFrame, root: str = "root") -> DataFrame:
+    """folders: (id, slug): folders but the root that have no slug."""
+    return _found(folders.where((F.col("id") != root) & (F.coalesce("slug", F.lit("")) == "")), "folder_slug", "id", F.lit(None))
+
+
+def front_matter(files: DataFrame, records: DataFrame) -> DataFrame:
+    """files: (path, content); records: (path, slug, content_hash): heads that are refused, or differ from the record."""
+    both = records.join(files.select("path", "content"), "path")
+    issue = markdown.front_matter_issue(F.col("content"))
+    head = lambda name: markdown.front_matter_value(F.col("content"), name)
+    detail = F.coalesce(issue, F.when(~head("slug").eqNullSafe(F.col("slug")), "slug"), F.when(~head("contentHash").eqNullSafe(F.col("content_hash")), "contentHash"))
+    return _found(both.withColumn("detail", detail).where("detail is not null"), "front_matter", "path", "detail")
+
+
+def images(referenced: DataFrame, assets: DataFrame) -> DataFrame:
+    """referenced: (id, href); assets: (path, type), below the owner's id: images elsewhere, oddly named, missing, or of another type than named."""
+    part = lambda i: F.regexp_extract("href", r"^/assets/generated/([^/]+)/(image-\d{3,}\.([a-z]+))$", i)
+    rows = referenced.select("id", "href", part(1).alias("owner"), F.concat(part(1), F.lit("/"), part(2)).alias("path"), part(3).alias("extension"))
+    rows = rows.join(assets.select("path", "type", F.lit(True).alias("there")), "path", "left")
+    detail = F.when(F.col("owner") == "", "name").when(F.col("owner") != F.col("id"), "other_document").when(F.col("there").isNull(), "missing").when(~F.col("type").eqNullSafe(F.col("extension")), "type")
+    return _found(rows.withColumn("detail", detail).where("detail is not null"), "image", F.concat_ws(" ", "id", "href"), "detail")
+
+
+def content_hashes(records: DataFrame, bodies_: DataFrame, assets: DataFrame) -> DataFrame:
+    """records: (id, content_hash); bodies: (id, body); assets: (id, path, hash): records whose hash isn't that of the body and all its assets."""
+    own = assets.groupBy("id").agg(F.collect_list(F.struct("path", "hash")).alias("assets"))
+    none = F.array().cast("array<struct<path: string, hash: string>>")
+    made = bodies_.join(own, "id", "left").select("id", runs.content_hash(F.col("body"), F.coalesce("assets", none)).alias("made"))
+    both = records.join(made, "id", "left").where(~F.col("content_hash").eqNullSafe(F.col("made")))
+    return _found(both, "content_hash", "id", F.coalesce("made", F.lit("missing")))
+
+
+def modules(files: DataFrame, derived: DataFrame) -> DataFrame:
+    """(path, content): generated modules that aren't byte by byte what they are derived from."""
+    both = derived.select("path", F.col("content").alias("wanted")).join(files.select("path", "content"), "path", "left")
+    return _found(both.where(~F.col("content").eqNullSafe(F.col("wanted"))), "module", "path", F.when(F.col("content").isNull(), "missing").otherwise("differs"))
+
+
+def generated_files(files: DataFrame, allowed_files: tuple[str, ...], folders: tuple[str, ...], documents: str) -> DataFrame:
+    """files: (path, content): files outside of the allowed places, other than Markdown among the documents, or without the marker there."""
+    inside = F.col("path").startswith(f"{documents}/")
+    detail = F.when(~settings.path_allowed(F.col("path"), allowed_files, folders), "not_allowed").when(inside & ~F.col("path").endswith(".md"), "not_markdown").when(inside & ~F.col("content").contains(bodies.MARKER), "no_marker")
+    return _found(files.withColumn("detail", detail).where("detail is not null"), "generated_file", "path", "detail")
+
+
+def working_changes(changed: DataFrame, untracked: DataFrame, allowed_files: tuple[str, ...], folders: tuple[str, ...]) -> DataFrame:
+    """(path, link): changed and untracked paths, each once, that may not change in a run, and links among them."""
+    rows = changed.select("path", "link").unionByName(untracked.select("path", "link")).groupBy("path").agg(F.bool_or("link").alias("link"))
+    detail = F.when(~settings.path_allowed(F.col("path"), allowed_files, folders), "not_allowed").when(F.col("link"), "link")
+    return _found(rows.withColumn("detail", detail).where("detail is not null"), "working_change", "path", "detail")
+
+
+def exempt_paths(tracked: DataFrame, patterns: tuple[str, ...]) -> DataFrame:
+    """(path): tracked paths that a pattern of the scanner's exemptions matches; the patterns are a setting, so one pass meets them all."""
+    hits = F.array_compact(F.array(*(F.when(F.col("path").rlike(p), F.lit(p)) for p in patterns)))
+    return _found(tracked.select("path", F.explode(hits).alias("pattern")), "exempt", "path", "pattern")
+
+
+def section_pages(pages: DataFrame, folders: DataFrame) -> DataFrame:
+    """pages: (path, content); folders: (id, page_path, page_hash): pages that are missing or aren't what was recorded."""
+    both = folders.where("page_path is not null").join(pages.select(F.col("path").alias("page_path"), "content"), "page_path", "left")
+    made = F.concat(F.lit("sha256:"), F.sha2("content", 256))
+    return _found(both.where(~F.col("page_hash").eqNullSafe(made)), "section_page", "id", F.when(F.col("content").isNull(), "missing").otherwise("differs"))
+
+
 def require(*violations: DataFrame) -> None:
     """Raises with a bounded report if any rule is violated."""
     found = violations[0]

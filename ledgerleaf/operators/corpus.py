@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions import labels
+from ledgerleaf.operators import markdown
 
 GENERAL = "General"
 DESCRIBING = ("overview", "readme", "about")
@@ -100,3 +101,39 @@ def found_in_top(expected: DataFrame, results: DataFrame, top: int = 5) -> DataF
     """(query, found): whether each expected (query, id) is among the first ``top`` results (query, place, id)."""
     hits = results.where(F.col("place") <= top).select("query", "id", F.lit(True).alias("hit")).distinct()
     return expected.join(hits, ["query", "id"], "left").select("query", F.coalesce("hit", F.lit(False)).alias("found"))
+
+
+def full_index(documents: DataFrame, shown: str = "MMM d, yyyy") -> DataFrame:
+    """(folder, place, id, title, qualifier, updated): all documents by folder, newest first; undated ones are Unknown."""
+    ranked = trailed(documents).withColumn("place", F.row_number().over(Window.partitionBy("folder").orderBy(*recency())))
+    return ranked.select("folder", "place", "id", "title", "qualifier", F.coalesce(F.date_format("modified", shown), F.lit("Unknown")).alias("updated"))
+
+
+def index_in_order(rows: DataFrame) -> DataFrame:
+    return rows.orderBy("slug", "id")
+
+
+def samples(documents: DataFrame, bodies: DataFrame, assets: DataFrame) -> DataFrame:
+    """(sample, id): of documents in order of slug the first, the first in a folder, with a table and with an asset; what there is of them.
+
+    bodies: (id, body); assets: (id).
+    """
+    first = lambda rows: rows.agg(F.min(F.struct("slug", "id")).alias("least"))
+    table = bodies.where(F.col("body").rlike(markdown.TABLE_LINE)).select("id")
+    parts = {"document": documents, "in_folder": documents.where("size(folder_path) > 0"), "with_table": documents.join(table, "id", "left_semi"), "with_asset": documents.join(assets.select("id"), "id", "left_semi")}
+    out = None
+    for name, rows in parts.items():
+        one = first(rows).where("least is not null").select(F.lit(name).alias("sample"), F.col("least.id").alias("id"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def agent_sample(documents: DataFrame) -> DataFrame:
+    """(id, href): the Markdown address of the document that was edited last; a top-1 report."""
+    return documents.where("modified is not null").orderBy(*recency()).limit(1).select("id", F.concat(F.lit("/"), "slug", F.lit("/index.md")).alias("href"))
+
+
+def sidebar_labels(nodes: DataFrame) -> DataFrame:
+    """Adds shown and group to nodes with name: the label without its number, and for numbered ones the number's hundred."""
+    number = labels.order_number(F.col("name"))
+    return nodes.withColumn("shown", labels.label(F.col("name"))).withColumn("group", F.when(number.isNotNull(), (F.floor(number / 100) * 100).cast("int")))

@@ -42,3 +42,8 @@ def rewritten(links: DataFrame, slugs: DataFrame) -> DataFrame:
     new = F.when(F.col("slug").isNotNull(), F.concat(F.lit("/"), "slug", F.lit("/"), anchor)).otherwise(F.col("target"))
     removed = F.col("slug").isNotNull() & F.col("target").contains("#") & (anchor == "")
     return known.select(*links.columns, new.alias("new_href"), removed.alias("removed_anchor"))
+
+
+def broken_in_order(found: DataFrame) -> DataFrame:
+    """Rows of ``broken`` by source, then by target."""
+    return found.orderBy("source", "target")

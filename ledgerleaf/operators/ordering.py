@@ -63,3 +63,41 @@ def neighbours(order: DataFrame) -> DataFrame:
     """(id, previous_id, next_id) by place."""
     near = lambda by, name: order.select((F.col("place") + by).alias("place"), F.col("id").alias(name))
     return order.join(near(1, "previous_id"), "place", "left").join(near(-1, "next_id"), "place", "left").select("id", "previous_id", "next_id")
+
+
+def navigation_tree(placed: DataFrame, ranked: DataFrame, root: str = "root") -> DataFrame:
+    """(id, group, parent, label, kind, rank): the navigation, with the root's own documents in a leading group General.
+
+    Groups are numbered in order: General 0, then the root's folders by their rank. A
+    folder without documents below is no node.
+    """
+    nodes = navigation(placed, ranked)
+    own = (F.col("parent") == root) & (F.col("kind") == "document")
+    top = F.when(own, F.lit("General")).when(F.col("parent") == root, F.col("id"))
+    inside = placed.select("id", F.get("ids", 1).alias("top"))
+    rows = nodes.join(inside, "id").withColumn("group", F.coalesce(top, "top"))
+    ranks = nodes.where((F.col("parent") == root) & (F.col("kind") == "folder")).select(F.col("id").alias("group"), F.col("sibling_rank").alias("group_rank"))
+    return rows.join(ranks, "group", "left").select("id", "group", "parent", "label", "kind", F.coalesce("group_rank", F.lit(0)).cast("long").alias("group_rank"), F.col("sibling_rank").cast("long").alias("rank"))
+
+
+def section_pages(ranked: DataFrame, folders: DataFrame, described: DataFrame) -> DataFrame:
+    """(id, position, line): lines of each folder's page - its children in order, documents with their description; a sentence for none.
+
+    folders: (id, slug); described: (id, slug, description) of folders and documents.
+    """
+    child = ranked.select(F.col("parent").alias("section"), "id", "label", "sibling_rank").join(described, "id")
+    text_ = F.concat(F.lit("- ["), "label", F.lit("](/"), "slug", F.lit("/)"), F.coalesce(F.concat(F.lit(": "), "description"), F.lit("")))
+    rows = folders.select(F.col("id").alias("section")).join(child.select("section", "sibling_rank", text_.alias("line")), "section", "left")
+    return rows.select(F.col("section").alias("id"), F.coalesce("sibling_rank", F.lit(0)).cast("long").alias("position"), F.coalesce("line", F.lit("This section has no documents yet.")).alias("line"))
+
+
+def require_records(nodes: DataFrame, records: DataFrame, report: int = 20) -> DataFrame:
+    """``nodes`` joined with their records by id; raises if one has none."""
+    missing = nodes.join(records.select("id"), "id", "left_anti").select("id").orderBy("id").limit(report).collect()
+    if missing:
+        raise ValueError("navigation without records: " + ", ".join(r["id"] for r in missing))
+    return nodes.join(records, "id")
+
+
+def issues_in_order(found: DataFrame) -> DataFrame:
+    return found.orderBy("code", "item_id")

@@ -4,8 +4,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerleaf.operators import bodies
-from ledgerleaf.sources import publish
+from ledgerleaf.operators import bodies, markdown, ordering, runs
+from ledgerleaf.sources import landed, publish
 from ledgerleaf.streaming import reconcile_stream
 
 
@@ -30,7 +30,45 @@ def test_markdown(spark):
     normal = lambda text: one(spark, text, bodies.normalized_headings(F.col("v"), F.lit("Expected")))[0]
     assert normal("# Different\ntext") == "## Different\ntext"
     assert normal("# expected\n\ntext\n# More") == normal(normal("# expected\n\ntext\n# More")) == "text\n## More"
-    assert one(spark, "```\ncode\n", bodies.unclosed_fences(F.col("v")))[0] is True
+    found = {"```\ncode\n": True, "````\n```\n````\ntext": False, "~~~ py\n```\n~~~": False, "```a`b\ntext": False, "    ```\ntext": False, "```\n``` more\n": True, "": False}
+    assert [one(spark, t, markdown.unclosed(markdown.roles(F.col("v"))))[0] for t in found] == list(found.values())
+
+
+def test_front_matter(spark):
+    made = bodies.document(F.lit("t"), F.lit("a"), F.lit("h"), F.lit("body"))
+    content = one(spark, "", made)[0]
+    files = {content: None, "x" + content: "not_opened", "---\ntitle: 1\n": "not_closed", content.replace("\n\n<!--", "\n\nx\n<!--"): "no_marker", "": "not_opened"}
+    assert [one(spark, f, markdown.front_matter_issue(F.col("v")))[0] for f in files] == list(files.values())
+    assert one(spark, content, markdown.front_matter_value(F.col("v"), "slug"), markdown.front_matter_value(F.col("v"), "none")) == ("a", None)
+
+
+def test_landed_files(spark, tmp_path):
+    (tmp_path / "in/deep").mkdir(parents=True)
+    for name, data in {"in/a b.md": b"text", "in/big.md": b"x" * 200, "in/bad.md": b"\xff\xfe", "in/other.zip": b"zip", "in/deep/c.png": b"png"}.items():
+        (tmp_path / name).write_bytes(data)
+    exported = landed.exports(spark, f"{tmp_path}/in/*", ".md", most=100)
+    got = {r.id: (r.text, r.issue) for r in landed.decoded(exported).collect()}
+    assert got == {"a%20b" if "a%20b" in got else "a b": ("text", None), "big": (None, "too_large"), "bad": (None, "not_utf8")}
+    assert [(r.path, r.owner) for r in landed.assets(spark, f"{tmp_path}/in").where("path like '%png'").collect()] == [("deep/c.png", "deep")]
+    texts = {r.path: r.content for r in landed.generated(spark, f"{tmp_path}/in").where("path like '%.md'").collect()}
+    assert texts["big.md"] == "x" * 200
+    assert landed.manifest(spark, f"{tmp_path}/none").count() == 0
+    records = spark.createDataFrame([(1, "d", "r", "a"), (1, "e", "r", "b")], "version int, driveId string, rootFolderId string, id string")
+    records.write.json(f"{tmp_path}/manifest")
+    rows = landed.manifest(spark, f"{tmp_path}/manifest")
+    assert [(r.id, r.kind, r.path, r.version) for r in rows.orderBy("id").collect()] == [("a", "document", "docs/a.md", 3), ("b", "document", "docs/b.md", 3)]
+    assert [r.item_id for r in landed.manifest_scope_issues(rows, "d", "r").collect()] == ["b"]
+
+
+def test_runs(spark):
+    manifest = spark.createDataFrame([("a",)], "id string")
+    assert runs.version_changed({"converter": "1"}, {"converter": "1"}, manifest) is False
+    assert runs.version_changed({"converter": "1"}, {"converter": "2"}, manifest) is True
+    assert runs.version_changed({}, {"converter": "2"}, manifest.limit(0), "a") is True
+    with pytest.raises(ValueError, match="full run"):
+        runs.version_changed({}, {"converter": "2"}, manifest, "a")
+    with pytest.raises(ValueError, match="without records: b"):
+        ordering.require_records(spark.createDataFrame([("a",), ("b",)], "id string"), manifest)
 
 
 def test_document_round_trip(spark):
