@@ -37,6 +37,8 @@ from ledgerleaf.llm import _bytes, _shared, _words
 PRIOR = 4.0
 #: Bytes of text in a block, and for which there is one bucket.
 BLOCK = 8 << 20
+#: Tokens that are scored together.
+EVENTS = 200_000
 #: Stand for the start of a document, its end, and no word before.
 START, END, ANY = (np.uint64(i) for i in (1, 2, 3))
 _SUMS = "bucket int, block long, kind int, low binary, high binary, sums binary"
@@ -133,6 +135,19 @@ def _added(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_batch(out)])
 
 
+def _in_order(answers: pa.Table, kind: int) -> np.ndarray:
+    """The sums for a block's sorted keys of a kind."""
+    rows = sorted(answers.filter(pc.equal(answers["kind"], kind)).select(["bucket", "sums"]).to_pylist(), key=lambda r: r["bucket"])
+    return np.concatenate([np.zeros((2, 0), np.int64), *(_unpacked(r["sums"], 2) for r in rows)], axis=1)
+
+
+def _own(doc: np.ndarray, key: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """How often each asked key stands among its document's; all do."""
+    width = int(key.max(initial=0)) + 1
+    mine, n = np.unique(doc * width + key, return_counts=True)
+    return n[np.searchsorted(mine, doc * width + asked)]
+
+
 def _scored(size: int, every: tuple[int, int]):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         """Losses and score of the documents of one block."""
@@ -140,28 +155,24 @@ def _scored(size: int, every: tuple[int, int]):
         before, word, doc = _events(text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks) if text.num_chunks else pa.array([], pa.string()))
         target = texts["target"].to_numpy()[doc].astype(np.int64)
         events = np.bincount(doc, minlength=len(texts))
-        # END's count stands for START's too: both come once in each document with words
-        keys = {"word": _key(ANY, word), "before": _key(ANY, np.where(before == START, END, before)), "pair": _key(before, word)}
-        all_, own = {}, {}
-        for name, key in keys.items():
-            asked, which = np.unique(key if name != "before" else np.r_[keys["word"]], return_inverse=True)
-            if name == "before":
-                which = np.searchsorted(asked, key)
-            rows = sorted((r for r in answers.to_pylist() if r["kind"] == (BIGRAM if name == "pair" else WORD)), key=lambda r: r["bucket"])
-            sums = np.concatenate([np.zeros((2, 0), np.int64), *(_unpacked(r["sums"], 2) for r in rows)], axis=1)
-            all_[name] = sums[:, which]
-            if name != "before":
-                mine, own_which, n = np.unique(doc * len(asked) + which, return_inverse=True, return_counts=True)
-                own[name] = n[own_which]
-                if name == "word":
-                    own_words, own_n, n_words = mine, n, len(asked)
-            else:
-                own[name] = own_n[np.searchsorted(own_words, doc * n_words + which)]
-        found = []
-        for model, (all_events, takes_own) in enumerate(zip(every, (1, target))):
-            pair, alone, context = (all_[k][model] - own[k] * takes_own for k in ("pair", "word", "before"))
-            loss = losses(pair, alone, context, all_events - events[doc] * takes_own, size)
-            found.append(np.bincount(doc, loss, len(texts)) / np.maximum(events, 1))
+        asked = np.unique(_key(ANY, word)), np.unique(_key(before, word))
+        sums = [_in_order(answers, kind) for kind in (WORD, BIGRAM)]
+        found = np.zeros((2, len(texts)))
+        first = np.searchsorted(doc, np.arange(len(texts) + 1))
+        low = 0
+        while low < len(texts):  # some documents at a time
+            high = max(low + 1, int(np.searchsorted(first, first[low] + EVENTS, "right")) - 1)
+            i, j = first[low], first[high]
+            b, w, d = before[i:j], word[i:j], doc[i:j] - low
+            # END's count stands for START's too: both come once in each document with words
+            at_word, at_before = (np.searchsorted(asked[0], _key(ANY, x)) for x in (w, np.where(b == START, END, b)))
+            at_pair = np.searchsorted(asked[1], _key(b, w))
+            own_pair, own_word, own_before = _own(d, at_pair, at_pair), _own(d, at_word, at_word), _own(d, at_word, at_before)
+            for model, takes_own in enumerate((1, target[i:j])):
+                pair, alone, context = sums[1][model][at_pair] - own_pair * takes_own, sums[0][model][at_word] - own_word * takes_own, sums[0][model][at_before] - own_before * takes_own
+                loss = losses(pair, alone, context, every[model] - events[doc[i:j]] * takes_own, size)
+                found[model, low:high] = np.bincount(d, loss, high - low) / np.maximum(events[low:high], 1)
+            low = high
         b, t = found
         none = events == 0
         names = ["doc_id", "n_tokens", "target_loss", "background_loss", "score"]

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerleaf.llm import _shared
+
 WEIGHTS = (5, 2, 1)
 #: The mix's words as a share of all words, in percent, and the most epochs of a source.
 SHARE_PERCENT = 150
@@ -59,7 +61,8 @@ def mix_rows(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent:
 
     ``taken``: words of the row that the mix takes, repeats counted; the row at the
     cut gives just the words that are missing. ``copies``: whole copies of the row,
-    where the row at the cut counts if most of it is taken. Other columns stay.
+    where the row at the cut counts if most of it is taken. Other columns stay; a column
+    ``tie`` orders rows that share doc_id and size.
     """
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     plan = source_targets(sizes, weights, share_percent, most).withColumn("bits", F.expr(f"cast(ceil(log2(greatest(1, n_rows / {BUCKET_ROWS}))) as int)"))
@@ -70,7 +73,8 @@ def mix_rows(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent:
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("of_source"), F.col("bucket").alias("of_bucket"), F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("bucket_before"))
     joined = bucketed.join(sums, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("bucket") == F.col("of_bucket")))
-    within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ties = ["tie"] if "tie" in rows.columns else []
+    within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = joined.withColumn("before", F.col("bucket_before") + F.sum("size").over(within) - F.col("size"))
     out = out.withColumn("taken", F.expr("epochs * size + greatest(0, least(size, rest - before))"))
     out = out.withColumn("copies", F.expr("epochs + if(size > 0 and 2 * (rest - before) >= size, 1, 0)"))
@@ -79,14 +83,14 @@ def mix_rows(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken."""
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), random_key().alias("key"))
+    rows = _shared.stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), random_key().alias("key")), "mixing")  # texts are read once
     return mix_rows(rows, weights, share_percent, most).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST) -> DataFrame:
     """The mix itself: each row of ``docs`` as many times as it is taken whole; the columns of ``docs``."""
     own = F.struct(*(F.col(c) for c in docs.columns)).alias("row")
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), random_key().alias("key"), own)
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), random_key().alias("key"), F.xxhash64("text").alias("tie"), own)
     taken = mix_rows(rows, weights, share_percent, most).where("copies > 0")
     return taken.select("row", F.explode(F.expr("sequence(1, copies)")).alias("copy")).select("row.*")
 
