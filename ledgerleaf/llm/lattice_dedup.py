@@ -32,7 +32,7 @@ from ledgerleaf.llm import _bytes, _shared, _vectors
 COSINE = 0.9
 TABLES, BLOCKS, CELLS, SCALE = 12, 2, 2, 0.5
 #: Members of a cell that are compared at once.
-PART = 1_000
+PART = 2_000
 
 
 def _minimal_vectors() -> np.ndarray:
@@ -100,12 +100,19 @@ def _hashed(options: dict):
     return run
 
 
-def _pairs(unit: np.ndarray, part: np.ndarray, a: int, b: int, cosine: float):
-    """Index pairs i < j of linked members; for two different parts only those across."""
-    x, y = np.flatnonzero(part == a), np.flatnonzero(part == b)
-    i, j = np.nonzero(unit[x] @ unit[y].T >= cosine)
-    i, j = x[i], y[j]
-    return (i[i < j], j[i < j]) if a == b else (i, j)
+def _met(keys: np.ndarray, key: int, x: np.ndarray, y: np.ndarray, width: int = 2_000) -> np.ndarray:
+    """Of each pair of rows from ``x`` and ``y`` whether both hold one more key below ``key``: products of incidence matrices, some keys at a time."""
+    row, col = np.nonzero(keys < key)
+    _, which, n = np.unique(keys[row, col], return_inverse=True, return_counts=True)
+    place = np.cumsum(n > 1) - 1  # keys of several members
+    row, which = row[n[which] > 1], place[which[n[which] > 1]]
+    met = np.zeros((len(x), len(y)), bool)
+    for k in range(0, int(place[-1]) + 1 if len(place) else 0, width):
+        some = (which >= k) & (which < k + width)
+        holds = np.zeros((len(keys), width), np.float32)
+        holds[row[some], which[some] - k] = 1
+        met |= holds[x] @ holds[y].T > 0
+    return met
 
 
 def _linked(cosine: float):
@@ -114,17 +121,17 @@ def _linked(cosine: float):
     def group(rows: pa.RecordBatch):
         key, a, b = (rows.column(i)[0].as_py() for i in range(3))
         part, rep, copies = (rows.column(i).to_numpy() for i in (3, 4, 5))
-        x = _vectors.matrix(rows.column(6))
-        i, j = _pairs(x / np.linalg.norm(x, axis=1, keepdims=True), part, a, b, cosine)
-        if not len(i):
+        unit = _vectors.matrix(rows.column(6))
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        x, y = np.flatnonzero(part == a), np.flatnonzero(part == b)
+        linked = unit[x] @ unit[y].T >= cosine
+        if a == b:
+            linked = np.triu(linked, 1)
+        if not linked.any():
             return None
         keys = rows.column(7).flatten().to_numpy().reshape(len(rows), -1)
-        new = []
-        for k in range(0, len(i), 2_000):  # a pair counts in the smallest cell that both entered
-            u, v = keys[i[k : k + 2_000]], keys[j[k : k + 2_000]]
-            new.append(~((u[:, :, None] == v[:, None, :]) & (u < key)[:, :, None]).any(axis=(1, 2)))
-        new = np.concatenate(new)
-        i, j = i[new], j[new]
+        i, j = np.nonzero(linked & ~_met(keys, key, x, y))  # a pair counts in the smallest cell that both entered
+        i, j = x[i], y[j]
         if not len(i):
             return None
         links = np.bincount(i, copies[j], len(rep)) + np.bincount(j, copies[i], len(rep))
