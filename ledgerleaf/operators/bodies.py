@@ -14,10 +14,12 @@ import zlib
 from xml.parsers import expat
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerleaf.functions import text, urls
+
 # Elements that stay, and elements that go with all they contain.
 ALLOWED = ("a", "blockquote", "br", "code", "del", "div", "em", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "img", "li", "ol", "p", "pre", "span", "strong", "sub", "sup", "table", "tbody", "td", "th", "thead", "tr", "ul")
 REMOVED = ("embed", "form", "iframe", "object", "script", "style")
@@ -141,6 +143,31 @@ def _archive(data: bytes | None) -> tuple[str | None, list | None]:
         return f"unreadable: {type(e).__name__}", None
 
 
+def entry_page(entries: Column) -> Column:
+    """The one HTML page among an archive's entries; null if there is none, or another."""
+    pages = F.filter(entries, lambda e: e["path"].rlike(r"(?i)\.html?$"))
+    return F.when(F.size(pages) == 1, F.get(pages, 0))
+
+
+def archive_images(pages: DataFrame, entries: DataFrame) -> DataFrame:
+    """(id, position, src, file, alt, issue) of the images of pages, in their order.
+
+    pages: (id, folder, html); entries: (id, path, bytes). Equal images of a page are
+    one file, numbered by first appearance; those that lead out of the archive, aren't
+    in it, or are no image of a known type have an issue and no number.
+    """
+    tags = pages.select("id", "folder", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?i)<img\b[^<>]*>"), F.lit(0))).alias("position", "tag"))
+    value = lambda name: F.regexp_extract("tag", rf'(?i)\s{name}="([^"<>]*)"', 1)
+    rows = tags.select("id", "position", value("src").alias("src"), F.coalesce(F.nullif(F.trim(value("alt")), F.lit("")), F.lit("Image")).alias("alt"), urls.asset_path(value("src"), F.col("folder")).alias("path"))
+    found = rows.join(entries.select("id", "path", F.sha2("bytes", 256).alias("hash"), text.image_type(F.col("bytes")).alias("type"), F.lit(True).alias("there")), ["id", "path"], "left")
+    issue = F.when(F.col("path").isNull(), "unsafe_path").when(F.col("there").isNull(), "missing").when(F.col("type").isNull(), "not_an_image")
+    found = found.withColumn("issue", issue)
+    first = found.where("issue is null").groupBy("id", "hash", "type").agg(F.min("position").alias("first"))
+    number = F.row_number().over(Window.partitionBy("id").orderBy("first"))
+    named = first.select("id", "hash", F.concat(F.lit("image-"), F.lpad(number.cast("string"), 3, "0"), F.lit("."), "type").alias("file"))
+    return found.join(named, ["id", "hash"], "left").select("id", "position", "src", "file", "alt", "issue")
+
+
 @F.pandas_udf(T.StringType())
 def drawing_issue(svg: pd.Series) -> pd.Series:
     """Why each SVG drawing is refused, or null."""

@@ -97,6 +97,11 @@ def search(queries: DataFrame, index_terms: DataFrame, documents: int | DataFram
     return scored.withColumn("place", place).where(F.col("place") <= top).select("query", "place", "id", "score")
 
 
+def search_cases(documents: DataFrame, most: int = 5) -> DataFrame:
+    """(id, title): the first documents by slug whose title has a word to search for; a limited report."""
+    return documents.where(F.col("title").rlike(r"[\p{L}\p{N}-]{4,}")).orderBy("slug", "id").limit(most).select("id", "title")
+
+
 def found_in_top(expected: DataFrame, results: DataFrame, top: int = 5) -> DataFrame:
     """(query, found): whether each expected (query, id) is among the first ``top`` results (query, place, id)."""
     hits = results.where(F.col("place") <= top).select("query", "id", F.lit(True).alias("hit")).distinct()

@@ -162,3 +162,54 @@ def internal_links(docs: DataFrame, slugs: DataFrame, body: str = "body") -> Dat
 def diagrams(code: Column, language: Column) -> Column:
     """The container of a diagram's source; null for other code."""
     return F.when(language == "mermaid", F.concat(F.lit('<div class="diagram" data-diagram="'), text.escape_html(code), F.lit('"><pre>'), text.escape_html(code), F.lit("</pre></div>")))
+
+
+def restored_code(markdown: Column) -> Column:
+    """A body whose code an export has escaped, with its fences and spans back.
+
+    Lines of escaped backticks or tildes count as fences. A closed block loses the
+    escapes of its lines and a tag that isn't one plain word, and its fence is longer
+    than any run of its character inside; a block without close stays as it is. Pairs
+    of escaped backticks in a line become spans, unless they are blank.
+    """
+    lines = F.transform(F.split(markdown, "\n"), lambda x: F.when(x.rlike(r"^ {0,3}(?:\\?`){3,}|^ {0,3}(?:\\?~){3,}"), F.regexp_replace(x, r"\\([`~])", "$1")).otherwise(x))
+    rows = roles(F.array_join(lines, "\n"))
+    originals = F.split(markdown, "\n")
+
+    def block(r: Column, of: Column) -> Column:
+        return F.filter(of, lambda o: (o["block"] == r["block"]) & (o["role"] == "code"))
+
+    def rebuilt(of: Column) -> Column:
+        closed = F.transform(F.filter(of, lambda r: r["role"] == "close"), lambda r: r["block"])
+
+        def line(r: Column, i: Column) -> Column:
+            plain = F.regexp_replace(r["line"], r"\\([\\`*_{}\[\]()#+.!<>~|-])", "$1")
+            sign = F.substr(F.regexp_extract(r["line"], FENCE, 1), F.lit(1), F.lit(1))
+            inner = F.array_join(F.transform(block(r, of), lambda o: F.regexp_replace(o["line"], r"\\([`~])", "$1")), "\n")
+            longest = F.coalesce(F.array_max(F.transform(F.regexp_extract_all(inner, F.lit("`+|~+"), F.lit(0)), lambda run: F.length(run))), F.lit(0))
+            tag = F.trim(F.regexp_extract(r["line"], FENCE, 2))
+            fence = F.repeat(sign, F.greatest(F.lit(3), longest + 1))
+            opened = F.concat(fence, F.when(tag.rlike(LANGUAGE), tag).otherwise(""))
+            own = F.array_contains(closed, r["block"]) & (r["role"] != "text")
+            spans = F.regexp_replace(F.get(originals, i), r"\\`([^`\\\n]*[^`\\\s][^`\\\n]*)\\`", "`$1`")
+            return F.when(own & (r["role"] == "open"), opened).when(own & (r["role"] == "close"), fence).when(own, plain).when(r["role"] == "text", spans).otherwise(F.get(originals, i))
+
+        return F.array_join(F.transform(of, line), "\n")
+
+    return F.get(F.transform(F.array(rows), rebuilt), 0)
+
+
+def wrapped_tables(body: Column) -> Column:
+    """Markdown tables and HTML tables, each in a container that can scroll."""
+    html = F.regexp_replace(body, r"(?is)<table\b.*?</table>", '<div class="table">$0</div>')
+    return F.regexp_replace(html, r"(?m)^(\|[^\n]*\|\n\|[-:| ]+\|(?:\n\|[^\n]*\|)*)$", '<div class="table">\n\n$1\n\n</div>')
+
+
+def canonical(body: Column) -> Column:
+    """One way to write: hyphens for bullets, asterisks for emphasis, single blank lines outside of code; a second time changes nothing."""
+    def plain(r: Column) -> Column:
+        text_ = F.regexp_replace(F.regexp_replace(r["line"], r"^(\s*)[*+](\s+)", "$1-$2"), r"(?<![A-Za-z0-9_])__([^_]+)__(?![A-Za-z0-9_])", "**$1**")
+        return F.when(r["role"] == "text", F.regexp_replace(F.regexp_replace(text_, r"(?<![A-Za-z0-9_])_([^_]+)_(?![A-Za-z0-9_])", "*$1*"), r"\s+$", "")).otherwise(F.concat(F.lit("\x02"), r["line"]))
+
+    joined = F.array_join(F.transform(roles(F.regexp_replace(body, "[\x02]", "")), plain), "\n")
+    return F.replace(F.regexp_replace(F.regexp_replace(joined, r"\n{3,}", "\n\n"), r"^\n+|\n+$", ""), F.lit("\x02"), F.lit(""))

@@ -462,3 +462,57 @@ def paths_of_selection(spark, d):
     """Regions and the root are not selected, so nations and parts start their own paths."""
     rows = hierarchy.paths_of_selection(bindings.items(spark, d).where("id not like 'r%'"))
     return rows.select("id", F.array_join("path", "/").alias("path"), F.col("depth").cast("long").alias("depth"))
+
+
+# -- more of bodies ----------------------------------------------------------
+
+
+@query("SELECT doc_id, 'a `x` b' || chr(10) || '````py' || chr(10) || 'if *a*: ```' || chr(10) || title || chr(10) || '````' || chr(10) || '\\`\\`\\` one two' || chr(10) || '\\*lost' AS body FROM (SELECT doc_id, regexp_extract(text, '^([^\n]*)', 1) AS title FROM documents)")
+def code_restored(spark, d):
+    made = F.concat(F.lit("a \\`x\\` b\n\\`\\`\\`py\nif \\*a\\*: \\`\\`\\`\n"), F.col("title"), F.lit("\n\\`\\`\\`\n\\`\\`\\` one two\n\\*lost"))
+    return bindings.bodies(spark, d).select("doc_id", markdown.restored_code(made).alias("body"))
+
+
+@query("SELECT page_id, '<div class=\"table\">' || chr(10) || chr(10) || '| ' || url || ' |' || chr(10) || '| --- |' || chr(10) || '| x |' || chr(10) || chr(10) || '</div>' || chr(10) || 'text' || chr(10) || '<div class=\"table\"><table><tr><td>' || page_id || '</td></tr></table></div>' AS body FROM pages")
+def tables_wrapped(spark, d):
+    made = F.concat(F.lit("| "), "url", F.lit(" |\n| --- |\n| x |\ntext\n<table><tr><td>"), "page_id", F.lit("</td></tr></table>"))
+    return bindings.table(spark, d, "pages").select("page_id", markdown.wrapped_tables(made).alias("body"))
+
+
+@query("SELECT doc_id, '- ' || source || chr(10) || '**b** *c* a_b_c' || chr(10) || chr(10) || '~~~' || chr(10) || '* code ' || chr(10) || chr(10) || chr(10) || '~~~' AS body, true AS stable FROM documents")
+def markdown_canonical(spark, d):
+    made = markdown.canonical(F.concat(F.lit("\n* "), "source", F.lit("  \n__b__ _c_ a_b_c\n\n\n\n~~~\n* code \n\n\n~~~\n")))
+    return _texts(spark, d).select("doc_id", made.alias("body"), (markdown.canonical(made) == made).alias("stable"))
+
+
+@query("SELECT page_id AS id, CAST(p AS BIGINT) AS position, CASE p WHEN 0 THEN 'image-001.png' WHEN 1 THEN 'image-002.gif' WHEN 2 THEN 'image-001.png' END AS file, CASE p WHEN 1 THEN url ELSE 'Image' END AS alt, CASE p WHEN 3 THEN 'missing' WHEN 4 THEN 'unsafe_path' WHEN 5 THEN 'not_an_image' END AS issue FROM pages, range(0, 6) t(p)")
+def archive_images(spark, d):
+    """Pages with six images, two of them equal, one missing, one outside and one that is none."""
+    rows = bindings.table(spark, d, "pages").withColumnRenamed("page_id", "id")
+    html = F.concat(F.lit('<p><img src="img/a.png"><img alt="'), "url", F.lit('" src="img/b.gif"/><img src="img/../img/c.png" alt=" "><img src="img/d.png"><img src="../../e.png"><img src="f.txt"></p>'))
+    png, gif = F.expr("concat(unhex('89504E470D0A1A0A'), encode(url, 'UTF-8'))"), F.expr("concat(encode('GIF89a', 'UTF-8'), encode(url, 'UTF-8'))")
+    files = {"docs/img/a.png": png, "docs/img/b.gif": gif, "docs/img/c.png": png, "docs/f.txt": F.encode("url", "UTF-8")}
+    entries = rows.select("id", F.explode(F.array(*(F.struct(F.lit(k).alias("path"), v.alias("bytes")) for k, v in files.items()))).alias("e")).select("id", "e.*")
+    found = bodies.archive_images(rows.select("id", F.lit("docs").alias("folder"), html.alias("html")), entries)
+    return found.select("id", F.col("position").cast("long").alias("position"), "file", "alt", "issue")
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'a/index.HTML' END AS entry FROM pages")
+def entry_pages(spark, d):
+    paths = F.expr("case page_id % 3 when 0 then array('a/index.HTML', 'a/b.png') when 1 then array('x.css') else array('a.html', 'b.htm') end")
+    entries = F.transform(paths, lambda p: F.struct(p.alias("path")))
+    return bindings.table(spark, d, "pages").select("page_id", bodies.entry_page(entries)["path"].alias("entry"))
+
+
+@query("SELECT doc_id AS id, CAST(CASE WHEN doc_id % 4 = 3 THEN NULL ELSE 2 END AS BIGINT) AS tabs, CAST(CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 0 END AS BIGINT) AS inline, CASE doc_id % 4 WHEN 3 THEN NULL ELSE doc_id % 4 < 2 END AS has_images, CASE doc_id % 4 WHEN 3 THEN NULL ELSE doc_id % 4 = 1 END AS has_drawings, CASE doc_id % 4 WHEN 2 THEN 'nested_tabs' WHEN 3 THEN 'no_tabs' END AS issue FROM documents")
+def document_structures(spark, d):
+    image, drawing = '{\\"imageProperties\\":1}', '{\\"embeddedDrawingProperties\\":1}'
+    first = f"case doc_id % 4 when 0 then '{{\"a\":\"{image}\"}}' when 1 then '{{\"a\":\"{image}\",\"b\":\"{drawing}\"}}' else '{{}}' end"
+    json = F.expr(f"if(doc_id % 4 = 3, 'none', concat('{{\"tabs\":[{{\"documentTab\":{{\"inlineObjects\":', {first}, '}}}},{{\"childTabs\":[', if(doc_id % 4 = 2, '\"x\"', ''), ']}}]}}'))".replace("\\", "\\\\"))
+    found = landed.structure(_texts(spark, d).select(F.col("doc_id").alias("id"), json.alias("json")))
+    return found.select("id", F.when(F.col("tabs") > 0, F.col("tabs")).cast("long").alias("tabs"), F.when(F.col("tabs") > 0, F.col("inline")).cast("long").alias("inline"), "has_images", "has_drawings", "issue")
+
+
+@query(f"{_CORPUS}, {_NEW.strip()} SELECT d.id, d.title FROM docs d JOIN slugs s ON s.id = d.id WHERE regexp_matches(d.title, '[\\p{{L}}\\p{{N}}-]{{4,}}') ORDER BY s.slug, d.id LIMIT 5")
+def search_cases(spark, d):
+    return corpus.search_cases(_corpus(spark, d).join(_slugs(spark, d), "id"))

@@ -102,3 +102,17 @@ def retry_delay(attempt: Column, asked: Column | None = None) -> Column:
     """Milliseconds before the next attempt (from 0): what the server asks for, within a bound, or twice as long each time."""
     own = F.least(F.lit(float(LONGEST_DELAY)), FIRST_DELAY * F.pow(F.lit(2.0), attempt)).cast("long")
     return own if asked is None else F.when(asked >= 0, F.least(asked, F.lit(LONGEST_ASKED)).cast("long")).otherwise(own)
+
+
+STRUCTURE = "tabs array<struct<childTabs: array<string>, documentTab: struct<inlineObjects: map<string, string>, positionedObjects: map<string, string>>>>"
+
+
+def structure(raw: DataFrame) -> DataFrame:
+    """(id, tabs, inline, positioned, has_images, has_drawings, issue) of documents' structures (id, json); tabs in tabs are an issue."""
+    rows = raw.select("id", F.from_json("json", STRUCTURE).alias("s"))
+    objects = lambda kind: F.flatten(F.transform("s.tabs", lambda t: F.coalesce(F.map_values(t["documentTab"][kind]), F.array().cast("array<string>"))))
+    rows = rows.select("id", F.size("s.tabs").alias("tabs"), objects("inlineObjects").alias("i"), objects("positionedObjects").alias("p"), F.exists("s.tabs", lambda t: F.size(t["childTabs"]) > 0).alias("nested"), F.col("s.tabs").isNull().alias("none"))
+    every = F.concat("i", "p")
+    holds = lambda word: F.exists(every, lambda o: o.contains(word))
+    issue = F.when(F.col("none"), "no_tabs").when(F.col("nested"), "nested_tabs")
+    return rows.select("id", "tabs", F.size("i").alias("inline"), F.size("p").alias("positioned"), holds("imageProperties").alias("has_images"), holds("embeddedDrawingProperties").alias("has_drawings"), issue.alias("issue"))
