@@ -189,11 +189,14 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names)
 
 
-def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIGIT) -> DataFrame:
-    """(doc, tag, lo, len): byte ranges that windows starting in smaller documents repeat; they may overlap.
+def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIGIT) -> tuple[DataFrame, DataFrame]:
+    """(ranges, scratch): (doc, tag, lo, len) of byte ranges that windows starting in smaller documents repeat; they may overlap.
+
+    ``scratch`` is the staged table that the ranges are read from.
 
     ``tag`` holds bits of the text's CRC-32, which tell rows with one doc_id apart.
     """
+    _shared.small_batches(docs.sparkSession)
     if not 0 < threshold - digit < 32:
         raise ValueError("a digit must be less than the threshold by 1 to 31 bytes")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), _tag(), "text").where(f"doc is not null and octet_length(text) >= {threshold}")
@@ -215,7 +218,7 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIG
     deep = deep.repartition("h").select("h", "doc", "tag", "lo", F.posexplode(F.expr(f"transform(sequence(1, octet_length(bytes) - {threshold - 1}), i -> substring(bytes, i, {threshold}))")).alias("i", "window"))
     deep = deep.select("h", "doc", "tag", (F.col("lo") + F.col("i")).alias("lo"), F.xxhash64("window").alias("w1"), F.xxhash64("window", F.lit(1)).alias("w2"))
     again = deep.withColumn("same", F.min("doc").over(Window.partitionBy("h", "w1", "w2"))).where("same < doc")
-    return done.unionByName(again.select("doc", "tag", "lo", F.lit(threshold).cast("long").alias("len")))
+    return done.unionByName(again.select("doc", "tag", "lo", F.lit(threshold).cast("long").alias("len"))), found
 
 
 def _tag():
@@ -229,8 +232,10 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIG
     with a smaller doc_id; strings are judged on the input. Other columns of
     ``docs`` are ignored.
     """
-    ranges = repeated_spans(docs, threshold, digit).groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "len")).alias("ranges"))
+    found, scratch = repeated_spans(docs, threshold, digit)
+    ranges = found.groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "len")).alias("ranges"))
     spans = _shared.stage(ranges.mapInArrow(_joined, "doc long, tag long, spans array<struct<lo: long, len: long>>"), "spans")
+    _shared.drop(scratch)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _tag())
     kept = rows.join(spans.withColumnRenamed("doc", "doc_id").hint("shuffle_merge"), ["doc_id", "tag"], "left")
     return kept.select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
