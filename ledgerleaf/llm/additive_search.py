@@ -79,7 +79,8 @@ def fit(x: np.ndarray, n_books: int = BOOKS, n_words: int = WORDS, rounds: int =
             np.add.at(target, codes[:, a], x)
             for b in range(n_books):
                 np.add.at(together, (codes[:, a], codes[:, b]), 1)
-        books = np.linalg.solve(together + 1e-2 * np.eye(len(together)), target).reshape(books.shape)
+        together[np.diag_indices_from(together)] += 1e-2
+        books = np.linalg.solve(together, target).reshape(books.shape)
     return books
 
 

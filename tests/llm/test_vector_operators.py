@@ -58,3 +58,36 @@ def test_nothing_to_search(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert additive_search.nearest(none, F.col("vec_id") % 20 == 0).count() == 0
     assert lattice_dedup.near_duplicates(none).count() == 0
+
+
+def test_search_with_ties_and_recall_on_the_given_vectors(spark):
+    x = np.repeat(np.eye(8), 5, axis=0)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in additive_search.nearest(df, F.col("vec_id") % 20 == 0).collect())
+    # the copies come first, then the smallest ids of those that are equally far
+    assert [v for q, _, v in got if q == 0] == [1, 2, 3, 4, 5, 6, 7, 8, 9, 10]
+    assert [v for q, _, v in got if q == 20] == [21, 22, 23, 24, 0, 1, 2, 3, 4, 5]
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.1"])
+def test_recall_at_two_sizes(spark, size):
+    import os
+
+    path = f"/root/testdata/{size}/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("the driver's tables are not here")
+    df = spark.read.parquet(path).select("vec_id", "embedding")
+    rows = df.toPandas().sort_values("vec_id")
+    ids, x = rows["vec_id"].to_numpy(), np.array(rows["embedding"].to_list(), np.float64)
+    hit = total = 0
+    found = {}
+    for r in additive_search.nearest(df, F.col("vec_id") % 100 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    for k in np.flatnonzero(ids % 100 == 0):
+        d = ((x - x[k]) ** 2).sum(axis=1)
+        want = [i for i in ids[np.lexsort((ids, d))] if i != ids[k]][:10]
+        hit, total = hit + len(found[ids[k]] & set(want)), total + 10
+    assert hit / total >= 0.9
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.9).sum() - len(x)
+    assert lattice_dedup.near_duplicates(df).agg(F.sum("n_links")).first()[0] >= 0.9 * links
