@@ -34,6 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerleaf.llm import _bytes, _shared
+
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 TIERS = (256, 512, 1024, 2048)
@@ -105,9 +107,6 @@ class Ids(dict):
             yield np.frombuffer(b"".join(map(self.__getitem__, parts)) + end, np.uint32)
 
 
-_ids: dict[str, Ids] = {}
-
-
 def pack_block(lengths: list[int], tiers: tuple[int, ...]) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
     """(sequences, rest): each sequence is a list of (document, start, length); the rest can fill none of ``tiers``."""
     longest = tiers[-1]
@@ -179,7 +178,8 @@ def _pack(tokenizer: str, tiers: tuple[int, ...], end_id: int, step_tokens: int)
 
     def run(batches):
         path = tokenizer_path(tokenizer)
-        ids_of = _ids.get(path) or _ids.setdefault(path, Ids(path))
+        kept = _shared.worker_cache("packing")
+        ids_of = kept.get(path) or kept.setdefault(path, Ids(path))
         base = TaskContext.get().partitionId() << 36
         counted = {"sequence": base, "group": base}
         held: list[tuple[int | None, int, int, np.ndarray]] = []  # (doc_id, tokens of the document, start of the piece, ids)
@@ -208,8 +208,7 @@ def _pack(tokenizer: str, tiers: tuple[int, ...], end_id: int, step_tokens: int)
 
         count = 0
         for batch in batches:
-            for k in range(0, len(batch), 500):
-                some = batch.slice(k, 500)
+            for some in _bytes.slices(batch, 1, 1 << 20):
                 texts = [t or "" for t in some.column(1).to_pylist()]
                 for doc_id, ids in zip(some.column(0).to_pylist(), ids_of.of(texts, end_id)):
                     held.append((doc_id, len(ids), 0, ids))
@@ -233,4 +232,5 @@ def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, tiers: tuple[int
     """
     if list(tiers) != sorted({t for t in tiers if t > 0 and t & (t - 1) == 0}) or not tiers:
         raise ValueError("tiers must be different powers of two, ascending")
+    _shared.small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(_pack(tokenizer, tuple(tiers), end_id, step_tokens), _SCHEMA)
