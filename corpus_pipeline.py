@@ -3,34 +3,34 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's docs. Stages but the last keep the columns of
 ``documents``; the last returns the packed pieces.
+
+Every decision is made row by row, so rows that share a doc_id, have none, or repeat
+are judged by their own texts; extra columns stay as they are, whatever their names. A
+null or empty text is not toxic, resembles nothing, holds no secret, has size 0 in the
+mix (so it is taken only with whole epochs of its source) and packs to its end id. Texts
+of any length are used whole. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ledgerleaf.llm import _shared, mixing, ngram_join, packing, secrets, toxicity
 
 
 def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: documents predicted toxic are dropped."""
+    """Operator 4: rows whose text is predicted toxic are dropped."""
     return toxicity.keep_ordinary(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10, five words and 80 percent: of each group of similar documents the smallest doc_id stays.
+    """Operator 10, five words and 80 percent: of each group of similar documents the row with the smallest doc_id stays.
 
-    Of rows that share a doc_id one stays; rows without doc_id, and texts without
+    Rows that share a doc_id but differ in text are documents of their own; of rows
+    with equal doc_id and text the least stays. Rows without doc_id, and texts without
     words, stay.
     """
-    found = _shared.stage(ngram_join.jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    kept = docs.join(_shared.small_side(found), "doc_id", "left_anti").select(*docs.columns)
-    again = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
-    if again.isEmpty():
-        return kept
-    once = kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    return ngram_join.keep_one(docs)
 
 
 def secrets_are_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,5 +64,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again; the last one's rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = _shared.stage(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, _shared.stage(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if hasattr(before, "staged_path"):
+            _shared.drop(before)
     return docs
