@@ -47,3 +47,40 @@ def test_pipeline(spark, sf_dir):
     encoder = packing.Ids(packing.tokenizer_path(packing.TOKENIZER))
     assert sum(r.length for r in docs.collect()) == sum(len(x) for x in encoder.of([r.text or "" for r in seen["mixing"].collect()], 1))
     assert corpus_pipeline.run(spark, sf_dir).count() == docs.count()
+
+
+EXTRA = ["base", "more", "hexes", "clean", "row", "copy", "h", "doc", "key", "x", "score", "size", "bucket", "sid"]
+
+
+def odd_rows(spark, rows):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in EXTRA)
+    return spark.createDataFrame([(i, t, "en", s, None, *(f"{c}!" for c in EXTRA)) for i, t, s in rows], schema)
+
+
+def test_stages_keep_rows_apart_and_columns_as_they_are(spark, sf_dir, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(2)
+    one, other, third = (" ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(30)) for _ in range(3))
+    docs = odd_rows(spark, [(3, one, "a"), (3, other, "a"), (1, other, "b"), (9, one, "b"), (9, one, "b"), (None, third, None), (None, None, "a"), (5, third + " password=abcdef123", "a"), (6, "", "b")])
+    stages = dict(corpus_pipeline.STAGES)
+    left = stages["ngram_join"](spark, docs, sf_dir)
+    assert left.columns == docs.columns
+    assert sorted(str((r.doc_id, r.text)) for r in left.collect()) == sorted(str(x) for x in [(3, one), (1, other), (None, third), (None, None), (5, third + " password=abcdef123"), (6, "")])
+    plain = [(1000 + r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 200").collect()]
+    labels = spark.createDataFrame([(1000 + i, 1, int(i % 5 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs, sf_dir = docs.unionByName(odd_rows(spark, plain)), str(tmp_path)
+    for name in ("toxicity", "ngram_join", "secrets", "mixing"):
+        before, docs = docs, stages[name](spark, docs, sf_dir)
+        assert docs.columns == before.columns, name
+        assert all(r[c] == f"{c}!" for r in docs.collect() for c in EXTRA), name
+    assert stages["packing"](spark, docs, sf_dir).count() > 0
+
+
+def test_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

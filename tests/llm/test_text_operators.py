@@ -28,7 +28,7 @@ def corpus():
     near = base.split()
     texts = [(i, prose(rng.randint(1, 90))) for i in range(30)]
     texts += [(40 + i, base) for i in range(4)] + [(50 + i, " ".join(near[:60] + [f"x{i}"] + near[61:])) for i in range(6)]
-    texts += [(70, "intro " + base[100:260] + " outro"), (71, None), (72, ""), (73, " \n\t "), (74, "One two"), (75, "one TWO"), (76, "a" * 400), (77, prose(4000)), (77, prose(30)), (None, base), (None, None), (40, base)]
+    texts += [(70, "intro " + base[100:260] + " outro"), (71, None), (72, ""), (73, " \n\t "), (74, "One two"), (75, "one TWO"), (76, "a" * 400), (77, prose(4000)), (77, prose(30)), (90, prose(3000)), (None, base), (None, None), (40, base)]
     return texts
 
 
@@ -72,6 +72,43 @@ def test_jaccard_components(spark, corpus):
         assert got == want
 
 
+def test_jaccard_links_within_large_buckets(spark, monkeypatch):
+    """Members of one bucket that differ from its first one, but not all from each other, in several parts."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(4000)]
+    rare = rng.sample(words, 30)
+    texts = []
+    for i in range(40):
+        own = rng.sample(words, 60)
+        texts += [(4 * i + j, " ".join(rare[:30] + own[: 60 - j] + rng.sample(words, j))) for j in range(4)]
+    sets = [{tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for _, t in texts]
+    group = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 100 * len(x & sets[j]) >= 80 * len(x | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    want = {i: group.index(group[i]) for i in range(len(group))}
+    monkeypatch.setattr(ngram_join, "PART", 7)
+    documents, links = ngram_join.similar_sets(frame(spark, texts), 3, 80, part=7)
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(frame(spark, texts), 3, 80).collect()}
+    assert got == want and len(set(want.values())) >= 40
+    sids = {r.doc: r.sid for r in documents.collect()}
+    joined = {r.node: r.component for r in ngram_join._shared.connected_components(links).collect()}
+    assert len({joined[sids[i]] for i in range(len(sets))}) == len(set(want.values()))
+
+
+def test_bitmaps_never_lose_a_link():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        m = int(rng.integers(2, 3000))
+        a = rng.integers(0, 1 << 63, m, dtype=np.uint64)
+        b = np.r_[a[int(rng.integers(0, m)) :], rng.integers(0, 1 << 63, int(rng.integers(1, 400)), dtype=np.uint64)]
+        a, b = np.unique(a), np.unique(b)
+        differ = ngram_join._differing([ngram_join._bitmap(a), ngram_join._bitmap(b)], np.array([0, 1]), np.array([1, 0]))
+        assert differ[0] == differ[1] <= len(np.setxor1d(a, b))
+    assert ngram_join._differing([ngram_join._bitmap(a)] * 2, np.array([0]), np.array([1]))[0] == 0
+
+
 def test_packing(spark, corpus):
     pieces = packing.pack_documents(frame(spark, corpus).coalesce(1)).collect()
     from tokenizers import Tokenizer
@@ -80,6 +117,15 @@ def test_packing(spark, corpus):
     want = {zlib.crc32(np.array(t.encode(x or "", add_special_tokens=False).ids + [1], "<u4").tobytes()) for _, x in corpus}
     assert {p.ids_crc32 for p in pieces if p.length == p.doc_tokens} <= want
     assert sum(p.length for p in pieces) == sum(len(t.encode(x or "", add_special_tokens=False).ids) + 1 for _, x in corpus)
+    once = [d for d, _ in corpus if d is not None and [x for x, _ in corpus].count(d) == 1]
+    for d, text in corpus:
+        if d in once:  # each id in exactly one piece
+            ids, at = np.array(t.encode(text or "", add_special_tokens=False).ids + [1], "<u4"), 0
+            for p in sorted((p for p in pieces if p.doc_id == d), key=lambda p: p.start):
+                assert p.start == at and p.doc_tokens == len(ids) and p.ids_crc32 == zlib.crc32(ids[at : at + p.length].tobytes())
+                at += p.length
+            assert at == len(ids)
+    assert len([p for p in pieces if p.doc_id == 90]) > 1
     by = {}
     for p in pieces:
         by.setdefault(p.sequence_id, []).append((p.offset, p.length))
@@ -94,7 +140,9 @@ def test_packing(spark, corpus):
 def test_packing_ids_are_the_tokenizers():
     ids = packing.Ids(packing.tokenizer_path(packing.TOKENIZER))
     texts = ["It's 12.5% don't <|endoftext|>", "Ünï ŒUVRE İstanbul αΣ x²", "a\tb\x1cc\x85d...e", "", "foo_bar--baz"]
-    assert [x.tolist() for x in ids.of(texts, 1)] == [ids.tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    texts += [f"ab{chr(c)}cd {chr(c)}e" for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    for t, got, want in zip(texts, ids.of(texts, 1), ids.tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert got.tolist() == want.ids + [1], ascii(t)
 
 
 def test_mixing(spark):
@@ -126,14 +174,71 @@ def test_secrets(spark):
     assert masked[1].text == "émoji 😀 [SECRET] token=ab and [SECRET]" and masked[2].text is None and masked[5].text == texts[4][1]
 
 
+def test_secrets_of_each_character_class(spark):
+    texts = {
+        "key mg0x7k2m9q4v8b1n6c3z5l0p2w8d end": "entropy_lower:4:32",
+        "seed JBSWY3DPEHPK3PXPJBSWY3DPEHPK3PXP.": "entropy_upper:5:37",
+        "id 3f2b9c1e-7d4a-4e8b-9a6c-5d1f0e2b7c3a": "entropy_grouped:3:39",
+        "at sample/xK9vQ2mZ7pL4wR8tY1uB5nC3": "entropy_base64:3:34",
+        "see en/articles/2024/01/how-to-build-a-garden-shed": "",
+        "MAX_NUMBER_OF_ITEMS_IN_THE_LIST_2024 and getTheNameOfAVeryLongMethod2": "",
+        "12345678901234567890123456789012345": "",
+    }
+    got = {r.doc_id: r.spans for r in secrets.scan(frame(spark, enumerate(texts))).collect()}
+    for i, (t, want) in enumerate(texts.items()):
+        assert ",".join(s for s in got[i].split(",") if not s.startswith("hex")) == want, t
+
+
+def test_secrets_in_long_texts(spark):
+    import time
+
+    rng = random.Random(1)
+    key = lambda n: "".join(rng.choice("ABCDEFGHIJabcdefghij0123456789+/") for _ in range(n))
+    value = [key(12) for _ in range(16_000)]
+    many = " ".join(f"é token={v}" for v in value)
+    docs = frame(spark, [(1, many), (2, key(200_000)), (3, "password=abcdef12 AKIA" + "A" * 16 + " secret=AKIA" + "B" * 16)])
+    began = time.time()
+    got = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    at, want = 0, []
+    for v in value:
+        want.append(f"assign:{at + 2}:{at + 2 + 6 + len(v)}")
+        at += 2 + 6 + len(v) + 1
+    assert got[1].n_assign == 16_000 and got[1].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+    assert got[2].spans.startswith("entropy_base64:0:200000")
+    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert clean[1] == " ".join(["é [SECRET]"] * 16_000) and clean[2] == "[SECRET]"
+    assert clean[3] == "[SECRET] [SECRET] [SECRET]"
+    assert time.time() - began < 60
+
+
 def test_licenses(spark):
     texts = [(1, "This work is licensed under the GNU General Public License, version 3."), (2, "Released under the MIT License. Under the MIT license!"), (3, "Copyright (c) 2020 Foo Bar. All rights reserved."), (4, None), (5, "under the apache license version 3")]
     got = {r.doc_id: r for r in licenses.scan(frame(spark, texts)).collect()}
     assert (got[1].labels, got[1].base_labels, got[1].first_word) == ("gpl-3", "", None)
     assert (got[2].n_base, got[2].first_word, got[2].last_word, got[2].base_labels) == (2, 1, 5, "mit")
+    assert got[1].score == got[2].score == 0.8 and got[5].score == 0
     assert got[3].labels == "all-rights-reserved" and got[4].n_words == 0 and got[5].labels == ""
 
 
+def test_whole_licenses(spark):
+    """Only a whole wording has score 1; a missing clause or a rider leaves the opening."""
+    fill = lambda wording: " ".join("" if m.startswith(("[[", "]]")) else "Example Company" if m.startswith("<<") else m for m in licenses._MARKS.findall(wording))
+    texts, want = [], []
+    for label, wording in licenses.LICENSES.items():
+        whole = fill(wording) if label != "apache-2" else fill(wording.replace("<<1>>", "https"))
+        half = whole.split()
+        for text, score in ((f"Copyright 2020 X\n{whole}. End", 1.0), (whole.upper(), 1.0), (" ".join(half[: len(half) // 2] + ["commercially"] * 12 + half[len(half) // 2 :]), None), (" ".join(half[:-1]), None)):
+            texts.append((len(texts), text))
+            want.append((label, score))
+    texts.append((len(texts), "word " * 200_000 + fill(licenses.LICENSES["mit"])))
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, texts + [(0, texts[0][1])])).collect()}
+    for i, (label, score) in enumerate(want):
+        assert (label in got[i].labels.split(",") and got[i].score == 1.0) if score else got[i].score < 1.0, (label, i)
+    assert got[len(want)].labels == "mit" and got[len(want)].score == 1.0 and got[len(want)].n_words > 200_000
+    nested = licenses.Automaton("a [[b [[c <<1>>]] d]] e")
+    assert [nested.accepts(t.split(), 0) for t in ("a e", "a b d e", "a b c d e", "a b c x d e", "a b c x y d e", "a c d e")] == [2, 4, 5, 6, -1, -1]
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     words = ["".join(rng.choice("aeinrst") for _ in range(rng.randint(2, 8))) for _ in range(400)]
@@ -170,6 +275,62 @@ def test_suffix_dedup_tells_variants_of_one_line_apart():
     assert min(rows["at"].to_pylist()) >= 0  # none is finished as a repeat
 
 
+def _kneser_ney(text, order, shared, discount):
+    """P(last character of a gram | the others) by the textbook recursion; text: class -> list of words."""
+    padded = [["^" * (order - 1) + w + "$" for w in words] for words in text]
+    count = {order: [{}, {}]}
+    for c, words in enumerate(padded):
+        for w in words:
+            for i in range(len(w) - order + 1):
+                count[order][c][w[i : i + order]] = count[order][c].get(w[i : i + order], 0) + 1
+    for k in range(order - 1, 0, -1):
+        before = [{(g[1:], g[0]) for g in count[k + 1][c]} for c in (0, 1)]
+        before = before if k > shared else [before[0] | before[1]] * 2
+        count[k] = [{g: sum(1 for x, _ in own if x == g) for g in {x for x, _ in own}} for own in before]
+    floor = 1 / (len(count[1][0]) + 1)
+
+    def p(gram, c):
+        if not gram:
+            return floor
+        own = {g: k for g, k in count[len(gram)][c].items() if g[:-1] == gram[:-1]}
+        lower = p(gram[1:], c)
+        if not own:
+            return lower
+        return (max(own.get(gram, 0) - discount, 0) + discount * len(own) * lower) / sum(own.values())
+
+    return p
+
+
+def test_toxicity_models_are_kneser_ney_models():
+    import math
+    from collections import Counter
+
+    rng = random.Random(3)
+    text = [["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 6))) for _ in range(40)] for alphabet in ("abcé", "bcdß")]
+    counts = [Counter(g for w in words for g in toxicity.grams(w)) for words in text]
+    names = sorted(counts[0] | counts[1])
+    models = toxicity.Models(names, np.array([[c[g] for c in counts] for g in names]))
+    p = _kneser_ney(text, toxicity.ORDER, toxicity.SHARED, toxicity.DISCOUNT)
+    asked = [*text[0][:10], *text[1][:10], "zz", "abd", "\U0001d49c"]
+    want = [sum(math.log(p(g, 1) / p(g, 0)) for g in toxicity.grams(w)) / (len(w) + 1) for w in asked]
+    assert np.allclose(models.evidence(asked), want, atol=1e-5)
+
+
+def test_toxicity_of_whole_rows(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(["vile" if i % 4 == 0 else "kind", *rng.choices(["river", "stone", "market", "paper"], k=20)])) for i in range(200)]
+    labels = spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    vile = "vile vile river " * 40_000
+    more = [(500, "kind stone"), (500, "vile stone"), (None, "vile stone"), (None, None), (501, vile), (500, "kind stone")]
+    docs = spark.createDataFrame([(d, t, "x", "y") for d, t in rows + more], "doc_id long, text string, x string, row string")
+    kept = toxicity.keep_ordinary(docs, labels)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect() if r.doc_id is None or r.doc_id >= 200) == [("500", "kind stone"), ("500", "kind stone"), ("None", "None")]
+    assert {r.x + r.row for r in kept.collect()} == {"xy"}
+    nulls = {r.held_out for r in toxicity.score(docs, labels).where("doc_id is null").collect()}
+    assert nulls == {False}
+
+
 def test_toxicity_keeps_the_ratio_of_the_classes(spark):
     rng = random.Random(8)
     plain = ["river", "stone", "market", "paper", "window", "garden"]
@@ -186,50 +347,56 @@ def test_toxicity_keeps_the_ratio_of_the_classes(spark):
 def test_lm_scoring(spark):
     texts = [(i, "the fine prose of the good book " * 3 if i % 2 else "junk zzz junk qqq junk " * 3) for i in range(40)] + [(100, None), (101, " ")]
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r for r in lm_scoring.score(frame(spark, texts), labels, frequent=8, classes=4).collect()}
+    got = {r.doc_id: r for r in lm_scoring.score(frame(spark, texts), labels).collect()}
     assert min(got[i].score for i in range(1, 40, 2)) > max(got[i].score for i in range(0, 40, 2))
     assert got[100].n_tokens == 0 and got[100].target_loss is None and got[101].score == 0
     assert got[1].n_tokens == 21
 
 
-def test_lm_scoring_counts_every_word(spark, monkeypatch):
+def test_lm_scoring_counts_every_word_of_the_others(spark, monkeypatch):
+    import math
+    from collections import Counter
+
     rng = random.Random(6)
     words = [f"w{i}" for i in range(1500)]
     # the two halves differ in words that are far from the most frequent ones
-    texts = [(i, " ".join(rng.choices(words[:800], k=40) + rng.choices(words[800 + i % 2 * 350 :][:350], k=20))) for i in range(200)] + [(None, "w1 w2"), (7, "w3 once")]
+    texts = [(i, " ".join(rng.choices(words[:800], k=40) + rng.choices(words[800 + i % 2 * 350 :][:350], k=20))) for i in range(200)] + [(None, "w1 w2"), (7, "w3 Once"), (300, None), (301, "w5 " * 5000)]
+    texts += [(302, texts[8][1]), (302, texts[8][1])]
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(120)], "doc_id long, quality int, toxic int")
     monkeypatch.setattr(lm_scoring, "BLOCK", 3000)
-    got = sorted((r.doc_id or -1, r.n_tokens, r.score, r.background_loss, r.target_loss) for r in lm_scoring.score(frame(spark, texts), labels).collect())
-    ids = {w: k for k, w in enumerate(sorted({w for _, t in texts for w in t.split()}))}
-    seen, counts = [{}, {}], np.zeros((2, len(ids) + 1, len(ids)))
-    docs = [(i or -1, [ids[w] for w in t.split()]) for i, t in texts]
-    pairs = [(i, list(zip([len(ids), *d[:-1]], d))) for i, d in docs]
-    alone = np.zeros((2, len(ids)))
-    for i, some in pairs:
-        for p in set(some):
-            seen[0][p] = seen[0].get(p, 0) + 1
-        for w in {w for _, w in some}:
-            seen[1][w] = seen[1].get(w, 0) + 1
-    for i, some in pairs:
-        for m in range(2 if i in range(120) and i % 2 else 1):
-            for b, w in some:
-                counts[m][b, w] += seen[0][b, w] > 1
-                alone[m][w] += seen[1][w] > 1
+    got = sorted(((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.score, r.background_loss or 0, r.target_loss or 0) for r in lm_scoring.score(frame(spark, texts), labels).collect()))
+    docs = [(-1 if d is None else d, (t or "").lower().split()) for d, t in texts]
+    events = [list(zip(["<s>", *w], [*w, "</s>"])) if w else [] for _, w in docs]
+    vocabulary = {w for own in events for _, w in own}
+    target = [d in range(120) and d % 2 == 1 for d, _ in docs]
+
+    def counted(some):
+        pairs = Counter(e for own in some for e in own)
+        alone, before = Counter(), Counter()
+        for (b, w), n in pairs.items():
+            alone[w] += n
+            before[b] += n
+        return pairs, alone, before, sum(pairs.values())
+
+    models = [counted(events), counted([e for e, t in zip(events, target) if t])]
     want = []
-    for i, some in pairs:
-        mean = []
-        for c, a in zip(counts, alone):
-            kinds = max((a > 0).sum(), 1)
-            uni = (a + kinds / len(ids)) / (a.sum() + kinds)
-            mean.append(np.mean([-np.log((c[b, w] + max((c[b] > 0).sum(), 1) * uni[w]) / (c[b].sum() + max((c[b] > 0).sum(), 1))) for b, w in some]))
-        want.append((i, len(some), mean[0] - mean[1], *mean))
+    for (d, w), own, in_target in zip(docs, events, target):
+        mine, means = counted([own]), []
+        for (pairs, alone, before, n), takes in zip(models, (1, in_target)):
+            loss = 0
+            for b, x in own:
+                share = (alone[x] - mine[1][x] * takes + 1) / (n - len(own) * takes + len(vocabulary))
+                loss -= math.log((pairs[b, x] - mine[0][b, x] * takes + lm_scoring.PRIOR * share) / (before[b] - mine[2][b] * takes + lm_scoring.PRIOR))
+            means.append(loss / max(len(own), 1))
+        want.append((d, len(w), means[0] - means[1], *means))
     assert [g[:2] for g in got] == [w[:2] for w in sorted(want)]
     assert np.allclose([g[2:] for g in got], [w[2:] for w in sorted(want)])
 
 
 def test_lm_losses_are_probabilities():
     counts = np.random.default_rng(0).integers(0, 4, (6, 5)).astype(float)
-    assert np.allclose(np.exp(-lm_scoring.losses(counts)).sum(axis=1), 1)
+    word, before = counts.sum(axis=0), counts.sum(axis=1, keepdims=True)
+    assert np.allclose(np.exp(-lm_scoring.losses(counts, word, before, word.sum(), 5)).sum(axis=1), 1)
 
 
 def test_empty_tables(spark):
@@ -244,7 +411,7 @@ def test_max_window_entropy(spark):
     from collections import Counter
 
     texts = ["9c8b45435718dcc700c184a7e303cdc64c6a8f7f", "a" * 50, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "short"]
-    alphabet = secrets.CLASSES["entropy_base64"][1]
+    alphabet = secrets.CANDIDATES["run"][1]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(secrets.max_window_entropy(F.col("t"), alphabet, 24)).collect()]
     for t, e in zip(texts, got):
         windows = [t[i : i + 24] for i in range(max(1, len(t) - 23))]
