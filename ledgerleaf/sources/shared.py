@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, which ``spark.checkpoint.dir`` or ``setCheckpointDir`` names."""
+    """The folder that all executors share, which ``spark.checkpoint.dir`` or ``setCheckpointDir`` names.
+
+    Where it is unset a local session, whose only executor is the driver, gets a
+    temporary folder of its own; on a cluster that would be another one on each machine,
+    so it is an error there.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="ledgerleaf-")
+        spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
