@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.sources.shared import drop, shared_dir, stage
 
-__all__ = ["connected_components", "drop", "runs", "shared_dir", "small_batches", "small_side", "stage", "worker_cache"]
+__all__ = ["connected_components", "drop", "lean", "runs", "shared_dir", "small_batches", "small_side", "stage", "worker_cache"]
 
 #: A side of a join is broadcast only when a count shows that it has at most so many (narrow) rows.
 BROADCAST_ROWS = 200_000
@@ -25,6 +27,7 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
 
 
 _caches: dict[str, dict] = {}
+_libc = None
 
 
 def worker_cache(owner: str) -> dict:
@@ -34,6 +37,32 @@ def worker_cache(owner: str) -> dict:
     return _caches.setdefault(owner, {})
 
 
+def _release() -> None:
+    """Gives back to the system what this worker has freed; arrays of a MB and more are given back at once from the first call on."""
+    global _libc
+    pa.default_memory_pool().release_unused()
+    if _libc is None:
+        _libc = ctypes.CDLL(None)
+        if hasattr(_libc, "mallopt"):
+            _libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+def lean(owner: str, run):
+    """A task function that begins and ends without what other tasks of its worker have left."""
+
+    def tidy(batches):
+        worker_cache(owner)
+        _release()
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return tidy
+
+
 def small_side(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most`` rows; larger ones are left to a shuffled join."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= most else df

@@ -106,7 +106,6 @@ def _sized(k: int):
         return rows(kind, token[some].view(np.int64), n[some])
 
     def run(batches):
-        _shared.worker_cache("ngrams")
         parts, words, held = [], [], 0
         for batch in batches:
             sids, sizes = [], []
@@ -125,7 +124,7 @@ def _sized(k: int):
             yield counted(1, parts, FREQUENT)
             yield counted(2, words, max(FREQUENT, COMMON * held))
 
-    return run
+    return _shared.lean("ngrams", run)
 
 
 def _listed(sized: DataFrame, kind: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +177,6 @@ def _prefixes(k: int, percent: int, shared):
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else [], kind))
 
     def run(batches):
-        _shared.worker_cache("ngrams")
         frequencies = shared.value
         met: set[int] = set()  # grows with the task's own rows alone
         for batch in batches:
@@ -197,7 +195,7 @@ def _prefixes(k: int, percent: int, shared):
             cols = [lists(own[0], pa.int64()), *(lists(p, pa.int32()) for p in own[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), *cols], names)
 
-    return run
+    return _shared.lean("ngrams", run)
 
 
 def _compared(percent: int):
@@ -235,7 +233,7 @@ def _compared(percent: int):
         if held:
             yield distinct(parts)
 
-    return run
+    return _shared.lean("ngrams", run)
 
 
 def _verified(k: int, percent: int):
@@ -257,7 +255,7 @@ def _verified(k: int, percent: int):
                         b.append(y)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return run
+    return _shared.lean("ngrams", run)
 
 
 def _text_hash():

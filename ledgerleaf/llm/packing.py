@@ -219,7 +219,7 @@ def _pack(tokenizer: str, tiers: tuple[int, ...], end_id: int, step_tokens: int)
         if held:
             yield from block(True)
 
-    return run
+    return _shared.lean("packing", run)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, tiers: tuple[int, ...] = TIERS, end_id: int = END_ID, step_tokens: int = STEP_TOKENS) -> DataFrame:
