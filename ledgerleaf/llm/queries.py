@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm import additive_search, lattice_dedup, licenses, lm_scoring, mixing, ngram_join, packing, secrets, suffix_dedup, toxicity
+from ledgerleaf.llm import additive_search, lattice_dedup, licenses, lm_scoring, mixing, ngram_join, packing, periodic_runs, secrets, sharding, suffix_dedup, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,10 +54,22 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_documents(spark, sf_dir), words=3, percent=90)
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(_documents(spark, sf_dir))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_packing, op4_toxicity, op5_lattice_dedup, op6_lm_scoring, op7_license_scan, op8_mixing, op9_additive_search, op10_ngram_join)}
+    numbered = (
+        op1_secret_scan, op2_suffix_dedup, op3_packing, op4_toxicity, op5_lattice_dedup, op6_lm_scoring, op7_license_scan, op8_mixing,
+        op9_additive_search, op10_ngram_join, op11_sharding, op12_periodic_runs,
+    )
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in numbered}
 
 
 def oracle_sql() -> dict[str, str]:
