@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm import additive_search, lattice_dedup, licenses, lm_scoring, mixing, ngram_join, packing, periodic_runs, secrets, sharding, suffix_dedup, toxicity
+from ledgerleaf.llm import additive_search, collocations, lattice_dedup, licenses, lm_scoring, mixing, ngram_join, packing, periodic_runs, secrets, sharding, suffix_dedup, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,15 +62,19 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(_documents(spark, sf_dir))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top_collocations(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     numbered = (
         op1_secret_scan, op2_suffix_dedup, op3_packing, op4_toxicity, op5_lattice_dedup, op6_lm_scoring, op7_license_scan, op8_mixing,
-        op9_additive_search, op10_ngram_join, op11_sharding, op12_periodic_runs,
+        op9_additive_search, op10_ngram_join, op11_sharding, op12_periodic_runs, op13_collocations,
     )
     return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in numbered}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": secrets.ORACLE_SQL, "op7_license_scan": licenses.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL}
+    return {"op1_secret_scan": secrets.ORACLE_SQL, "op7_license_scan": licenses.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL, "op13_collocations": collocations.ORACLE_SQL}

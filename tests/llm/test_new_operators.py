@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from ledgerleaf.llm import periodic_runs, sharding
+from ledgerleaf.llm import collocations, periodic_runs, sharding
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, size string, slot string, bucket string, h1 string"
 
@@ -139,3 +139,57 @@ def test_sharding_of_bundles(spark, monkeypatch, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "out"), 8, 16, files=2)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((r.doc_id, int(r.shard)) for r in back.select("doc_id", "shard").collect()) == sorted((r.doc_id, r.shard) for r in got)
+
+
+def phrases_of(text):
+    for piece in re.split(r"[.,;:!?\x0A-\x0D]", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")):
+        yield re.findall(r"[^\x20\x09]+", piece)
+
+
+def test_equal_partitions():
+    rng = np.random.default_rng(4)
+    for m in (0, 1, 50, 3000):
+        keys = rng.integers(1, 9, (3, m))
+        keys[2, keys[1] > 6] = 0
+        keys[1:, keys[0] > 7] = 0
+        weights = rng.integers(1, 4, m)
+        want = Counter()
+        for k, w in zip(keys.T.tolist(), weights.tolist()):
+            want[tuple(x for x in k if x)] += w
+        one, size, count = collocations.equal_partitions(keys, weights, 5)
+        got = {tuple(keys[:k, p].tolist()): c for p, k, c in zip(one.tolist(), size.tolist(), count.tolist())}
+        assert len(got) == len(one) and got == {k: c for k, c in want.items() if c >= 5}
+
+
+@pytest.mark.parametrize("words", [3, 4])
+def test_collocations(spark, corpus, words, monkeypatch):
+    monkeypatch.setattr(collocations, "SLICE", 500)
+    monkeypatch.setattr(collocations, "BUCKETS", 5)
+    rows = corpus + [(900 + i, "New York, new\tyork city. NEW YORK city hall? the red fox" + "; the\x85x y" * (i % 3), None) for i in range(14)]
+    f, total = defaultdict(Counter), Counter()
+    for _, t, lang in rows:
+        for w in phrases_of(t):
+            total[lang or "und"] += len(w)
+            for k in range(1, words + 1):
+                f[lang or "und"].update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    want = []
+    for lang, counts in f.items():
+        some = {p: a for p, a in counts.items() if len(p) > 1 and a >= 10}
+        kept = []
+        for p, a in some.items():
+            score, cut = min((10**6 * a * a // (counts[p[:k]] * counts[p[k:]]), k) for k in range(1, len(p)))
+            if not any(100 * b >= 50 * a and any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1)) for q, b in some.items() if len(q) > len(p)):
+                kept.append((-score, -a, " ".join(p).encode(), counts[p[:cut]], counts[p[cut:]]))
+        for rank, (s, a, p, x, y) in enumerate(sorted(kept)[:40], 1):
+            want.append((lang, rank, p.decode(), -a, x, y, total[lang], -s))
+    got = collocations.top_collocations(frame(spark, rows), top=40, max_words=words)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) > 20
+    assert {t for _, t in got.dtypes} == {"string", "bigint"}
+    assert collocations.top_collocations(frame(spark, [])).count() == 0
+
+
+def test_long_texts_are_cut_between_pieces():
+    text = b"one two. three four five, six " * 100 + b"word " * 5000
+    parts = list(collocations._pieces(text, 1000))
+    assert len(parts) > 2
+    assert [w for t in parts for w in phrases_of(t.decode()) if w] == [w for w in phrases_of(text.decode()) if w]
