@@ -41,7 +41,7 @@ SHARE_PERCENT = 50
 #: Words whose phrases a task adds up at a time.
 SLICE = 2_000_000
 #: Bytes of text for each bucket of phrases, and the fewest buckets.
-BUCKET_BYTES, BUCKETS = 8 << 20, 256
+BUCKET_BYTES, BUCKETS = 8 << 20, 128
 #: Rows of a language that are ranked together before the last ranking.
 RANKED_PARTS = 64
 
@@ -86,13 +86,18 @@ class _Slice:
                 packed = columns[0]
                 for c in columns[1:]:
                     packed = packed * v + c
-                packed, n = np.unique(packed, return_counts=True)
-                found = np.zeros((depth, len(packed)), np.int64)
+                packed.sort()
+                first = np.flatnonzero(np.r_[True, packed[1:] != packed[:-1]][: len(packed)])
+                n = np.diff(np.r_[first, len(packed)])
+                packed = packed[first]
+                found = np.zeros((depth, len(packed)), np.int32)
                 for i in reversed(range(k)):
-                    packed, found[i] = np.divmod(packed, v)
+                    left = packed // v
+                    found[i] = packed - left * v
+                    packed = left
             else:
                 several, n = np.unique(np.stack(columns), axis=1, return_counts=True)
-                found = np.vstack([several, np.zeros((depth - k, several.shape[1]), np.int64)])
+                found = np.vstack([several, np.zeros((depth - k, several.shape[1]), np.int64)]).astype(np.int32)
             ids.append(found)
             counts.append(n)
             at = at[w[at + k] > 0]
@@ -110,14 +115,20 @@ class _Slice:
         for row in ids:
             h = _bytes.mix(h * _U(0x9E3779B97F4A7C15) + sums[row])
         bucket = (h % _U(buckets)).astype(np.int64)
+        bucket = _narrow(bucket)
         order = np.argsort(bucket, kind="stable")
-        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+        bucket, ids, counts = bucket[order], ids[:, order], counts[order]
+        cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)]
         base = zlib.crc32(lang.encode()) << 31
-        for some in np.split(order, cuts):
-            used, own = np.unique(ids[:, some], return_inverse=True)
-            if used[0]:  # keep 0 for the end
-                used, own = np.r_[0, used], own + 1
-            yield base + int(bucket[some[0]]), lang, len(some), b" ".join([words[i] for i in used[1:]]), _narrow(own.reshape(depth, -1)).tobytes(), _narrow(counts[some]).tobytes()
+        there, number = np.zeros(len(words), bool), np.zeros(len(words), np.int32)
+        for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            own = ids[:, start:end]
+            there[own] = True
+            there[0] = True  # 0 stays the end
+            used = np.flatnonzero(there)
+            there[used] = False
+            number[used] = np.arange(len(used))
+            yield base + int(bucket[start]), lang, end - start, b" ".join([words[i] for i in used[1:].tolist()]), _narrow(number[own]).tobytes(), _narrow(counts[start:end]).tobytes()
 
 
 def _pieces(data: bytes, most: int = 1 << 20) -> Iterator[bytes]:
@@ -177,18 +188,23 @@ def equal_partitions(keys: np.ndarray, weights: np.ndarray, least: int) -> tuple
 
     ``keys``: the word at each depth of each suffix, 0 where it has ended. Multikey
     three-way quicksort: each round splits all segments at one of their words each,
-    smaller, equal and larger; segments below ``least`` are abandoned.
+    smaller, equal and larger; segments below ``least`` are abandoned, and suffixes
+    whose leading word weighs less before all others.
     """
     depths, m = keys.shape
     flat = np.ascontiguousarray(keys).ravel()
-    at = np.random.Generator(np.random.PCG64(13)).permutation(m)  # so that a segment's last suffix is any of them
+    leading = np.bincount(keys[0], weights)[keys[0]] >= least if m else np.zeros(0, bool)  # partitions of one leading word are weighed first
+    at = np.random.Generator(np.random.PCG64(13)).permutation(np.flatnonzero(leading)).astype(np.int32)  # so that a segment's last suffixes are any of them
     weight = weights[at].astype(np.float64)  # whole numbers, exact below 2**53
-    segment, depth = np.zeros(m, np.int64), np.zeros(1, np.int64)
+    segment, depth = np.zeros(len(at), np.int32), np.zeros(1, np.int64)
     found = []
     while len(at):
-        key = flat[depth[segment] * m + at]
-        pivot = np.zeros(len(depth), flat.dtype)
-        pivot[segment] = key
+        key = flat[(depth * m)[segment] + at]
+        of = [np.zeros(len(depth), flat.dtype) for _ in range(3)]
+        for i, some in enumerate((slice(None), slice(len(at) // 3), slice(len(at) // 3, 2 * len(at) // 3))):
+            of[i][:] = of[0]
+            of[i][segment[some]] = key[some]
+        pivot = np.maximum(np.minimum(of[0], of[1]), np.minimum(np.maximum(of[0], of[1]), of[2]))  # the median of three
         against = pivot[segment]
         part = 3 * segment + (key >= against) + (key > against)
         size = np.bincount(part, weight, 3 * len(depth))
@@ -205,7 +221,7 @@ def equal_partitions(keys: np.ndarray, weights: np.ndarray, least: int) -> tuple
             found.append((one[done], (depth - ended)[done], size[done].astype(np.int64)))
         keep &= ~done
         stay = keep[part]
-        at, weight, segment = at[stay], weight[stay], (np.cumsum(keep) - 1)[part[stay]]
+        at, weight, segment = at[stay], weight[stay], (np.cumsum(keep) - 1).astype(np.int32)[part[stay]]
         depth = depth[keep]
     return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
 
@@ -223,17 +239,16 @@ def _counted(depth: int, least: int):
                 index, keys, weights = {_END: 0}, [], []
                 for n, words, ids, counts in packets:
                     own = words.split(b" ")
-                    for w in own:
-                        if w not in index:
-                            index[w] = len(index)
+                    new = [w for w in own if w not in index]
+                    index.update(zip(new, range(len(index), len(index) + len(new))))
                     number = np.r_[0, np.fromiter(map(index.__getitem__, own), np.int32, len(own))].astype(np.int32)
                     keys.append(number[_read(ids, n * depth).reshape(depth, n)])
                     weights.append(_read(counts, n).astype(np.int64))
                 keys, weights = np.concatenate(keys, axis=1), np.concatenate(weights)
                 total = int(weights[keys[1] == 0].sum()) if depth > 1 else int(weights.sum())
                 one, size, count = equal_partitions(keys, weights, least)
-                words = ["", *(w.decode() for w in list(index)[1:])]
-                out = [[words[i] for i in keys[:k, p]] for p, k in zip(one.tolist(), size.tolist())]
+                words = list(index)
+                out = [[words[i].decode() for i in keys[:k, p].tolist()] for p, k in zip(one.tolist(), size.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(out) + 1)), pa.array([*out, []], pa.list_(pa.string())), pa.array([*count.tolist(), total], pa.int64())], ["lang", "words", "a"])
 
     return run
