@@ -1,9 +1,4 @@
-"""Document bodies: sanitizing HTML, HTML to Markdown, tables, Markdown headings and code fences, front matter.
-
-All but the readers of archives and drawings are native column expressions over
-regular expressions. The HTML that arrives is an export's or a crawled page's; tags are
-handled as a stream, so a tag that is left open is no obstacle, and none is invented.
-"""
+"""Document bodies: headings, front matter, and the readers of archives and drawings."""
 
 from __future__ import annotations
 
@@ -20,73 +15,11 @@ from pyspark.sql import types as T
 
 from ledgerleaf.functions import text, urls
 
-# Elements that stay, and elements that go with all they contain.
-ALLOWED = ("a", "blockquote", "br", "code", "del", "div", "em", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "img", "li", "ol", "p", "pre", "span", "strong", "sub", "sup", "table", "tbody", "td", "th", "thead", "tr", "ul")
-REMOVED = ("embed", "form", "iframe", "object", "script", "style")
 # Limits of archives, and elements of drawings.
 ENTRIES, ENTRY_BYTES, TOTAL_BYTES, RATIO = 1_000, 20 * 1024 * 1024, 50 * 1024 * 1024, 200
 DRAWING = ("circle", "clippath", "defs", "desc", "ellipse", "g", "line", "lineargradient", "mask", "path", "pattern", "polygon", "polyline", "radialgradient", "rect", "stop", "svg", "text", "title", "tspan", "use")
 
 MARKER = "<!-- Generated. Do not edit. -->"
-SAFE_LINK = r'(?i)<a\s[^<>]*?href="((?:https?://|mailto:|/[^/"<>]|#|\.{1,2}/)[^"<>]*)"[^<>]*>'
-
-#: Steps of sanitizing as (pattern, replacement); \x01 and \x02 stand for the brackets of tags that stay.
-SANITIZE = [
-    (r"(?s)<!--.*?-->", ""),
-    *((rf"(?is)<{e}\b[^<>]*>.*?</{e}\s*>", "") for e in REMOVED),
-    ("[\x01\x02]", ""),
-    (SAFE_LINK, '\x01a href="$1"\x02'),
-    (rf"(?i)<(/?)({'|'.join(ALLOWED)})(?:\s[^<>]*|/)?>", "\x01$1$2\x02"),
-    (r"<[/!?a-zA-Z][^<>]*>", ""),
-    ("\x01", "<"),
-    ("\x02", ">"),
-]
-
-#: Steps from sanitized HTML to Markdown.
-MARKDOWN = [
-    *((rf"(?i)<h{n}>", "\n\n" + "#" * n + " ") for n in range(1, 7)),
-    (r"(?i)</h[1-6]>|</?p>|</?div>|</?blockquote>|</?table>|</tr>", "\n\n"),
-    (r"(?i)<li>", "\n- "),
-    (r"(?i)</?strong>", "**"),
-    (r"(?i)</?em>", "*"),
-    (r"(?i)</?del>", "~~"),
-    (r"(?i)</?code>", "`"),
-    (r"(?i)<hr>", "\n\n---\n\n"),
-    (r"(?i)<br>", "\n"),
-    (r"(?i)<t[dh]>", "| "),
-    (r'(?is)<a href="([^"<>]*)">(.*?)</a>', "[$2]($1)"),
-    (r"<[/a-zA-Z][^<>]*>", ""),
-    ("&nbsp;", " "),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&amp;", "&"),
-    (r"[ \t]+\n", "\n"),
-    (r"\n{3,}", "\n\n"),
-    (r"^\n+|\n+$", ""),
-]
-
-
-def _steps(text: Column, steps: list[tuple[str, str]]) -> Column:
-    for pattern, replacement in steps:
-        text = F.regexp_replace(text, pattern, replacement)
-    return text
-
-
-def sanitized(html: Column) -> Column:
-    """Allowed elements without attributes but for safe links' targets; the text of others; no comments, no active content."""
-    return _steps(html, SANITIZE)
-
-
-def to_markdown(html: Column) -> Column:
-    return _steps(sanitized(html), MARKDOWN)
-
-
-def complex_table(table: Column) -> Column:
-    """Whether a table must stay HTML: nested content, spans, no rows, or rows of different lengths."""
-    cells = F.array_distinct(F.transform(F.regexp_extract_all(table, F.lit(r"(?is)<tr\b.*?</tr>"), F.lit(0)), lambda row: F.regexp_count(row, F.lit(r"(?i)<t[dh]\b"))))
-    nested = table.rlike(r"(?is)<table\b.*<table\b|<(img|ul|ol|pre)\b") | table.rlike(r'(?i)(colspan|rowspan)\s*=\s*"?([2-9]|1\d)')
-    return nested | (F.size(cells) != 1)
 
 
 def normalized_headings(markdown: Column, title: Column) -> Column:

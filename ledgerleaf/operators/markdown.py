@@ -127,16 +127,6 @@ def first_paragraph(rows: Column) -> Column:
     return F.get(usable, 0)
 
 
-def pipe_table(table: Column) -> Column:
-    """A simple HTML table with pipes: the first row is the head, white space is single, pipes are escaped."""
-    cell = lambda c: F.replace(F.trim(F.regexp_replace(F.regexp_replace(c, r"(?is)^<t[dh]\b[^<>]*>|<[^<>]*>", " "), r"\s+", " ")), F.lit("|"), F.lit("\\|"))
-    cells = F.transform(F.regexp_extract_all(table, F.lit(r"(?is)<tr\b.*?</tr>"), F.lit(0)), lambda row: F.transform(F.regexp_extract_all(row, F.lit(r"(?is)<t[dh]\b.*?</t[dh]>"), F.lit(0)), cell))
-    line = lambda row: F.concat(F.lit("| "), F.array_join(row, " | "), F.lit(" |"))
-    rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.size(F.get(cells, 0))))
-    rows = F.transform(cells, line)
-    return F.when(F.size(cells) > 0, F.array_join(F.concat(F.slice(rows, 1, 1), F.array(rule), F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0)))), "\n"))
-
-
 def front_matter_issue(content: Column) -> Column:
     """Why a generated file's head is refused, or null: it opens at once, closes, and the marker is the first line after that isn't blank."""
     lines = F.split(content, "\n")

@@ -201,28 +201,9 @@ ORACLE: dict[str, str] = {
 }
 
 
-#: What sanitizing leaves of the driver's pages, whose tags are known: told by what they hold, not by the operator's steps.
-_CLEAN = r"""clean AS (
-  SELECT page_id, replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<style>.*?</style>', '', 'g'), '(?s)<script>.*?</script>', '', 'g'), '(?s)<!--.*?-->', '', 'g'),
-    '</?(!DOCTYPE|html|head|body|meta|title|article|footer|nav|b)( [^>]*)?>', '', 'g'), '<div class="ad">', '<div>') AS html FROM pages)"""
-
-
-def _replaced(x: str, pairs: list[tuple[str, str]]) -> str:
-    for old, new in pairs:
-        x = f"replace({x}, '{old}', {new})"
-    return x
-
-
-_GAP = "chr(10) || chr(10)"
-_BLOCKS = [("<h1>", f"{_GAP} || '# '"), *((t, _GAP) for t in ("</h1>", "<p>", "</p>", "<div>", "</div>")), ("<li>", "chr(10) || '- '"), *((t, "''") for t in ("</li>", "<ul>", "</ul>")), ("<br>", "chr(10)")]
-_ENTITIES = [("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&amp;", "'&'")]
 _PLAIN = r"lower(trim(regexp_replace({}, '\s+', ' ', 'g')))"
 _SHAPED = r"shaped AS (SELECT doc_id, t AS title, '# ' || CASE WHEN doc_id % 2 = 0 THEN t ELSE 'Other' END || chr(10) || chr(10) || text AS body FROM (SELECT doc_id, text, regexp_extract(text, '^([^\n]*)', 1) AS t FROM documents)), firsts AS (SELECT *, regexp_extract(body, '^\s*# ([^\n]*)', 1) AS f FROM shaped)"
 ORACLE |= {
-    "html_sanitize": f"WITH {_CLEAN} SELECT page_id, html FROM clean",
-    "html_to_markdown": rf"""WITH {_CLEAN}, linked AS (SELECT page_id, regexp_replace(html, '<a href="([^"]*)">([^<]*)</a>', '[\2](\1)', 'g') AS h FROM clean),
-        laid AS (SELECT page_id, {_replaced(_replaced('h', _BLOCKS), _ENTITIES)} AS m FROM linked)
-        SELECT page_id, trim(regexp_replace(regexp_replace(m, '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', {_GAP}, 'g'), chr(10)) AS markdown FROM laid""",
     "markdown_normalize": rf"WITH {_SHAPED} SELECT doc_id, regexp_replace(CASE WHEN f <> '' AND {_PLAIN.format('f')} = {_PLAIN.format('title')} THEN regexp_replace(body, '^\s*# [^\n]*\n*', '') ELSE body END, '(?m)^# ', '## ', 'g') AS body FROM firsts",
     "fence_check": r"SELECT doc_id, len(regexp_extract_all('```' || chr(10) || text || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '```' ELSE '``' END, '(?m)^```')) % 2 = 1 AS unclosed FROM documents",
 }

@@ -227,14 +227,6 @@ def first_paragraphs(spark, d):
     return bindings.bodies(spark, d).select("doc_id", markdown.first_paragraph(markdown.roles(made)).alias("paragraph"))
 
 
-@query("WITH l AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<ul>(.*?)</ul>', 1), '<li><a href=\"[^\"]*\">([^<]*)</a>', 1) AS items FROM pages) SELECT page_id, '| Name | a\\|b |' || chr(10) || '| --- | --- |' || array_to_string(list_transform(items, lambda x: chr(10) || '| ' || trim(regexp_replace(x, '\\s+', ' ', 'g')) || ' | 1 |'), '') AS rows FROM l")
-def pipe_tables(spark, d):
-    """Each page's first list as the rows of a table."""
-    lists = F.regexp_extract("html", r"(?s)<ul>(.*?)</ul>", 1)
-    table = F.concat(F.lit("<table><tr><th>Name</th>\n<th class='x'>a|b</th></tr>"), F.regexp_replace(lists, r"(?s)<li>(.*?)</li>", "<tr><td>$1</td><td> 1</td></tr>"), F.lit("</table>"))
-    return bindings.table(spark, d, "pages").select("page_id", markdown.pipe_table(table).alias("rows"))
-
-
 @query("WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages), known AS (SELECT DISTINCT substr(href, 2) AS slug FROM l GROUP BY href HAVING count(DISTINCT page_id) > 1) SELECT DISTINCT page_id AS id, href || '/?v=1#top' AS href, href || '/index.md?v=1#top' AS new_href FROM l WHERE substr(href, 2) IN (SELECT slug FROM known) AND NOT regexp_matches(href, '[\\s()<>?#]')")
 def markdown_routes_of_links(spark, d):
     found = bindings.page_links(spark, d)

@@ -539,24 +539,6 @@ def checks_files(spark, d):
 # -- bodies of pages ---------------------------------------------------------
 
 
-@query
-def html_sanitize(spark, d):
-    return bindings.table(spark, d, "pages").select("page_id", bodies.sanitized(F.col("html")).alias("html"))
-
-
-@query
-def html_to_markdown(spark, d):
-    return bindings.table(spark, d, "pages").select("page_id", bodies.to_markdown(F.col("html")).alias("markdown"))
-
-
-@query
-def table_complexity(spark, d):
-    """All lists of all pages stand for tables: items as rows of one cell, or of two if they hold a comma."""
-    lists = bindings.table(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("(?s)<ul>(.*?)</ul>"), F.lit(1))).alias("position", "items"))
-    table = F.expr("concat('<table>', regexp_replace(items, '<li>(.*?)</li>', '<tr><td>$1</td></tr>'), '</table>')")
-    return lists.select("page_id", F.col("position").cast("long").alias("position"), bodies.complex_table(F.regexp_replace(table, ",</a>", "</a><td>")).alias("complex"))
-
-
 @query
 def markdown_normalize(spark, d):
     shaped = bindings.bodies(spark, d).withColumn("body", F.expr("concat('# ', if(doc_id % 2 = 0, title, 'Other'), '\n\n', body)"))

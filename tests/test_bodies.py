@@ -13,19 +13,6 @@ def one(spark, value, *columns, kind="string"):
     return spark.createDataFrame([(value,)], f"v {kind}").select(*columns).first()
 
 
-def test_sanitize_and_markdown(spark):
-    html = '<!-- c --><h1 onclick="x">Title</h1><script>var t="</p>";</script><p style="a">Hi <b>bold</b> <strong>s</strong> <a href="javascript:x">bad</a> <a class="q" href="/ok">good</a><ul><li>one<li>two</ul><nav>n</nav>&amp;'
-    clean = one(spark, html, bodies.sanitized(F.col("v")))[0]
-    assert clean == '<h1>Title</h1><p>Hi bold <strong>s</strong> <a>bad</a> <a href="/ok">good</a><ul><li>one<li>two</ul>n&amp;'
-    assert one(spark, clean, bodies.sanitized(F.col("v")))[0] == clean
-    assert one(spark, html, bodies.to_markdown(F.col("v")))[0] == "# Title\n\nHi bold **s** bad [good](/ok)\n- one\n- twon&"
-
-
-def test_tables(spark):
-    simple = "<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table>"
-    assert [one(spark, t, bodies.complex_table(F.col("v")))[0] for t in (simple, simple.replace("<td>1", '<td colspan="2">1'), simple.replace("<td>2</td>", ""), "<table></table>")] == [False, True, True, True]
-
-
 def test_markdown(spark):
     normal = lambda text: one(spark, text, bodies.normalized_headings(F.col("v"), F.lit("Expected")))[0]
     assert normal("# Different\ntext") == "## Different\ntext"
