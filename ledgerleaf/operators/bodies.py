@@ -22,14 +22,6 @@ DRAWING = ("circle", "clippath", "defs", "desc", "ellipse", "g", "line", "linear
 MARKER = "<!-- Generated. Do not edit. -->"
 
 
-def normalized_headings(markdown: Column, title: Column) -> Column:
-    """A first heading that repeats the title goes; other first-level headings become second-level."""
-    plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-    first = F.regexp_extract(markdown, r"^\s*# ([^\n]*)", 1)
-    rest = F.when((first != "") & (plain(first) == plain(title)), F.regexp_replace(markdown, r"^\s*# [^\n]*\n*", "")).otherwise(markdown)
-    return F.regexp_replace(rest, r"(?m)^# ", "## ")
-
-
 def document(title: Column, slug: Column, content_hash: Column, body: Column) -> Column:
     """A generated file: front matter, the marker, and the body."""
     meta = F.concat(*(part for name, value in (("title", title), ("slug", slug), ("contentHash", content_hash)) for part in (F.lit(f"{name}: "), F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r"^\{\"v\":(.*)\}$", 1), F.lit("\n"))))

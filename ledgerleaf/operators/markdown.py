@@ -1,130 +1,219 @@
-"""Markdown by lines: code fences, prose without code, links and definitions, policy, plain text, tables and front matter.
+"""Markdown bodies as rows: blocks and marks with their places, and what is asked, refused or rewritten as joins over them.
 
-Bodies are arrays of lines, and one fold over them tells code from prose; all else are
-column expressions, and what refers to another place of a document is joined to it.
+``blocks`` reads every body once (``functions.marks``); links, policy, descriptions, code,
+tables and the canonical form are queries over its rows. A rewritten body is the old one
+with some spans replaced: ``splice`` cuts it at their places and joins the pieces.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerleaf.functions import text, urls
-from ledgerleaf.operators import bodies
+from ledgerleaf.functions import labels, marks, text, urls
+from ledgerleaf.operators import bodies, markup
+from ledgerleaf.operators import links as graph
 
-FENCE = r"^ {0,3}(`{3,}|~{3,})(.*)$"
-HTML_TAG = r"(?i)<(?:!--|/?[a-z][a-z0-9-]*(?:\s[^<>]*|/)?>)"
-IMAGE = r"!\[[^\[\]]*\]\(\s*<?([^()\s<>]+)>?[^()]*\)"
-INLINE = r"(?<!!)\[[^\[\]]*\]\(\s*<?([^()\s<>]+)>?[^()]*\)"
-REFERENCE = r"\[[^\[\]]+\]\[([^\[\]]*)\]"
-DEFINITION = r"(?m)^ {0,3}\[([^\[\]]+)\]:[ \t]*<?([^\s<>]+)"
 TABLE_LINE = r"(?m)^ {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)+\|?[ \t]*$"
 LANGUAGE = r"^[A-Za-z0-9_+#.-]+$"
+#: The images that a generated page may hold: its own assets.
+ASSET = r"^(\.\./){3}assets/generated/[A-Za-z0-9_-]+/image-\d{3}\.(?:gif|jpg|png|svg|webp)$"
+
+_SPAN = [("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("href_start", pa.int32()), ("href_end", pa.int32()), ("href", pa.string()), ("label", pa.string())]
+_BLOCK = pa.schema([
+    ("block", pa.int32()), ("kind", pa.string()), ("level", pa.int32()), ("info", pa.string()), ("text", pa.string()), ("plain", pa.string()), ("canonical", pa.string()), ("start", pa.int32()), ("end", pa.int32()),
+    ("top", pa.bool_()), ("fenced", pa.bool_()), ("closed", pa.bool_()), ("gap", pa.string()), ("first", pa.string()), ("rest", pa.string()), ("spans", pa.list_(pa.struct(_SPAN))),
+])
+BLOCKS = (
+    "block int, kind string, level int, info string, text string, plain string, canonical string, start int, end int, top boolean, fenced boolean, closed boolean, gap string, first string, rest string, "
+    "spans array<struct<kind: string, start: int, end: int, href_start: int, href_end: int, href: string, label: string>>"
+)
+
+
+def _read(body: str) -> list[tuple]:
+    found = marks.blocks(body)
+    named = {b.info for b in found if b.kind == "definition"}
+    rows = []
+    for i, (b, (gap, first, rest)) in enumerate(zip(found, marks.layout(found))):
+        source, plain, canonical, spans = b.text, None, None, []
+        if b.kind in ("paragraph", "heading", "table"):
+            marked, plain, canonical = marks.inlines(source, named)
+            place = lambda x: None if x is None else b.place(x)  # noqa: B023, E731
+            spans = [(kind, b.place(s), b.place(e - 1) + 1, place(hs), None if hs is None else b.place(hs) + he - hs, href, label) for kind, s, e, hs, he, href, label in marked]
+        elif b.kind == "definition":
+            at = b.lines[0][0]
+            spans = [("definition", b.start, b.end, at, at + len(source), marks.unescaped(source), b.info)]
+            source = body[b.start : b.end]
+        elif b.kind == "html":
+            spans = [("table", b.place(s), b.place(e - 1) + 1, None, None, None, None) for s, e in marks.outer_tables(source)]
+        keys = [k for k, _ in _SPAN]
+        rows.append((i, b.kind, b.level, b.info, source, plain, canonical, b.start, b.end, not b.holders, bool(b.fence), b.closed, gap, first, rest, [dict(zip(keys, x)) for x in spans]))
+    return rows
+
+
+def _rows(batches):
+    for batch in batches:
+        rows, owner = [], []
+        for i, body in enumerate(batch.column(1).to_pylist()):
+            new = _read(body or "")
+            rows += new
+            owner += [i] * len(new)
+            if len(rows) >= 5_000 or i == len(batch) - 1:
+                columns = list(zip(*rows)) or [()] * len(_BLOCK)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int32())), *(pa.array(c, f.type) for c, f in zip(columns, _BLOCK))], ["id", *_BLOCK.names])
+                rows, owner = [], []
+
+
+def blocks(docs: DataFrame, body: str = "body") -> DataFrame:
+    """The blocks of the bodies of (id, body) in order, with the marks in them.
+
+    kind: heading, paragraph, code, rule, html, table or definition; places count
+    characters. ``text`` is without marks of quotations and lists; ``plain`` without any.
+    """
+    return docs.select("id", F.col(body).alias("body")).mapInArrow(_rows, f"id {dict(docs.dtypes)['id']}, {BLOCKS}")
 
 
-def roles(markdown: Column) -> Column:
-    """Array of (line, role, block): role is open, code, close or text; block numbers the fences from 1.
-
-    A fence is closed by one of the same character that is as long at least and says
-    nothing more; the last block of a body may lack its close.
-    """
+def spans(found: DataFrame) -> DataFrame:
+    """(id, block, kind, start, end, href_start, href_end, href, label) of the marks of ``blocks``."""
+    return found.select("id", "block", F.explode("spans").alias("s")).select("id", "block", "s.*")
 
-    def step(state: Column, line: Column) -> Column:
-        run, rest = F.regexp_extract(line, FENCE, 1), F.regexp_extract(line, FENCE, 2)
-        sign, size = F.substr(run, F.lit(1), F.lit(1)), F.length(run)
-        opens = (state["sign"] == "") & (size > 0) & ~((sign == "`") & rest.contains("`"))
-        closes = (state["sign"] != "") & (sign == state["sign"]) & (size >= state["size"]) & (F.trim(rest) == "")
-        role = F.when(opens, "open").when(closes, "close").when(state["sign"] == "", "text").otherwise("code")
-        block = state["block"] + F.when(opens, 1).otherwise(0)
-        return F.struct(
-            F.when(opens, sign).when(closes, "").otherwise(state["sign"]).alias("sign"), F.when(opens, size).otherwise(state["size"]).alias("size"), block.alias("block"),
-            F.concat(state["out"], F.array(F.struct(line.alias("line"), role.alias("role"), block.alias("block")))).alias("out"),
-        )
 
-    start = F.struct(F.lit("").alias("sign"), F.lit(0).alias("size"), F.lit(0).alias("block"), F.array().cast("array<struct<line: string, role: string, block: int>>").alias("out"))
-    return F.aggregate(F.split(markdown, "\n"), start, step, lambda s: s["out"])
+@F.pandas_udf(T.StringType())
+def _spliced(body: pd.Series, edits: pd.Series) -> pd.Series:
+    def one(old, found):
+        if old is None or found is None or not len(found):
+            return old
+        pieces, at = [], 0
+        for e in found:
+            if e["start"] >= at:
+                pieces += [old[at : e["start"]], e["new"]]
+                at = e["end"]
+        return "".join([*pieces, old[at:]])
 
+    return pd.Series([one(b, e) for b, e in zip(body, edits)], dtype=object)
 
-def unclosed(rows: Column) -> Column:
-    """Whether the last fence of ``roles`` is open at the end."""
-    last = F.get(F.filter(rows, lambda r: r["role"].isin("open", "close")), F.size(F.filter(rows, lambda r: r["role"].isin("open", "close"))) - 1)
-    return F.coalesce(last["role"] == "open", F.lit(False))
 
+def splice(docs: DataFrame, edits: DataFrame, body: str = "body") -> DataFrame:
+    """``docs`` with their bodies cut at the places of ``edits`` (id, start, end, new) and put together with what is new.
 
-def prose(rows: Column) -> Column:
-    """The text lines of ``roles``, without code spans."""
-    lines = F.transform(F.filter(rows, lambda r: r["role"] == "text"), lambda r: r["line"])
-    return F.regexp_replace(F.array_join(lines, "\n"), r"(`+)(?!`).+?(?<!`)\1(?!`)", "")
+    Of edits that overlap the first counts; of equal ones the least.
+    """
+    per = edits.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "end", "new"))).alias("edits"))
+    joined = docs.join(per, "id", "left")
+    return joined.withColumn(body, _spliced(F.col(body), F.col("edits"))).select(*docs.columns)
 
 
 def code_blocks(docs: DataFrame, body: str = "body") -> DataFrame:
-    """(id, block, language, code, width): closed code blocks; width is of a fence longer than any run of backticks inside.
+    """(id, block, language, code, width): closed fences, numbered from 1; width is of a fence longer than any run of backticks inside.
 
     A language tag that isn't one plain word is dropped.
     """
-    lines = docs.select("id", F.explode(roles(F.col(body))).alias("r")).select("id", "r.*").where("role <> 'text'")
-    grouped = lines.groupBy("id", "block").agg(F.max(F.when(F.col("role") == "open", F.col("line"))).alias("open"), F.count_if(F.col("role") == "close").alias("closes"))
-    language = F.trim(F.regexp_extract("open", FENCE, 2))
-    made = docs.select("id", F.explode(_blocks(roles(F.col(body)))).alias("b")).select("id", "b.*")
-    runs = F.transform(F.regexp_extract_all("code", F.lit("`+"), F.lit(0)), lambda r: F.length(r))
-    rows = made.join(grouped.where("closes = 1"), ["id", "block"])
-    return rows.select("id", "block", F.when(language.rlike(LANGUAGE), language).alias("language"), "code", F.greatest(F.lit(3), F.coalesce(F.array_max(runs), F.lit(0)) + 1).alias("width"))
+    found = blocks(docs, body).where("kind = 'code' and fenced")
+    number = F.row_number().over(Window.partitionBy("id").orderBy("block"))
+    return found.withColumn("block", number).where("closed").select("id", "block", F.when(F.col("info").rlike(LANGUAGE), F.col("info")).alias("language"), F.col("text").alias("code"), _width().alias("width"))
+
+
+def _width() -> Column:
+    runs = F.transform(F.regexp_extract_all("text", F.lit("`+"), F.lit(0)), lambda r: F.length(r))
+    return F.greatest(F.lit(3), F.coalesce(F.array_max(runs), F.lit(0)) + 1)
+
+
+def fence_states(docs: DataFrame, body: str = "body") -> DataFrame:
+    """(id, unclosed, prose): whether a fence is open at the end, and the text of all that isn't code."""
+    found = blocks(docs, body)
+    prose = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") != "code", F.struct("block", "text")))), lambda b: b["text"]), "\n")
+    made = found.groupBy("id").agg(F.coalesce(F.bool_or((F.col("kind") == "code") & F.col("fenced") & ~F.col("closed")), F.lit(False)).alias("unclosed"), prose.alias("prose"))
+    return docs.select("id").join(made, "id", "left").select("id", F.coalesce("unclosed", F.lit(False)).alias("unclosed"), F.coalesce("prose", F.lit("")).alias("prose"))
 
 
-def _blocks(rows: Column) -> Column:
-    numbers = F.array_distinct(F.transform(F.filter(rows, lambda r: r["role"] != "text"), lambda r: r["block"]))
-    return F.transform(numbers, lambda n: F.struct(n.alias("block"), F.array_join(F.transform(F.filter(rows, lambda r: (r["role"] == "code") & (r["block"] == n)), lambda r: r["line"]), "\n").alias("code")))
+def _raw_html(found: DataFrame) -> DataFrame:
+    """(id, html) of raw blocks and raw tags."""
+    return found.where("kind = 'html'").select("id", F.col("text").alias("html")).unionByName(spans(found).where("kind = 'html'").select("id", F.col("href").alias("html")))
 
 
 def links(docs: DataFrame, body: str = "body") -> DataFrame:
-    """(id, kind, href): links and images outside of code - inline, by reference, and in raw HTML.
+    """(id, kind, href): links and images outside of code - inline, automatic, by reference, and in raw HTML.
 
     References meet the definitions of their own document, whatever their case; of
-    several definitions the first counts, as the least by its place. Code is no link.
+    several definitions the first counts.
     """
-    plain = docs.select("id", prose(roles(F.col(body))).alias("p"))
-    found = lambda kind, pattern, group=1: plain.select("id", F.lit(kind).alias("kind"), F.explode(F.regexp_extract_all("p", F.lit(pattern), F.lit(group))).alias("href"))
-    label = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-    defined = plain.select("id", F.posexplode(F.arrays_zip(F.regexp_extract_all("p", F.lit(DEFINITION), F.lit(1)).alias("label"), F.regexp_extract_all("p", F.lit(DEFINITION), F.lit(2)).alias("href"))).alias("place", "d"))
-    defined = defined.select("id", label(F.col("d.label")).alias("label"), F.struct("place", "d.href").alias("first")).groupBy("id", "label").agg(F.min("first").alias("first"))
-    whole = plain.select("id", F.explode(F.regexp_extract_all("p", F.lit(REFERENCE), F.lit(0))).alias("whole"))
-    asked = whole.select("id", F.regexp_extract("whole", r"^\[([^\[\]]+)\]\[([^\[\]]*)\]$", 1).alias("text"), F.regexp_extract("whole", r"\]\[([^\[\]]*)\]$", 1).alias("label"))
-    referred = asked.select("id", label(F.when(F.col("label") == "", F.col("text")).otherwise(F.col("label"))).alias("label")).join(defined, ["id", "label"])
-    parts = [found("link", INLINE), found("image", IMAGE), found("html_link", r"(?i)<a\s[^<>]*?href=\"([^\"<>]*)\""), found("html_image", r"(?i)<img\s[^<>]*?src=\"([^\"<>]*)\"")]
-    out = referred.select("id", F.lit("reference").alias("kind"), F.col("first.href").alias("href"))
-    for p in parts:
-        out = out.unionByName(p)
-    return out
-
-
-def policy_issues(docs: DataFrame, body: str = "body", assets: str = r"^/assets/generated/[^/]+/image-\d{3,}\.[a-z]+$") -> DataFrame:
-    """(id, code) of what a generated page may not hold: raw HTML, images that aren't its assets, links that aren't safe."""
-    html = docs.select("id", prose(roles(F.col(body))).alias("p")).where(F.col("p").rlike(HTML_TAG)).select("id", F.lit("raw_html").alias("code"))
-    found = links(docs, body)
-    images = found.where(F.col("kind").isin("image", "html_image") & ~F.col("href").rlike(assets)).select("id", F.lit("image").alias("code"))
-    unsafe = found.where(F.col("kind").isin("link", "reference", "html_link") & ~urls.safe_in_markdown(F.col("href"))).select("id", F.lit("unsafe_link").alias("code"))
-    return html.unionByName(images).unionByName(unsafe).distinct()
-
-
-def fallback_reasons(docs: DataFrame, body: str = "body") -> DataFrame:
-    """(id, reasons): why a body takes the way over an archive - html, image, table - sorted; bodies without reason have no row."""
-    plain = prose(roles(F.col(body)))
-    reasons = F.array_compact(F.array(F.when(plain.rlike(HTML_TAG), "fallback:html"), F.when(plain.rlike(IMAGE), "fallback:image"), F.when(plain.rlike(TABLE_LINE), "fallback:table")))
-    return docs.select("id", F.array_join(reasons, ",").alias("reasons")).where("reasons <> ''")
-
-
-def plain_text(markdown: Column) -> Column:
-    """The words of a body: text of links, alternatives of images and code stay, marks go, white space is single."""
-    out = F.regexp_replace(markdown, r"!?\[([^\[\]]*)\]\([^()]*\)", "$1")
-    out = F.regexp_replace(out, r"(?m)^ {0,3}(?:#{1,6}\s+|>\s?|[-*+]\s+|\d+[.)]\s+|`{3,}.*$|~{3,}.*$)", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[*_~`]+|<[^<>]*>", ""), r"\s+", " "))
-
-
-def first_paragraph(rows: Column) -> Column:
-    """The first paragraph of ``roles`` that isn't a heading, a rule, a list or code; null without one."""
-    blocks = F.split(F.array_join(F.transform(rows, lambda r: F.when(r["role"] == "text", r["line"]).otherwise("\n")), "\n"), r"\n\s*\n")
-    usable = F.filter(blocks, lambda b: (F.trim(F.regexp_replace(b, r"\s+", " ")) != "") & ~b.rlike(r"^\s*(?:#{1,6}\s|[-*+]\s|\d+[.)]\s|>|\||(?:[-*_]\s*){3,}$)"))
-    return F.get(usable, 0)
+    found = blocks(docs, body)
+    marked = spans(found)
+    defined = marked.where("kind = 'definition'").groupBy("id", "label").agg(F.min_by("href", "start").alias("defined"))
+    direct = marked.where("kind in ('link', 'image', 'autolink')").select("id", "kind", "href")
+    referred = marked.where("kind in ('reference', 'image_reference')").join(defined, ["id", "label"]).select("id", "kind", F.col("defined").alias("href"))
+    tags = markup.events(_raw_html(found)).where("kind in ('open', 'void') and name in ('a', 'img')")
+    own = F.when(F.col("name") == "a", F.col("attributes")["href"]).otherwise(F.col("attributes")["src"])
+    raw = tags.select("id", F.when(F.col("name") == "a", "html_link").otherwise("html_image").alias("kind"), own.alias("href")).where("href is not null")
+    return direct.unionByName(referred).unionByName(raw)
+
+
+def policy_issues(docs: DataFrame, body: str = "body", allow_html: bool = False, allow_images: bool = False) -> DataFrame:
+    """(id, code), each once: unsupported_html, unsupported_image, unsafe_url.
+
+    Links, automatic links and definitions, used or not, must be safe; images by
+    reference are never supported, others only if allowed and one of the page's assets.
+    """
+    found = blocks(docs, body)
+    marked = spans(found)
+    kind, href = F.col("kind"), F.col("href")
+    code = F.when(kind == "image_reference", "unsupported_image").when((kind == "image") & (F.lit(not allow_images) | ~href.rlike(ASSET)), "unsafe_url" if allow_images else "unsupported_image")
+    code = code.when(kind.isin("link", "autolink", "definition") & ~urls.safe_in_markdown(href), "unsafe_url")
+    out = marked.select("id", code.alias("code")).where("code is not null")
+    if not allow_html:
+        out = out.unionByName(_raw_html(found).select("id", F.lit("unsupported_html").alias("code")))
+    return out.distinct()
+
+
+def fallback_reasons(docs: DataFrame, structures: DataFrame | None = None, body: str = "body") -> DataFrame:
+    """(id, reasons): why a body takes the way over an archive, sorted; bodies without reason have no row.
+
+    ``structures``: (id, has_drawings, has_media) of the documents' objects, where known.
+    """
+    found = blocks(docs, body)
+    marked = spans(found).where("kind in ('html', 'image', 'image_reference')").select("id", F.when(F.col("kind") == "html", "html").otherwise("image").alias("reason"))
+    out = marked.unionByName(found.where("kind in ('html', 'table')").select("id", F.col("kind").alias("reason")))
+    if structures is not None:
+        own = F.array_compact(F.array(F.when(F.col("has_drawings"), "embedded_drawing"), F.when(F.col("has_media"), "media_object")))
+        out = out.unionByName(structures.select("id", F.explode(own).alias("reason")))
+    reasons = F.transform(F.array_sort(F.collect_set("reason")), lambda r: F.concat(F.lit("fallback:"), r))
+    return out.groupBy("id").agg(F.array_join(reasons, ",").alias("reasons"))
+
+
+def plain_text(docs: DataFrame, body: str = "body") -> DataFrame:
+    """(id, block, kind, words): the text of every heading, paragraph and table without marks, white space single."""
+    found = blocks(docs, body).where("plain is not null")
+    return found.select("id", "block", "kind", F.trim(F.regexp_replace("plain", r"\s+", " ")).alias("words"))
+
+
+def descriptions(docs: DataFrame, body: str = "body") -> DataFrame:
+    """(id, description): the first paragraph with words that stands in no list or quotation, cut to 200; null without one."""
+    found = blocks(docs, body).where("kind = 'paragraph' and top").withColumn("words", F.trim(F.regexp_replace("plain", r"\s+", " "))).where("words <> ''")
+    first = found.groupBy("id").agg(F.min_by("words", "block").alias("words"))
+    return docs.select("id").join(first, "id", "left").select("id", labels.description(F.col("words")).alias("description"))
+
+
+def _comparable(c: Column) -> Column:
+    label = labels.label(c)
+    compatible = F.coalesce(labels.normalized("NFKC")(F.when(labels.needs_normalizing(label), label)), label)
+    return F.lower(F.trim(F.regexp_replace(compatible, r"\s+", " ")))
+
+
+def normalized_headings(docs: DataFrame, body: str = "body", title: str = "title") -> DataFrame:
+    """``docs`` whose first heading, behind rules only, is gone if it repeats the title; other first-level headings become second-level.
+
+    Titles are compared in NFKC, without case, order prefix and white space.
+    """
+    found = blocks(docs, body)
+    lead = found.where("kind <> 'rule'").groupBy("id").agg(F.min("block").alias("lead"))
+    heads = found.where("kind = 'heading' and level = 1").join(lead, "id").join(docs.select("id", F.col(title).alias("own_title")), "id")
+    gone = (F.col("block") == F.col("lead")) & F.col("top") & (_comparable(F.col("plain")) == _comparable(F.col("own_title")))
+    line = F.concat(F.lit("## "), F.regexp_replace("text", r"\n", " "))
+    edits = heads.select("id", "start", "end", F.when(gone, "").otherwise(line).alias("new"))
+    return splice(docs, edits, body).withColumn(body, F.regexp_replace(body, r"^\n+", ""))
 
 
 def front_matter_issue(content: Column) -> Column:
@@ -141,65 +230,68 @@ def front_matter_value(content: Column, name: str) -> Column:
     return F.when(raw != "", F.from_json(F.concat(F.lit('{"v":'), raw, F.lit("}")), "v string")["v"])
 
 
+def document_links(docs: DataFrame, body: str = "body") -> DataFrame:
+    """(id, start, end, href): where the targets of links and definitions stand."""
+    return spans(blocks(docs, body)).where("kind in ('link', 'definition')").select("id", F.col("href_start").alias("start"), F.col("href_end").alias("end"), "href")
+
+
 def internal_links(docs: DataFrame, slugs: DataFrame, body: str = "body") -> DataFrame:
-    """(id, href, new_href): links of bodies to known pages, led to their Markdown, with query and fragment."""
-    found = links(docs, body).where("kind in ('link', 'reference')").select("id", "href").distinct()
-    parts = found.select("id", "href", F.regexp_extract("href", r"^/([^?#]*?)/?(?:[?#].*)?$", 1).alias("slug"), F.regexp_extract("href", r"^[^?#]*(.*)$", 1).alias("rest"))
+    """(id, start, end, href, new): links of bodies to known pages, led to their Markdown, with query and fragment."""
+    found = document_links(docs, body)
+    parts = found.select("*", F.regexp_extract("href", r"^/([^?#]*?)/?(?:[?#].*)?$", 1).alias("slug"), F.regexp_extract("href", r"^[^?#]*(.*)$", 1).alias("rest"))
     local = parts.where(F.col("href").startswith("/") & ~F.col("href").startswith("//"))
-    return local.join(slugs.select("slug"), "slug").select("id", "href", F.concat(F.lit("/"), "slug", F.lit("/index.md"), "rest").alias("new_href"))
+    return local.join(slugs.select("slug"), "slug").select("id", "start", "end", "href", F.concat(F.lit("/"), "slug", F.lit("/index.md"), "rest").alias("new"))
 
 
-def diagrams(code: Column, language: Column) -> Column:
-    """The container of a diagram's source; null for other code."""
-    return F.when(language == "mermaid", F.concat(F.lit('<div class="diagram" data-diagram="'), text.escape_html(code), F.lit('"><pre>'), text.escape_html(code), F.lit("</pre></div>")))
+def published(docs: DataFrame, slugs: DataFrame, body: str = "body") -> DataFrame:
+    """``docs`` with their links to known pages led to these pages' Markdown."""
+    return splice(docs, internal_links(docs, slugs, body).select("id", "start", "end", "new"), body)
 
 
-def restored_code(markdown: Column) -> Column:
-    """A body whose code an export has escaped, with its fences and spans back.
+def with_document_links(docs: DataFrame, slugs: DataFrame, body: str = "body") -> DataFrame:
+    """``docs`` whose links to documents (id, slug) of the service are their addresses, and redirects unwrapped."""
+    rewritten = graph.rewritten(document_links(docs, body).withColumnRenamed("id", "owner"), slugs)
+    return splice(docs, rewritten.where("new_href <> href").select(F.col("owner").alias("id"), "start", "end", F.col("new_href").alias("new")), body)
 
-    Lines of escaped backticks or tildes count as fences. A closed block loses the
-    escapes of its lines and a tag that isn't one plain word, and its fence is longer
-    than any run of its character inside; a block without close stays as it is. Pairs
-    of escaped backticks in a line become spans, unless they are blank.
-    """
-    lines = F.transform(F.split(markdown, "\n"), lambda x: F.when(x.rlike(r"^ {0,3}(?:\\?`){3,}|^ {0,3}(?:\\?~){3,}"), F.regexp_replace(x, r"\\([`~])", "$1")).otherwise(x))
-    rows = roles(F.array_join(lines, "\n"))
-    originals = F.split(markdown, "\n")
 
-    def block(r: Column, of: Column) -> Column:
-        return F.filter(of, lambda o: (o["block"] == r["block"]) & (o["role"] == "code"))
+def diagram(code: Column, language: Column) -> Column:
+    """The container of a diagram's source; null for other code."""
+    return F.when(language == "mermaid", F.concat(F.lit('<div class="diagram" data-diagram="'), text.escape_html(code), F.lit('"><pre>'), text.escape_html(code), F.lit("</pre></div>")))
 
-    def rebuilt(of: Column) -> Column:
-        closed = F.transform(F.filter(of, lambda r: r["role"] == "close"), lambda r: r["block"])
 
-        def line(r: Column, i: Column) -> Column:
-            plain = F.regexp_replace(r["line"], r"\\([\\`*_{}\[\]()#+.!<>~|-])", "$1")
-            sign = F.substr(F.regexp_extract(r["line"], FENCE, 1), F.lit(1), F.lit(1))
-            inner = F.array_join(F.transform(block(r, of), lambda o: F.regexp_replace(o["line"], r"\\([`~])", "$1")), "\n")
-            longest = F.coalesce(F.array_max(F.transform(F.regexp_extract_all(inner, F.lit("`+|~+"), F.lit(0)), lambda run: F.length(run))), F.lit(0))
-            tag = F.trim(F.regexp_extract(r["line"], FENCE, 2))
-            fence = F.repeat(sign, F.greatest(F.lit(3), longest + 1))
-            opened = F.concat(fence, F.when(tag.rlike(LANGUAGE), tag).otherwise(""))
-            own = F.array_contains(closed, r["block"]) & (r["role"] != "text")
-            spans = F.regexp_replace(F.get(originals, i), r"\\`([^`\\\n]*[^`\\\s][^`\\\n]*)\\`", "`$1`")
-            return F.when(own & (r["role"] == "open"), opened).when(own & (r["role"] == "close"), fence).when(own, plain).when(r["role"] == "text", spans).otherwise(F.get(originals, i))
+def with_diagrams(docs: DataFrame, body: str = "body") -> DataFrame:
+    """``docs`` with their diagram fences as containers."""
+    found = blocks(docs, body).where("kind = 'code' and fenced")
+    container = diagram(F.col("text"), F.regexp_extract("info", r"^(\S*)", 1))
+    return splice(docs, found.select("id", "start", "end", container.alias("new")).where("new is not null"), body)
 
-        return F.array_join(F.transform(of, line), "\n")
 
-    return F.get(F.transform(F.array(rows), rebuilt), 0)
+@F.pandas_udf(T.StringType())
+def restored_code(body: pd.Series) -> pd.Series:
+    """Bodies whose code an export has escaped, with their fences and spans back (``marks.restored``)."""
+    return body.map(marks.restored, na_action="ignore")
 
 
-def wrapped_tables(body: Column) -> Column:
-    """Markdown tables and HTML tables, each in a container that can scroll."""
-    html = F.regexp_replace(body, r"(?is)<table\b.*?</table>", '<div class="table">$0</div>')
-    return F.regexp_replace(html, r"(?m)^(\|[^\n]*\|\n\|[-:| ]+\|(?:\n\|[^\n]*\|)*)$", '<div class="table">\n\n$1\n\n</div>')
+def wrapped_tables(docs: DataFrame, body: str = "body") -> DataFrame:
+    """``docs`` with each Markdown table, and each outermost closed table of raw HTML, in a container that can scroll; code stays."""
+    found = blocks(docs, body)
+    ends = lambda start, end, inner: F.array(F.struct(start.alias("start"), start.alias("end"), F.lit(f'<div class="table">{inner}').alias("new")), F.struct(end.alias("start"), end.alias("end"), F.lit(f"{inner}</div>").alias("new")))
+    whole = found.where("kind = 'table' and top").select("id", F.explode(ends(F.col("start"), F.col("end"), "\n\n")).alias("e"))
+    raw = spans(found).where("kind = 'table'").select("id", F.explode(ends(F.col("start"), F.col("end"), "")).alias("e"))
+    return splice(docs, whole.unionByName(raw).select("id", "e.*"), body)
 
 
-def canonical(body: Column) -> Column:
-    """One way to write: hyphens for bullets, asterisks for emphasis, single blank lines outside of code; a second time changes nothing."""
-    def plain(r: Column) -> Column:
-        text_ = F.regexp_replace(F.regexp_replace(r["line"], r"^(\s*)[*+](\s+)", "$1-$2"), r"(?<![A-Za-z0-9_])__([^_]+)__(?![A-Za-z0-9_])", "**$1**")
-        return F.when(r["role"] == "text", F.regexp_replace(F.regexp_replace(text_, r"(?<![A-Za-z0-9_])_([^_]+)_(?![A-Za-z0-9_])", "*$1*"), r"\s+$", "")).otherwise(F.concat(F.lit("\x02"), r["line"]))
+def canonical(docs: DataFrame, body: str = "body") -> DataFrame:
+    """``docs`` in one way to write: hyphens and numbers for items, asterisks for emphasis, number signs for headings, fences for code, single blank lines.
 
-    joined = F.array_join(F.transform(roles(F.regexp_replace(body, "[\x02]", "")), plain), "\n")
-    return F.replace(F.regexp_replace(F.regexp_replace(joined, r"\n{3,}", "\n\n"), r"^\n+|\n+$", ""), F.lit("\x02"), F.lit(""))
+    Items are indented by their marker alone; a second time changes nothing.
+    """
+    fence = F.repeat(F.lit("`"), _width())
+    shown = (
+        F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), F.regexp_replace("canonical", r"\\?\n", " "))).when(F.col("kind") == "rule", "---")
+        .when(F.col("kind") == "code", F.concat(fence, F.col("info"), F.lit("\n"), F.when(F.col("text") != "", F.concat("text", F.lit("\n"))).otherwise(""), fence)).otherwise(F.coalesce("canonical", "text"))
+    )
+    lines = F.transform(F.split(shown, "\n"), lambda line, i: F.when(F.col("kind") == "code", F.regexp_replace(F.concat(F.when(i == 0, F.col("first")).otherwise(F.col("rest")), line), r"^\s+$", "")).otherwise(F.rtrim(F.concat(F.when(i == 0, F.col("first")).otherwise(F.col("rest")), line))))
+    pieces = blocks(docs, body).select("id", "block", F.concat("gap", F.array_join(lines, "\n")).alias("piece"))
+    made = pieces.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "piece"))), lambda p: p["piece"]), "").alias("_made"))
+    return docs.join(made, "id", "left").withColumn(body, F.coalesce("_made", F.lit(""))).select(*docs.columns)

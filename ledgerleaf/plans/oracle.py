@@ -199,11 +199,3 @@ ORACLE: dict[str, str] = {
     "checks_index": f"WITH {_ITEMS.strip()} SELECT 'index' AS rule, id AS key, CASE WHEN id LIKE '%21' THEN 'missing' ELSE 'docs/' || id || '.md' END AS detail FROM items WHERE kind = 'document' AND (id LIKE '%21' OR id LIKE '%42')",
     "checks_files": f"{_MANIFEST} SELECT CASE class WHEN 'added' THEN 'file_missing' ELSE 'file_unexpected' END AS rule, 'docs/' || id AS key, CAST(NULL AS VARCHAR) AS detail FROM classed WHERE class IN ('added', 'removed')",
 }
-
-
-_PLAIN = r"lower(trim(regexp_replace({}, '\s+', ' ', 'g')))"
-_SHAPED = r"shaped AS (SELECT doc_id, t AS title, '# ' || CASE WHEN doc_id % 2 = 0 THEN t ELSE 'Other' END || chr(10) || chr(10) || text AS body FROM (SELECT doc_id, text, regexp_extract(text, '^([^\n]*)', 1) AS t FROM documents)), firsts AS (SELECT *, regexp_extract(body, '^\s*# ([^\n]*)', 1) AS f FROM shaped)"
-ORACLE |= {
-    "markdown_normalize": rf"WITH {_SHAPED} SELECT doc_id, regexp_replace(CASE WHEN f <> '' AND {_PLAIN.format('f')} = {_PLAIN.format('title')} THEN regexp_replace(body, '^\s*# [^\n]*\n*', '') ELSE body END, '(?m)^# ', '## ', 'g') AS body FROM firsts",
-    "fence_check": r"SELECT doc_id, len(regexp_extract_all('```' || chr(10) || text || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '```' ELSE '``' END, '(?m)^```')) % 2 = 1 AS unclosed FROM documents",
-}

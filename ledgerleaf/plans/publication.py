@@ -172,74 +172,6 @@ def content_hash_with_assets(spark, d):
     return _texts(spark, d).select("doc_id", runs.content_hash(F.col("text"), assets).alias("hash"))
 
 
-# -- Markdown ----------------------------------------------------------------
-
-
-def _fenced(spark, d):
-    return _texts(spark, d).select(F.col("doc_id").alias("id"), F.expr("concat('intro\n````py x\n', text, '\n```\n````\n~~~ c++\n', source, '\n```\n~~~\nrest\n', if(doc_id % 3 = 0, '```open\nlost', 'end'))").alias("body"))
-
-
-@query("SELECT doc_id AS id, CAST(1 AS BIGINT) AS block, NULL AS language, sha256(text || chr(10) || '```') AS code_hash, CAST(4 AS BIGINT) AS width FROM documents UNION ALL SELECT doc_id, 2, 'c++', sha256(source || chr(10) || '```'), 4 FROM documents")
-def code_blocks(spark, d):
-    return markdown.code_blocks(_fenced(spark, d)).select("id", F.col("block").cast("long").alias("block"), "language", F.sha2("code", 256).alias("code_hash"), F.col("width").cast("long").alias("width"))
-
-
-@query("SELECT doc_id AS id, doc_id % 3 = 0 AS unclosed, CASE WHEN doc_id % 3 = 0 THEN 'intro' || chr(10) || 'rest' ELSE 'intro' || chr(10) || 'rest' || chr(10) || 'end' END AS prose FROM documents")
-def fence_states(spark, d):
-    rows = markdown.roles(F.col("body"))
-    return _fenced(spark, d).select("id", markdown.unclosed(rows).alias("unclosed"), markdown.prose(rows).alias("prose"))
-
-
-def _linked(spark, d):
-    """Pages behind links of every kind; the page itself is raw HTML."""
-    shape = F.expr("concat('[Ref][ Key  ', page_id % 3, '] [site](/p', page_id, ' \"t\") ![i](/assets/x.png) `[no](code)`\n\n[key ', page_id % 3, ']: https://example.com/', page_id, '\n[KEY ', page_id % 3, ']: https://example.com/later\n\n', if(page_id % 2 = 0, html, 'plain [bad](script:x)'))")
-    return bindings.table(spark, d, "pages").select(F.col("page_id").alias("id"), shape.alias("body"))
-
-
-_HTML_LINKS = "SELECT page_id AS id, 'html_link' AS kind, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages WHERE page_id % 2 = 0"
-
-
-@query(f"SELECT page_id AS id, 'reference' AS kind, 'https://example.com/' || page_id AS href FROM pages UNION ALL SELECT page_id, 'link', '/p' || page_id FROM pages UNION ALL SELECT page_id, 'link', 'script:x' FROM pages WHERE page_id % 2 = 1 UNION ALL SELECT page_id, 'image', '/assets/x.png' FROM pages UNION ALL {_HTML_LINKS}")
-def markdown_links(spark, d):
-    return markdown.links(_linked(spark, d))
-
-
-@query("SELECT page_id AS id, 'image' AS code FROM pages UNION ALL SELECT page_id, 'raw_html' FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 'unsafe_link' FROM pages WHERE page_id % 2 = 1")
-def markdown_policy(spark, d):
-    return markdown.policy_issues(_linked(spark, d))
-
-
-@query("SELECT page_id AS id, CASE WHEN page_id % 2 = 0 THEN 'fallback:html,fallback:image' ELSE 'fallback:image' END || CASE WHEN page_id % 5 = 0 THEN ',fallback:table' ELSE '' END AS reasons FROM pages")
-def fallback_reasons(spark, d):
-    tabled = _linked(spark, d).withColumn("body", F.expr("concat('| a | b |\n|---|:-:|\n', body)")).where("id % 5 = 0")
-    return markdown.fallback_reasons(_linked(spark, d).where("id % 5 <> 0").unionByName(tabled))
-
-
-@query(r"WITH t AS (SELECT doc_id, regexp_extract(text, '^([^\n]*)', 1) AS title FROM documents) SELECT doc_id, trim(regexp_replace(regexp_replace(title, '[*_~`]+|<[^<>]*>', '', 'g'), '\s+', ' ', 'g')) || ' a link and code item' AS words FROM t")
-def plain_words(spark, d):
-    made = F.concat(F.lit("## "), F.col("title"), F.lit("\n\n> a [**link**](/x)\n\n```py\nand `code`\n```\n- _item_"))
-    return bindings.bodies(spark, d).select("doc_id", markdown.plain_text(made).alias("words"))
-
-
-@query(r"SELECT doc_id, regexp_extract(text, '^([^\n]*)', 1) || ' is here' AS paragraph FROM documents")
-def first_paragraphs(spark, d):
-    made = F.concat(F.lit("# Head\n\n---\n\n- list\n\n```\ncode\n```\n\n"), F.concat(F.col("title"), F.lit(" is here")), F.lit("\n\nlater"))
-    return bindings.bodies(spark, d).select("doc_id", markdown.first_paragraph(markdown.roles(made)).alias("paragraph"))
-
-
-@query("WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages), known AS (SELECT DISTINCT substr(href, 2) AS slug FROM l GROUP BY href HAVING count(DISTINCT page_id) > 1) SELECT DISTINCT page_id AS id, href || '/?v=1#top' AS href, href || '/index.md?v=1#top' AS new_href FROM l WHERE substr(href, 2) IN (SELECT slug FROM known) AND NOT regexp_matches(href, '[\\s()<>?#]')")
-def markdown_routes_of_links(spark, d):
-    found = bindings.page_links(spark, d)
-    body = found.select("page_id", F.concat(F.lit("[x]("), "href", F.lit("/?v=1#top)")).alias("l")).groupBy("page_id").agg(F.array_join(F.collect_list("l"), " ").alias("body"))
-    slugs = found.groupBy("href").agg(F.countDistinct("page_id").alias("n")).where("n > 1").select(F.expr("substring(href, 2)").alias("slug"))
-    return markdown.internal_links(body.withColumnRenamed("page_id", "id"), slugs)
-
-
-@query("SELECT doc_id, '<div class=\"diagram\" data-diagram=\"' || e || '\"><pre>' || e || '</pre></div>' AS html FROM (SELECT doc_id, replace(replace(replace(replace(replace(source || '<->&' || lang, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS e FROM documents)")
-def diagram_containers(spark, d):
-    return _texts(spark, d).select("doc_id", markdown.diagrams(F.concat("source", F.lit("<->&"), "lang"), F.lit("mermaid")).alias("html"))
-
-
 # -- URLs and settings -------------------------------------------------------
 
 
@@ -459,24 +391,6 @@ def paths_of_selection(spark, d):
 # -- more of bodies ----------------------------------------------------------
 
 
-@query("SELECT doc_id, 'a `x` b' || chr(10) || '````py' || chr(10) || 'if *a*: ```' || chr(10) || title || chr(10) || '````' || chr(10) || '\\`\\`\\` one two' || chr(10) || '\\*lost' AS body FROM (SELECT doc_id, regexp_extract(text, '^([^\n]*)', 1) AS title FROM documents)")
-def code_restored(spark, d):
-    made = F.concat(F.lit("a \\`x\\` b\n\\`\\`\\`py\nif \\*a\\*: \\`\\`\\`\n"), F.col("title"), F.lit("\n\\`\\`\\`\n\\`\\`\\` one two\n\\*lost"))
-    return bindings.bodies(spark, d).select("doc_id", markdown.restored_code(made).alias("body"))
-
-
-@query("SELECT page_id, '<div class=\"table\">' || chr(10) || chr(10) || '| ' || url || ' |' || chr(10) || '| --- |' || chr(10) || '| x |' || chr(10) || chr(10) || '</div>' || chr(10) || 'text' || chr(10) || '<div class=\"table\"><table><tr><td>' || page_id || '</td></tr></table></div>' AS body FROM pages")
-def tables_wrapped(spark, d):
-    made = F.concat(F.lit("| "), "url", F.lit(" |\n| --- |\n| x |\ntext\n<table><tr><td>"), "page_id", F.lit("</td></tr></table>"))
-    return bindings.table(spark, d, "pages").select("page_id", markdown.wrapped_tables(made).alias("body"))
-
-
-@query("SELECT doc_id, '- ' || source || chr(10) || '**b** *c* a_b_c' || chr(10) || chr(10) || '~~~' || chr(10) || '* code ' || chr(10) || chr(10) || chr(10) || '~~~' AS body, true AS stable FROM documents")
-def markdown_canonical(spark, d):
-    made = markdown.canonical(F.concat(F.lit("\n* "), "source", F.lit("  \n__b__ _c_ a_b_c\n\n\n\n~~~\n* code \n\n\n~~~\n")))
-    return _texts(spark, d).select("doc_id", made.alias("body"), (markdown.canonical(made) == made).alias("stable"))
-
-
 @query("SELECT page_id AS id, CAST(p AS BIGINT) AS position, CASE p WHEN 0 THEN 'image-001.png' WHEN 1 THEN 'image-002.gif' WHEN 2 THEN 'image-001.png' END AS file, CASE p WHEN 1 THEN url ELSE 'Image' END AS alt, CASE p WHEN 3 THEN 'missing' WHEN 4 THEN 'unsafe_path' WHEN 5 THEN 'not_an_image' END AS issue FROM pages, range(0, 6) t(p)")
 def archive_images(spark, d):
     """Pages with six images, two of them equal, one missing, one outside and one that is none."""

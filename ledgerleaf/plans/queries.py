@@ -534,25 +534,3 @@ def checks_files(spark, d):
     expected = bindings.documents(spark, d).select(F.concat(F.lit("docs/"), "id").alias("path"))
     actual = bindings.manifest(spark, d).select(F.concat(F.lit("docs/"), "id").alias("path"))
     return checks.files(expected, actual)
-
-
-# -- bodies of pages ---------------------------------------------------------
-
-
-@query
-def markdown_normalize(spark, d):
-    shaped = bindings.bodies(spark, d).withColumn("body", F.expr("concat('# ', if(doc_id % 2 = 0, title, 'Other'), '\n\n', body)"))
-    return shaped.select("doc_id", bodies.normalized_headings(F.col("body"), F.col("title")).alias("body"))
-
-
-@query
-def fence_check(spark, d):
-    """Lines of another fence inside close nothing."""
-    fenced = bindings.bodies(spark, d).withColumn("body", F.expr("concat('```\n', body, '\n~~~\n', if(doc_id % 3 = 0, '```', '``'))"))
-    return fenced.select("doc_id", markdown.unclosed(markdown.roles(F.col("body"))).alias("unclosed"))
-
-
-@query
-def published_projection(spark, d):
-    made = bindings.bodies(spark, d).withColumn("content", bodies.document(F.col("title"), F.concat(F.lit("docs/"), "doc_id"), text.sha256(F.col("body")), F.trim("body")))
-    return made.select("doc_id", text.sha256(F.col("content")).alias("file_hash"), F.length(bodies.document_body(F.col("content"))).alias("body_length"))

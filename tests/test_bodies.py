@@ -13,14 +13,6 @@ def one(spark, value, *columns, kind="string"):
     return spark.createDataFrame([(value,)], f"v {kind}").select(*columns).first()
 
 
-def test_markdown(spark):
-    normal = lambda text: one(spark, text, bodies.normalized_headings(F.col("v"), F.lit("Expected")))[0]
-    assert normal("# Different\ntext") == "## Different\ntext"
-    assert normal("# expected\n\ntext\n# More") == normal(normal("# expected\n\ntext\n# More")) == "text\n## More"
-    found = {"```\ncode\n": True, "````\n```\n````\ntext": False, "~~~ py\n```\n~~~": False, "```a`b\ntext": False, "    ```\ntext": False, "```\n``` more\n": True, "": False}
-    assert [one(spark, t, markdown.unclosed(markdown.roles(F.col("v"))))[0] for t in found] == list(found.values())
-
-
 def test_front_matter(spark):
     made = bodies.document(F.lit("t"), F.lit("a"), F.lit("h"), F.lit("body"))
     content = one(spark, "", made)[0]
