@@ -80,21 +80,57 @@ def terms(documents: DataFrame, text: str = "text") -> DataFrame:
     return found.groupBy("term", "id").agg(F.count("*").alias("tf"))
 
 
-def search(queries: DataFrame, index_terms: DataFrame, documents: int | DataFrame, top: int = 5) -> DataFrame:
-    """(query, place, id, score): documents with the query's rarest term, by the sum of tf * idf of all its terms; queries: (query, term).
+def posting_blocks(index_terms: DataFrame, block_rows: int = 1_000) -> DataFrame:
+    """(term, block, n, max_tf, postings) of (term, id, tf): the inverted index in blocks.
 
-    The rarest term alone (of equally rare ones the first) makes candidates, so a
-    common word never joins all documents; terms that no document holds are left out.
+    A block holds what a term has of the documents that share a hash of their id, about
+    ``block_rows`` of them, so no block grows with the corpus; ``max_tf`` bounds what a
+    document of it can score.
+    """
+    documents = index_terms.agg(F.approx_count_distinct("id")).first()[0]
+    block = F.pmod(F.xxhash64("id"), F.lit(max(1, documents // block_rows))).alias("block")
+    return index_terms.groupBy("term", block).agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.collect_list(F.struct("id", "tf")).alias("postings"))
+
+
+#: Postings of a query's rarest terms that are scored first, for each place that is asked for.
+SEEDS = 50
+_MARGIN = 1e-5  # scores are rounded to six digits
+
+
+def search(queries: DataFrame, blocks: DataFrame, documents: int | DataFrame, top: int = 5) -> DataFrame:
+    """(query, place, id, score): each query's best documents by the sum of tf * idf of all its terms; queries: (query, term).
+
+    Exact. The documents of a query's rarest terms are scored first; the last place
+    among them is a score that others must reach. Terms whose greatest possible scores
+    together stay below it make no candidates, and of the other terms only blocks, and
+    in these only postings, that can still reach it. Candidates meet the blocks they
+    stand in, never a term's whole list. Terms that no document holds are left out; ties
+    go to the smaller id. blocks: ``posting_blocks``, staged.
     """
-    frequency = index_terms.groupBy("term").agg(F.count("*").alias("df"))
-    asked = queries.distinct().join(frequency, "term")
-    rarest = asked.groupBy("query").agg(F.min(F.struct("df", "term")).alias("rarest")).select("query", F.col("rarest.term").alias("term"))
     total = documents if isinstance(documents, int) else documents.count()
-    candidates = rarest.join(index_terms.select("term", "id"), "term").select("query", "id")
-    wanted = candidates.join(asked, "query").join(index_terms, ["term", "id"])
-    scored = wanted.groupBy("query", "id").agg(F.round(F.sum(F.col("tf") * F.ln(F.lit(float(total)) / F.col("df"))), 6).alias("score"))
+    stats = blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max("max_tf").alias("most"))
+    idf = F.ln(F.lit(float(total)) / F.col("df"))
+    asked = queries.distinct().join(stats, "term").select("query", "term", "df", idf.alias("idf"), (F.col("most") * idf).alias("bound"))
+    rising = Window.partitionBy("query").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    seeds = asked.withColumn("before", F.coalesce(F.sum("df").over(rising), F.lit(0))).where(F.col("before") < SEEDS * top).select("query", "term")
+    found = seeds.join(blocks.select("term", "block", "postings"), "term").select("query", "block", F.explode("postings.id").alias("id")).distinct()
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("place", place).where(F.col("place") <= top).select("query", "place", "id", "score")
+
+    def scored(candidates: DataFrame) -> DataFrame:
+        ids = candidates.groupBy("query", "block").agg(F.collect_list("id").alias("ids"))
+        met = ids.join(asked.select("query", "term", "idf"), "query").join(blocks.select("term", "block", "postings"), ["term", "block"])
+        hits = met.select("query", "idf", "ids", F.explode("postings").alias("p")).where(F.array_contains("ids", F.col("p.id")))
+        return hits.groupBy("query", F.col("p.id").alias("id")).agg(F.round(F.sum(F.col("p.tf") * F.col("idf")), 6).alias("score"))
+
+    first = scored(found).withColumn("place", place).where(F.col("place") == top).select("query", F.col("score").alias("least"))
+    own = Window.partitionBy("query")
+    bounded = asked.join(first, "query", "left").fillna(-1.0, ["least"])
+    bounded = bounded.withColumns({"others": F.sum("bound").over(own) - F.col("bound"), "up_to": F.sum("bound").over(own.orderBy("bound", "term"))})
+    needed = bounded.where(F.col("up_to") >= F.col("least") - _MARGIN)
+    reach = lambda tf: tf * F.col("idf") + F.col("others") >= F.col("least") - _MARGIN
+    open_blocks = needed.join(blocks.select("term", "block", "max_tf", "postings"), "term").where(reach(F.col("max_tf")))
+    candidates = open_blocks.select("query", "block", "idf", "others", "least", F.explode("postings").alias("p")).where(reach(F.col("p.tf"))).select("query", "block", F.col("p.id").alias("id")).distinct()
+    return scored(candidates).withColumn("place", place).where(F.col("place") <= top).select("query", "place", "id", "score")
 
 
 def search_cases(documents: DataFrame, most: int = 5) -> DataFrame:

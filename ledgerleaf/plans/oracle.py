@@ -115,9 +115,7 @@ _TERMS = r"words AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text),
 _SEARCH = rf"""WITH {_TERMS},
 asked AS (SELECT DISTINCT doc_id AS query, term FROM (SELECT doc_id, unnest(regexp_extract_all(lower(regexp_extract(text, '^([^\n]*)', 1)), '[\p{{L}}\p{{N}}-]+')) AS term FROM documents WHERE doc_id % 20 = 0) WHERE length(term) >= 4 AND NOT regexp_matches(term, '^[0-9]+$')),
 df AS (SELECT term, count(*) AS df FROM terms GROUP BY term),
-rarest AS (SELECT query, first(term ORDER BY df, term) AS term FROM asked JOIN df USING (term) GROUP BY query),
-candidates AS (SELECT query, id FROM rarest JOIN terms USING (term)),
-scores AS (SELECT query, id, round(sum(tf * ln((SELECT count(*) FROM documents)::DOUBLE / df)), 6) AS score FROM candidates JOIN asked USING (query) JOIN terms USING (term, id) JOIN df USING (term) GROUP BY query, id),
+scores AS (SELECT query, id, round(sum(tf * ln((SELECT count(*) FROM documents)::DOUBLE / df)), 6) AS score FROM asked JOIN terms USING (term) JOIN df USING (term) GROUP BY query, id),
 placed AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS place FROM scores)"""
 _DAYS = "CAST(floor((epoch(TIMESTAMP '2001-01-01') - epoch(date_trunc('second', o_orderdate))) / 86400) AS BIGINT)"
 

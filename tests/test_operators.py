@@ -119,11 +119,36 @@ def test_reseeded_documents_never_clash(spark):
 def test_search_finds_own_titles(spark):
     terms = spark.createDataFrame([("tide", i, 1) for i in range(20)] + [("harbour", 3, 2), ("harbour", 4, 1), ("beacon", 4, 1)], "term string, id int, tf int")
     asked = spark.createDataFrame([(3, "tide"), (3, "harbour"), (4, "beacon"), (4, "harbour"), (5, "absent")], "query int, term string")
-    found = corpus.search(asked, terms, 20)
-    assert rows(found.select("query", "place", "id")) == [(3, 1, 3), (3, 2, 4), (4, 1, 4)]
+    found = corpus.search(asked, corpus.posting_blocks(terms, 3), 20)
+    assert rows(found.select("query", "place", "id").where("query = 4 or place < 3")) == [(3, 1, 3), (3, 2, 4), (4, 1, 4), (4, 2, 3)]
     assert rows(corpus.found_in_top(asked.select("query", F.col("query").alias("id")).distinct(), found)) == [(3, True), (4, True), (5, False)]
 
 
+@pytest.mark.parametrize("seeds", [1, 50])
+def test_search_is_exact(spark, monkeypatch, seeds):
+    import math
+    import random
+    from collections import Counter, defaultdict
+
+    rng = random.Random(seeds)
+    vocabulary = [f"word{min(rng.randrange(60), rng.randrange(60), rng.randrange(60))}" for _ in range(4000)]
+    docs = [Counter(rng.choices(vocabulary, k=rng.randint(1, 40))) + Counter(["everywhere"]) for _ in range(120)]
+    docs += [Counter({"alpha": 1, "beta": 1, "gamma": 1, "delta": 1}), Counter({"alpha": 1, "beta": 1, "gamma": 1, "delta": 1}), Counter({"zzzzz": 1})]
+    terms = spark.createDataFrame([(t, i, n) for i, d in enumerate(docs) for t, n in d.items()], "term string, id int, tf int")
+    asked = [(q, t) for q in range(25) for t in {*rng.choices(vocabulary, k=rng.randint(1, 8)), *(["everywhere"] if q % 3 == 0 else [])}]
+    asked += [(99, t) for t in ("alpha", "beta", "gamma", "delta", "zzzzz", "absent")]
+    df = Counter(t for d in docs for t in d)
+    want, by = [], defaultdict(set)
+    for q, t in asked:
+        by[q].add(t)
+    for q, ts in by.items():
+        scores = {i: round(sum(d[t] * math.log(len(docs) / df[t]) for t in ts if t in d), 6) for i, d in enumerate(docs) if ts & d.keys()}
+        want += [(q, k, i) for k, (i, _) in enumerate(sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:5], 1)]
+    monkeypatch.setattr(corpus, "SEEDS", seeds)
+    found = corpus.search(spark.createDataFrame(asked, "query int, term string"), corpus.posting_blocks(terms, 10), len(docs))
+    assert rows(found.select("query", "place", "id")) == sorted(want)
+
+
 def test_redirects_have_no_chains(spark):
     old = spark.createDataFrame([("first", "second"), ("other", "x")], "old_slug string, target string")
     changes = spark.createDataFrame([("second", "third"), ("same", "same")], "old_slug string, new_slug string")
