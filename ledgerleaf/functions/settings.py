@@ -45,12 +45,3 @@ def plain_path(path: Column) -> Column:
     start = F.struct(F.array().cast("array<string>").alias("path"), F.lit(True).alias("inside"))
     walked = F.aggregate(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), start, step)
     return F.when(~path.startswith("/") & walked["inside"] & (F.size(walked["path"]) > 0), F.array_join(walked["path"], "/"))
-
-
-def path_allowed(path: Column, files: tuple[str, ...], folders: tuple[str, ...]) -> Column:
-    """Whether a path is one of the files, or one of the folders or below it."""
-    plain = plain_path(path)
-    allowed = plain.isin(*files, *folders)
-    for folder in folders:
-        allowed = allowed | plain.startswith(f"{folder}/")
-    return F.coalesce(allowed, F.lit(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions import settings
@@ -100,18 +100,67 @@ def modules(files: DataFrame, derived: DataFrame) -> DataFrame:
     return _found(both.where(~F.col("content").eqNullSafe(F.col("wanted"))), "module", "path", F.when(F.col("content").isNull(), "missing").otherwise("differs"))
 
 
-def generated_files(files: DataFrame, allowed_files: tuple[str, ...], folders: tuple[str, ...], documents: str) -> DataFrame:
+def places(spark: SparkSession, files: tuple[str, ...], folders: tuple[str, ...]) -> DataFrame:
+    """(place, whole) of allowed files and folders."""
+    return spark.createDataFrame([*((f, True) for f in files), *((f, False) for f in folders)], "place string, whole boolean")
+
+
+def allowed_paths(paths: DataFrame, allowed: DataFrame) -> DataFrame:
+    """``paths`` (path) with allowed: whether a path is one of ``allowed`` (place, whole), or below one that isn't whole.
+
+    Every path meets the rules as itself and as each folder above it, by equality, so
+    any number of rules is one join. Paths that leave their root are never allowed.
+    """
+    distinct = paths.select("path").distinct().withColumn("parts", F.split(settings.plain_path(F.col("path")), "/"))
+    steps = distinct.where("parts is not null").select("path", "parts", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("n"))
+    above = steps.select("path", F.array_join(F.slice("parts", F.lit(1), F.col("n")), "/").alias("place"), (F.col("n") == F.size("parts")).alias("self"))
+    met = above.join(allowed.select("place", "whole"), "place").where("self or not whole").select("path", F.lit(True).alias("allowed")).distinct()
+    return paths.join(met, "path", "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))
+
+
+def generated_files(files: DataFrame, allowed: DataFrame, documents: str) -> DataFrame:
     """files: (path, content): files outside of the allowed places, other than Markdown among the documents, or without the marker there."""
     inside = F.col("path").startswith(f"{documents}/")
-    detail = F.when(~settings.path_allowed(F.col("path"), allowed_files, folders), "not_allowed").when(inside & ~F.col("path").endswith(".md"), "not_markdown").when(inside & ~F.col("content").contains(bodies.MARKER), "no_marker")
-    return _found(files.withColumn("detail", detail).where("detail is not null"), "generated_file", "path", "detail")
+    detail = F.when(~F.col("allowed"), "not_allowed").when(inside & ~F.col("path").endswith(".md"), "not_markdown").when(inside & ~F.col("content").contains(bodies.MARKER), "no_marker")
+    return _found(allowed_paths(files, allowed).withColumn("detail", detail).where("detail is not null"), "generated_file", "path", "detail")
 
 
-def working_changes(changed: DataFrame, untracked: DataFrame, allowed_files: tuple[str, ...], folders: tuple[str, ...]) -> DataFrame:
+def working_changes(changed: DataFrame, untracked: DataFrame, allowed: DataFrame) -> DataFrame:
     """(path, link): changed and untracked paths, each once, that may not change in a run, and links among them."""
     rows = changed.select("path", "link").unionByName(untracked.select("path", "link")).groupBy("path").agg(F.bool_or("link").alias("link"))
-    detail = F.when(~settings.path_allowed(F.col("path"), allowed_files, folders), "not_allowed").when(F.col("link"), "link")
-    return _found(rows.withColumn("detail", detail).where("detail is not null"), "working_change", "path", "detail")
+    detail = F.when(~F.col("allowed"), "not_allowed").when(F.col("link"), "link")
+    return _found(allowed_paths(rows, allowed).withColumn("detail", detail).where("detail is not null"), "working_change", "path", "detail")
+
+
+def header_rules(files: DataFrame) -> DataFrame:
+    """(file, pattern, header) of header files (file, content): a line from the first column on opens a rule, indented lines are its headers.
+
+    What follows a number sign is a comment. Of a pattern that opens several rules the
+    last counts; a rule without headers has one row without header.
+    """
+    lines = files.select("file", F.posexplode(F.split("content", r"\r?\n")).alias("at", "raw")).withColumn("line", F.split_part("raw", F.lit("#"), F.lit(1))).where(F.col("line").rlike(r"\S"))
+    opens = ~F.col("line").rlike(r"^\s")
+    so_far = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    ruled = lines.withColumns({"pattern": F.last(F.when(opens, F.trim(F.regexp_replace("line", r"\s+$", ""))), True).over(so_far), "rule": F.last(F.when(opens, F.col("at")), True).over(so_far)}).where("pattern is not null")
+    latest = ruled.withColumn("latest", F.max("rule").over(Window.partitionBy("file", "pattern"))).where("rule = latest")
+    header = F.lower(F.regexp_replace("line", r"^\s+|\s+$", ""))
+    headers = latest.where("at <> rule").select("file", "pattern", header.alias("header"))
+    return latest.where("at = rule").select("file", "pattern").join(headers, ["file", "pattern"], "left")
+
+
+#: The headers that a rule for content of a private site begins with.
+PRIVATE_HEADERS = ("cache-control: private", "x-robots-tag")
+
+
+def headers(files: DataFrame, surfaces: DataFrame) -> DataFrame:
+    """Rules of header files (file, content) against (file, pattern, public): content that is public may not be kept out of indexes, other content must be."""
+    rules = header_rules(files).groupBy("file", "pattern").agg(F.collect_list("header").alias("headers"))
+    both = surfaces.join(rules, ["file", "pattern"], "left")
+    hidden = F.coalesce(F.exists("headers", lambda h: h.contains("noindex")), F.lit(False))
+    lack = lambda start: F.when(~F.exists("headers", lambda h: h.startswith(start)), F.lit(f"lacks {start}"))
+    lacks = [lack(start) for start in PRIVATE_HEADERS]
+    details = F.when(F.col("public"), F.array_compact(F.array(F.when(hidden, F.lit("hidden"))))).when(F.col("headers").isNull(), F.array(F.lit("no_rule"))).otherwise(F.array_compact(F.array(*lacks)))
+    return _found(both.select(F.concat_ws(" ", "file", "pattern").alias("key"), F.explode(details).alias("detail")), "headers", "key", "detail")
 
 
 def exempt_paths(tracked: DataFrame, patterns: tuple[str, ...]) -> DataFrame:

@@ -9,14 +9,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions import labels, settings, text, urls
 from ledgerleaf.operators import bodies, checks, corpus, hierarchy, links, markdown, ordering, reconcile, runs
 from ledgerleaf.plans.oracle import _CORPUS, _ITEMS, _MANIFEST, _NAVIGATION, _NEW, _PARENTS, _RANKED, _TREE, _label, _order
 from ledgerleaf.plans.queries import _both, _corpus, _new, _placed, _slugs
-from ledgerleaf.sources import bindings, landed, rendered, shared
+from ledgerleaf.sources import bindings, landed, paged, publish, rendered, shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -70,6 +70,61 @@ def landed_manifest(spark, d):
     return landed.manifest(spark, _landed(rows, "manifest")).select("id", "kind", "path", F.col("version").cast("long").alias("version"))
 
 
+def _pages_landed(spark, d) -> str:
+    """The inventory as a chain of pages of 50 items each, one JSON file a page."""
+    rows = bindings.items(spark, d).select("id", "name", F.expr(f"case kind when 'folder' then '{landed.FOLDER}' when 'document' then '{landed.DOCUMENT}' else 'text/csv' end").alias("mimeType"), F.array_compact(F.array("parent")).alias("parents"), F.date_format("modified", "yyyy-MM-dd HH:mm:ss").alias("modifiedTime"), F.expr("id like '%9'").alias("trashed"))
+    buckets = max(1, rows.count() // 50)
+    page = rows.withColumn("page", F.pmod(F.xxhash64("id"), F.lit(buckets))).groupBy("page").agg(F.collect_list(F.struct(*rows.columns)).alias("files"))
+    page = page.withColumn("place", F.row_number().over(Window.orderBy("page")))
+    last = page.count()
+    token = F.concat(F.lit("t"), "place")
+    body = F.struct(F.when(F.col("place") > 1, token).alias("pageToken"), F.when(F.col("place") < last, F.concat(F.lit("t"), F.col("place") + 1)).alias("nextPageToken"), F.lit(False).alias("incompleteSearch"), "files")
+    path = f"{shared.shared_dir(spark)}/ledgerleaf-pages-{uuid.uuid4().hex}"
+    files = page.select(F.concat("place", F.lit(".json")).alias("path"), F.to_json(body).alias("content"))
+    publish.publish({"pages": files}, path)
+    return f"{path}/pages"
+
+
+@query(f"WITH {_ITEMS.strip()} SELECT id, name, kind, parent FROM items WHERE id NOT LIKE '%9'")
+def paged_listing(spark, d):
+    """Pages go out by the file sink, and come back by the data source."""
+    return paged.listing(spark, _pages_landed(spark, d)).select("id", "name", "kind", "parent")
+
+
+def _manifests(spark, d):
+    """A manifest for each source, of the version that its name gives; its documents by id, a folder for each language."""
+    rows = _texts(spark, d).withColumn("version", 1 + F.pmod(F.length("source") + F.ascii(F.substring("source", -1, 1)), F.lit(3)))
+    entry = lambda *fields: F.struct(*(v.alias(k) for k, v in fields))
+    document = entry(("title", F.regexp_extract("text", r"^([^\n]*)", 1)), ("parentId", F.col("lang")), ("slug", F.concat("lang", F.lit("/"), "doc_id")), ("contentHash", text.sha256(F.col("text"))))
+    folder = entry(("name", F.upper("lang")), ("slug", F.concat(F.lit("f-"), "lang")))
+    keyed = lambda key, value: F.map_from_entries(F.collect_list(F.struct(key, value)))
+    documents = rows.groupBy("source", "version").agg(keyed(F.col("doc_id").cast("string"), document).alias("documents"), keyed(F.concat(F.lit("old/"), "doc_id"), entry(("targetDocumentId", F.col("doc_id").cast("string")))).alias("redirects"))
+    folders = rows.select("source", "lang").distinct().groupBy("source").agg(keyed(F.col("lang"), folder).alias("folders"))
+    body = F.struct(F.col("version").alias("schemaVersion"), F.when(F.col("source") < "src5", "drive").otherwise("other").alias("driveId"), F.lit("root").alias("rootFolderId"), "documents", "folders", "redirects")
+    return documents.join(folders, "source").select(F.col("source").alias("owner"), F.to_json(body).alias("json"))
+
+
+_VERSIONED = "v AS (SELECT *, 1 + (length(source) + ascii(right(source, 1))) % 3 AS version FROM documents)"
+
+
+@query(f"""
+WITH {_VERSIONED}
+SELECT source AS owner, 'documents' AS section, CAST(doc_id AS VARCHAR) AS id, regexp_extract(text, '^([^\n]*)', 1) AS name, lang AS parent, lang || '/' || doc_id AS slug, 'sha256:' || sha256(text) AS "contentHash", NULL AS target, version FROM v
+UNION ALL SELECT DISTINCT source, 'folders', lang, upper(lang), NULL, CASE WHEN version >= 3 THEN 'f-' || lang END, NULL, NULL, version FROM v
+UNION ALL SELECT source, 'redirects', 'old/' || doc_id, NULL, NULL, NULL, NULL, CAST(doc_id AS VARCHAR), version FROM v WHERE version >= 2""")
+def manifest_documents(spark, d):
+    """Whole manifests of three versions, a JSON object each."""
+    found = landed.manifest_documents(_manifests(spark, d)).drop("modified", "outputHash")
+    return found.withColumn("version", F.col("version").cast("long"))
+
+
+@query("SELECT DISTINCT source AS owner, CASE source WHEN 'src1' THEN 'not_json' WHEN 'src2' THEN 'unknown_version' ELSE 'other_scope' END AS code FROM documents WHERE source IN ('src1', 'src2') OR source >= 'src5'")
+def manifest_issues(spark, d):
+    raw = _manifests(spark, d)
+    broken = F.when(F.col("owner") == "src1", F.substring("json", 1, 200)).when(F.col("owner") == "src2", F.regexp_replace("json", '"schemaVersion":.', '"schemaVersion":7')).otherwise(F.col("json"))
+    return landed.manifest_issues(raw.withColumn("json", broken), "drive", "root")
+
+
 @query("WITH s AS (SELECT event_id, 200 + (event_id * 37) % 400 AS status, event_id % 12 AS attempt, CASE WHEN event_id % 3 = 0 THEN event_id * 7 END AS asked FROM events) SELECT event_id, CASE WHEN status < 300 THEN NULL WHEN status = 401 THEN 'authentication' WHEN status IN (403, 404) THEN 'permission' WHEN status = 429 THEN 'rate_limit' WHEN status >= 500 THEN 'server' ELSE 'invalid_response' END AS error_class, status IN (429, 500, 502, 503, 504) AS retried, CAST(CASE WHEN asked IS NOT NULL THEN least(asked, 30000) WHEN attempt > 5 THEN 10000 ELSE 250 * (1 << CAST(attempt AS INT)) END AS BIGINT) AS delay FROM s")
 def request_failures(spark, d):
     rows = bindings.table(spark, d, "events").select("event_id", F.expr("200 + (event_id * 37) % 400").alias("status"), F.expr("event_id % 12").alias("attempt"), F.expr("if(event_id % 3 = 0, event_id * 7, null)").alias("asked"))
@@ -181,11 +236,16 @@ def archive_paths(spark, d):
     return bindings.table(spark, d, "pages").select("page_id", urls.asset_path(href, F.lit("docs")).alias("path"))
 
 
-@query("SELECT page_id, regexp_extract(url, '^([a-z]+://[^/]+)', 1) LIKE 'https://%' AS origin, false AS whole, CASE WHEN contains(url, '#') THEN regexp_extract(url, '#(.*)$', 1) END AS fragment, regexp_full_match(regexp_replace(url, '^[a-z]+://[^/]+/', ''), '[a-z0-9]+(/[a-z0-9]+)*') AS safe FROM pages")
+@query("""
+WITH u AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN regexp_extract(url, '^([a-z]+://[^/]+)', 1) WHEN 1 THEN regexp_extract(url, '^([a-z]+://[^/]+/)', 1) ELSE url END AS site, url FROM pages)
+SELECT page_id, url LIKE 'https://%' AND (page_id % 3 <> 2 OR regexp_full_match(url, '[a-z]+://[^/]+/?')) AS origin, CASE WHEN contains(url, '#') THEN regexp_extract(url, '#(.*)$', 1) END AS fragment,
+       regexp_full_match(rtrim(regexp_replace(url, '^[a-z]+://[^/]+/', ''), '/'), '[a-z0-9]+(-+[a-z0-9]+)*(/[a-z0-9]+(-+[a-z0-9]+)*)*') AS safe FROM u""")
 def url_parts(spark, d):
+    """Sites of URLs, without and with a slash at the end, and whole URLs as origins; a slash at the end is part of a route, not of a slug."""
     url = F.col("url")
-    path = F.regexp_replace(F.regexp_replace(url, r"^[a-z]+://[^/]+/", ""), r"/$", "")
-    return bindings.table(spark, d, "pages").select("page_id", urls.https_origin(F.regexp_extract(url, r"^([a-z]+://[^/]+)", 1)).alias("origin"), urls.https_origin(url).alias("whole"), urls.readable_fragment(url).alias("fragment"), urls.safe_slug(path).alias("safe"))
+    site = F.when(F.col("page_id") % 3 == 0, F.regexp_extract(url, r"^([a-z]+://[^/]+)", 1)).when(F.col("page_id") % 3 == 1, F.regexp_extract(url, r"^([a-z]+://[^/]+/)", 1)).otherwise(url)
+    path = F.regexp_replace(F.regexp_replace(url, r"^[a-z]+://[^/]+/", ""), r"/+$", "")
+    return bindings.table(spark, d, "pages").select("page_id", urls.https_origin(site).alias("origin"), urls.readable_fragment(url).alias("fragment"), urls.safe_slug(path).alias("safe"))
 
 
 @query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 4 WHEN 1 THEN CASE WHEN user_id BETWEEN 1 AND 60 THEN user_id END WHEN 3 THEN 7 END AS number, CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN event_type = 'click' END AS flag, CASE WHEN event_type = 'click' THEN 'click' ELSE event_type || ',click' END AS list FROM events")
@@ -213,7 +273,18 @@ def _paths(spark, d):
 
 @query("SELECT doc_id, doc_id % 9 IN (0, 1, 2, 3, 7) AS allowed FROM documents")
 def paths_allowed(spark, d):
-    return _paths(spark, d).select("doc_id", settings.path_allowed(F.col("path"), _ALLOWED_FILES, _ALLOWED_FOLDERS).alias("allowed"))
+    return checks.allowed_paths(_paths(spark, d), checks.places(spark, _ALLOWED_FILES, _ALLOWED_FOLDERS)).select("doc_id", "allowed")
+
+
+@query("""
+WITH f AS (SELECT doc_id, source || '/' || (doc_id % 500) AS folder FROM documents),
+rules AS (SELECT DISTINCT 'area/' || folder AS place FROM f WHERE doc_id % 3 = 0)
+SELECT doc_id, 'area/' || folder IN (SELECT place FROM rules) AS allowed FROM f""")
+def paths_allowed_by_many(spark, d):
+    """Hundreds of allowed folders, taken from the documents themselves."""
+    rows = _texts(spark, d).select("doc_id", F.concat(F.lit("area/"), "source", F.lit("/"), (F.col("doc_id") % 500).cast("string")).alias("folder"))
+    rules = rows.where("doc_id % 3 = 0").select(F.col("folder").alias("place"), F.lit(False).alias("whole")).distinct()
+    return checks.allowed_paths(rows.select("doc_id", F.concat("folder", F.lit("/./deep/"), "doc_id").alias("path")), rules).select("doc_id", "allowed")
 
 
 # -- checks ------------------------------------------------------------------
@@ -259,13 +330,29 @@ def checks_content_hashes(spark, d):
 @query("SELECT 'generated_file' AS rule, p AS key, CASE WHEN doc_id % 9 = 2 THEN 'not_markdown' WHEN doc_id % 9 IN (0, 1) THEN 'no_marker' ELSE 'not_allowed' END AS detail FROM (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'docs/' || doc_id || '.md' WHEN 1 THEN 'docs/../docs//' || doc_id || '.md' WHEN 2 THEN 'docs/' || doc_id || '.txt' WHEN 4 THEN 'docs/../secret/' || doc_id WHEN 5 THEN '../docs/' || doc_id || '.md' WHEN 6 THEN '/docs/' || doc_id || '.md' WHEN 8 THEN 'docs2/' || doc_id || '.md' END AS p FROM documents) WHERE doc_id % 9 IN (2, 4, 5, 6, 8) OR doc_id % 9 < 2 AND doc_id % 2 = 1")
 def checks_generated_files(spark, d):
     files = _paths(spark, d).withColumn("content", F.expr(f"if(doc_id % 2 = 0, '{bodies.MARKER}', 'text')"))
-    return checks.generated_files(files, _ALLOWED_FILES, _ALLOWED_FOLDERS, "docs")
+    return checks.generated_files(files, checks.places(spark, _ALLOWED_FILES, _ALLOWED_FOLDERS), "docs")
 
 
 @query("WITH p AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'docs/' || doc_id || '.md' WHEN 1 THEN 'docs/../docs//' || doc_id || '.md' WHEN 2 THEN 'docs/' || doc_id || '.txt' WHEN 3 THEN 'assets/generated/' || doc_id || '/image-001.png' WHEN 4 THEN 'docs/../secret/' || doc_id WHEN 5 THEN '../docs/' || doc_id || '.md' WHEN 6 THEN '/docs/' || doc_id || '.md' WHEN 7 THEN 'state/manifest.json' ELSE 'docs2/' || doc_id || '.md' END AS p FROM documents), g AS (SELECT p, bool_or(doc_id % 11 = 0) AS link, min(doc_id % 9) AS k FROM p GROUP BY p) SELECT 'working_change' AS rule, p AS key, CASE WHEN k IN (4, 5, 6, 8) THEN 'not_allowed' ELSE 'link' END AS detail FROM g WHERE k IN (4, 5, 6, 8) OR link")
 def checks_working_changes(spark, d):
     rows = _paths(spark, d).select("path", F.expr("doc_id % 11 = 0").alias("link"))
-    return checks.working_changes(rows, rows.where("path not like 'docs/%'"), _ALLOWED_FILES, _ALLOWED_FOLDERS)
+    return checks.working_changes(rows, rows.where("path not like 'docs/%'"), checks.places(spark, _ALLOWED_FILES, _ALLOWED_FOLDERS))
+
+
+@query("""
+WITH f AS (SELECT doc_id, 'f' || doc_id || ' /docs/*' AS key FROM documents)
+SELECT 'headers' AS rule, key, 'no_rule' AS detail FROM f WHERE doc_id % 6 = 1
+UNION ALL SELECT 'headers', key, 'lacks x-robots-tag' FROM f WHERE doc_id % 6 IN (2, 5)
+UNION ALL SELECT 'headers', key, 'lacks cache-control: private' FROM f WHERE doc_id % 6 = 2
+UNION ALL SELECT 'headers', key, 'hidden' FROM f WHERE doc_id % 6 = 4""")
+def checks_headers(spark, d):
+    """Header files around each document's text, whose lines are rules of other patterns."""
+    good = "/docs/*  # all\n  Cache-Control: private, no-store\n\tX-Robots-Tag: noindex\n"
+    cases = [good, "/docs/\n  X-Robots-Tag: noindex\n", "/docs/*\n# X-Robots-Tag: noindex\n", "/docs/*\n  ETag: x\n", good, good + "/docs/*\n  Cache-Control: private\n"]
+    rules = F.element_at(F.array(*map(F.lit, cases)), (F.col("doc_id") % 6 + 1).cast("int"))
+    other = F.regexp_replace(F.regexp_replace("text", r"(?m)^\s+", ""), "#", "")
+    files = _texts(spark, d).select("doc_id", F.concat(F.lit("f"), "doc_id").alias("file"), F.concat(other, F.lit("\n"), rules).alias("content"))
+    return checks.headers(files, files.select("file", F.lit("/docs/*").alias("pattern"), F.expr("doc_id % 6 in (3, 4)").alias("public")))
 
 
 @query("WITH p AS (SELECT 'docs/' || source || '/' || doc_id || '.md' AS p FROM documents) SELECT 'exempt' AS rule, p AS key, '7[.]md$' AS detail FROM p WHERE p LIKE '%7.md' UNION ALL SELECT 'exempt', p, '^docs/src1/' FROM p WHERE p LIKE 'docs/src1/%'")

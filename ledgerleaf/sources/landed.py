@@ -25,8 +25,12 @@ def raw_listing(spark: SparkSession, path: str) -> DataFrame:
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
     """An inventory (id, name, kind, parent, modified) of the items that aren't trashed; an item is below its first parent."""
+    return as_inventory(raw_listing(spark, path).where("not trashed"))
+
+
+def as_inventory(rows: DataFrame) -> DataFrame:
+    """(id, name, kind, parent, modified) of listed items."""
     kind = F.when(F.col("mimeType") == FOLDER, "folder").when(F.col("mimeType") == DOCUMENT, "document").otherwise("unsupported")
-    rows = raw_listing(spark, path).where("not trashed")
     return rows.select("id", "name", kind.alias("kind"), F.get("parents", 0).alias("parent"), F.col("modifiedTime").alias("modified"))
 
 
@@ -43,8 +47,9 @@ def exports(spark: SparkSession, path: str, suffix: str = ".md", most: int = EXP
     """(id, content, issue) of exported files, named by their item; what is larger than ``most`` isn't read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(path)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    large = F.col("length") > most
-    return files.select(F.substr(name, F.lit(1), F.length(name) - len(suffix)).alias("id"), F.when(~large, F.col("content")).alias("content"), F.when(large, "too_large").alias("issue"))
+    own = F.substr(name, F.lit(1), F.length(name) - len(suffix)).alias("id")
+    read = files.where(F.col("length") <= most).select(own, "content", F.lit(None).cast("string").alias("issue"))  # the filter is pushed down, so larger files aren't opened
+    return read.unionByName(files.where(F.col("length") > most).select(own, F.lit(None).cast("binary").alias("content"), F.lit("too_large").alias("issue")))
 
 
 def decoded(exported: DataFrame) -> DataFrame:
@@ -66,6 +71,48 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("kind", F.coalesce("kind", F.lit("document"))).withColumn("path", F.coalesce("path", made)).withColumn("version", F.lit(3))
 
 
+#: Fields of a manifest's records, by section.
+_FIELDS = {
+    "documents": {"name": "title", "parent": "parentId", "slug": "slug", "modified": "modifiedTime", "contentHash": "contentHash", "outputHash": "outputHash", "target": None},
+    "folders": {"name": "name", "parent": "parentId", "slug": "slug", "modified": None, "contentHash": None, "outputHash": None, "target": None},
+    "redirects": {"name": None, "parent": None, "slug": None, "modified": None, "contentHash": None, "outputHash": None, "target": "targetDocumentId"},
+}
+VERSIONS = (1, 2, 3)
+
+
+def manifest_documents(raw: DataFrame) -> DataFrame:
+    """(owner, section, id, name, parent, slug, modified, contentHash, outputHash, target, version) of whole manifests (owner, json).
+
+    A manifest is one JSON object with its records keyed by id. Of the older versions
+    the first has no redirects, and neither has slugs of folders: the next run gives
+    them. Texts that aren't JSON, and other versions, have no records (``manifest_issues``).
+    """
+    parsed = _parsed(raw).where(F.col("version").isin(*VERSIONS))
+    out = None
+    for section, fields in _FIELDS.items():
+        rows = parsed.where("version >= 2") if section == "redirects" else parsed
+        exploded = rows.lateralJoin(rows.sparkSession.tvf.variant_explode(F.try_variant_get(F.col("v").outer(), f"$.{section}", "variant"))).select("owner", "version", "key", "value")
+        value = lambda f: F.lit(None).cast("string") if f is None else F.try_variant_get("value", f"$.{f}", "string")
+        own = exploded.select("owner", F.lit(section).alias("section"), F.col("key").alias("id"), *(value(f).alias(name) for name, f in fields.items()), "version")
+        if section == "folders":
+            own = own.withColumn("slug", F.when(F.col("version") >= 3, F.col("slug")))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def _parsed(raw: DataFrame) -> DataFrame:
+    rows = raw.select("owner", F.try_parse_json("json").alias("v"))
+    return rows.withColumn("version", F.try_variant_get("v", "$.schemaVersion", "int"))
+
+
+def manifest_issues(raw: DataFrame, drive: str, root: str) -> DataFrame:
+    """(owner, code) of manifests (owner, json): not_json, unknown_version, other_scope."""
+    field = lambda name: F.try_variant_get("v", f"$.{name}", "string")
+    other = ~field("driveId").eqNullSafe(drive) | ~field("rootFolderId").eqNullSafe(root)
+    code = F.when(F.col("v").isNull(), "not_json").when(~F.coalesce(F.col("version").isin(*VERSIONS), F.lit(False)), "unknown_version").when(other, "other_scope")
+    return _parsed(raw).select("owner", code.alias("code")).where("code is not null")
+
+
 def manifest_scope_issues(records: DataFrame, drive: str, root: str) -> DataFrame:
     """(code, item_id) of records that belong to another drive or root."""
     other = records.where(~F.col("driveId").eqNullSafe(drive) | ~F.col("rootFolderId").eqNullSafe(root))

@@ -1,63 +1,160 @@
-"""Publishing: several output tables or files are written aside, checked, compared, and swapped in together."""
+"""Publishing: a data sink that writes files aside and puts all of them in place in one commit.
+
+    spark.dataSource.register(publish.FileSink)
+    files.write.format("published_files").mode("overwrite").save(target)   # (path, content)
+
+Tasks write their rows as files into one staging tree and send back how many there were
+and a digest that doesn't depend on order. The commit, in the driver, compares the sum
+of the digests with the one of the last commit: equal outputs change nothing; else the
+staging tree takes the target's place by renaming, with the old one back if that fails.
+A failed task aborts the write, and the target stays as it was. A task that runs twice
+writes the same files again. Arrow's file systems open the paths; where a store has no
+renaming of folders, the swap is a copy and not atomic.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import json
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
+
+from ledgerleaf.sources.paged import file_system
+
+if TYPE_CHECKING:
+    from pyarrow import fs
+
+DIGEST = ".digest"
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    rows: int
+    digest: int
+
+
+def _safe(path: str | None) -> bool:
+    parts = (path or "").split("/")
+    return bool(path) and "\\" not in path and not path.startswith(("/", ".digest")) and not {"", ".", ".."} & set(parts)
+
+
+class _Writer(DataSourceWriter):
+    def __init__(self, options: dict) -> None:
+        self.target, self.dry_run, self.job = options["path"].rstrip("/"), options.get("dryrun", "false") == "true", uuid.uuid4().hex
+
+    def _place(self, name: str) -> tuple[fs.FileSystem, str]:
+        system, path = file_system(self.target)
+        parent, _, own = path.rpartition("/")
+        return system, f"{parent}/.{own}-{name}-{self.job}"
 
+    def write(self, iterator: Iterator[Row]) -> _Written:
+        system, staged = self._place("staged")
+        rows = total = 0
+        for row in iterator:
+            if not _safe(row.path):
+                raise ValueError(f"not a path for output: {row.path}")
+            data = row.content.encode() if isinstance(row.content, str) else bytes(row.content or b"")
+            final = f"{staged}/{row.path}"
+            system.create_dir(final.rpartition("/")[0], recursive=True)
+            aside = f"{staged}.parts/{uuid.uuid4().hex}"
+            system.create_dir(f"{staged}.parts", recursive=True)
+            with system.open_output_stream(aside) as out:
+                out.write(data)
+            system.move(aside, final)
+            rows += 1
+            total += int.from_bytes(hashlib.sha256(row.path.encode() + b"\0" + hashlib.sha256(data).digest()).digest()[:16])
+        return _Written(rows, total)
 
-def digest(files: DataFrame) -> str:
-    """One hash of (path, content) rows in any order."""
-    hashed = files.select(F.sha2(F.concat("path", F.lit("\0"), F.sha2("content", 256)), 256).alias("h"))
-    row = hashed.agg(F.count("*"), F.sum(F.conv(F.substring("h", 1, 15), 16, 10).cast("decimal(38,0)")), F.min("h"), F.max("h")).first()
-    return ":".join(map(str, row))
+    def commit(self, messages: list[_Written | None]) -> None:
+        system, staged = self._place("staged")
+        _, target = file_system(self.target)
+        found = [m for m in messages if m is not None]
+        digest = json.dumps({"files": sum(m.rows for m in found), "digest": f"{sum(m.digest for m in found) % (1 << 128):032x}"})
+        try:
+            if self.dry_run or _digest(system, target) == digest:
+                return
+            system.create_dir(staged, recursive=True)
+            with system.open_output_stream(f"{staged}/{DIGEST}") as out:
+                out.write(digest.encode())
+            self._swap(system, staged, target)
+        finally:
+            self._clean(system, staged)
 
+    def _swap(self, system: fs.FileSystem, staged: str, target: str) -> None:
+        _, old = self._place("previous")
+        there = system.get_file_info(target).type.name != "NotFound"
+        if there:
+            system.move(target, old)
+        try:
+            system.move(staged, target)
+        except Exception:
+            if there:
+                system.move(old, target)
+            raise
+        if there:
+            system.delete_dir(old)
 
-def _fs(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+    def _clean(self, system: fs.FileSystem, staged: str) -> None:
+        for path in (staged, f"{staged}.parts"):
+            if system.get_file_info(path).type.name == "Directory":
+                system.delete_dir(path)
+
+    def abort(self, messages: list[_Written | None]) -> None:
+        system, staged = self._place("staged")
+        self._clean(system, staged)
+
+
+def _digest(system: fs.FileSystem, target: str) -> str | None:
+    path = f"{target}/{DIGEST}"
+    if not system.get_file_info(path).is_file:
+        return None
+    with system.open_input_stream(path) as stream:
+        return stream.read().decode()
+
+
+class FileSink(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "published_files"
+
+    def schema(self) -> str:
+        return "path string, content string"
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        return _Writer(dict(self.options))
 
 
 def publish(outputs: dict[str, DataFrame], target: str, check: Callable[[dict[str, DataFrame]], None] | None = None, dry_run: bool = False) -> bool:
-    """Writes each output below ``target``; false if nothing changed or on a dry run.
+    """Writes all outputs of (path, content), each in a folder of its name below ``target``, in one commit; false if nothing changed or on a dry run.
 
-    All outputs are staged first, ``check`` may raise on them, outputs of (path,
-    content) that equal what is there change nothing, and a failure while swapping
-    puts the old ones back.
+    ``check`` may raise on the outputs first; paths must be distinct within an output.
     """
-    spark = next(iter(outputs.values())).sparkSession
-    staged = {}
-    for name, df in outputs.items():
-        df.write.mode("overwrite").parquet(f"{target}/.staged/{name}")
-        staged[name] = spark.read.parquet(f"{target}/.staged/{name}")
     if check:
-        check(staged)
-    changed = []
-    for name, df in staged.items():
-        fs, there = _fs(spark, f"{target}/{name}")
-        same = fs.exists(there) and {"path", "content"} <= set(df.columns) and digest(spark.read.parquet(f"{target}/{name}")) == digest(df)
-        if not same:
-            changed.append(name)
-    if dry_run or not changed:
-        return False
-    swapped = []
-    try:
-        for name in changed:
-            fs, there = _fs(spark, f"{target}/{name}")
-            old, new = (_fs(spark, f"{target}/{part}/{name}")[1] for part in (".previous", ".staged"))
-            fs.delete(old, True)
-            fs.mkdirs(old.getParent())
-            if fs.exists(there):
-                fs.rename(there, old)
-            swapped.append((fs, there, old))
-            if not fs.rename(new, there):
-                raise OSError(f"can't move {name} into place")
-    except Exception:
-        for fs, there, old in reversed(swapped):
-            if fs.exists(old):
-                fs.delete(there, True)
-                fs.rename(old, there)
-        raise
-    return True
+        check(outputs)
+    files = None
+    for name, df in outputs.items():
+        repeated = df.groupBy("path").count().where("count > 1").limit(5).collect()
+        if repeated:
+            raise ValueError(f"{name} has several files at " + ", ".join(str(r.path) for r in repeated))
+        own = df.select(F.concat(F.lit(f"{name}/"), "path").alias("path"), F.col("content").cast("string").alias("content"))
+        files = own if files is None else files.unionByName(own)
+    spark = files.sparkSession
+    spark.dataSource.register(FileSink)
+    system, there = file_system(target)
+    before = _digest(system, there.rstrip("/"))
+    files.write.format("published_files").option("dryRun", str(dry_run).lower()).mode("append").save(target)
+    return not dry_run and _digest(system, there.rstrip("/")) != before
+
+
+def published(spark, target: str) -> DataFrame:
+    """(path, content) of what is published at ``target``."""
+    from ledgerleaf.sources import landed
+
+    return landed.generated(spark, target).where(~F.col("path").endswith(DIGEST))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerleaf.operators import bodies, markdown, ordering, runs
-from ledgerleaf.sources import landed, publish
+from ledgerleaf.sources import landed
 from ledgerleaf.streaming import reconcile_stream
 
 
@@ -84,20 +84,6 @@ def test_bad_archives_and_drawings(spark):
     assert [one(spark, d, bodies.drawing_issue(F.col("v")))[0] for d in drawings] == [None, "element", "reference", "doctype", "attribute", "unreadable", "not_svg"]
 
 
-def test_publish(spark, tmp_path):
-    files = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, content string")
-    assert publish.publish({"docs": files}, str(tmp_path), dry_run=True) is False
-    assert publish.publish({"docs": files}, str(tmp_path)) is True
-    assert publish.publish({"docs": files.orderBy(F.desc("path"))}, str(tmp_path)) is False
-
-    def refuse(staged):
-        raise ValueError("no")
-
-    with pytest.raises(ValueError, match="no"):
-        publish.publish({"docs": files.limit(1)}, str(tmp_path), refuse)
-    assert spark.read.parquet(f"{tmp_path}/docs").count() == 2
-
-
 def test_stream_of_changes(spark, tmp_path):
     fold = reconcile_stream.apply_to(str(tmp_path), ["name"])
     schema = "id string, name string, deleted boolean, changed_at int, change_id int"
