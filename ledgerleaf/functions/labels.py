@@ -54,6 +54,11 @@ def label(name: Column) -> Column:
     return F.when(rest == "", F.lit(UNTITLED)).otherwise(rest)
 
 
+def shown(name: Column) -> Column:
+    """The name without its order prefix, in NFC, as readers see it."""
+    return composed(label(name))
+
+
 def unrecognized_prefix(name: Column) -> Column:
     """Digits and a blank: an attempt at numbering that the convention does not know."""
     text = trimmed(name)

@@ -74,7 +74,8 @@ def asset_path(href: Column, folder: Column) -> Column:
     """The archive path that a relative reference of a page in ``folder`` means; null where it leads out of the archive or isn't plain.
 
     Refused: schemes, absolute paths, queries, fragments, backslashes, control
-    characters, broken or doubly encoded escapes, and ways above the archive's root.
+    characters, broken or doubly encoded escapes, and ways above the archive's root. Paths
+    are in NFC.
     """
     decoded = F.try_url_decode(F.replace(href, F.lit("+"), F.lit("%2B")))
     plain = href.isNotNull() & (href != "") & ~href.rlike(SCHEME) & ~href.startswith("/") & ~href.rlike(r"[?#]") & ~href.rlike(r"%(?![0-9A-Fa-f]{2})")
@@ -87,7 +88,7 @@ def asset_path(href: Column, folder: Column) -> Column:
         .when(x == "..", F.struct(F.slice(s["path"], F.lit(1), F.greatest(F.size(s["path"]) - 1, F.lit(0))).alias("path"), (s["inside"] & (F.size(s["path"]) > 0)).alias("inside")))
         .otherwise(F.struct(F.concat(s["path"], F.array(x)).alias("path"), s["inside"].alias("inside"))),
     )
-    return F.when(safe & walked["inside"] & (F.size(walked["path"]) > 0), F.array_join(walked["path"], "/"))
+    return labels.composed(F.when(safe & walked["inside"] & (F.size(walked["path"]) > 0), F.array_join(walked["path"], "/")))
 
 
 def https_origin(url: Column) -> Column:

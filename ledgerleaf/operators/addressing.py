@@ -27,11 +27,11 @@ def allocate(new: DataFrame, taken: DataFrame) -> DataFrame:
     hash of their id. Only what collides even so is tried again with a longer hash,
     and that is almost always nothing.
     """
-    claim = Window.partitionBy("base").orderBy(F.col("kind") != "folder", "id")
+    claims = new.where("base <> ''")
     used = taken.select(F.col("slug").alias("base"), F.lit(True).alias("used")).distinct()
-    ranked = new.where("base <> ''").withColumn("claim", F.row_number().over(claim)).join(used, "base", "left")
-    plain = F.col("used").isNull() & (F.col("claim") == 1)
-    rows = ranked.select("id", "base", F.when(plain, F.col("base")).otherwise(suffixed(F.col("base"), F.col("id"), SUFFIXES[0])).alias("slug"))
+    first = claims.groupBy("base").agg(F.min(F.struct((F.col("kind") != "folder").alias("later"), "id"))["id"].alias("first")).join(used, "base", "left_anti")  # one row a base, so a hot base is no hot task
+    plain = F.col("id").eqNullSafe(F.col("first"))
+    rows = claims.join(first, "base", "left").select("id", "base", F.when(plain, F.col("base")).otherwise(suffixed(F.col("base"), F.col("id"), SUFFIXES[0])).alias("slug"))
     held = taken.select("slug", F.lit(True).alias("held")).distinct()
     same = Window.partitionBy("slug").orderBy(~(F.col("slug") == F.col("base")), "base", "id")
     for length in SUFFIXES[1:]:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerleaf.functions import text, urls
+from ledgerleaf.functions import outputs, text, urls
 
 # Limits of archives, and elements of drawings.
 ENTRIES, ENTRY_BYTES, TOTAL_BYTES, RATIO = 1_000, 20 * 1024 * 1024, 50 * 1024 * 1024, 200
@@ -28,6 +28,16 @@ def document(title: Column, slug: Column, content_hash: Column, body: Column) ->
     return F.concat(F.lit("---\n"), meta, F.lit(f"---\n\n{MARKER}\n\n"), body, F.lit("\n"))
 
 
+def generated_document(record: dict[str, Column], body: Column) -> Column:
+    """A whole generated file: ``record`` has title, description, slug, id, modified, synced, contentHash and folderPath (array); then the marker and the body."""
+    fields = {
+        "title": record["title"], "description": F.nullif(record["description"], F.lit("")), "slug": record["slug"], "editUrl": outputs.source_url(record["id"]), "sourceType": F.lit("google-doc"), "googleFileId": record["id"],
+        "googleModifiedTime": record["modified"], "syncedAt": record["synced"], "contentHash": record["contentHash"], "folderPath": record["folderPath"], "pagefind": F.lit(True),
+    }
+    text_ = F.regexp_replace(body, r"\s+$", "")
+    return F.concat(outputs.front_matter(fields, ("folderPath",), ("pagefind",)), F.lit(f"{MARKER}\n\n"), text_, F.when(text_ != "", "\n").otherwise(""))
+
+
 def document_body(content: Column) -> Column:
     """What follows the marker, or null without one."""
     at = F.instr(content, MARKER)

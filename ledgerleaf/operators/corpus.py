@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerleaf.functions import labels
+from ledgerleaf.functions import labels, outputs, settings
 from ledgerleaf.operators import markdown
 
 GENERAL = "General"
@@ -68,9 +68,12 @@ def breadcrumbs(documents: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def index(documents: DataFrame, locale: str = "en") -> DataFrame:
-    """Rows of the documents index."""
-    path = F.concat(F.lit("docs/"), "id", F.lit(".md"))
-    return documents.select("id", "title", "slug", path.alias("markdown_path"), F.array_join(F.coalesce("folder_path", F.array().cast("array<string>")), "/").alias("folder_path"), F.lit(locale).alias("language"))
+    """Rows of the documents index: its ten fields, of documents with content_hash and synced_at too; folder_path is never null."""
+    item, instant = F.col("id"), settings.instant
+    return documents.select(
+        "id", "title", "slug", outputs.markdown_path(item).alias("markdown_path"), outputs.source_url(item).alias("source_url"), instant(F.col("modified")).alias("modified_time"), instant(F.col("synced_at")).alias("synced_at"), "content_hash",
+        F.coalesce("folder_path", F.array().cast("array<string>")).alias("folder_path"), F.lit(locale).alias("language"),
+    )
 
 
 def terms(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -177,4 +180,4 @@ def agent_sample(documents: DataFrame) -> DataFrame:
 def sidebar_labels(nodes: DataFrame) -> DataFrame:
     """Adds shown and group to nodes with name: the label without its number, and for numbered ones the number's hundred."""
     number = labels.order_number(F.col("name"))
-    return nodes.withColumn("shown", labels.label(F.col("name"))).withColumn("group", F.when(number.isNotNull(), (F.floor(number / 100) * 100).cast("int")))
+    return nodes.withColumn("shown", labels.shown(F.col("name"))).withColumn("group", F.when(number.isNotNull(), (F.floor(number / 100) * 100).cast("int")))

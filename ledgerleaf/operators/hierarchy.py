@@ -73,10 +73,16 @@ def selection_counts(items: DataFrame, placed: DataFrame, ignored: list[str]) ->
 
 
 def children(placed: DataFrame) -> DataFrame:
-    """Per folder with children: how many of each kind, and the ids of its folders and documents in order of name and id."""
-    ordered = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("name", "id")))), lambda x: x["id"]), ",")
+    """Per folder with children: how many of each kind."""
     counts = (F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("folder", "document", "unsupported"))
-    return placed.where("parent is not null").groupBy("parent").agg(*counts, ordered("folder").alias("folder_ids"), ordered("document").alias("document_ids"))
+    return placed.where("parent is not null").groupBy("parent").agg(*counts)
+
+
+def children_in_order(placed: DataFrame) -> DataFrame:
+    """(parent, kind, position, id): the folders and documents of each folder as ordered rows, by name and id from 1 on; no folder is one row."""
+    rows = placed.where("parent is not null and kind in ('folder', 'document')")
+    place = F.row_number().over(Window.partitionBy("parent", "kind").orderBy("name", "id"))
+    return rows.select("parent", "kind", place.cast("long").alias("position"), "id")
 
 
 def multiple_parents(links: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerleaf.functions import labels, marks, text, urls
+from ledgerleaf.functions import labels, marks, outputs, text, urls
 from ledgerleaf.operators import bodies, markup
 from ledgerleaf.operators import links as graph
 
@@ -230,6 +230,40 @@ def front_matter_value(content: Column, name: str) -> Column:
     return F.when(raw != "", F.from_json(F.concat(F.lit('{"v":'), raw, F.lit("}")), "v string")["v"])
 
 
+def folder_path(content: Column) -> Column:
+    """The folderPath of a file's head as an array of texts, in either way to write lists; null where it isn't one."""
+    head = F.regexp_extract(content, r"(?s)^---\n(.*?\n)---(?:\n|$)", 1)
+    item = r"(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^']|'')*'|[A-Za-z][^\n:#,\[\]{}'\"]*)"
+    listed = F.regexp_extract(head, rf"(?m)^folderPath:[ \t]*\n((?:[ \t]*-[ \t]+{item}[ \t]*\n)+)(?![ \t]|-)", 1)
+    inline = F.regexp_extract(head, rf"(?m)^folderPath:[ \t]*\[([ \t]*(?:{item}(?:[ \t]*,[ \t]*{item})*)?[ \t]*)\][ \t]*\n", 1)
+    has_inline = head.rlike(rf"(?m)^folderPath:[ \t]*\[[ \t]*(?:{item}(?:[ \t]*,[ \t]*{item})*)?[ \t]*\][ \t]*\n")
+
+    def value(raw: Column) -> Column:
+        double = F.from_json(F.concat(F.lit('{"v":'), raw, F.lit("}")), "v string")["v"]
+        single = F.replace(F.substr(raw, F.lit(2), F.length(raw) - 2), F.lit("''"), F.lit("'"))
+        return F.when(raw.startswith('"'), double).when(raw.startswith("'"), single).otherwise(F.trim(raw))
+
+    lines = F.regexp_extract_all(listed, F.lit(rf"(?m)^[ \t]*-[ \t]+({item})"), F.lit(1))
+    found = F.when(listed != "", F.transform(lines, value)).when(has_inline, F.transform(F.regexp_extract_all(inline, F.lit(f"({item})"), F.lit(1)), value))
+    return F.when(~F.exists(found, lambda x: x.isNull() | x.rlike("^(?:true|false|null)$")), found)
+
+
+def published_files(records: DataFrame, slugs: DataFrame) -> DataFrame:
+    """(path, content) of the Markdown projections of (id, title, slug, source_url, modified_at, synced_at, content_hash, body).
+
+    Bodies begin with the marker of generated files, or the run ends with an error; links
+    to pages of the site lead to these pages' Markdown; five fields stand in the head.
+    """
+    marker = bodies.MARKER
+    owned = (F.col("body") == marker) | F.col("body").startswith(f"{marker}\n")
+    clean = F.regexp_replace(F.substr("body", F.lit(len(marker) + 1)), r"^\s+|\s+$", "")
+    checked = records.withColumn("body", F.when(owned, clean).otherwise(F.raise_error(F.concat(F.lit("no marker in document "), F.col("id").cast("string")))))
+    made = published(checked, slugs)
+    head = outputs.front_matter({name: F.col(name) for name in ("title", "source_url", "modified_at", "synced_at", "content_hash")})
+    content = F.concat(head, F.lit("\n# "), text.escape_heading(F.col("title")), F.lit("\n"), F.when(F.col("body") != "", F.concat(F.lit("\n"), "body", F.lit("\n"))).otherwise(""))
+    return made.select(F.concat("slug", F.lit("/index.md")).alias("path"), content.alias("content"))
+
+
 def document_links(docs: DataFrame, body: str = "body") -> DataFrame:
     """(id, start, end, href): where the targets of links and definitions stand."""
     return spans(blocks(docs, body)).where("kind in ('link', 'definition')").select("id", F.col("href_start").alias("start"), F.col("href_end").alias("end"), "href")

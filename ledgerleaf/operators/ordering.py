@@ -18,7 +18,7 @@ LANDING = ("Overview", "README", "About")
 
 def with_keys(rows: DataFrame, landing: tuple[str, ...] = LANDING) -> DataFrame:
     """Adds label, tier (0 landing document, 1 numbered, 2 other), tier_rank and sort_key."""
-    rows = rows.withColumn("order_number", labels.order_number(F.col("name"))).withColumn("label", labels.label(F.col("name")))
+    rows = rows.withColumn("order_number", labels.order_number(F.col("name"))).withColumn("label", labels.shown(F.col("name")))
     place = F.array_position(F.array(*(F.lit(t.lower()) for t in landing)), F.lower("label"))
     is_landing = (F.col("kind") == "document") & F.col("order_number").isNull() & (place > 0)
     tier = F.when(F.col("order_number").isNotNull(), 1).when(is_landing, 0).otherwise(2)

@@ -7,7 +7,7 @@ joins on id or path once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions import text
@@ -84,6 +84,21 @@ def preserved(manifest: DataFrame, planned: DataFrame, invalid: DataFrame) -> Da
     return rest.join(invalid.select("id", F.lit(False).alias("good")).distinct(), "id", "left").withColumn("good", F.coalesce("good", F.lit(True)))
 
 
+def navigation_after(target: str | None, rebuilt: DataFrame, before: DataFrame) -> DataFrame:
+    """The navigation that a run writes: that of the run before for one document, else the rebuilt one; both with the same columns.
+
+    A run for one document knows the others by their records alone, so nothing else of
+    the navigation may move; a document that it adds is there after the next full run.
+    """
+    return rebuilt if target is None else before.select(*rebuilt.columns)
+
+
+def managed_children(rows: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``hierarchy.children_in_order`` with the documents that the manifest has alone, numbered again."""
+    kept = rows.where("kind = 'folder'").unionByName(rows.where("kind = 'document'").join(manifest.select("id"), "id", "left_semi").select(*rows.columns))
+    return kept.withColumn("position", F.row_number().over(Window.partitionBy("parent", "kind").orderBy("position")).cast("long"))
+
+
 def managed(placed: DataFrame, manifest: DataFrame) -> DataFrame:
     """Folders of ``paths`` and, of its documents, those that the manifest has."""
     return placed.where("kind = 'folder'").unionByName(placed.where("kind = 'document'").join(manifest.select("id"), "id", "left_semi").select(*placed.columns))

@@ -122,7 +122,8 @@ _DAYS = "CAST(floor((epoch(TIMESTAMP '2001-01-01') - epoch(date_trunc('second',
 ORACLE: dict[str, str] = {
     "inventory_paths": f"{_TREE} SELECT id, array_to_string(path, '/') AS path, CAST(depth AS BIGINT) AS depth FROM tree",
     "inventory_selection_counts": f"{_TREE} SELECT (SELECT count(*) FROM items) AS all_item_count, count(*) AS descendant_count, (SELECT count(*) FROM items) - count(*) AS outside_root_count, count(*) FILTER (WHERE list_has_any(ids, ['r1', 'n3'])) AS ignored_count FROM tree",
-    "inventory_children": f"{_TREE} SELECT parent, count(*) FILTER (WHERE kind = 'folder') AS n_folder, count(*) FILTER (WHERE kind = 'document') AS n_document, count(*) FILTER (WHERE kind = 'unsupported') AS n_unsupported, coalesce(string_agg(id, ',' ORDER BY name, id) FILTER (WHERE kind = 'folder'), '') AS folder_ids, coalesce(string_agg(id, ',' ORDER BY name, id) FILTER (WHERE kind = 'document'), '') AS document_ids FROM tree WHERE parent IS NOT NULL GROUP BY parent",
+    "inventory_children": f"{_TREE} SELECT parent, count(*) FILTER (WHERE kind = 'folder') AS n_folder, count(*) FILTER (WHERE kind = 'document') AS n_document, count(*) FILTER (WHERE kind = 'unsupported') AS n_unsupported FROM tree WHERE parent IS NOT NULL GROUP BY parent",
+    "inventory_children_in_order": f"{_TREE} SELECT parent, kind, row_number() OVER (PARTITION BY parent, kind ORDER BY name, id) AS position, id FROM tree WHERE parent IS NOT NULL AND kind IN ('folder', 'document')",
     "ignored_subtree": f"{_TREE} SELECT id, kind FROM tree WHERE NOT list_has_any(ids, ['r1', 'n3'])",
     "unsupported_items": f"{_TREE} SELECT id, name, array_to_string(path, '/') AS path FROM tree WHERE kind = 'unsupported'",
     "issues_multiple_parents": f"{_PARENTS} {_MULTIPLE}",
@@ -185,7 +186,6 @@ ORACLE: dict[str, str] = {
     "breadcrumbs": f"{_CORPUS} SELECT id, CAST(p AS BIGINT) AS position, trail[p] AS label, CASE WHEN p = 1 THEN CASE WHEN trail[1] IN (SELECT r_name FROM region) AND trail[1] <> 'ASIA' THEN '/' || lower(trail[1]) || '/' ELSE '/documents/#section-' || url_encode(replace(lower(trail[1]), ' ', '-')) END END AS href FROM (SELECT id, trail, unnest(range(1, len(trail) + 1)) AS p FROM docs)",
     "folder_anchor": "SELECT p_partkey, 'section-' || replace(replace(replace(replace(replace(url_encode(replace(lower(p_name || ' (a+b)/~''' || p_brand), ' ', '-')), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*') AS anchor FROM part",
     "freshness": f"WITH o AS (SELECT o_orderkey, o_orderdate, {_DAYS} AS d FROM orders), m AS (SELECT *, CAST(floor(d / 30.44 + 0.5) AS BIGINT) AS mo, CAST(floor(d / 365.25 + 0.5) AS BIGINT) AS y FROM o) SELECT o_orderkey, CASE WHEN d < 0 THEN 'just now' WHEN d = 0 THEN 'today' WHEN d = 1 THEN 'yesterday' WHEN d < 30 THEN d || ' days ago' WHEN mo = 1 THEN 'last month' WHEN mo < 12 THEN mo || ' months ago' WHEN y = 1 THEN 'last year' ELSE y || ' years ago' END AS age, CASE WHEN d <= 14 THEN 'fresh' WHEN d <= 90 THEN 'recent' ELSE 'older' END AS freshness, strftime(o_orderdate, '%b %-d, %Y') AS shown FROM m",
-    "docs_index": f"{_CORPUS}, {_NEW.strip()} SELECT d.id, d.title, s.slug, 'docs/' || d.id || '.md' AS markdown_path, array_to_string(d.trail, '/') AS folder_path, 'en' AS language FROM docs d JOIN slugs s ON s.id = d.id",
     "search_terms": f"WITH {_TERMS} SELECT term, id, tf FROM terms",
     "search_topk": f"{_SEARCH} SELECT query, place, id, score FROM placed WHERE place <= 5",
     "search_own_title": f"{_SEARCH} SELECT DISTINCT query, EXISTS (SELECT 1 FROM placed p WHERE p.query = a.query AND p.id = a.query AND p.place <= 5) AS found FROM asked a",
@@ -197,3 +197,4 @@ ORACLE: dict[str, str] = {
     "checks_index": f"WITH {_ITEMS.strip()} SELECT 'index' AS rule, id AS key, CASE WHEN id LIKE '%21' THEN 'missing' ELSE 'docs/' || id || '.md' END AS detail FROM items WHERE kind = 'document' AND (id LIKE '%21' OR id LIKE '%42')",
     "checks_files": f"{_MANIFEST} SELECT CASE class WHEN 'added' THEN 'file_missing' ELSE 'file_unexpected' END AS rule, 'docs/' || id AS key, CAST(NULL AS VARCHAR) AS detail FROM classed WHERE class IN ('added', 'removed')",
 }
+ORACLE["slug_unicode"] = f"WITH t AS (SELECT doc_id, {_label("regexp_extract(text, '^([^' || chr(10) || ']*)', 1)")} AS l FROM documents) SELECT doc_id, coalesce(nullif(trim(regexp_replace(lower(strip_accents(l)), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '-'), ''), 'untitled') AS slug FROM t"

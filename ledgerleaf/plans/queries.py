@@ -49,6 +49,11 @@ def inventory_children(spark, d):
     return hierarchy.children(_placed(spark, d))
 
 
+@query
+def inventory_children_in_order(spark, d):
+    return hierarchy.children_in_order(_placed(spark, d))
+
+
 @query
 def ignored_subtree(spark, d):
     return hierarchy.without_subtrees(_placed(spark, d), IGNORED).select("id", "kind")
@@ -108,6 +113,7 @@ def slug_segment(spark, d):
 
 @query
 def slug_unicode(spark, d):
+    """Titles in many scripts' letters; marks go, letters stay."""
     return bindings.bodies(spark, d).select("doc_id", labels.slug_segment(F.col("title")).alias("slug"))
 
 
@@ -132,7 +138,7 @@ def _taken(spark, d, new):
 
 
 def _slugs(spark, d):
-    new = _new(spark, d)
+    new = shared.stage(_new(spark, d), "claims")
     return addressing.allocate(new, _taken(spark, d, new))
 
 
@@ -453,11 +459,6 @@ def freshness(spark, d):
     return bindings.table(spark, d, "orders").select("o_orderkey", labels.age_phrase(days).alias("age"), labels.freshness(days).alias("freshness"), F.date_format("o_orderdate", "MMM d, yyyy").alias("shown"))
 
 
-@query
-def docs_index(spark, d):
-    return corpus.index(_corpus(spark, d).join(_slugs(spark, d), "id"))
-
-
 def _texts(spark, d):
     return bindings.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
 

@@ -32,6 +32,29 @@ def module(entries: DataFrame, header: str) -> DataFrame:
     return lines.unionByName(ends)
 
 
+def document_lines(records: DataFrame, key: str = "id", section: str = "section") -> DataFrame:
+    """(section, key, text): a document of records by section and key, as its text in order of both.
+
+    Records are indented by four, their fields in order of name; all of a section but the
+    last end with a comma. A section opens before its first and closes after its last record.
+    """
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.cast("string").alias("v"))), r"^\{\"v\":(.*)\}$", 1)
+    fields = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f'      "{c}": '), quoted(F.col(c)))) for c in sorted(set(records.columns) - {key, section})]
+    last = records.groupBy(section).agg(F.max(key).alias("_last"))
+    body = F.concat(F.lit("    "), quoted(F.col(key)), F.lit(": {\n"), F.array_join(F.array_compact(F.array(*fields)), ",\n"), F.lit("\n    }"), F.when(F.col(key) == F.col("_last"), "").otherwise(","))
+    return records.join(last, section).select(F.col(section).alias("section"), F.col(key).alias("key"), body.alias("text"))
+
+
+def sidebar_file(groups: DataFrame, path: str, header: str) -> DataFrame:
+    """(path, content): the sidebar (sibling_rank, label, items array of (label, link)) as one module, groups in order of rank."""
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r"^\{\"v\":(.*)\}$", 1)
+    links = F.array_join(F.transform("items", lambda x: F.concat(F.lit('      { "label": '), quoted(x["label"]), F.lit(', "link": '), quoted(x["link"]), F.lit(" }"))), ",\n")
+    one = F.concat(F.lit('  {\n    "label": '), quoted(F.col("label")), F.lit(',\n    "items": ['), F.when(links != "", F.concat(F.lit("\n"), links, F.lit("\n    "))).otherwise(""), F.lit("]\n  }"))
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sibling_rank", one.alias("text")))), lambda g: g["text"]), ",\n")
+    made = groups.agg(ordered.alias("body"))
+    return made.select(F.lit(path).alias("path"), F.concat(F.lit(f"// {header}\nexport const generatedSidebar = [\n"), "body", F.lit("\n];\n")).alias("content"))
+
+
 def markdown_routes(documents: DataFrame) -> DataFrame:
     """(path, content) of the Markdown projections of (slug, title, body)."""
     return documents.select(F.concat(F.lit("/"), "slug", F.lit("/index.md")).alias("path"), F.concat(F.lit("# "), text.escape_heading(F.col("title")), F.lit("\n\n"), "body", F.lit("\n")).alias("content"))

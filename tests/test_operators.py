@@ -7,15 +7,17 @@ from ledgerleaf.operators import addressing, checks, corpus, hierarchy, links, o
 
 ITEMS = "id string, name string, kind string, parent string, modified string"
 TREE = [
-    ("root", "Published", "folder", None, None),
-    ("eng", "01 - Engineering", "folder", "root", None),
-    ("empty", "Empty", "folder", "root", None),
-    ("doc-a", "Overview", "document", "eng", "2024-01-02"),
-    ("doc-b", "02 - Beta", "document", "eng", "2024-01-01"),
-    ("doc-c", "alpha", "document", "eng", None),
-    ("doc-r", "Root page", "document", "root", "2024-01-03"),
-    ("docx", "file", "unsupported", "eng", None),
-    ("out", "Elsewhere", "document", "nowhere", None),
+    ("root", "Harbour", "folder", None, None),
+    ("tides", "2. Tides", "folder", "root", None),
+    ("maps", "[1] Maps", "folder", "tides", None),
+    ("low", "Low water", "document", "maps", None),
+    ("read", "readme", "document", "maps", "2023-05-01"),
+    ("nine", "9 – Nine", "document", "maps", None),
+    ("sheet", "table", "unsupported", "maps", None),
+    ("ten", "10 – Ten", "document", "tides", "2023-04-01"),
+    ("note", "About", "document", "root", None),
+    ("void", "Void", "folder", "root", None),
+    ("adrift", "Adrift", "document", "beyond", None),
 ]
 
 
@@ -30,9 +32,9 @@ def rows(df, *order):
 
 def test_paths_and_counts(spark, items):
     placed = hierarchy.paths(items)
-    assert dict(rows(placed.select("id", F.array_join("path", "/"))))["doc-b"] == "Published/01 - Engineering/02 - Beta"
-    assert rows(hierarchy.selection_counts(items, placed, ["eng"]).select("all_item_count", "descendant_count", "outside_root_count", "ignored_count")) == [(9, 8, 1, 5)]
-    assert {r[0] for r in rows(hierarchy.without_subtrees(placed, ["eng"]).select("id"))} == {"root", "empty", "doc-r"}
+    assert dict(rows(placed.select("id", F.array_join("path", "/"))))["nine"] == "Harbour/2. Tides/[1] Maps/9 – Nine"
+    assert rows(hierarchy.selection_counts(items, placed, ["tides"]).select("all_item_count", "descendant_count", "outside_root_count", "ignored_count")) == [(11, 10, 1, 7)]
+    assert {r[0] for r in rows(hierarchy.without_subtrees(placed, ["tides"]).select("id"))} == {"root", "note", "void"}
 
 
 def test_any_order_of_rows_gives_one_result(spark, items):
@@ -60,15 +62,15 @@ def test_paths_of_any_depth_and_number(spark):
 
 
 def test_paths_of_a_selection(spark, items):
-    placed = hierarchy.paths_of_selection(items.where("id <> 'eng'"))
+    placed = hierarchy.paths_of_selection(items.where("id <> 'maps'"))
     got = {r.id: (r.depth, "/".join(r.path)) for r in placed.collect()}
-    assert got["doc-a"] == (0, "Overview") and got["doc-r"] == (1, "Published/Root page") and got["out"] == (0, "Elsewhere")
-    assert [r.id for r in hierarchy.in_order(placed).collect()][0] == "doc-b"
+    assert got["low"] == (0, "Low water") and got["ten"] == (2, "Harbour/2. Tides/10 – Ten") and got["adrift"] == (0, "Adrift")
+    assert [r.id for r in hierarchy.in_order(placed).collect()][:2] == ["nine", "adrift"]
 
 
 def test_sound_inventories(spark, items):
     assert hierarchy.root_issues(items).count() == 0
-    assert rows(hierarchy.root_issues(items, "doc-a")) == [("root_not_folder", "doc-a")] and rows(hierarchy.root_issues(items, "zz")) == [("root_not_found", "zz")]
+    assert rows(hierarchy.root_issues(items, "note")) == [("root_not_folder", "note")] and rows(hierarchy.root_issues(items, "zz")) == [("root_not_found", "zz")]
     hierarchy.require_sound(hierarchy.root_issues(items), hierarchy.duplicate_ids(items))
     with pytest.raises(ValueError, match="2 issues of the inventory: duplicate_id a; root_not_found zz"):
         hierarchy.require_sound(hierarchy.root_issues(items, "zz"), hierarchy.duplicate_ids(spark.createDataFrame([("a",), ("a",)], "id string")))
@@ -77,11 +79,11 @@ def test_sound_inventories(spark, items):
 def test_sibling_order_and_reading_order(spark, items):
     placed = hierarchy.paths(items)
     ranked = ordering.siblings(placed)
-    assert [r[0] for r in rows(ranked.where("parent = 'eng'").select("id", "sibling_rank"), "sibling_rank")] == ["doc-a", "doc-b", "doc-c"]
-    assert {r[0] for r in rows(ordering.navigation(placed, ranked).select("id"))} == {"eng", "doc-a", "doc-b", "doc-c", "doc-r"}
+    assert [r[0] for r in rows(ranked.where("parent = 'maps'").select("id", "sibling_rank"), "sibling_rank")] == ["read", "nine", "low"]
+    assert {r[0] for r in rows(ordering.navigation(placed, ranked).select("id"))} == {"tides", "maps", "low", "read", "nine", "ten", "note"}
     order = ordering.reading_order(placed, ranked)
-    assert [r[0] for r in rows(order, "place")] == ["doc-a", "doc-b", "doc-c", "doc-r"]
-    assert rows(ordering.neighbours(order))[0] == ("doc-a", None, "doc-b")
+    assert [r[0] for r in rows(order, "place")] == ["note", "read", "nine", "low", "ten"]
+    assert rows(ordering.neighbours(order))[0] == ("low", "nine", "ten")
 
 
 def test_navigation_issues(spark):
