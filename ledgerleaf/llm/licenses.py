@@ -69,7 +69,7 @@ LICENSES = {
     "bsd-2": f"{_BSD} {_BSD_END}",
     "bsd-3": f"{_BSD} {_BSD_NAMES} {_BSD_END}",
     "zlib": (
-        "this software is provided as is without any express or implied warranty in no event will the author [[s]] be held liable for any damages arising from the use of this software "
+        "this software is provided as is without any express or implied warranty in no event will the [[author]] [[authors]] be held liable for any damages arising from the use of this software "
         "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions "
         "[[1]] the origin of this software must not be misrepresented you must not claim that you wrote the original software "
         "if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required "

@@ -14,7 +14,8 @@ overlaps one is not reported twice.
 
 Positions are code points. They come from the lengths of the pieces between matches,
 so nothing leaves the JVM and nothing is shuffled. Sums over many matches are taken in
-blocks of ``BLOCK``, so long texts with thousands of matches stay cheap. Null texts are
+blocks of ``BLOCK``, and spans meet others in one fold over both in order, so long texts
+with very many matches stay cheap. Null texts are
 empty; repeated rows give repeated results.
 """
 
@@ -136,10 +137,36 @@ def _of_rank(rank: int) -> Callable[[Column], Column]:
     return lambda x: x["rank"] == rank
 
 
-def _apart(spans: Column, *others: Column) -> Column:
-    """The spans that overlap none of the others."""
-    meets = lambda x: lambda b: (b["start"] < x["finish"]) & (x["start"] < b["finish"])
-    return F.filter(spans, lambda x: ~F.greatest(*(F.exists(o, meets(x)) for o in others), F.lit(False)))
+#: Beyond all places.
+_FAR = 1 << 30
+
+
+def _clear(spans: Column, others: Column, key: Callable[[Column], Column], reach: Callable[[Column], Column], against: Callable[[Column], Column]) -> Column:
+    """The spans that no other one before them, in order of ``key``, reaches: whose greatest ``reach`` so far isn't above ``against``.
+
+    One fold over both in order, block by block.
+    """
+    marked = lambda own: lambda x: F.struct(key(x).alias("key"), F.lit(own).alias("own"), x.alias("span"))
+    both = F.array_sort(F.concat(F.transform(others, marked(0)), F.transform(spans, marked(1))))
+    empty = F.array().cast(_SPANS)
+
+    def step(state: Column, x: Column) -> Column:
+        other = x["own"] == 0
+        kept = ~other & (state["at"] <= against(x["span"]))
+        return F.struct(F.when(other, F.greatest(state["at"], reach(x["span"]))).otherwise(state["at"]).alias("at"), F.when(kept, F.concat(state["out"], F.array(x["span"]))).otherwise(state["out"]).alias("out"))
+
+    def clear(block: Column, at: Column, _: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), empty.alias("out")), step, lambda s: s["out"])
+
+    furthest = lambda block: F.aggregate(block, F.lit(0), lambda n, x: F.when(x["own"] == 0, F.greatest(n, reach(x["span"]))).otherwise(n))
+    return _let(both, lambda sorted_: F.flatten(_by_blocks(sorted_, furthest, lambda n, x: F.greatest(n, x), clear)))
+
+
+def _apart(spans: Column, others: Column) -> Column:
+    """The spans that overlap none of the others: none that begins no later and ends behind their start, and none that begins later and before their end."""
+    before = _clear(spans, others, lambda x: x["start"], lambda x: x["finish"], lambda x: x["start"])
+    both = _let(before, lambda left: _clear(left, others, lambda x: _FAR - x["start"], lambda x: _FAR - x["start"], lambda x: _FAR - x["finish"]))
+    return F.when((F.size(spans) > 0) & (F.size(others) > 0), F.coalesce(both, F.array().cast(_SPANS))).otherwise(spans)
 
 
 def _counting(hit: Column) -> Column:
@@ -168,9 +195,9 @@ def with_spans(docs: DataFrame) -> DataFrame:
     base["assign"] = F.filter(base["assign"], lambda x: F.length(F.regexp_extract(x["hit"], ASSIGN, 2)) >= ASSIGN_VALUE)
     rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"))
     out = rows.withColumn("base", F.array_sort(F.concat(*base.values())))
-    hexes = _apart(_spans(text, KINDS.index("entropy_hex"), CANDIDATES["entropy_hex"][0]), F.col("base"))
+    hexes = _let(_spans(text, KINDS.index("entropy_hex"), CANDIDATES["entropy_hex"][0]), lambda found: _apart(found, F.col("base")))
     out = out.withColumn("hexes", F.filter(hexes, _above("entropy_hex")))
-    runs = _apart(_spans(text, -1, CANDIDATES["run"][0]), F.col("base"), F.col("hexes"))
+    runs = _let(_spans(text, -1, CANDIDATES["run"][0]), lambda found: _apart(found, F.concat("base", "hexes")))
     runs = F.transform(runs, lambda x: F.struct(x["start"].alias("start"), _kind(x["hit"]).alias("rank"), x["finish"].alias("finish"), x["hit"].alias("hit")))
     return out.select("row", "base", F.array_sort(F.concat("hexes", F.filter(runs, _above("run")))).alias("more"))
 
