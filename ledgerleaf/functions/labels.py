@@ -20,6 +20,8 @@ UNTITLED = "Untitled"
 #: Longest description in characters, and the share of it below which a word is cut.
 DESCRIPTION, WORD_SHARE = 200, 0.6
 FRESH_DAYS, RECENT_DAYS = 14, 90
+# The mean days of a month and of a year by which ages are told.
+MONTH_DAYS, YEAR_DAYS = 30.44, 365.25
 
 
 def needs_normalizing(text: Column) -> Column:
@@ -96,7 +98,7 @@ def description(text: Column, limit: int = DESCRIPTION) -> Column:
 
 def age_phrase(days: Column) -> Column:
     """Days below a month, then months below a year, then years; one month or year is the last one."""
-    months, years = F.floor(days / 30.44 + 0.5), F.floor(days / 365.25 + 0.5)
+    months, years = F.floor(days / MONTH_DAYS + 0.5), F.floor(days / YEAR_DAYS + 0.5)
     unit = F.when(days < 30, "day").when(months < 12, "month").otherwise("year")
     count = F.when(days < 30, days).when(months < 12, months).otherwise(years)
     near = F.when(days < 0, "just now").when(days < 2, F.element_at(F.array(F.lit("today"), F.lit("yesterday")), (days + 1).cast("int")))

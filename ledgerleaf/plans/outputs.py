@@ -86,7 +86,10 @@ def labels_composed(spark, d):
 # -- runs ----------------------------------------------------------------------
 
 
-@query(f"WITH {_ITEMS.strip()} SELECT CASE WHEN kind = 'folder' THEN NULL ELSE 'root_not_folder' END AS code, id AS item_id FROM items WHERE id IN ('c9', 's1') AND kind <> 'folder' UNION ALL SELECT 'root_not_found', 'nowhere'")
+@query(f"""
+WITH {_ITEMS.strip()} SELECT CASE WHEN kind = 'folder' THEN NULL ELSE 'root_not_folder' END AS code, id AS item_id
+FROM items WHERE id IN ('c9', 's1') AND kind <> 'folder' UNION ALL
+SELECT 'root_not_found', 'nowhere'""")
 def root_issues(spark, d):
     """Roots that are folders, documents, and nowhere."""
     items = bindings.items(spark, d)
@@ -114,7 +117,9 @@ def navigation_kept(spark, d):
     return runs.navigation_after("c3", rebuilt, before).unionByName(full)
 
 
-@query(f"{_TREE} SELECT parent, kind, row_number() OVER (PARTITION BY parent, kind ORDER BY name, id) AS position, id FROM tree WHERE parent IS NOT NULL AND (kind = 'folder' OR kind = 'document' AND (id LIKE 's%' OR CAST(substr(id, 2) AS INT) % 10 <> 0))")
+@query(f"""
+{_TREE} SELECT parent, kind, row_number() OVER (PARTITION BY parent, kind
+ORDER BY name, id) AS position, id FROM tree WHERE parent IS NOT NULL AND (kind = 'folder' OR kind = 'document' AND (id LIKE 's%' OR CAST(substr(id, 2) AS INT) % 10 <> 0))""")
 def managed_children(spark, d):
     return runs.managed_children(hierarchy.children_in_order(_placed(spark, d)), bindings.manifest(spark, d))
 

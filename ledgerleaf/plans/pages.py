@@ -115,7 +115,10 @@ def _filled(template: str) -> str:
     return sql
 
 
-@query(f"WITH w AS (SELECT page_id, {_WORDS} AS w FROM pages), x AS (SELECT page_id, {', '.join(f'w[len(w) - {i}] AS w{i}' for i in range(1, 5))} FROM w) SELECT page_id, {_filled(_SHAPES_HTML)} AS html, {_filled(_SHAPES_MARKDOWN)} AS markdown, 'removed_invalid_table_span,removed_unsafe_html_attribute,removed_unsafe_link,removed_unsupported_html' AS codes FROM x")
+@query(f"""
+WITH w AS (SELECT page_id, {_WORDS} AS w FROM pages), x AS (SELECT page_id, {', '.join(f'w[len(w) - {i}] AS w{i}' for i in range(1, 5))}
+FROM w) SELECT page_id, {_filled(_SHAPES_HTML)} AS html, {_filled(_SHAPES_MARKDOWN)} AS markdown, 'removed_invalid_table_span,removed_unsafe_html_attribute,removed_unsafe_link,removed_unsupported_html' AS codes
+FROM x""")
 def html_structures(spark, d):
     """Lists, code, quotations, images and tables around the last long words of each page."""
     words = bindings.table(spark, d, "pages").select("page_id", F.regexp_extract_all("html", F.lit("[A-Za-z]{5,}"), F.lit(0)).alias("w"))

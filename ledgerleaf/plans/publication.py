@@ -56,7 +56,10 @@ def landed_listing(spark, d):
     return landed.listing(spark, _raw(spark, d)).select("id", "name", "kind", "parent")
 
 
-@query(f"WITH {_ITEMS.strip()}, bad AS (SELECT id, ['scope_other_drive', CASE WHEN kind <> 'folder' THEN 'scope_not_folder' END, CASE WHEN id LIKE '%9' THEN 'scope_trashed' END] AS codes FROM items WHERE id = 'c9') SELECT code, id AS item_id FROM (SELECT id, unnest(codes) AS code FROM bad) WHERE code IS NOT NULL")
+@query(f"""
+WITH {_ITEMS.strip()}, bad AS (SELECT id, ['scope_other_drive', CASE WHEN kind <> 'folder' THEN 'scope_not_folder' END, CASE WHEN id LIKE '%9' THEN 'scope_trashed' END] AS codes
+FROM items WHERE id = 'c9') SELECT code, id AS item_id FROM (SELECT id, unnest(codes) AS code
+FROM bad) WHERE code IS NOT NULL""")
 def scope_issues(spark, d):
     raw = landed.raw_listing(spark, _raw(spark, d))
     return landed.scope_issues(raw, "drive", "root").unionByName(landed.scope_issues(raw, "another", "c9"))
@@ -118,14 +121,19 @@ def manifest_documents(spark, d):
     return found.withColumn("version", F.col("version").cast("long"))
 
 
-@query("SELECT DISTINCT source AS owner, CASE source WHEN 'src1' THEN 'not_json' WHEN 'src2' THEN 'unknown_version' ELSE 'other_scope' END AS code FROM documents WHERE source IN ('src1', 'src2') OR source >= 'src5'")
+@query("""
+SELECT DISTINCT source AS owner, CASE source WHEN 'src1' THEN 'not_json' WHEN 'src2' THEN 'unknown_version' ELSE 'other_scope' END AS code
+FROM documents WHERE source IN ('src1', 'src2') OR source >= 'src5'""")
 def manifest_issues(spark, d):
     raw = _manifests(spark, d)
     broken = F.when(F.col("owner") == "src1", F.substring("json", 1, 200)).when(F.col("owner") == "src2", F.regexp_replace("json", '"schemaVersion":.', '"schemaVersion":7')).otherwise(F.col("json"))
     return landed.manifest_issues(raw.withColumn("json", broken), "drive", "root")
 
 
-@query("WITH s AS (SELECT event_id, 200 + (event_id * 37) % 400 AS status, event_id % 12 AS attempt, CASE WHEN event_id % 3 = 0 THEN event_id * 7 END AS asked FROM events) SELECT event_id, CASE WHEN status < 300 THEN NULL WHEN status = 401 THEN 'authentication' WHEN status IN (403, 404) THEN 'permission' WHEN status = 429 THEN 'rate_limit' WHEN status >= 500 THEN 'server' ELSE 'invalid_response' END AS error_class, status IN (429, 500, 502, 503, 504) AS retried, CAST(CASE WHEN asked IS NOT NULL THEN least(asked, 30000) WHEN attempt > 5 THEN 10000 ELSE 250 * (1 << CAST(attempt AS INT)) END AS BIGINT) AS delay FROM s")
+@query("""
+WITH s AS (SELECT event_id, 200 + (event_id * 37) % 400 AS status, event_id % 12 AS attempt, CASE WHEN event_id % 3 = 0 THEN event_id * 7 END AS asked
+FROM events) SELECT event_id, CASE WHEN status < 300 THEN NULL WHEN status = 401 THEN 'authentication' WHEN status IN (403, 404) THEN 'permission' WHEN status = 429 THEN 'rate_limit' WHEN status >= 500 THEN 'server' ELSE 'invalid_response' END AS error_class, status IN (429, 500, 502, 503, 504) AS retried, CAST(CASE WHEN asked IS NOT NULL THEN least(asked, 30000) WHEN attempt > 5 THEN 10000 ELSE 250 * (1 << CAST(attempt AS INT)) END AS BIGINT) AS delay
+FROM s""")
 def request_failures(spark, d):
     rows = bindings.table(spark, d, "events").select("event_id", F.expr("200 + (event_id * 37) % 400").alias("status"), F.expr("event_id % 12").alias("attempt"), F.expr("if(event_id % 3 = 0, event_id * 7, null)").alias("asked"))
     return rows.select("event_id", landed.error_class(F.col("status")).alias("error_class"), F.col("status").isin(*landed.RETRIED).alias("retried"), landed.retry_delay(F.col("attempt"), F.col("asked")).alias("delay"))
@@ -144,7 +152,9 @@ def _written(spark, d):
     return records, made.where("case <> 1").select("path", found.alias("content"))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS id, CASE doc_id % 6 WHEN 1 THEN 'missing' WHEN 2 THEN 'marker_missing' WHEN 5 THEN 'content_changed' ELSE 'output_changed' END AS issue FROM documents WHERE doc_id % 6 > 0")
+@query("""
+SELECT CAST(doc_id AS VARCHAR) AS id, CASE doc_id % 6 WHEN 1 THEN 'missing' WHEN 2 THEN 'marker_missing' WHEN 5 THEN 'content_changed' ELSE 'output_changed' END AS issue
+FROM documents WHERE doc_id % 6 > 0""")
 def output_issues(spark, d):
     return runs.output_issues(*_written(spark, d))
 
@@ -152,7 +162,12 @@ def output_issues(spark, d):
 _BAD = "bad AS (SELECT id FROM current WHERE id LIKE '%3')"
 
 
-@query(f"{_MANIFEST}, {_BAD}, listed AS (SELECT id, class, id IN (SELECT id FROM bad) AS bad FROM classed WHERE class <> 'removed') SELECT id, reasons <> '' AS needs_export, reasons FROM (SELECT id, array_to_string(list_filter([CASE WHEN (SELECT bool_or(class IN ('added', 'removed')) FROM classed) THEN 'corpus' END, CASE WHEN class = 'added' THEN 'new' END, CASE WHEN class = 'changed' THEN 'metadata' END, CASE WHEN bad THEN 'output' END], lambda x: x IS NOT NULL), ',') AS reasons FROM listed)")
+@query(f"""
+{_MANIFEST}, {_BAD}, listed AS (SELECT id, class, id IN (SELECT id
+FROM bad) AS bad FROM classed WHERE class <> 'removed') SELECT id, reasons <> '' AS needs_export, reasons
+FROM (SELECT id, array_to_string(list_filter([CASE WHEN (SELECT bool_or(class IN ('added', 'removed'))
+FROM classed) THEN 'corpus' END, CASE WHEN class = 'added' THEN 'new' END, CASE WHEN class = 'changed' THEN 'metadata' END, CASE WHEN bad THEN 'output' END], lambda x: x IS NOT NULL), ',') AS reasons
+FROM listed)""")
 def run_plan(spark, d):
     current, manifest = _both(spark, d)
     return runs.plan(current, manifest, current.where("id like '%3'"))
@@ -169,7 +184,11 @@ def _dated(spark, d):
     return current.select("id", "name", "parent", "modified", F.lit("now").alias("generated_at")), manifest.select("id", "name", "parent", "modified", F.lit("before").alias("generated_at")), current.where("id like '%3'")
 
 
-@query(f"{_MANIFEST}, {_BAD} SELECT c.id, class = 'unchanged' AND c.id NOT IN (SELECT id FROM bad) AS reused, CASE WHEN class = 'unchanged' AND c.id NOT IN (SELECT id FROM bad) THEN 'before' ELSE 'now' END AS generated_at FROM current c JOIN classed USING (id)")
+@query(f"""
+{_MANIFEST}, {_BAD} SELECT c.id, class = 'unchanged' AND c.id NOT IN (SELECT id
+FROM bad) AS reused, CASE WHEN class = 'unchanged' AND c.id NOT IN (SELECT id
+FROM bad) THEN 'before' ELSE 'now' END AS generated_at FROM current c
+JOIN classed USING (id)""")
 def run_reuse(spark, d):
     exported, manifest, bad = _dated(spark, d)
     return runs.with_reuse(exported, manifest, bad).select("id", "reused", "generated_at")
@@ -203,18 +222,30 @@ def managed_documents(spark, d):
     return runs.managed(_placed(spark, d), bindings.manifest(spark, d)).select("id", "kind")
 
 
-@query(f"{_TREE}, {_NEW.strip()} SELECT t.id, t.name, CASE WHEN t.id <> 'root' THEN t.parent END AS parent, s.slug, CASE WHEN s.slug IS NOT NULL THEN 'sections/' || t.id || '.md' END AS page_path FROM tree t LEFT JOIN slugs s ON s.id = t.id WHERE t.kind = 'folder'")
+@query(f"""
+{_TREE}, {_NEW.strip()} SELECT t.id, t.name, CASE WHEN t.id <> 'root' THEN t.parent END AS parent, s.slug, CASE WHEN s.slug IS NOT NULL THEN 'sections/' || t.id || '.md' END AS page_path
+FROM tree t LEFT JOIN slugs s ON s.id = t.id WHERE t.kind = 'folder'""")
 def folder_records(spark, d):
     return runs.folder_records(_placed(spark, d), _slugs(spark, d))
 
 
-@query(f"{_TREE}, kept AS (SELECT * FROM tree WHERE NOT list_has_any(ids, ['r1', 'n3'])), dup AS (SELECT c_custkey FROM customer WHERE c_custkey % 40 = 3) SELECT (SELECT count(*) FROM items) AS items, (SELECT count(*) FROM tree) AS descendants, count(*) FILTER (WHERE kind = 'folder') AS selected_folders, count(*) FILTER (WHERE kind = 'document') AS selected_documents, count(*) FILTER (WHERE kind = 'unsupported') AS selected_unsupporteds, (SELECT count(*) FROM tree) - count(*) AS ignored, (SELECT count(*) FROM items) - (SELECT count(*) FROM tree) AS outside, (SELECT count(*) FROM dup) AS issues FROM kept")
+@query(f"""
+{_TREE}, kept AS (SELECT * FROM tree WHERE NOT list_has_any(ids, ['r1', 'n3'])),
+dup AS (SELECT c_custkey FROM customer WHERE c_custkey % 40 = 3)
+SELECT (SELECT count(*) FROM items) AS items, (SELECT count(*)
+FROM tree) AS descendants, count(*) FILTER (WHERE kind = 'folder') AS selected_folders, count(*) FILTER (WHERE kind = 'document') AS selected_documents, count(*) FILTER (WHERE kind = 'unsupported') AS selected_unsupporteds, (SELECT count(*)
+FROM tree) - count(*) AS ignored, (SELECT count(*) FROM items) - (SELECT count(*)
+FROM tree) AS outside, (SELECT count(*) FROM dup) AS issues FROM kept""")
 def inventory_report(spark, d):
     items, placed = bindings.items(spark, d), _placed(spark, d)
     return runs.report_counters(items, placed, hierarchy.without_subtrees(placed, ["r1", "n3"]), hierarchy.multiple_parents(bindings.parent_links(spark, d)))
 
 
-@query(f"{_MANIFEST} SELECT count(*) FILTER (WHERE class = 'added') AS added, count(*) FILTER (WHERE class = 'changed') AS changed, count(*) FILTER (WHERE class = 'unchanged') AS unchanged, count(*) FILTER (WHERE class = 'removed') AS removed, (SELECT count(*) FROM items WHERE kind = 'folder') AS folders, (SELECT count(*) FROM items WHERE kind = 'unsupported') AS unsupported, (SELECT count(DISTINCT name) FROM current) AS warnings FROM classed")
+@query(f"""
+{_MANIFEST} SELECT count(*) FILTER (WHERE class = 'added') AS added, count(*) FILTER (WHERE class = 'changed') AS changed, count(*) FILTER (WHERE class = 'unchanged') AS unchanged, count(*) FILTER (WHERE class = 'removed') AS removed, (SELECT count(*)
+FROM items WHERE kind = 'folder') AS folders, (SELECT count(*)
+FROM items WHERE kind = 'unsupported') AS unsupported, (SELECT count(DISTINCT name)
+FROM current) AS warnings FROM classed""")
 def run_counters(spark, d):
     items = bindings.items(spark, d)
     return runs.run_counters(*_both(spark, d), items.where("kind = 'folder'"), items.where("kind = 'unsupported'"), bindings.documents(spark, d).select("name"))
@@ -230,7 +261,9 @@ def content_hash_with_assets(spark, d):
 # -- URLs and settings -------------------------------------------------------
 
 
-@query("SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'docs/img/' || page_id || '.png' WHEN 1 THEN 'img/' || page_id || '.png' WHEN 2 THEN 'docs/a b/' || page_id || '.png' WHEN 3 THEN page_id || '.png' END AS path FROM pages")
+@query("""
+SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'docs/img/' || page_id || '.png' WHEN 1 THEN 'img/' || page_id || '.png' WHEN 2 THEN 'docs/a b/' || page_id || '.png' WHEN 3 THEN page_id || '.png' END AS path
+FROM pages""")
 def archive_paths(spark, d):
     href = F.expr("concat(case page_id % 8 when 0 then 'img//./' when 1 then '../img/' when 2 then 'a%20b/' when 3 then 'x/../../' when 4 then '../../' when 5 then '/img/' when 6 then 'http:' else '%252e%252e/' end, page_id, '.png')")
     return bindings.table(spark, d, "pages").select("page_id", urls.asset_path(href, F.lit("docs")).alias("path"))
@@ -248,7 +281,9 @@ def url_parts(spark, d):
     return bindings.table(spark, d, "pages").select("page_id", urls.https_origin(site).alias("origin"), urls.readable_fragment(url).alias("fragment"), urls.safe_slug(path).alias("safe"))
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 4 WHEN 1 THEN CASE WHEN user_id BETWEEN 1 AND 60 THEN user_id END WHEN 3 THEN 7 END AS number, CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN event_type = 'click' END AS flag, CASE WHEN event_type = 'click' THEN 'click' ELSE event_type || ',click' END AS list FROM events")
+@query("""
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN 4 WHEN 1 THEN CASE WHEN user_id BETWEEN 1 AND 60 THEN user_id END WHEN 3 THEN 7 END AS number, CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN event_type = 'click' END AS flag, CASE WHEN event_type = 'click' THEN 'click' ELSE event_type || ',click' END AS list
+FROM events""")
 def settings_parsed(spark, d):
     rows = bindings.table(spark, d, "events")
     number = F.expr("case event_id % 4 when 0 then '' when 1 then cast(user_id as string) when 2 then concat(user_id, 'x') else ' 7 ' end")
@@ -301,7 +336,9 @@ def checks_reserved(spark, d):
     return checks.slug_not_reserved(_new(spark, d).select("id", F.col("base").alias("slug")), ("asia", "europe", "01-asia"))
 
 
-@query("SELECT 'front_matter' AS rule, 'docs/' || doc_id || '.md' AS key, CASE doc_id % 7 WHEN 1 THEN 'not_opened' WHEN 2 THEN 'not_closed' WHEN 3 THEN 'no_marker' WHEN 4 THEN 'slug' ELSE 'contentHash' END AS detail FROM documents WHERE doc_id % 7 BETWEEN 1 AND 5")
+@query("""
+SELECT 'front_matter' AS rule, 'docs/' || doc_id || '.md' AS key, CASE doc_id % 7 WHEN 1 THEN 'not_opened' WHEN 2 THEN 'not_closed' WHEN 3 THEN 'no_marker' WHEN 4 THEN 'slug' ELSE 'contentHash' END AS detail
+FROM documents WHERE doc_id % 7 BETWEEN 1 AND 5""")
 def checks_front_matter(spark, d):
     made = _texts(spark, d).select("doc_id", F.concat(F.lit("docs/"), "doc_id", F.lit(".md")).alias("path"), F.concat(F.lit("a/"), "doc_id").alias("slug"), text.sha256(F.col("text")).alias("content_hash"), F.col("text").alias("body"))
     content = bodies.document(F.lit("t"), F.expr("if(doc_id % 7 = 4, 'other', slug)"), F.expr("if(doc_id % 7 = 5, 'other', content_hash)"), F.col("body"))
@@ -310,7 +347,9 @@ def checks_front_matter(spark, d):
     return checks.front_matter(made.select("path", bad.alias("content")), made.select("path", "slug", "content_hash"))
 
 
-@query("SELECT 'image' AS rule, doc_id || ' /assets/generated/' || CASE doc_id % 5 WHEN 1 THEN doc_id || '/picture.png' WHEN 2 THEN doc_id + 1 || '/image-001.png' ELSE doc_id || '/image-001.png' END AS key, CASE doc_id % 5 WHEN 1 THEN 'name' WHEN 2 THEN 'other_document' WHEN 3 THEN 'missing' ELSE 'type' END AS detail FROM documents WHERE doc_id % 5 > 0")
+@query("""
+SELECT 'image' AS rule, doc_id || ' /assets/generated/' || CASE doc_id % 5 WHEN 1 THEN doc_id || '/picture.png' WHEN 2 THEN doc_id + 1 || '/image-001.png' ELSE doc_id || '/image-001.png' END AS key, CASE doc_id % 5 WHEN 1 THEN 'name' WHEN 2 THEN 'other_document' WHEN 3 THEN 'missing' ELSE 'type' END AS detail
+FROM documents WHERE doc_id % 5 > 0""")
 def checks_images(spark, d):
     rows = _texts(spark, d)
     referenced = rows.select(F.col("doc_id").cast("string").alias("id"), F.expr("concat('/assets/generated/', case doc_id % 5 when 1 then concat(doc_id, '/picture.png') when 2 then concat(doc_id + 1, '/image-001.png') else concat(doc_id, '/image-001.png') end)").alias("href"))
@@ -318,7 +357,9 @@ def checks_images(spark, d):
     return checks.images(referenced, found)
 
 
-@query("SELECT 'content_hash' AS rule, CAST(doc_id AS VARCHAR) AS key, CASE WHEN doc_id % 4 = 2 THEN 'missing' ELSE 'sha256:' || sha256(CAST(to_json({'body': text, 'assets': [{'path': 'a', 'hash': source}]}) AS VARCHAR)) END AS detail FROM documents WHERE doc_id % 4 IN (1, 2)")
+@query("""
+SELECT 'content_hash' AS rule, CAST(doc_id AS VARCHAR) AS key, CASE WHEN doc_id % 4 = 2 THEN 'missing' ELSE 'sha256:' || sha256(CAST(to_json({'body': text, 'assets': [{'path': 'a', 'hash': source}]}) AS VARCHAR)) END AS detail
+FROM documents WHERE doc_id % 4 IN (1, 2)""")
 def checks_content_hashes(spark, d):
     rows = _texts(spark, d).withColumn("id", F.col("doc_id").cast("string"))
     none = F.array().cast("array<struct<path: string, hash: string>>")
@@ -327,13 +368,20 @@ def checks_content_hashes(spark, d):
     return checks.content_hashes(records, rows.where("doc_id % 4 <> 2").select("id", F.col("text").alias("body")), rows.select("id", F.lit("a").alias("path"), F.col("source").alias("hash")))
 
 
-@query("SELECT 'generated_file' AS rule, p AS key, CASE WHEN doc_id % 9 = 2 THEN 'not_markdown' WHEN doc_id % 9 IN (0, 1) THEN 'no_marker' ELSE 'not_allowed' END AS detail FROM (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'docs/' || doc_id || '.md' WHEN 1 THEN 'docs/../docs//' || doc_id || '.md' WHEN 2 THEN 'docs/' || doc_id || '.txt' WHEN 4 THEN 'docs/../secret/' || doc_id WHEN 5 THEN '../docs/' || doc_id || '.md' WHEN 6 THEN '/docs/' || doc_id || '.md' WHEN 8 THEN 'docs2/' || doc_id || '.md' END AS p FROM documents) WHERE doc_id % 9 IN (2, 4, 5, 6, 8) OR doc_id % 9 < 2 AND doc_id % 2 = 1")
+@query("""
+SELECT 'generated_file' AS rule, p AS key, CASE WHEN doc_id % 9 = 2 THEN 'not_markdown' WHEN doc_id % 9 IN (0, 1) THEN 'no_marker' ELSE 'not_allowed' END AS detail
+FROM (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'docs/' || doc_id || '.md' WHEN 1 THEN 'docs/../docs//' || doc_id || '.md' WHEN 2 THEN 'docs/' || doc_id || '.txt' WHEN 4 THEN 'docs/../secret/' || doc_id WHEN 5 THEN '../docs/' || doc_id || '.md' WHEN 6 THEN '/docs/' || doc_id || '.md' WHEN 8 THEN 'docs2/' || doc_id || '.md' END AS p
+FROM documents) WHERE doc_id % 9 IN (2, 4, 5, 6, 8) OR doc_id % 9 < 2 AND doc_id % 2 = 1""")
 def checks_generated_files(spark, d):
     files = _paths(spark, d).withColumn("content", F.expr(f"if(doc_id % 2 = 0, '{bodies.MARKER}', 'text')"))
     return checks.generated_files(files, checks.places(spark, _ALLOWED_FILES, _ALLOWED_FOLDERS), "docs")
 
 
-@query("WITH p AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'docs/' || doc_id || '.md' WHEN 1 THEN 'docs/../docs//' || doc_id || '.md' WHEN 2 THEN 'docs/' || doc_id || '.txt' WHEN 3 THEN 'assets/generated/' || doc_id || '/image-001.png' WHEN 4 THEN 'docs/../secret/' || doc_id WHEN 5 THEN '../docs/' || doc_id || '.md' WHEN 6 THEN '/docs/' || doc_id || '.md' WHEN 7 THEN 'state/manifest.json' ELSE 'docs2/' || doc_id || '.md' END AS p FROM documents), g AS (SELECT p, bool_or(doc_id % 11 = 0) AS link, min(doc_id % 9) AS k FROM p GROUP BY p) SELECT 'working_change' AS rule, p AS key, CASE WHEN k IN (4, 5, 6, 8) THEN 'not_allowed' ELSE 'link' END AS detail FROM g WHERE k IN (4, 5, 6, 8) OR link")
+@query("""
+WITH p AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'docs/' || doc_id || '.md' WHEN 1 THEN 'docs/../docs//' || doc_id || '.md' WHEN 2 THEN 'docs/' || doc_id || '.txt' WHEN 3 THEN 'assets/generated/' || doc_id || '/image-001.png' WHEN 4 THEN 'docs/../secret/' || doc_id WHEN 5 THEN '../docs/' || doc_id || '.md' WHEN 6 THEN '/docs/' || doc_id || '.md' WHEN 7 THEN 'state/manifest.json' ELSE 'docs2/' || doc_id || '.md' END AS p
+FROM documents), g AS (SELECT p, bool_or(doc_id % 11 = 0) AS link, min(doc_id % 9) AS k
+FROM p GROUP BY p) SELECT 'working_change' AS rule, p AS key, CASE WHEN k IN (4, 5, 6, 8) THEN 'not_allowed' ELSE 'link' END AS detail
+FROM g WHERE k IN (4, 5, 6, 8) OR link""")
 def checks_working_changes(spark, d):
     rows = _paths(spark, d).select("path", F.expr("doc_id % 11 = 0").alias("link"))
     return checks.working_changes(rows, rows.where("path not like 'docs/%'"), checks.places(spark, _ALLOWED_FILES, _ALLOWED_FOLDERS))
@@ -355,7 +403,11 @@ def checks_headers(spark, d):
     return checks.headers(files, files.select("file", F.lit("/docs/*").alias("pattern"), F.expr("doc_id % 6 in (3, 4)").alias("public")))
 
 
-@query("WITH p AS (SELECT 'docs/' || source || '/' || doc_id || '.md' AS p FROM documents) SELECT 'exempt' AS rule, p AS key, '7[.]md$' AS detail FROM p WHERE p LIKE '%7.md' UNION ALL SELECT 'exempt', p, '^docs/src1/' FROM p WHERE p LIKE 'docs/src1/%'")
+@query("""
+WITH p AS (SELECT 'docs/' || source || '/' || doc_id || '.md' AS p
+FROM documents) SELECT 'exempt' AS rule, p AS key, '7[.]md$' AS detail
+FROM p WHERE p LIKE '%7.md' UNION ALL SELECT 'exempt', p, '^docs/src1/'
+FROM p WHERE p LIKE 'docs/src1/%'""")
 def checks_exempt_paths(spark, d):
     tracked = _texts(spark, d).select(F.concat(F.lit("docs/"), "source", F.lit("/"), "doc_id", F.lit(".md")).alias("path"))
     return checks.exempt_paths(tracked, ("7[.]md$", "^docs/src1/", "^nothing"))
@@ -371,12 +423,20 @@ def checks_section_pages(spark, d):
 # -- views and outputs -------------------------------------------------------
 
 
-@query(f"{_CORPUS} SELECT folder, place, id, title, CASE WHEN len(trail) > 1 THEN array_to_string(trail[2:], ' / ') END AS qualifier, coalesce(strftime(modified, '%b %-d, %Y'), 'Unknown') AS updated FROM byfolder")
+@query(f"""
+{_CORPUS} SELECT folder, place, id, title, CASE WHEN len(trail) > 1 THEN array_to_string(trail[2:], ' / ') END AS qualifier, coalesce(strftime(modified, '%b %-d, %Y'), 'Unknown') AS updated
+FROM byfolder""")
 def full_index(spark, d):
     return corpus.full_index(_corpus(spark, d)).withColumn("place", F.col("place").cast("long"))
 
 
-@query(f"{_CORPUS}, {_NEW.strip()}, x AS (SELECT d.id, s.slug, len(d.trail) AS n FROM docs d JOIN slugs s ON s.id = d.id) SELECT 'document' AS sample, arg_min(id, (slug, id)) AS id FROM x UNION ALL SELECT 'in_folder', arg_min(id, (slug, id)) FROM x WHERE n > 0 UNION ALL SELECT 'with_table', arg_min(id, (slug, id)) FROM x WHERE id LIKE '%7' UNION ALL SELECT 'with_asset', arg_min(id, (slug, id)) FROM x WHERE id LIKE 's%'")
+@query(f"""
+{_CORPUS}, {_NEW.strip()}, x AS (SELECT d.id, s.slug, len(d.trail) AS n
+FROM docs d JOIN slugs s ON s.id = d.id) SELECT 'document' AS sample, arg_min(id, (slug, id)) AS id
+FROM x UNION ALL SELECT 'in_folder', arg_min(id, (slug, id)) FROM x
+WHERE n > 0 UNION ALL SELECT 'with_table', arg_min(id, (slug, id))
+FROM x WHERE id LIKE '%7' UNION ALL SELECT 'with_asset', arg_min(id, (slug, id))
+FROM x WHERE id LIKE 's%'""")
 def index_samples(spark, d):
     documents = _corpus(spark, d).join(_slugs(spark, d), "id")
     found = documents.select("id", F.expr("if(id like '%7', concat('text\n\n| a | ', title, '\n| --- | --- |\n| 1 | 2 |'), title)").alias("body"))
@@ -388,7 +448,10 @@ def agent_sample(spark, d):
     return corpus.agent_sample(_corpus(spark, d).join(_slugs(spark, d), "id"))
 
 
-@query(f"WITH {_ITEMS.strip()}, n AS (SELECT id, CASE WHEN kind = 'document' THEN (CAST(substr(id, 2) AS BIGINT) % 500) || '. ' || name ELSE name END AS name FROM items) SELECT id, {_label('name')} AS shown, CAST({_order('name')} // 100 * 100 AS BIGINT) AS \"group\" FROM n")
+@query(f"""
+WITH {_ITEMS.strip()}, n AS (SELECT id, CASE WHEN kind = 'document' THEN (CAST(substr(id, 2) AS BIGINT) % 500) || '. ' || name ELSE name END AS name
+FROM items) SELECT id, {_label('name')} AS shown, CAST({_order('name')} // 100 * 100 AS BIGINT) AS \"group\"
+FROM n""")
 def sidebar_labels(spark, d):
     named = bindings.items(spark, d).select("id", F.expr("if(kind = 'document', concat(cast(substring(id, 2) as bigint) % 500, '. ', name), name)").alias("name"))
     return corpus.sidebar_labels(named).select("id", "shown", F.col("group").cast("long").alias("group"))
@@ -397,13 +460,19 @@ def sidebar_labels(spark, d):
 _EXTRA = f"{_TREE}, {_RANKED.strip()}, sizes AS (SELECT a AS id FROM (SELECT unnest(ids) AS a FROM tree WHERE kind = 'document') GROUP BY a)"
 
 
-@query(f"{_EXTRA} SELECT r.id, r.ids[2] AS \"group\", r.parent, r.label, r.kind, coalesce(g.sibling_rank, 0) AS group_rank, r.sibling_rank AS rank FROM ranked r JOIN sizes USING (id) LEFT JOIN ranked g ON g.id = r.ids[2]")
+@query(f"""
+{_EXTRA} SELECT r.id, r.ids[2] AS \"group\", r.parent, r.label, r.kind, coalesce(g.sibling_rank, 0) AS group_rank, r.sibling_rank AS rank
+FROM ranked r JOIN sizes USING (id) LEFT JOIN ranked g ON g.id = r.ids[2]""")
 def navigation_tree(spark, d):
     placed = _placed(spark, d)
     return ordering.navigation_tree(placed, ordering.siblings(placed))
 
 
-@query(f"{_TREE}, {_RANKED.strip()}, {_NEW.strip()} SELECT f.id, coalesce(r.sibling_rank, 0) AS position, CASE WHEN r.id IS NULL THEN 'This section has no documents yet.' ELSE '- [' || r.label || '](/' || s.slug || '/)' || CASE WHEN r.kind = 'document' THEN ': About ' || r.id ELSE '' END END AS line FROM (SELECT id FROM tree WHERE kind = 'folder' UNION ALL SELECT 'r9') f LEFT JOIN (SELECT r.*, x.slug FROM ranked r JOIN slugs x ON x.id = r.id) r ON r.parent = f.id LEFT JOIN slugs s ON s.id = r.id")
+@query(f"""
+{_TREE}, {_RANKED.strip()}, {_NEW.strip()} SELECT f.id, coalesce(r.sibling_rank, 0) AS position, CASE WHEN r.id IS NULL THEN 'This section has no documents yet.' ELSE '- [' || r.label || '](/' || s.slug || '/)' || CASE WHEN r.kind = 'document' THEN ': About ' || r.id ELSE '' END END AS line
+FROM (SELECT id FROM tree WHERE kind = 'folder' UNION ALL SELECT 'r9') f
+LEFT JOIN (SELECT r.*, x.slug FROM ranked r JOIN slugs x ON x.id = r.id) r ON r.parent = f.id
+LEFT JOIN slugs s ON s.id = r.id""")
 def section_page_lines(spark, d):
     placed = _placed(spark, d)
     described = placed.select("id", F.expr("if(kind = 'document', concat('About ', id), null)").alias("description")).join(_slugs(spark, d), "id")
@@ -411,12 +480,17 @@ def section_page_lines(spark, d):
     return ordering.section_pages(ordering.siblings(placed), folders, described)
 
 
-@query(f"WITH {_ITEMS.strip()} SELECT id AS key, '{{\"id\":\"' || id || '\",\"kind\":\"' || kind || '\",\"name\":\"' || name || '\"' || CASE WHEN parent IS NOT NULL THEN ',\"parent\":\"' || parent || '\"' ELSE '' END || '}}' AS line FROM items")
+@query(f"""
+WITH {_ITEMS.strip()} SELECT id AS key, '{{\"id\":\"' || id || '\",\"kind\":\"' || kind || '\",\"name\":\"' || name || '\"' || CASE WHEN parent IS NOT NULL THEN ',\"parent\":\"' || parent || '\"' ELSE '' END || '}}' AS line
+FROM items""")
 def manifest_lines(spark, d):
     return rendered.json_lines(bindings.items(spark, d).select("name", "parent", "id", "kind"))
 
 
-@query("SELECT CAST(1 AS BIGINT) AS line_no, '  \"/old/' || s_suppkey || '/\": \"/' || s_name || '/\",' AS line FROM supplier UNION ALL SELECT 0, '// Generated.' || chr(10) || 'export default {' UNION ALL SELECT 2, '};'")
+@query("""
+SELECT CAST(1 AS BIGINT) AS line_no, '  \"/old/' || s_suppkey || '/\": \"/' || s_name || '/\",' AS line
+FROM supplier UNION ALL SELECT 0, '// Generated.' || chr(10) || 'export default {'
+UNION ALL SELECT 2, '};'""")
 def redirect_module(spark, d):
     entries = bindings.table(spark, d, "supplier").select(F.concat(F.lit("/old/"), "s_suppkey", F.lit("/")).alias("key"), F.concat(F.lit("/"), "s_name", F.lit("/")).alias("value"))
     return rendered.module(entries, "Generated.").withColumn("line_no", F.col("line_no").cast("long"))
@@ -429,13 +503,18 @@ def checks_modules(spark, d):
     return checks.modules(files, wanted)
 
 
-@query(r"SELECT '/' || source || '/' || doc_id || '/index.md' AS path, sha256('# ' || regexp_replace(regexp_extract(text, '^([^\n]*)', 1), '([\\`*_\[\]<>#])', '\\\1', 'g') || chr(10) || chr(10) || text || chr(10)) AS content_hash FROM documents")
+@query(r"""
+SELECT '/' || source || '/' || doc_id || '/index.md' AS path, sha256('# ' || regexp_replace(regexp_extract(text, '^([^\n]*)', 1), '([\\`*_\[\]<>#])', '\\\1', 'g') || chr(10) || chr(10) || text || chr(10)) AS content_hash
+FROM documents""")
 def markdown_projection(spark, d):
     made = rendered.markdown_routes(bindings.bodies(spark, d).join(_texts(spark, d).select("doc_id", F.concat("source", F.lit("/"), "doc_id").alias("slug")), "doc_id"))
     return made.select("path", F.sha2("content", 256).alias("content_hash"))
 
 
-@query("SELECT '/assets/generated/' || doc_id || '/image-001.' || e AS path, CASE e WHEN 'PNG' THEN 'image/png' WHEN 'jpg' THEN 'image/jpeg' WHEN 'svg' THEN 'image/svg+xml' END AS type, CASE WHEN e = 'exe' THEN 'unknown_type' END AS issue FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'PNG' WHEN 1 THEN 'jpg' WHEN 2 THEN 'svg' ELSE 'exe' END AS e FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))")
+@query("""
+SELECT '/assets/generated/' || doc_id || '/image-001.' || e AS path, CASE e WHEN 'PNG' THEN 'image/png' WHEN 'jpg' THEN 'image/jpeg' WHEN 'svg' THEN 'image/svg+xml' END AS type, CASE WHEN e = 'exe' THEN 'unknown_type' END AS issue
+FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'PNG' WHEN 1 THEN 'jpg' WHEN 2 THEN 'svg' ELSE 'exe' END AS e
+FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))""")
 def asset_routes(spark, d):
     assets = _texts(spark, d).select(F.col("doc_id").alias("owner"), F.expr("concat(doc_id, '/image-001.', case doc_id % 4 when 0 then 'PNG' when 1 then 'jpg' when 2 then 'svg' else 'exe' end)").alias("path"))
     return rendered.asset_routes(bindings.table(spark, d, "labels").select(F.col("doc_id").alias("id")), assets)
@@ -447,7 +526,10 @@ def summary_lines(spark, d):
     return rendered.summary_lines(counted)
 
 
-@query("WITH s AS (SELECT user_id AS run, CASE event_id % 6 WHEN 0 THEN 'publish' WHEN 1 THEN 'validate' WHEN 2 THEN 'export' WHEN 3 THEN 'list' WHEN 4 THEN 'authenticate' ELSE 'notify' END AS stage, event_type FROM events) SELECT run, ['authenticate', 'list', 'export', 'validate', 'publish'][min(list_position(['authenticate', 'list', 'export', 'validate', 'publish'], stage))] AS stage FROM s WHERE event_type = 'error' AND stage <> 'notify' GROUP BY run")
+@query("""
+WITH s AS (SELECT user_id AS run, CASE event_id % 6 WHEN 0 THEN 'publish' WHEN 1 THEN 'validate' WHEN 2 THEN 'export' WHEN 3 THEN 'list' WHEN 4 THEN 'authenticate' ELSE 'notify' END AS stage, event_type
+FROM events) SELECT run, ['authenticate', 'list', 'export', 'validate', 'publish'][min(list_position(['authenticate', 'list', 'export', 'validate', 'publish'], stage))] AS stage
+FROM s WHERE event_type = 'error' AND stage <> 'notify' GROUP BY run""")
 def failed_stages(spark, d):
     rows = bindings.table(spark, d, "events").select(F.col("user_id").alias("run"), F.expr("case event_id % 6 when 0 then 'publish' when 1 then 'validate' when 2 then 'export' when 3 then 'list' when 4 then 'authenticate' else 'notify' end").alias("stage"), F.expr("if(event_type = 'error', 'failure', 'success')").alias("outcome"))
     return rendered.failed_stage(rows)
@@ -468,7 +550,10 @@ def selection_sorted(spark, d):
     return hierarchy.in_order(_placed(spark, d)).select("id", F.array_join("path", "/").alias("path"))
 
 
-@query(f"{_TREE}, part AS (SELECT * FROM tree WHERE id NOT LIKE 'r%') SELECT id, array_to_string(path[3:], '/') AS path, CAST(depth - 2 AS BIGINT) AS depth FROM part WHERE kind <> 'unsupported' UNION ALL SELECT id, name, 0 FROM part WHERE kind = 'unsupported'")
+@query(f"""
+{_TREE}, part AS (SELECT * FROM tree WHERE id NOT LIKE 'r%') SELECT id, array_to_string(path[3:], '/') AS path, CAST(depth - 2 AS BIGINT) AS depth
+FROM part WHERE kind <> 'unsupported' UNION ALL SELECT id, name, 0
+FROM part WHERE kind = 'unsupported'""")
 def paths_of_selection(spark, d):
     """Regions and the root are not selected, so nations and parts start their own paths."""
     rows = hierarchy.paths_of_selection(bindings.items(spark, d).where("id not like 'r%'"))
@@ -478,7 +563,9 @@ def paths_of_selection(spark, d):
 # -- more of bodies ----------------------------------------------------------
 
 
-@query("SELECT page_id AS id, CAST(p AS BIGINT) AS position, CASE p WHEN 0 THEN 'image-001.png' WHEN 1 THEN 'image-002.gif' WHEN 2 THEN 'image-001.png' END AS file, CASE p WHEN 1 THEN url ELSE 'Image' END AS alt, CASE p WHEN 3 THEN 'missing' WHEN 4 THEN 'unsafe_path' WHEN 5 THEN 'not_an_image' END AS issue FROM pages, range(0, 6) t(p)")
+@query("""
+SELECT page_id AS id, CAST(p AS BIGINT) AS position, CASE p WHEN 0 THEN 'image-001.png' WHEN 1 THEN 'image-002.gif' WHEN 2 THEN 'image-001.png' END AS file, CASE p WHEN 1 THEN url ELSE 'Image' END AS alt, CASE p WHEN 3 THEN 'missing' WHEN 4 THEN 'unsafe_path' WHEN 5 THEN 'not_an_image' END AS issue
+FROM pages, range(0, 6) t(p)""")
 def archive_images(spark, d):
     """Pages with six images, two of them equal, one missing, one outside and one that is none."""
     rows = bindings.table(spark, d, "pages").withColumnRenamed("page_id", "id")
@@ -497,7 +584,9 @@ def entry_pages(spark, d):
     return bindings.table(spark, d, "pages").select("page_id", bodies.entry_page(entries)["path"].alias("entry"))
 
 
-@query("SELECT doc_id AS id, CAST(CASE WHEN doc_id % 4 = 3 THEN NULL ELSE 2 END AS BIGINT) AS tabs, CAST(CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 0 END AS BIGINT) AS inline, CASE doc_id % 4 WHEN 3 THEN NULL ELSE doc_id % 4 < 2 END AS has_images, CASE doc_id % 4 WHEN 3 THEN NULL ELSE doc_id % 4 = 1 END AS has_drawings, CASE doc_id % 4 WHEN 2 THEN 'nested_tabs' WHEN 3 THEN 'no_tabs' END AS issue FROM documents")
+@query("""
+SELECT doc_id AS id, CAST(CASE WHEN doc_id % 4 = 3 THEN NULL ELSE 2 END AS BIGINT) AS tabs, CAST(CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 0 END AS BIGINT) AS inline, CASE doc_id % 4 WHEN 3 THEN NULL ELSE doc_id % 4 < 2 END AS has_images, CASE doc_id % 4 WHEN 3 THEN NULL ELSE doc_id % 4 = 1 END AS has_drawings, CASE doc_id % 4 WHEN 2 THEN 'nested_tabs' WHEN 3 THEN 'no_tabs' END AS issue
+FROM documents""")
 def document_structures(spark, d):
     image, drawing = '{\\"imageProperties\\":1}', '{\\"embeddedDrawingProperties\\":1}'
     first = f"case doc_id % 4 when 0 then '{{\"a\":\"{image}\"}}' when 1 then '{{\"a\":\"{image}\",\"b\":\"{drawing}\"}}' else '{{}}' end"
