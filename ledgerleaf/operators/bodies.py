@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerleaf.functions import outputs, text, urls
+from ledgerleaf.operators import markup
 
 # Limits of archives, and elements of drawings.
 ENTRIES, ENTRY_BYTES, TOTAL_BYTES, RATIO = 1_000, 20 * 1024 * 1024, 50 * 1024 * 1024, 200
@@ -87,13 +88,14 @@ def entry_page(entries: Column) -> Column:
 def archive_images(pages: DataFrame, entries: DataFrame) -> DataFrame:
     """(id, position, src, file, alt, issue) of the images of pages, in their order.
 
-    pages: (id, folder, html); entries: (id, path, bytes). Equal images of a page are
-    one file, numbered by first appearance; those that lead out of the archive, aren't
+    pages: (id, folder, html), and title where images without alternative are to be
+    described by it; entries: (id, path, bytes). Equal images of a page are one file, numbered by first appearance; those that lead out of the archive, aren't
     in it, or are no image of a known type have an issue and no number.
     """
-    tags = pages.select("id", "folder", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?i)<img\b[^<>]*>"), F.lit(0))).alias("position", "tag"))
-    value = lambda name: F.regexp_extract("tag", rf'(?i)\s{name}="([^"<>]*)"', 1)
-    rows = tags.select("id", "position", value("src").alias("src"), F.coalesce(F.nullif(F.trim(value("alt")), F.lit("")), F.lit("Image")).alias("alt"), urls.asset_path(value("src"), F.col("folder")).alias("path"))
+    own = ["id", "folder", *(["title"] if "title" in pages.columns else [])]
+    tags = markup.images(markup.kept_events(markup.events(pages))).join(pages.select(*own), "id")
+    plain = F.concat(F.lit("Image from "), "title") if "title" in pages.columns else F.lit("Image")
+    rows = tags.select("id", "position", "src", F.coalesce(F.nullif(F.trim("alt"), F.lit("")), plain).alias("alt"), urls.asset_path(F.col("src"), F.col("folder")).alias("path"))
     found = rows.join(entries.select("id", "path", F.sha2("bytes", 256).alias("hash"), text.image_type(F.col("bytes")).alias("type"), F.lit(True).alias("there")), ["id", "path"], "left")
     issue = F.when(F.col("path").isNull(), "unsafe_path").when(F.col("there").isNull(), "missing").when(F.col("type").isNull(), "not_an_image")
     found = found.withColumn("issue", issue)

@@ -216,10 +216,22 @@ def _joined(pieces: Column, by: str = "at") -> Column:
 
 def sanitized(pages: DataFrame) -> DataFrame:
     """(id, html) of every page of (id, html): its body with allowed elements and attributes, all elements closed."""
-    made = kept_events(events(pages)).groupBy("id").agg(F.regexp_replace(_joined(_html()), r"^\s+|\s+$", "").alias("html"))
+    made = as_html(kept_events(events(pages)))
     return pages.select("id").join(made, "id", "left").select("id", F.coalesce("html", F.lit("")).alias("html"))
 
 
+def as_html(kept: DataFrame) -> DataFrame:
+    """(id, html) of pages by their events."""
+    return kept.groupBy("id").agg(F.regexp_replace(_joined(_html()), r"^\s+|\s+$", "").alias("html"))
+
+
+def images(kept: DataFrame) -> DataFrame:
+    """(id, position, src, alt) of the images among events, numbered from 0."""
+    found = kept.where("kind = 'void' and name = 'img'")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("at")) - 1
+    return found.select("id", place.alias("position"), F.col("attributes")["src"].alias("src"), F.col("attributes")["alt"].alias("alt"))
+
+
 def with_images(kept: DataFrame, images: DataFrame) -> DataFrame:
     """Events with the sources of ``bodies.archive_images`` (id, position, file, alt, issue): images with a file get it, others go."""
     rows = kept.withColumn("position", F.when(F.col("name") == "img", F.count_if(F.col("name") == "img").over(_so_far()) - 1).cast("int"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerleaf.operators import markup
+from ledgerleaf.operators import conversion, markup
 from ledgerleaf.sources import bindings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,34 @@ def table_complexity(spark, d):
     found = markup.tables(markup.kept_events(markup.events(made)))
     key = F.split("id", ":")
     return found.select(F.get(key, 0).cast("long").alias("page_id"), F.get(key, 1).cast("long").alias("position"), "complex", "markdown")
+
+
+_ARCHIVE = (
+    '<h1>{a}</h1><p>{b} {c}</p><img src="../../up.png"><p><img src=\'img/{a}.png\' alt="{b}"><img class=x src="img/./copy.png"></p><table><tr><td>{d}</table><h1>{c}</h1>'
+)
+_ARCHIVE_HTML = (
+    '<h1>{a}</h1><p>{b} {c}</p><p><img alt="{b}" src="../../../assets/generated/@/image-001.png"><img alt="Image from {a}" src="../../../assets/generated/@/image-001.png"></p>'
+    "<table><tbody><tr><td>{d}</td></tr></tbody></table><h1>{c}</h1>"
+).replace("<tbody>", "").replace("</tbody>", "")
+_ARCHIVE_BODY = "{b} {c}\n\n![{b}](../../../assets/generated/@/image-001.png)![Image from {a}](../../../assets/generated/@/image-001.png)\n\n| {d} |\n| --- |\n\n## {c}"
+
+
+@query(f"""
+WITH w AS (SELECT page_id, {_WORDS} AS w FROM pages), x AS (SELECT page_id, {', '.join(f'w[len(w) - {i}] AS w{i}' for i in range(1, 5))} FROM w)
+SELECT page_id AS id, replace({_filled(_ARCHIVE_HTML)}, '@', CAST(page_id AS VARCHAR)) AS html, replace({_filled(_ARCHIVE_BODY)}, '@', CAST(page_id AS VARCHAR)) AS body, w2 || ' ' || w3 AS description,
+       'false' AS complex_tables, 'removed_unsafe_html_attribute,removed_unsafe_image' AS warnings, CASE WHEN page_id % 10 = 9 THEN 'missing' END AS issue
+FROM x WHERE page_id % 10 <> 9
+UNION ALL SELECT page_id, NULL, NULL, NULL, NULL, NULL, 'missing' FROM x WHERE page_id % 10 = 9""")
+def archive_conversion(spark, d):
+    """Exported pages around words of each page with their archives; every tenth archive lacks an image."""
+    words = bindings.table(spark, d, "pages").select(F.col("page_id").alias("id"), "url", F.regexp_extract_all("html", F.lit("[A-Za-z]{5,}"), F.lit(0)).alias("w"))
+    page, title = F.lit(_ARCHIVE), F.get("w", F.size("w") - 2)
+    for i, letter in enumerate("abcd", 1):
+        page = F.replace(page, F.lit(f"{{{letter}}}"), F.get("w", F.size("w") - 1 - i))
+    pages = words.select("id", F.lit("docs").alias("folder"), title.alias("title"), page.alias("html"))
+    png = F.expr("concat(unhex('89504E470D0A1A0A'), encode(url, 'UTF-8'))").alias("bytes")
+    one = words.select("id", F.concat(F.lit("docs/img/"), title, F.lit(".png")).alias("path"), png)
+    entries = one.unionByName(words.where("id % 10 <> 9").select("id", F.lit("docs/img/copy.png").alias("path"), png))
+    made = conversion.converted(pages, entries).withColumns({"warnings": F.array_join("warnings", ","), "complex_tables": F.col("complex_tables").cast("string")})
+    bad = F.col("issue").isNotNull()
+    return made.select("id", *(F.when(~bad, F.col(c)).alias(c) for c in ("html", "body", "description", "complex_tables", "warnings")), "issue")

@@ -61,3 +61,17 @@ def test_images(spark):
 def test_a_long_page_takes_linear_time(spark):
     page = "<ul>" + "<li><p>a <b>b</b>" * 30_000
     assert markup.events(spark.createDataFrame([(1, page)], "id int, html string")).where(F.col("kind") == "open").count() == 90_001
+
+
+def test_archive_conversion(spark):
+    from ledgerleaf.operators import conversion
+
+    png = bytearray(b"\x89PNG\r\n\x1a\n1")
+    html = "<h1>My title</h1><p>First *words*</p><img src='a.png'><img src=\"a.png\" alt=' '><img src='http://e.org/x.png'><table><tr><td>1<td>2<tr><td>3</table>"
+    pages = spark.createDataFrame([(1, "", "01 - my Title", html), (2, "d", "t", "<img src=none.png>"), (3, "d", "t", "<img src=text.png>x"), (4, "", "t", None)], "id int, folder string, title string, html string")
+    entries = spark.createDataFrame([(1, "a.png", png), (3, "d/text.png", bytearray(b"no"))], "id int, path string, bytes binary")
+    got = {r.id: r for r in conversion.converted(pages, entries).collect()}
+    asset = "../../../assets/generated/1/image-001.png"
+    assert got[1].body == f"First \\*words\\*\n\n![Image from 01 - my Title]({asset})![Image from 01 - my Title]({asset})\n\n<table><tr><td>1</td><td>2</td></tr><tr><td>3</td></tr></table>"
+    assert (got[1].description, got[1].complex_tables, got[1].warnings, got[1].issue) == ("First *words*", True, ["removed_unsafe_image"], None)
+    assert {i: (got[i].issue, got[i].body) for i in (2, 3, 4)} == {2: ("missing", ""), 3: ("not_an_image", "x"), 4: (None, "")}
