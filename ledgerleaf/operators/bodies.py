@@ -31,6 +31,7 @@ def document(title: Column, slug: Column, content_hash: Column, body: Column) ->
 
 def generated_document(record: dict[str, Column], body: Column) -> Column:
     """A whole generated file: ``record`` has title, description, slug, id, modified, synced, contentHash and folderPath (array); then the marker and the body."""
+    # The names of the fields in their order, and the type of source.
     fields = {
         "title": record["title"], "description": F.nullif(record["description"], F.lit("")), "slug": record["slug"], "editUrl": outputs.source_url(record["id"]), "sourceType": F.lit("google-doc"), "googleFileId": record["id"],
         "googleModifiedTime": record["modified"], "syncedAt": record["synced"], "contentHash": record["contentHash"], "folderPath": record["folderPath"], "pagefind": F.lit(True),

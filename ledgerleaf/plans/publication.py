@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions import labels, settings, text, urls
-from ledgerleaf.operators import bodies, checks, corpus, hierarchy, links, markdown, ordering, reconcile, runs
+from ledgerleaf.operators import bodies, checks, corpus, hierarchy, ordering, reconcile, runs
 from ledgerleaf.plans.oracle import _CORPUS, _ITEMS, _MANIFEST, _NAVIGATION, _NEW, _PARENTS, _RANKED, _TREE, _label, _order
 from ledgerleaf.plans.queries import _both, _corpus, _new, _placed, _slugs
 from ledgerleaf.sources import bindings, landed, paged, publish, rendered, shared
