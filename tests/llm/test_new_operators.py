@@ -278,5 +278,5 @@ def test_very_many_secrets_in_one_text(spark):
     docs = frame(spark, [(1, "\n".join(lines), None)])
     began = time.perf_counter()
     row = secrets.scan(docs).first()
-    assert time.perf_counter() - began < 45
+    assert time.perf_counter() - began < 60
     assert row.n_assign == 50_000 and row.n_entropy > 45_000
