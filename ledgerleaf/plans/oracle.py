@@ -126,7 +126,7 @@ ORACLE: dict[str, str] = {
         FROM items) - count(*) AS outside_root_count, count(*) FILTER (WHERE list_has_any(ids, ['r1', 'n3'])) AS ignored_count
         FROM tree""",
     "inventory_children": f"""
-        {_TREE} SELECT parent, count(*) FILTER (WHERE kind = 'folder') AS n_folder, count(*) FILTER (WHERE kind = 'document') AS n_document, count(*) FILTER (WHERE kind = 'unsupported') AS n_unsupported
+        {_TREE} SELECT parent, count(*) FILTER (WHERE kind = 'folder') AS n_folder, count(*) FILTER (WHERE kind = 'document') AS n_document, count(*) FILTER (WHERE kind = 'unsupported') AS n_unsupported, coalesce(string_agg(id, ',' ORDER BY name, id) FILTER (WHERE kind = 'folder'), '') AS folder_ids, coalesce(string_agg(id, ',' ORDER BY name, id) FILTER (WHERE kind = 'document'), '') AS document_ids
         FROM tree WHERE parent IS NOT NULL GROUP BY parent""",
     "inventory_children_in_order": f"""
         {_TREE} SELECT parent, kind, row_number() OVER (PARTITION BY parent, kind

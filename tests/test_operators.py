@@ -196,3 +196,9 @@ def test_checks(spark):
 def test_plans(spark, items):
     ranked = corpus.cards(spark.createDataFrame([("a", "t", ["f"], "1")], "id string, title string, folder_path array<string>, modified string"))
     assert "WindowGroupLimit" in ranked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_children_name_their_folders_and_documents_in_order(spark):
+    rows = [("root", "R", "folder", None), ("f", "Z", "folder", "root"), ("d2", "B", "document", "root"), ("d1", "B", "document", "root"), ("d3", "A", "document", "root"), ("u", "A", "unsupported", "root")]
+    placed = hierarchy.paths(spark.createDataFrame(rows, "id string, name string, kind string, parent string"))
+    assert [tuple(r) for r in hierarchy.children(placed).collect()] == [("root", 1, 3, 1, "f", "d3,d1,d2")]
