@@ -73,13 +73,17 @@ def landed_manifest(spark, d):
     return landed.manifest(spark, _landed(rows, "manifest")).select("id", "kind", "path", F.col("version").cast("long").alias("version"))
 
 
+def _page_count(items: int) -> int:
+    return max(1, min(items // 50, paged.MOST_PAGES))
+
+
 def _pages_landed(spark, d) -> str:
-    """The inventory as a chain of pages of 50 items each, one JSON file a page."""
+    """The inventory as a chain of pages of 50 items each, of more where the pages would be more than a listing may have; one JSON file a page."""
     rows = bindings.items(spark, d).select("id", "name", F.expr(f"case kind when 'folder' then '{landed.FOLDER}' when 'document' then '{landed.DOCUMENT}' else 'text/csv' end").alias("mimeType"), F.array_compact(F.array("parent")).alias("parents"), F.date_format("modified", "yyyy-MM-dd HH:mm:ss").alias("modifiedTime"), F.expr("id like '%9'").alias("trashed"))
-    buckets = max(1, rows.count() // 50)
-    page = rows.withColumn("page", F.pmod(F.xxhash64("id"), F.lit(buckets))).groupBy("page").agg(F.collect_list(F.struct(*rows.columns)).alias("files"))
-    page = page.withColumn("place", F.row_number().over(Window.orderBy("page")))
-    last = page.count()
+    keyed = shared.stage(rows.withColumn("page", F.pmod(F.xxhash64("id"), F.lit(_page_count(rows.count())))), "listed")
+    places = keyed.select("page").distinct().withColumn("place", F.row_number().over(Window.orderBy("page")))  # a row a page, so at most MOST_PAGES
+    last = places.count()
+    page = keyed.groupBy("page").agg(F.collect_list(F.struct(*rows.columns)).alias("files")).join(F.broadcast(places), "page")
     token = F.concat(F.lit("t"), "place")
     body = F.struct(F.when(F.col("place") > 1, token).alias("pageToken"), F.when(F.col("place") < last, F.concat(F.lit("t"), F.col("place") + 1)).alias("nextPageToken"), F.lit(False).alias("incompleteSearch"), "files")
     path = f"{shared.shared_dir(spark)}/ledgerleaf-pages-{uuid.uuid4().hex}"

@@ -7,6 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from ledgerleaf.operators import checks
+from ledgerleaf.plans import publication
 from ledgerleaf.sources import landed, paged, publish
 
 
@@ -120,3 +121,7 @@ def test_header_rules(spark):
     assert sorted((r.pattern, r.header) for r in checks.header_rules(files).collect()) == [("/a", None), ("/docs/*", "etag: q")]
     surfaces = spark.createDataFrame([("f", "/docs/*", False), ("f", "/a", True), ("f", "/none", False), ("g", "/docs/*", True)], "file string, pattern string, public boolean")
     assert sorted((r.key, r.detail) for r in checks.headers(files, surfaces).collect()) == [("f /docs/*", "lacks cache-control: private"), ("f /docs/*", "lacks x-robots-tag"), ("f /none", "no_rule")]
+
+
+def test_a_listing_of_any_length_fits_its_pages():
+    assert [publication._page_count(n) for n in (0, 49, 3_631, 2_160_000, 100_000_000)] == [1, 1, 72, paged.MOST_PAGES, paged.MOST_PAGES]
