@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ledgerleaf.functions import labels, marks, outputs, text, urls
 from ledgerleaf.operators import bodies, markup
 from ledgerleaf.operators import links as graph
+from ledgerleaf.sources import shared
 
 TABLE_LINE = r"(?m)^ {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)+\|?[ \t]*$"
 LANGUAGE = r"^[A-Za-z0-9_+#.-]+$"
@@ -129,9 +130,12 @@ def fence_states(docs: DataFrame, body: str = "body") -> DataFrame:
     return docs.select("id").join(made, "id", "left").select("id", F.coalesce("unclosed", F.lit(False)).alias("unclosed"), F.coalesce("prose", F.lit("")).alias("prose"))
 
 
-def _raw_html(found: DataFrame) -> DataFrame:
-    """(id, html) of raw blocks and raw tags."""
-    return found.where("kind = 'html'").select("id", F.col("text").alias("html")).unionByName(spans(found).where("kind = 'html'").select("id", F.col("href").alias("html")))
+def _entries(found: DataFrame) -> DataFrame:
+    """(id, kind, start, href, label) of the marks of ``blocks``, and of raw blocks as html with their text as href; one pass over the blocks."""
+    own = F.when(F.col("kind") == "html", F.array(F.struct(F.lit("html").alias("kind"), "start", F.col("text").alias("href"), F.lit(None).cast("string").alias("label"))))
+    own = own.when(F.col("kind") == "table", F.array(F.struct(F.lit("table_block").alias("kind"), "start", F.lit(None).cast("string").alias("href"), F.lit(None).cast("string").alias("label"))))
+    marked = F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["href"].alias("href"), x["label"].alias("label")))
+    return found.select("id", F.explode(F.concat(marked, F.coalesce(own, F.slice(marked, 1, 0)))).alias("s")).select("id", "s.*")
 
 
 def links(docs: DataFrame, body: str = "body") -> DataFrame:
@@ -140,12 +144,11 @@ def links(docs: DataFrame, body: str = "body") -> DataFrame:
     References meet the definitions of their own document, whatever their case; of
     several definitions the first counts.
     """
-    found = blocks(docs, body)
-    marked = spans(found)
+    marked = shared.stage(_entries(blocks(docs, body)), "marks")
     defined = marked.where("kind = 'definition'").groupBy("id", "label").agg(F.min_by("href", "start").alias("defined"))
     direct = marked.where("kind in ('link', 'image', 'autolink')").select("id", "kind", "href")
     referred = marked.where("kind in ('reference', 'image_reference')").join(defined, ["id", "label"]).select("id", "kind", F.col("defined").alias("href"))
-    tags = markup.events(_raw_html(found)).where("kind in ('open', 'void') and name in ('a', 'img')")
+    tags = markup.events(marked.where("kind = 'html'").select("id", F.col("href").alias("html"))).where("kind in ('open', 'void') and name in ('a', 'img')")
     own = F.when(F.col("name") == "a", F.col("attributes")["href"]).otherwise(F.col("attributes")["src"])
     raw = tags.select("id", F.when(F.col("name") == "a", "html_link").otherwise("html_image").alias("kind"), own.alias("href")).where("href is not null")
     return direct.unionByName(referred).unionByName(raw)
@@ -157,15 +160,13 @@ def policy_issues(docs: DataFrame, body: str = "body", allow_html: bool = False,
     Links, automatic links and definitions, used or not, must be safe; images by
     reference are never supported, others only if allowed and one of the page's assets.
     """
-    found = blocks(docs, body)
-    marked = spans(found)
+    marked = _entries(blocks(docs, body))
     kind, href = F.col("kind"), F.col("href")
     code = F.when(kind == "image_reference", "unsupported_image").when((kind == "image") & (F.lit(not allow_images) | ~href.rlike(ASSET)), "unsafe_url" if allow_images else "unsupported_image")
     code = code.when(kind.isin("link", "autolink", "definition") & ~urls.safe_in_markdown(href), "unsafe_url")
-    out = marked.select("id", code.alias("code")).where("code is not null")
     if not allow_html:
-        out = out.unionByName(_raw_html(found).select("id", F.lit("unsupported_html").alias("code")))
-    return out.distinct()
+        code = code.when(kind == "html", "unsupported_html")
+    return marked.select("id", code.alias("code")).where("code is not null").distinct()
 
 
 def fallback_reasons(docs: DataFrame, structures: DataFrame | None = None, body: str = "body") -> DataFrame:
@@ -173,9 +174,8 @@ def fallback_reasons(docs: DataFrame, structures: DataFrame | None = None, body:
 
     ``structures``: (id, has_drawings, has_media) of the documents' objects, where known.
     """
-    found = blocks(docs, body)
-    marked = spans(found).where("kind in ('html', 'image', 'image_reference')").select("id", F.when(F.col("kind") == "html", "html").otherwise("image").alias("reason"))
-    out = marked.unionByName(found.where("kind in ('html', 'table')").select("id", F.col("kind").alias("reason")))
+    reason = F.when(F.col("kind") == "html", "html").when(F.col("kind") == "table_block", "table").otherwise("image")
+    out = _entries(blocks(docs, body)).where("kind in ('html', 'image', 'image_reference', 'table_block')").select("id", reason.alias("reason"))
     if structures is not None:
         own = F.array_compact(F.array(F.when(F.col("has_drawings"), "embedded_drawing"), F.when(F.col("has_media"), "media_object")))
         out = out.unionByName(structures.select("id", F.explode(own).alias("reason")))
@@ -310,9 +310,9 @@ def wrapped_tables(docs: DataFrame, body: str = "body") -> DataFrame:
     """``docs`` with each Markdown table, and each outermost closed table of raw HTML, in a container that can scroll; code stays."""
     found = blocks(docs, body)
     ends = lambda start, end, inner: F.array(F.struct(start.alias("start"), start.alias("end"), F.lit(f'<div class="table">{inner}').alias("new")), F.struct(end.alias("start"), end.alias("end"), F.lit(f"{inner}</div>").alias("new")))
-    whole = found.where("kind = 'table' and top").select("id", F.explode(ends(F.col("start"), F.col("end"), "\n\n")).alias("e"))
-    raw = spans(found).where("kind = 'table'").select("id", F.explode(ends(F.col("start"), F.col("end"), "")).alias("e"))
-    return splice(docs, whole.unionByName(raw).select("id", "e.*"), body)
+    whole = F.when((F.col("kind") == "table") & F.col("top"), ends(F.col("start"), F.col("end"), "\n\n")).otherwise(F.array())
+    raw = F.flatten(F.transform(F.filter("spans", lambda x: x["kind"] == "table"), lambda x: ends(x["start"], x["end"], "")))
+    return splice(docs, found.select("id", F.explode(F.concat(whole.cast("array<struct<start: int, end: int, new: string>>"), raw)).alias("e")).select("id", "e.*"), body)
 
 
 def canonical(docs: DataFrame, body: str = "body") -> DataFrame:

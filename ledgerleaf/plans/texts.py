@@ -7,6 +7,7 @@ all orders. The SQL tells each line's result from its shape alone, apart from th
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,8 +50,16 @@ def _line(line: Column) -> Column:
     return F.when(plain == "", "x").otherwise(plain)
 
 
+def _lines_of(text: Column) -> Column:
+    """``_line`` of every line of a text, with one pass over the whole text for each rule."""
+    plain = F.regexp_replace(F.regexp_replace(text, r"[^A-Za-z \n]+", ""), " {2,}", " ")
+    return F.transform(F.transform(F.split(plain, "\n"), lambda x: F.trim(x)), lambda x: F.when(x == "", "x").otherwise(x))
+
+
 def _filled(template: str, line: Column, i: Column) -> Column:
-    return F.replace(F.replace(F.lit(template), F.lit("{L}"), _line(line)), F.lit("{i}"), i.cast("string"))
+    """A template with a line in place of its marks; pieces between the marks are constants."""
+    parts = [{"{L}": line, "{i}": i.cast("string")}.get(p, F.lit(p)) for p in re.split(r"(\{[Li]\})", template) if p]
+    return F.concat(*parts)
 
 
 def _body(shapes: list[str], tail: str = "") -> Column:
@@ -61,7 +70,7 @@ def _body(shapes: list[str], tail: str = "") -> Column:
             out = F.when(turn == k, _filled(s, line, i)).otherwise(out)
         return out
 
-    pieces = F.transform(F.split("text", "\n"), one)
+    pieces = F.transform(_lines_of(F.col("text")), one)
     return F.array_join(F.concat(pieces, F.array(F.lit(tail))) if tail else pieces, "\n\n")
 
 

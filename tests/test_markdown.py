@@ -150,3 +150,12 @@ def test_code_blocks(spark):
     assert sorted(tuple(r) for r in markdown.code_blocks(docs).collect()) == [(0, 1, "py", "a", 3), (0, 2, None, "```", 4)]
     assert [tuple(r) for r in markdown.fence_states(docs).orderBy("id").collect()] == [(0, True, ""), (1, False, "none")]
     assert markdown.blocks(docs).where(F.col("end") < F.col("start")).count() == 0
+
+
+def test_marks_are_read_in_one_pass(spark):
+    docs = spark.createDataFrame([(1, "[a](javascript:x) ![b](c)\n\n<p>d</p>\n\n| a | b |\n|---|---|")], "id int, body string")
+    for made in (markdown.policy_issues(docs), markdown.links(docs), markdown.fallback_reasons(docs), markdown.wrapped_tables(docs)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") <= 1
+    assert sorted(r.code for r in markdown.policy_issues(docs).collect()) == ["unsafe_url", "unsupported_html", "unsupported_image"]
+    assert [r.reasons for r in markdown.fallback_reasons(docs).collect()] == ["fallback:html,fallback:image,fallback:table"]
