@@ -202,3 +202,16 @@ def test_children_name_their_folders_and_documents_in_order(spark):
     rows = [("root", "R", "folder", None), ("f", "Z", "folder", "root"), ("d2", "B", "document", "root"), ("d1", "B", "document", "root"), ("d3", "A", "document", "root"), ("u", "A", "unsupported", "root")]
     placed = hierarchy.paths(spark.createDataFrame(rows, "id string, name string, kind string, parent string"))
     assert [tuple(r) for r in hierarchy.children(placed).collect()] == [("root", 1, 3, 1, "f", "d3,d1,d2")]
+
+
+def test_search_of_texts_shuffles_no_postings(spark, monkeypatch):
+    rng = random.Random(5)
+    docs = [(i, " ".join(rng.choice(["alpha", "bravo", "charlie", "delta", "echoes", "1234", "abc"]) for _ in range(rng.randrange(30)))) for i in range(60)] + [(60, None)]
+    texts = spark.createDataFrame(docs, "id long, text string").repartition(3)
+    asked = spark.createDataFrame([(1, "alpha"), (1, "delta"), (2, "echoes"), (3, "nowhere"), (4, "bravo"), (4, "bravo")], "query long, term string")
+    expected = corpus.search(asked, corpus.posting_blocks(corpus.terms(texts), 10), texts).collect()
+    monkeypatch.setattr(corpus, "SCORED_WORDS", 50)
+    monkeypatch.setattr(corpus, "ASKED_ENTRIES", 2)
+    found = corpus.search_texts(asked, texts)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected)) and len(expected) == 15
+    assert "postings" not in found._jdf.queryExecution().optimizedPlan().toString()
