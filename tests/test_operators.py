@@ -215,3 +215,10 @@ def test_search_of_texts_shuffles_no_postings(spark, monkeypatch):
     found = corpus.search_texts(asked, texts)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected)) and len(expected) == 15
     assert "postings" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_own_titles_are_searched_without_postings(spark):
+    from ledgerleaf.plans import queries
+
+    made = queries.search_own_title(spark, "/root/testdata/sf0.001")
+    assert "postings" not in made._jdf.queryExecution().optimizedPlan().toString()
