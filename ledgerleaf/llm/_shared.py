@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerleaf.sources.shared import drop, shared_dir, stage
+from ledgerleaf.sources.shared import drop, shared_dir, small_batches, stage
 
 __all__ = ["connected_components", "drop", "lean", "runs", "shared_dir", "small_batches", "small_side", "stage", "worker_cache"]
 
@@ -17,15 +17,6 @@ __all__ = ["connected_components", "drop", "lean", "runs", "shared_dir", "small_
 BROADCAST_ROWS = 200_000
 
 
-def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Texts go to Python in Arrow batches of at most so many rows, unless the session asks for another number than Spark's.
-
-    A task holds a batch on both sides, beside the heap, and Spark's 10,000 rows of texts are tens of MB each time.
-    """
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 _caches: dict[str, dict] = {}
 _libc = None
 

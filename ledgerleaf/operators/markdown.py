@@ -7,6 +7,10 @@ with some spans replaced: ``splice`` cuts it at their places and joins the piece
 
 from __future__ import annotations
 
+import operator
+import re
+from collections.abc import Sequence
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -34,47 +38,97 @@ BLOCKS = (
 )
 
 
-def _read(body: str) -> list[tuple]:
+_NAMES = tuple(_BLOCK.names)
+_FIELDS = {f.name: f.type for f in _BLOCK} | {"prose": pa.string()}  # prose: the text of all but code
+_DDL = dict(x.split(" ", 1) for x in re.split(r", (?![^<]*>)", BLOCKS)) | {"prose": "string"}
+_MARKED = ("paragraph", "heading", "table")
+#: So many characters of texts are worked on before their rows are handed on.
+_SLICE = 4_000_000
+
+
+def _read(body: str, fields: Sequence[str] = _NAMES, kinds: Sequence[str] | None = None) -> list[tuple]:
+    """``fields`` of the blocks of ``kinds``, or of all; what no field asks for isn't worked out."""
     found = marks.blocks(body)
-    named = {b.info for b in found if b.kind == "definition"}
+    marked = not {"plain", "canonical", "spans"}.isdisjoint(fields)
+    layout = marks.layout(found) if not {"gap", "first", "rest"}.isdisjoint(fields) else [(None, None, None)] * len(found)
+    named = {b.info for b in found if b.kind == "definition"} if marked else set()
+    keys = [k for k, _ in _SPAN]
+    pick = operator.itemgetter(*(_ALL.index(f) for f in fields))
     rows = []
-    for i, (b, (gap, first, rest)) in enumerate(zip(found, marks.layout(found))):
+    for i, (b, (gap, first, rest)) in enumerate(zip(found, layout)):
+        if kinds is not None and b.kind not in kinds:
+            continue
         source, plain, canonical, spans = b.text, None, None, []
-        if b.kind in ("paragraph", "heading", "table"):
-            marked, plain, canonical = marks.inlines(source, named)
+        if b.kind in _MARKED and marked:
+            marked_, plain, canonical = marks.inlines(source, named)
             place = lambda x: None if x is None else b.place(x)  # noqa: B023, E731
-            spans = [(kind, b.place(s), b.place(e - 1) + 1, place(hs), None if hs is None else b.place(hs) + he - hs, href, label) for kind, s, e, hs, he, href, label in marked]
+            spans = [(kind, b.place(s), b.place(e - 1) + 1, place(hs), None if hs is None else b.place(hs) + he - hs, href, label) for kind, s, e, hs, he, href, label in marked_]
         elif b.kind == "definition":
             at = b.lines[0][0]
             spans = [("definition", b.start, b.end, at, at + len(source), marks.unescaped(source), b.info)]
             source = body[b.start : b.end]
-        elif b.kind == "html":
+        elif b.kind == "html" and marked:
             spans = [("table", b.place(s), b.place(e - 1) + 1, None, None, None, None) for s, e in marks.outer_tables(source)]
-        keys = [k for k, _ in _SPAN]
-        rows.append((i, b.kind, b.level, b.info, source, plain, canonical, b.start, b.end, not b.holders, bool(b.fence), b.closed, gap, first, rest, [dict(zip(keys, x)) for x in spans]))
+        spans = [dict(zip(keys, x)) for x in spans] if "spans" in fields else None
+        row = pick((i, b.kind, b.level, b.info, source, plain, canonical, b.start, b.end, not b.holders, bool(b.fence), b.closed, gap, first, rest, spans, None if b.kind == "code" else source))
+        rows.append(row if len(fields) > 1 else (row,))
     return rows
 
 
-def _rows(batches):
-    for batch in batches:
-        rows, owner = [], []
-        for i, body in enumerate(batch.column(1).to_pylist()):
-            new = _read(body or "")
-            rows += new
-            owner += [i] * len(new)
-            if len(rows) >= 5_000 or i == len(batch) - 1:
-                columns = list(zip(*rows)) or [()] * len(_BLOCK)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int32())), *(pa.array(c, f.type) for c, f in zip(columns, _BLOCK))], ["id", *_BLOCK.names])
-                rows, owner = [], []
+_ALL = (*_NAMES, "prose")
+
+
+def _columns(rows: list[tuple], fields: Sequence[str]) -> list[pa.Array]:
+    return [pa.array(c, _FIELDS[f]) for c, f in zip(list(zip(*rows)) or [()] * len(fields), fields)]
 
 
-def blocks(docs: DataFrame, body: str = "body") -> DataFrame:
-    """The blocks of the bodies of (id, body) in order, with the marks in them.
+def _rows(fields: Sequence[str], kinds: Sequence[str] | None):
+    def run(batches):
+        for batch in batches:
+            rows, owner, size = [], [], 0
+            for i, body in enumerate(batch.column(1).to_pylist()):
+                new = _read(body or "", fields, kinds)
+                rows += new
+                owner += [i] * len(new)
+                size += len(body or "")
+                if len(rows) >= 5_000 or size >= _SLICE or i == len(batch) - 1:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int32())), *_columns(rows, fields)], ["id", *fields])
+                    rows, owner, size = [], [], 0
+
+    return run
+
+
+def blocks(docs: DataFrame, body: str = "body", fields: Sequence[str] = _NAMES, kinds: Sequence[str] | None = None) -> DataFrame:
+    """The blocks of the bodies of (id, body) in order, with the marks in them; of ``kinds`` alone, and ``fields`` alone, if these are named.
 
     kind: heading, paragraph, code, rule, html, table or definition; places count
     characters. ``text`` is without marks of quotations and lists; ``plain`` without any.
     """
-    return docs.select("id", F.col(body).alias("body")).mapInArrow(_rows, f"id {dict(docs.dtypes)['id']}, {BLOCKS}")
+    shared.small_batches(docs.sparkSession)
+    ddl = ", ".join(f"{f} {_DDL[f]}" for f in fields)
+    return docs.select("id", F.col(body).alias("body")).mapInArrow(_rows(tuple(fields), kinds), f"id {dict(docs.dtypes)['id']}, {ddl}")
+
+
+def with_blocks(docs: DataFrame, body: str, fields: Sequence[str], kinds: Sequence[str] | None = None) -> DataFrame:
+    """``docs`` with their ``blocks`` as an array of (fields) beside each body, ``_blocks``: what is told from one body alone needs no shuffle."""
+    shared.small_batches(docs.sparkSession)
+    fields = tuple(fields)
+
+    def run(bodies: pa.Array) -> pa.Array:
+        parts = []
+        rows, offsets, size = [], [0], 0
+        for i, text_ in enumerate(bodies.to_pylist()):
+            rows += _read(text_ or "", fields, kinds)
+            offsets.append(len(rows))
+            size += len(text_ or "")
+            if size >= _SLICE or i == len(bodies) - 1:
+                values = pa.StructArray.from_arrays(_columns(rows, fields), list(fields))
+                parts.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values))
+                rows, offsets, size = [], [0], 0
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.struct([(f, _FIELDS[f]) for f in fields])))
+
+    reader = F.arrow_udf(run, "array<struct<" + ", ".join(f"{f}: {_DDL[f]}" for f in fields) + ">>")
+    return docs.withColumn("_blocks", reader(F.col(body)))
 
 
 def spans(found: DataFrame) -> DataFrame:
@@ -82,19 +136,22 @@ def spans(found: DataFrame) -> DataFrame:
     return found.select("id", "block", F.explode("spans").alias("s")).select("id", "block", "s.*")
 
 
-@F.pandas_udf(T.StringType())
-def _spliced(body: pd.Series, edits: pd.Series) -> pd.Series:
-    def one(old, found):
-        if old is None or found is None or not len(found):
-            return old
-        pieces, at = [], 0
-        for e in found:
-            if e["start"] >= at:
-                pieces += [old[at : e["start"]], e["new"]]
-                at = e["end"]
-        return "".join([*pieces, old[at:]])
-
-    return pd.Series([one(b, e) for b, e in zip(body, edits)], dtype=object)
+@F.arrow_udf(T.StringType())
+def _spliced(body: pa.Array, edits: pa.Array) -> pa.Array:
+    starts, ends, news = (c.to_pylist() for c in edits.flatten().flatten())
+    out, done = [], 0
+    for old, n in zip(body.to_pylist(), edits.value_lengths().to_pylist()):
+        n = n or 0
+        if old is not None and n:
+            pieces, at = [], 0
+            for start, end, new in zip(starts[done : done + n], ends[done : done + n], news[done : done + n]):
+                if start >= at:
+                    pieces += [old[at:start], new]
+                    at = end
+            old = "".join([*pieces, old[at:]])
+        out.append(old)
+        done += n
+    return pa.array(out, pa.string())
 
 
 def splice(docs: DataFrame, edits: DataFrame, body: str = "body") -> DataFrame:
@@ -107,12 +164,17 @@ def splice(docs: DataFrame, edits: DataFrame, body: str = "body") -> DataFrame:
     return joined.withColumn(body, _spliced(F.col(body), F.col("edits"))).select(*docs.columns)
 
 
+def _spliced_rows(rows: DataFrame, edits: Column, body: str) -> DataFrame:
+    """As ``splice``, where each row of ``with_blocks`` tells its own edits, an array of (start, end, new): nothing is joined or shuffled."""
+    return rows.withColumn(body, _spliced(F.col(body), F.array_sort(F.array_distinct(edits)))).drop("_blocks")
+
+
 def code_blocks(docs: DataFrame, body: str = "body") -> DataFrame:
     """(id, block, language, code, width): closed fences, numbered from 1; width is of a fence longer than any run of backticks inside.
 
     A language tag that isn't one plain word is dropped.
     """
-    found = blocks(docs, body).where("kind = 'code' and fenced")
+    found = blocks(docs, body, ("block", "info", "text", "fenced", "closed"), ("code",)).where("fenced")
     number = F.row_number().over(Window.partitionBy("id").orderBy("block"))
     return found.withColumn("block", number).where("closed").select("id", "block", F.when(F.col("info").rlike(LANGUAGE), F.col("info")).alias("language"), F.col("text").alias("code"), _width().alias("width"))
 
@@ -124,10 +186,12 @@ def _width() -> Column:
 
 def fence_states(docs: DataFrame, body: str = "body") -> DataFrame:
     """(id, unclosed, prose): whether a fence is open at the end, and the text of all that isn't code."""
-    found = blocks(docs, body)
-    prose = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") != "code", F.struct("block", "text")))), lambda b: b["text"]), "\n")
-    made = found.groupBy("id").agg(F.coalesce(F.bool_or((F.col("kind") == "code") & F.col("fenced") & ~F.col("closed")), F.lit(False)).alias("unclosed"), prose.alias("prose"))
-    return docs.select("id").join(made, "id", "left").select("id", F.coalesce("unclosed", F.lit(False)).alias("unclosed"), F.coalesce("prose", F.lit("")).alias("prose"))
+    rows = with_blocks(docs.select("id", body), body, ("kind", "fenced", "closed", "prose"))
+    open_ = F.exists("_blocks", lambda b: (b["kind"] == "code") & b["fenced"] & ~b["closed"])
+    return rows.select("id", open_.alias("unclosed"), F.array_join(F.transform("_blocks", lambda b: b["prose"]), "\n").alias("prose"))
+
+
+_ENTRY = ("kind", "text", "start", "spans")
 
 
 def _entries(found: DataFrame) -> DataFrame:
@@ -144,7 +208,7 @@ def links(docs: DataFrame, body: str = "body") -> DataFrame:
     References meet the definitions of their own document, whatever their case; of
     several definitions the first counts.
     """
-    marked = shared.stage(_entries(blocks(docs, body)), "marks")
+    marked = shared.stage(_entries(blocks(docs, body, _ENTRY)), "marks")
     defined = marked.where("kind = 'definition'").groupBy("id", "label").agg(F.min_by("href", "start").alias("defined"))
     direct = marked.where("kind in ('link', 'image', 'autolink')").select("id", "kind", "href")
     referred = marked.where("kind in ('reference', 'image_reference')").join(defined, ["id", "label"]).select("id", "kind", F.col("defined").alias("href"))
@@ -160,7 +224,7 @@ def policy_issues(docs: DataFrame, body: str = "body", allow_html: bool = False,
     Links, automatic links and definitions, used or not, must be safe; images by
     reference are never supported, others only if allowed and one of the page's assets.
     """
-    marked = _entries(blocks(docs, body))
+    marked = _entries(blocks(docs, body, _ENTRY))
     kind, href = F.col("kind"), F.col("href")
     code = F.when(kind == "image_reference", "unsupported_image").when((kind == "image") & (F.lit(not allow_images) | ~href.rlike(ASSET)), "unsafe_url" if allow_images else "unsupported_image")
     code = code.when(kind.isin("link", "autolink", "definition") & ~urls.safe_in_markdown(href), "unsafe_url")
@@ -175,7 +239,7 @@ def fallback_reasons(docs: DataFrame, structures: DataFrame | None = None, body:
     ``structures``: (id, has_drawings, has_media) of the documents' objects, where known.
     """
     reason = F.when(F.col("kind") == "html", "html").when(F.col("kind") == "table_block", "table").otherwise("image")
-    out = _entries(blocks(docs, body)).where("kind in ('html', 'image', 'image_reference', 'table_block')").select("id", reason.alias("reason"))
+    out = _entries(blocks(docs, body, _ENTRY)).where("kind in ('html', 'image', 'image_reference', 'table_block')").select("id", reason.alias("reason"))
     if structures is not None:
         own = F.array_compact(F.array(F.when(F.col("has_drawings"), "embedded_drawing"), F.when(F.col("has_media"), "media_object")))
         out = out.unionByName(structures.select("id", F.explode(own).alias("reason")))
@@ -185,13 +249,13 @@ def fallback_reasons(docs: DataFrame, structures: DataFrame | None = None, body:
 
 def plain_text(docs: DataFrame, body: str = "body") -> DataFrame:
     """(id, block, kind, words): the text of every heading, paragraph and table without marks, white space single."""
-    found = blocks(docs, body).where("plain is not null")
+    found = blocks(docs, body, ("block", "kind", "plain"), _MARKED)
     return found.select("id", "block", "kind", F.trim(F.regexp_replace("plain", r"\s+", " ")).alias("words"))
 
 
 def descriptions(docs: DataFrame, body: str = "body") -> DataFrame:
     """(id, description): the first paragraph with words that stands in no list or quotation, cut to 200; null without one."""
-    found = blocks(docs, body).where("kind = 'paragraph' and top").withColumn("words", F.trim(F.regexp_replace("plain", r"\s+", " "))).where("words <> ''")
+    found = blocks(docs, body, ("block", "plain", "top"), ("paragraph",)).where("top").withColumn("words", F.trim(F.regexp_replace("plain", r"\s+", " "))).where("words <> ''")
     first = found.groupBy("id").agg(F.min_by("words", "block").alias("words"))
     return docs.select("id").join(first, "id", "left").select("id", labels.description(F.col("words")).alias("description"))
 
@@ -207,13 +271,18 @@ def normalized_headings(docs: DataFrame, body: str = "body", title: str = "title
 
     Titles are compared in NFKC, without case, order prefix and white space.
     """
-    found = blocks(docs, body)
-    lead = found.where("kind <> 'rule'").groupBy("id").agg(F.min("block").alias("lead"))
-    heads = found.where("kind = 'heading' and level = 1").join(lead, "id").join(docs.select("id", F.col(title).alias("own_title")), "id")
-    gone = (F.col("block") == F.col("lead")) & F.col("top") & (_comparable(F.col("plain")) == _comparable(F.col("own_title")))
-    line = F.concat(F.lit("## "), F.regexp_replace("text", r"\n", " "))
-    edits = heads.select("id", "start", "end", F.when(gone, "").otherwise(line).alias("new"))
-    return splice(docs, edits, body).withColumn(body, F.regexp_replace(body, r"^\n+", ""))
+    rows = with_blocks(docs, body, ("block", "kind", "level", "text", "plain", "start", "end", "top"), ("heading", "rule"))
+    rows = rows.withColumn("_head", F.get(F.filter("_blocks", lambda b: b["kind"] == "heading"), 0))
+    rules = F.size(F.filter("_blocks", lambda b: (b["kind"] == "rule") & (b["block"] < F.col("_head.block"))))
+    leads = (F.col("_head.block") == rules) & (F.col("_head.level") == 1) & F.col("_head.top")
+    rows = rows.withColumn("_gone", F.coalesce(leads & (_comparable(F.when(leads, F.col("_head.plain"))) == _comparable(F.when(leads, F.col(title)))), F.lit(False)))
+
+    def edit(b: Column) -> Column:
+        line = F.concat(F.lit("## "), F.regexp_replace(b["text"], r"\n", " "))
+        return F.struct(b["start"].alias("start"), b["end"].alias("end"), F.when(F.col("_gone") & (b["block"] == F.col("_head.block")), "").otherwise(line).alias("new"))
+
+    edits = F.transform(F.filter("_blocks", lambda b: (b["kind"] == "heading") & (b["level"] == 1)), edit)
+    return _spliced_rows(rows, edits, body).drop("_head", "_gone").withColumn(body, F.regexp_replace(body, r"^\n+", ""))
 
 
 def front_matter_issue(content: Column) -> Column:
@@ -266,7 +335,7 @@ def published_files(records: DataFrame, slugs: DataFrame) -> DataFrame:
 
 def document_links(docs: DataFrame, body: str = "body") -> DataFrame:
     """(id, start, end, href): where the targets of links and definitions stand."""
-    return spans(blocks(docs, body)).where("kind in ('link', 'definition')").select("id", F.col("href_start").alias("start"), F.col("href_end").alias("end"), "href")
+    return spans(blocks(docs, body, ("block", "spans"), (*_MARKED, "definition"))).where("kind in ('link', 'definition')").select("id", F.col("href_start").alias("start"), F.col("href_end").alias("end"), "href")
 
 
 def internal_links(docs: DataFrame, slugs: DataFrame, body: str = "body") -> DataFrame:
@@ -295,9 +364,10 @@ def diagram(code: Column, language: Column) -> Column:
 
 def with_diagrams(docs: DataFrame, body: str = "body") -> DataFrame:
     """``docs`` with their diagram fences as containers."""
-    found = blocks(docs, body).where("kind = 'code' and fenced")
-    container = diagram(F.col("text"), F.regexp_extract("info", r"^(\S*)", 1))
-    return splice(docs, found.select("id", "start", "end", container.alias("new")).where("new is not null"), body)
+    rows = with_blocks(docs, body, ("info", "text", "start", "end", "fenced"), ("code",))
+    container = lambda b: diagram(b["text"], F.regexp_extract(b["info"], r"^(\S*)", 1))
+    edits = F.transform(F.filter("_blocks", lambda b: b["fenced"]), lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), container(b).alias("new")))
+    return _spliced_rows(rows, F.filter(edits, lambda e: e["new"].isNotNull()), body)
 
 
 @F.pandas_udf(T.StringType())
@@ -308,11 +378,12 @@ def restored_code(body: pd.Series) -> pd.Series:
 
 def wrapped_tables(docs: DataFrame, body: str = "body") -> DataFrame:
     """``docs`` with each Markdown table, and each outermost closed table of raw HTML, in a container that can scroll; code stays."""
-    found = blocks(docs, body)
+    rows = with_blocks(docs, body, ("kind", "start", "end", "top", "spans"), ("table", "html"))
     ends = lambda start, end, inner: F.array(F.struct(start.alias("start"), start.alias("end"), F.lit(f'<div class="table">{inner}').alias("new")), F.struct(end.alias("start"), end.alias("end"), F.lit(f"{inner}</div>").alias("new")))
-    whole = F.when((F.col("kind") == "table") & F.col("top"), ends(F.col("start"), F.col("end"), "\n\n")).otherwise(F.array())
-    raw = F.flatten(F.transform(F.filter("spans", lambda x: x["kind"] == "table"), lambda x: ends(x["start"], x["end"], "")))
-    return splice(docs, found.select("id", F.explode(F.concat(whole.cast("array<struct<start: int, end: int, new: string>>"), raw)).alias("e")).select("id", "e.*"), body)
+    none = F.array().cast("array<struct<start: int, end: int, new: string>>")
+    whole = lambda b: F.when((b["kind"] == "table") & b["top"], ends(b["start"], b["end"], "\n\n")).otherwise(none)
+    raw = lambda b: F.flatten(F.transform(F.filter(b["spans"], lambda x: x["kind"] == "table"), lambda x: ends(x["start"], x["end"], "")))
+    return _spliced_rows(rows, F.flatten(F.transform("_blocks", lambda b: F.concat(whole(b), raw(b)))), body)
 
 
 def canonical(docs: DataFrame, body: str = "body") -> DataFrame:

@@ -159,3 +159,16 @@ def test_marks_are_read_in_one_pass(spark):
         assert plan.count("MapInArrow") <= 1
     assert sorted(r.code for r in markdown.policy_issues(docs).collect()) == ["unsafe_url", "unsupported_html", "unsupported_image"]
     assert [r.reasons for r in markdown.fallback_reasons(docs).collect()] == ["fallback:html,fallback:image,fallback:table"]
+
+
+def moved(df):
+    """Whether rows of ``df`` are shuffled or joined."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "Exchange" in plan or "Join" in plan
+
+
+def test_headings_are_put_right_in_their_rows(spark):
+    docs = spark.createDataFrame([(1, "---\n# A\n\n# b\nx", "01 - a"), (1, "# c\n\n## d", "A"), (2, "x\n\n# T", "T"), (None, "# ｔ", "t"), (3, None, "t"), (4, "> # t", "t")], "id int, body string, title string")
+    made = markdown.normalized_headings(docs)
+    assert not moved(made) and made.columns == docs.columns
+    assert [r.body for r in made.collect()] == ["---\n\n\n## b\nx", "## c\n\n## d", "x\n\n## T", "", None, "> ## t"]
