@@ -172,3 +172,11 @@ def test_headings_are_put_right_in_their_rows(spark):
     made = markdown.normalized_headings(docs)
     assert not moved(made) and made.columns == docs.columns
     assert [r.body for r in made.collect()] == ["---\n\n\n## b\nx", "## c\n\n## d", "x\n\n## T", "", None, "> ## t"]
+
+
+def test_diagrams_are_put_in_their_rows(spark):
+    docs = spark.createDataFrame([(1, "a\n```mermaid\nx<y\n```"), (1, "```py\nx\n```\n~~~mermaid z\n~~~"), (2, None)], "id int, body string")
+    made = markdown.with_diagrams(docs)
+    assert not moved(made)
+    shown = '<div class="diagram" data-diagram="{0}"><pre>{0}</pre></div>'
+    assert [r.body for r in made.collect()] == ["a\n" + shown.format("x&lt;y"), "```py\nx\n```\n" + shown.format(""), None]
