@@ -180,3 +180,11 @@ def test_diagrams_are_put_in_their_rows(spark):
     assert not moved(made)
     shown = '<div class="diagram" data-diagram="{0}"><pre>{0}</pre></div>'
     assert [r.body for r in made.collect()] == ["a\n" + shown.format("x&lt;y"), "```py\nx\n```\n" + shown.format(""), None]
+
+
+def test_fences_are_told_in_their_rows(spark):
+    docs = spark.createDataFrame([(1, "a\n```\nb"), (1, "a\n```\nb\n```\nc"), (2, None)], "id int, body string")
+    made = markdown.fence_states(docs)
+    assert not moved(made)
+    assert [tuple(r) for r in made.collect()] == [(1, True, "a"), (1, False, "a\nc"), (2, False, "")]
+    assert markdown._read("a\n```\nb\n```", ("kind", "prose")) == [("paragraph", "a"), ("code", None)]  # no code goes back to the JVM
