@@ -188,3 +188,11 @@ def test_fences_are_told_in_their_rows(spark):
     assert not moved(made)
     assert [tuple(r) for r in made.collect()] == [(1, True, "a"), (1, False, "a\nc"), (2, False, "")]
     assert markdown._read("a\n```\nb\n```", ("kind", "prose")) == [("paragraph", "a"), ("code", None)]  # no code goes back to the JVM
+
+
+def test_only_what_is_asked_of_blocks_is_read(spark):
+    docs = frame(spark, ["# a *b*\n\n```\nc\n```\n[r]\n\n[r]: /x", None])
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "canonical" not in plan(markdown.plain_text(docs)) and "spans" not in plan(markdown.plain_text(docs))
+    assert sorted(tuple(r)[1:] for r in markdown.plain_text(docs).collect()) == [(0, "heading", "a b"), (2, "paragraph", "r")]
+    assert markdown.blocks(docs, fields=("kind",)).collect()[0].asDict() == {"id": 0, "kind": "heading"}
