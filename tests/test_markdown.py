@@ -195,4 +195,6 @@ def test_only_what_is_asked_of_blocks_is_read(spark):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert "canonical" not in plan(markdown.plain_text(docs)) and "spans" not in plan(markdown.plain_text(docs))
     assert sorted(tuple(r)[1:] for r in markdown.plain_text(docs).collect()) == [(0, "heading", "a b"), (2, "paragraph", "r")]
+    assert "canonical" not in plan(markdown.document_links(docs)) and "plain" not in plan(markdown.document_links(docs))
+    assert [(r.id, r.href) for r in markdown.document_links(docs).collect()] == [(0, "/x")]
     assert markdown.blocks(docs, fields=("kind",)).collect()[0].asDict() == {"id": 0, "kind": "heading"}
