@@ -222,3 +222,13 @@ def test_own_titles_are_searched_without_postings(spark):
 
     made = queries.search_own_title(spark, "/root/testdata/sf0.001")
     assert "postings" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_terms_are_counted_in_their_rows(spark):
+    rows = [(1, "Word word-x, 1234 Éclair éclair abc"), (2, None), (3, ""), (4, "word")]
+    texts = spark.createDataFrame(rows, "id int, text string")
+    made = corpus.terms(texts)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in made.collect()) == [("word", 1, 1), ("word", 4, 1), ("word-x", 1, 1), ("éclair", 1, 2)]
+    twice = texts.unionByName(spark.createDataFrame([(1, "word")], texts.schema))  # rows that share an id are one document
+    assert ("word", 1, 2) in {tuple(r) for r in corpus.terms(twice).collect()}
