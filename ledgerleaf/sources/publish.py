@@ -14,6 +14,7 @@ renaming of folders, the swap is a copy and not atomic.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import uuid
@@ -21,11 +22,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame, Row
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from ledgerleaf.sources import shared
 from ledgerleaf.sources.paged import file_system
 
 if TYPE_CHECKING:
@@ -45,31 +48,37 @@ def _safe(path: str | None) -> bool:
     return bool(path) and "\\" not in path and not path.startswith(("/", ".digest")) and not {"", ".", ".."} & set(parts)
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     def __init__(self, options: dict) -> None:
         self.target, self.dry_run, self.job = options["path"].rstrip("/"), options.get("dryrun", "false") == "true", uuid.uuid4().hex
+        system, staged = self._place("staged")
+        system.create_dir(f"{staged}.parts", recursive=True)  # once, before all tasks: one that lags behind an abort must not make it again
 
     def _place(self, name: str) -> tuple[fs.FileSystem, str]:
         system, path = file_system(self.target)
         parent, _, own = path.rpartition("/")
         return system, f"{parent}/.{own}-{name}-{self.job}"
 
-    def write(self, iterator: Iterator[Row]) -> _Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         system, staged = self._place("staged")
         rows = total = 0
-        for row in iterator:
-            if not _safe(row.path):
-                raise ValueError(f"not a path for output: {row.path}")
-            data = row.content.encode() if isinstance(row.content, str) else bytes(row.content or b"")
-            final = f"{staged}/{row.path}"
-            system.create_dir(final.rpartition("/")[0], recursive=True)
-            aside = f"{staged}.parts/{uuid.uuid4().hex}"
-            system.create_dir(f"{staged}.parts", recursive=True)
-            with system.open_output_stream(aside) as out:
-                out.write(data)
-            system.move(aside, final)
-            rows += 1
-            total += int.from_bytes(hashlib.sha256(row.path.encode() + b"\0" + hashlib.sha256(data).digest()).digest()[:16])
+        made: set[str] = set()
+        for batch in iterator:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                if not _safe(path):
+                    raise ValueError(f"not a path for output: {path}")
+                data = content.encode() if isinstance(content, str) else bytes(content or b"")
+                aside, final = f"{staged}.parts/{uuid.uuid4().hex}", f"{staged}/{path}"
+                with system.open_output_stream(aside) as out:  # fails once the write is aborted, as its folder is gone
+                    out.write(data)
+                folder = final.rpartition("/")[0]
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.clear() if len(made) >= 10_000 else None
+                    made.add(folder)
+                system.move(aside, final)
+                rows += 1
+                total += int.from_bytes(hashlib.sha256(path.encode() + b"\0" + hashlib.sha256(data).digest()).digest()[:16])
         return _Written(rows, total)
 
     def commit(self, messages: list[_Written | None]) -> None:
@@ -127,7 +136,7 @@ class FileSink(DataSource):
     def schema(self) -> str:
         return "path string, content string"
 
-    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         return _Writer(dict(self.options))
 
 
@@ -153,8 +162,55 @@ def publish(outputs: dict[str, DataFrame], target: str, check: Callable[[dict[st
     return not dry_run and _digest(system, there.rstrip("/")) != before
 
 
-def published(spark, target: str) -> DataFrame:
-    """(path, content) of what is published at ``target``."""
-    from ledgerleaf.sources import landed
+#: So many files are read by a task, and so many bytes of them handed on at once.
+TASK_FILES, SLICE = 5_000, 4_000_000
+
+
+def _listed(target: str):
+    """In: folders below ``target``; out: (path, folder) of what each holds."""
+
+    def run(batches):
+        from pyarrow import fs  # here, as it starts threads and Spark's daemon forks
+
+        system, root = file_system(target)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found = system.get_file_info(fs.FileSelector(f"{root}/{folder}".rstrip("/")))
+                for k in range(0, len(found), 10_000):
+                    part = found[k : k + 10_000]
+                    yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{x.base_name}".lstrip("/") for x in part], "folder": [x.type == fs.FileType.Directory for x in part]})
 
-    return landed.generated(spark, target).where(~F.col("path").endswith(DIGEST))
+    return run
+
+
+def _contents(target: str):
+    def run(batches):
+        system, root = file_system(target)
+        for batch in batches:
+            paths, texts, size = [], [], 0
+            for i, path in enumerate(batch.column(0).to_pylist()):
+                with system.open_input_stream(f"{root}/{path}") as stream:
+                    data = stream.read()
+                paths.append(path)
+                texts.append(data.decode(errors="replace"))
+                size += len(data)
+                if size >= SLICE or i == len(batch) - 1:
+                    yield pa.RecordBatch.from_pydict({"path": paths, "content": texts}, pa.schema([("path", pa.string()), ("content", pa.string())]))
+                    paths, texts, size = [], [], 0
+
+    return run
+
+
+def published(spark, target: str) -> DataFrame:
+    """(path, content) of what is published at ``target``, empty files too; tasks list its folders, level by level, and read its files."""
+    target = target.rstrip("/")
+    level, levels = spark.createDataFrame([("",)], "path string"), []
+    while True:
+        listed = shared.stage(level.mapInArrow(_listed(target), "path string, folder boolean"), "published")
+        levels.append(listed.where("not folder").select("path"))
+        level = listed.where("folder").select("path")
+        if level.isEmpty():
+            break
+    files = functools.reduce(DataFrame.unionByName, levels).where(F.col("path") != DIGEST)
+    shared.small_batches(spark)
+    return files.repartition(files.count() // TASK_FILES + 1, "path").mapInArrow(_contents(target), "path string, content string")

@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -125,3 +126,20 @@ def test_header_rules(spark):
 
 def test_a_listing_of_any_length_fits_its_pages():
     assert [publication._page_count(n) for n in (0, 49, 3_631, 2_160_000, 100_000_000)] == [1, 1, 72, paged.MOST_PAGES, paged.MOST_PAGES]
+
+
+def test_published_files_are_listed_and_read_by_tasks(spark, tmp_path):
+    files = spark.createDataFrame([("a/b/x.md", "1é"), ("_y", ""), ("a/z.digest", "2")], "path string, content string")
+    target = str(tmp_path / "out")
+    publish.publish({"docs": files}, target)
+    made = publish.published(spark, target)
+    assert "FileScan text" not in made._jdf.queryExecution().executedPlan().toString()
+    assert {r.path: r.content for r in made.collect()} == {"docs/a/b/x.md": "1é", "docs/_y": "", "docs/a/z.digest": "2"}
+
+
+def test_a_task_that_lags_behind_an_abort_leaves_nothing(tmp_path):
+    writer = publish._Writer({"path": str(tmp_path / "out")})
+    writer.abort([])
+    with pytest.raises(OSError):
+        writer.write(iter([pa.RecordBatch.from_pydict({"path": ["a/b"], "content": ["x"]})]))
+    assert list(tmp_path.iterdir()) == []
