@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions import urls
+from ledgerleaf.sources import shared
 
 # Elements that stay, those that go with all they contain, and the attributes that stay.
 ALLOWED = ("a", "blockquote", "br", "code", "del", "div", "em", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "img", "li", "ol", "p", "pre", "span", "strong", "sub", "sup", "table", "tbody", "td", "th", "thead", "tr", "ul")
@@ -128,6 +129,7 @@ def _rows(batches):
 
 def events(pages: DataFrame) -> DataFrame:
     """(id, at, kind, name, text, attributes, node, path) of pages (id, html); null pages have no events."""
+    shared.small_batches(pages.sparkSession)
     return pages.select("id", "html").mapInArrow(_rows, f"id {dict(pages.dtypes)['id']}, {EVENTS}")
 
 
@@ -183,17 +185,17 @@ def kept_events(found: DataFrame) -> DataFrame:
 
 def warnings(found: DataFrame) -> DataFrame:
     """(id, code) of what sanitizing takes away, each once a page."""
-    rows = body_events(found).where("kind in ('open', 'void')")
-    removed = F.col("name").isin(*REMOVED)
-    all_ = body_events(found)
-    outside = all_.withColumn("depth", _inside(F.coalesce(removed, F.lit(False)))).where("depth = 0 and kind in ('open', 'void')").where(F.col("name").isin(*ALLOWED))
+    removed = F.coalesce(F.col("name").isin(*REMOVED), F.lit(False))
+    rows = body_events(found).withColumn("depth", _inside(removed)).where("kind in ('open', 'void')")
+    known = F.col("name").isin(*ALLOWED)
+    stays = known & (F.col("depth") == 0)
     codes = F.array_compact(F.array(
-        F.when(F.size(_refused("attributes")) > 0, "removed_unsafe_html_attribute"),
-        F.when((F.col("name") == "a") & F.exists(F.map_entries("attributes"), lambda e: _unsafe(e["key"], e["value"])), "removed_unsafe_link"),
-        F.when(F.col("name").isin("td", "th") & F.exists(F.map_entries("attributes"), lambda e: _bad_span(e["key"], e["value"])), "removed_invalid_table_span"),
+        F.when(~known, "removed_unsupported_html"),
+        F.when(stays & (F.size(_refused("attributes")) > 0), "removed_unsafe_html_attribute"),
+        F.when(stays & (F.col("name") == "a") & F.exists(F.map_entries("attributes"), lambda e: _unsafe(e["key"], e["value"])), "removed_unsafe_link"),
+        F.when(stays & F.col("name").isin("td", "th") & F.exists(F.map_entries("attributes"), lambda e: _bad_span(e["key"], e["value"])), "removed_invalid_table_span"),
     ))
-    unknown = rows.where(~F.col("name").isin(*ALLOWED)).select("id", F.lit("removed_unsupported_html").alias("code"))
-    return unknown.unionByName(outside.select("id", F.explode(codes).alias("code"))).distinct()
+    return rows.select("id", F.explode(codes).alias("code")).distinct()
 
 
 def _escaped(text: Column, quote: bool = False) -> Column:
@@ -247,7 +249,11 @@ def tables(kept: DataFrame) -> DataFrame:
     text, a cell of more than one row or column, no rows, or rows of different lengths.
     ``markdown`` is that of simple ones: the first row is the head.
     """
-    rows = _tabled(kept).where("table is not null")
+    return _tables(_tabled(kept))
+
+
+def _tables(tabled: DataFrame) -> DataFrame:
+    rows = tabled.where("table is not null")
     span = F.exists(F.map_entries("attributes"), lambda e: e["key"].isin("colspan", "rowspan") & (e["value"] != "1"))
     opened = F.col("kind").isin("open", "void")
     whole = rows.groupBy("id", "table").agg(
@@ -315,8 +321,8 @@ def to_markdown(kept: DataFrame) -> DataFrame:
     lists, emphasis, links, images, simple tables with pipes; complex tables stay HTML.
     Blocks are apart by an empty line, items that hold no paragraphs by a line end.
     """
-    tabled = _tabled(kept)
-    placed = tables(kept).select("id", "at", F.when(F.col("complex"), F.col("html")).otherwise(F.col("markdown")).alias("table_text"))
+    tabled = shared.stage(_tabled(kept), "tabled")  # these are read several times, so each is a table
+    placed = _tables(tabled).select("id", "at", F.when(F.col("complex"), F.col("html")).otherwise(F.col("markdown")).alias("table_text"))
     outside = tabled.where("table is null or node = table")
     rows = outside.join(placed, ["id", "at"], "left")
     own = F.when((F.col("kind") == "open") & (F.col("name") == "a"), F.struct(F.col("attributes")["href"].alias("href"), F.coalesce(F.concat(F.lit(' "'), F.replace(F.col("attributes")["title"], F.lit('"'), F.lit('\\"')), F.lit('"')), F.lit("")).alias("title")))
@@ -326,7 +332,7 @@ def to_markdown(kept: DataFrame) -> DataFrame:
     rows = rows.withColumns({"block": F.count_if(boundary).over(_so_far()), "pre": _inside(F.coalesce(F.col("name") == "pre", F.lit(False))), "code": _inside(F.coalesce(F.col("name") == "code", F.lit(False)))})
     code_node = F.last(F.when((F.col("name") == "code") & (F.col("kind") == "open"), F.col("node")), True).over(_so_far())
     rows = rows.withColumn("code_node", F.when(F.col("code") > 0, code_node))
-    rows = rows.withColumn("ticks", F.coalesce(F.max(_longest_run("text")).over(Window.partitionBy("id", "code_node")), F.lit(0)))
+    rows = shared.stage(rows.withColumn("ticks", F.coalesce(F.max(_longest_run("text")).over(Window.partitionBy("id", "code_node")), F.lit(0))), "inlines")
     piece = F.when(F.col("table_text").isNotNull(), F.col("table_text")).when(F.col("name") == "hr", "---").when(boundary, "").otherwise(_inline())
     # a block's containers are those around the first event that stands in it
     within = F.when((F.col("kind") == "close") & boundary, F.slice("path", F.lit(1), F.size("path") - 1)).otherwise(F.col("path"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerleaf.operators import conversion, markup
-from ledgerleaf.sources import bindings
+from ledgerleaf.sources import bindings, shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -125,11 +125,11 @@ def html_structures(spark, d):
     page = F.lit(_SHAPES)
     for i, letter in enumerate("abcd", 1):
         page = F.replace(page, F.lit(f"{{{letter}}}"), F.get("w", F.size("w") - 1 - i))
-    found = markup.events(words.select(F.col("page_id").alias("id"), page.alias("html")))
-    kept = markup.kept_events(found)
-    codes = markup.warnings(found).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("code")), ",").alias("codes"))
     pages = words.select(F.col("page_id").alias("id"), page.alias("html"))
-    return markup.sanitized(pages).join(markup.to_markdown(kept), "id").join(codes, "id").withColumnRenamed("id", "page_id")
+    found = shared.stage(markup.events(pages), "events")  # steps are read several times, so each is a table
+    kept = shared.stage(markup.kept_events(found), "kept")
+    codes = markup.warnings(found).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("code")), ",").alias("codes"))
+    return markup.as_html(kept).join(markup.to_markdown(kept), "id").join(codes, "id").withColumnRenamed("id", "page_id")
 
 
 @query(r"""

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerleaf.operators import markup
+from ledgerleaf.plans import pages as page_plans
 
 PAGES = {
     "head": ("<!doctype html><html><head><title>T</title><style>p{}</style></head><body onload=x><!-- c --><h1 onclick='x'>A &amp; B</h1>", "<h1>A &amp; B</h1>", "# A & B"),
@@ -75,3 +76,12 @@ def test_archive_conversion(spark):
     assert got[1].body == f"First \\*words\\*\n\n![Image from 01 - my Title]({asset})![Image from 01 - my Title]({asset})\n\n<table><tr><td>1</td><td>2</td></tr><tr><td>3</td></tr></table>"
     assert (got[1].description, got[1].complex_tables, got[1].warnings, got[1].issue) == ("First *words*", True, ["removed_unsafe_image"], None)
     assert {i: (got[i].issue, got[i].body) for i in (2, 3, 4)} == {2: ("missing", ""), 3: ("not_an_image", "x"), 4: (None, "")}
+
+
+def test_pages_are_read_once(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    docs = spark.createDataFrame([(1, "<p onclick='f()'>a<form><p id='x'>b</form><u>c</u>"), (2, "<p>a")], "id int, html string")
+    found = markup.warnings(markup.events(docs))
+    assert plan(found).count("MapInArrow") == 1
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "removed_unsafe_html_attribute"), (1, "removed_unsupported_html")]
+    assert "MapInArrow" not in plan(page_plans.html_structures(spark, "/root/testdata/sf0.001"))
