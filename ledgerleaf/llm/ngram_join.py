@@ -53,7 +53,7 @@ _FINE = 1024
 
 def _sets(batch: pa.RecordBatch, k: int, column: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(shingles, where each stands first, words) of each document."""
-    for some in _bytes.slices(batch, column):
+    for some in _bytes.slices(batch, column, 1 << 19):
         words, first = _words.word_hashes(some.column(column))
         for i in range(len(some)):
             own = words[first[i] : first[i + 1]]
@@ -101,9 +101,13 @@ def _sized(k: int):
         return pa.RecordBatch.from_arrays([pa.array([kind] * len(none), pa.int32()), *full], ["kind", "a", "b", "c", "d"])
 
     def counted(kind, parts, least):
-        token, n = np.unique(np.concatenate(parts), return_counts=True)
+        every = np.concatenate(parts)
+        parts.clear()  # and sorted in place: a worker's memory counts beside the executor's heap
+        every.sort()
+        first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+        n = np.diff(first, append=len(every))
         some = n >= least
-        return rows(kind, token[some].view(np.int64), n[some])
+        return rows(kind, every[first[some]].view(np.int64), n[some])
 
     def run(batches):
         parts, words, held = [], [], 0

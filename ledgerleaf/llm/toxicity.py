@@ -221,7 +221,7 @@ def _featured(model, within: str | None = None):
                 row = batch.column(0)
                 batch = pa.RecordBatch.from_arrays([row, row.field(row.type.get_field_index(within))], ["row", "text"])
             last = batch.num_columns - 1
-            x = np.concatenate([np.zeros((0, len(MARGINS) + 1)), *(evidence.features(some.column(last).to_pylist()) for some in _bytes.slices(batch, last))])
+            x = np.concatenate([np.zeros((0, len(MARGINS) + 1)), *(evidence.features(some.column(last).to_pylist()) for some in _bytes.slices(batch, last, 1 << 19))])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], [*batch.schema.names[:-1], "x"])
 
