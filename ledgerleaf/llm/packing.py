@@ -43,7 +43,7 @@ STEP_TOKENS = 8 * 2048
 #: Tokens that are packed together.
 BLOCK_TOKENS = 2_000_000
 #: Parts of texts whose ids a worker remembers.
-CACHED = 200_000
+CACHED = 100_000
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, step_group long"
 

@@ -234,8 +234,8 @@ def _scorer(docs: DataFrame, labels: DataFrame, sample: tuple[int, int]):
     _shared.small_batches(spark)
     usable = _usable(labels)
     every = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
-    drawn = _sample(usable, sample).toPandas().sort_values("drawn")  # bounded by ``sample``
-    drawn = spark.createDataFrame(drawn.assign(fit=np.arange(len(drawn)) % 5 == 0)[["doc_id", "toxic", "fit"]], "doc_id long, toxic int, fit boolean")
+    drawn = _sample(usable, sample).toArrow().sort_by("drawn")  # bounded by ``sample``
+    drawn = spark.createDataFrame(drawn.drop(["drawn"]).append_column("fit", pa.array(np.arange(len(drawn)) % 5 == 0)))  # Arrow: rows of Python would start further workers in the executors
     taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")
     counted = taught.where("not fit").select("text", "toxic").mapInArrow(_words_of, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     counted = counted.mapInArrow(_grams_of, "gram string, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))

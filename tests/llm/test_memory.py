@@ -4,8 +4,9 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
-from ledgerleaf.llm import ngram_join, toxicity
+from ledgerleaf.llm import _shared, ngram_join, toxicity
 
 
 def test_shingles_are_counted_in_little_memory():
@@ -39,3 +40,19 @@ def test_texts_are_scored_some_at_a_time(monkeypatch):
     out = list(toxicity._featured(type("B", (), {"value": None}))(iter([batch])))
     assert sum(len(b) for b in out) == 1_000 and sum(met) == 3_000_000
     assert max(met) <= 1 << 20
+
+
+def test_the_sample_reaches_the_executors_without_rows_of_python(spark, monkeypatch):
+    """Rows of Python would start workers of another kind beside those that score texts."""
+    docs = spark.createDataFrame([(i, "plain words" if i % 2 else "vile words") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, (i + 1) % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    made, met = SparkSession.createDataFrame, []
+    monkeypatch.setattr(SparkSession, "createDataFrame", lambda self, data, *more, **named: (met.append(type(data)), made(self, data, *more, **named))[1])
+    assert toxicity.score(docs, labels).count() == 60 and toxicity.score(docs, labels.limit(0)).count() == 60
+    assert met and set(met) == {pa.Table}
+
+
+def test_a_batch_of_long_texts_is_small():
+    conf = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000"}
+    _shared.small_batches(type("Session", (), {"conf": type("Conf", (), {"get": conf.get, "set": conf.__setitem__})}))
+    assert int(conf["spark.sql.execution.arrow.maxRecordsPerBatch"]) * 32_000 <= 8_000_000
