@@ -198,3 +198,35 @@ def test_only_what_is_asked_of_blocks_is_read(spark):
     assert "canonical" not in plan(markdown.document_links(docs)) and "plain" not in plan(markdown.document_links(docs))
     assert [(r.id, r.href) for r in markdown.document_links(docs).collect()] == [(0, "/x")]
     assert markdown.blocks(docs, fields=("kind",)).collect()[0].asDict() == {"id": 0, "kind": "heading"}
+
+
+def test_plain_words_are_read_without_rules(monkeypatch):
+    tried = []
+
+    class Counted:
+        def __init__(self, pattern):
+            self.pattern = pattern
+
+        def __getattr__(self, name):
+            tried.append(name)
+            return getattr(self.pattern, name)
+
+    for name in ("TOKEN", "HEADING", "DEFINITION"):
+        monkeypatch.setattr(marks, name, Counted(getattr(marks, name)))
+    assert [b.kind for b in marks.blocks("plain words\nand more\n\n[a](/x) of it\n\n" * 50)] == ["paragraph"] * 100
+    assert marks.inlines("plain words " * 50, set()) == ([], "plain words " * 50, "plain words " * 50)
+    assert not tried
+
+
+def test_tokens_are_found_behind_plain_words():
+    for text in ("a b  \n c", "a \t\nb", "a. b: c http://e.org", "a https://e.org", "a www.e.org", "xhttp://e.org a_b", "a.b &amp; c", "a\\\nb", "a  b ![c](d)", "`a`", "a"):
+        at = 0
+        while m := marks.TOKEN.search(text, at):
+            assert marks._token(text, at).span() == m.span()
+            at = m.end()
+        assert marks._token(text, at) is None
+
+
+def test_backticks_behind_an_escaped_one():
+    assert marks.inlines("\\``` a", set())[1] == "``` a"
+    assert marks.inlines("\\``` a `` b", set())[1] == "`a b"
