@@ -134,14 +134,29 @@ def _searched(books, neighbours: int, shortlist: int):
     return run
 
 
+def _sample(every: DataFrame, total: int, size: int) -> np.ndarray:
+    """Those of the ``total`` vectors with the ``size`` smallest hashes of vec_id, in that order.
+
+    A task would hand over its ``size`` smallest, which is all that it has where there are
+    many tasks; so tasks leave out what is above a bound that few more than ``size`` meet.
+    """
+    hashed, share = F.xxhash64("vec_id"), (size + 6 * size**0.5) / max(1, total)
+    while True:
+        low = every if share >= 1 else every.where(hashed < int(share * 2**64) - 2**63)
+        drawn = low.orderBy(hashed, "vec_id").limit(size).toPandas()["embedding"]
+        if len(drawn) >= size or share >= 1:
+            return np.array(drawn.to_list(), np.float64)
+        share *= 2
+
+
 def nearest(vectors: DataFrame, is_query: Column, neighbours: int = NEIGHBOURS, sample: int = SAMPLE, shortlist: int = SHORTLIST) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest found by Euclidean distance of each vector that ``is_query`` holds for."""
     spark = vectors.sparkSession
     every = _vectors.one_each(vectors)
     lengths = every.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     every = every.where(F.size("embedding") == (lengths[0]["d"] if lengths else 0))
-    drawn = every.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()["embedding"]
-    books = spark.sparkContext.broadcast(fit(np.array(drawn.to_list(), np.float64)) if len(drawn) else np.zeros((BOOKS, 1, 1)))
+    drawn = _sample(every, lengths[0]["count"] if lengths else 0, sample)
+    books = spark.sparkContext.broadcast(fit(drawn) if len(drawn) else np.zeros((BOOKS, 1, 1)))
     encoded = _shared.stage(every.mapInArrow(_encoded(books), "vec_id long, embedding array<double>, codes binary, norm double"), "codes")
     total = encoded.count()
     queries = encoded.where(is_query).select("vec_id", "embedding")

@@ -91,3 +91,29 @@ def test_recall_at_two_sizes(spark, size):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     links = (unit @ unit.T >= 0.9).sum() - len(x)
     assert lattice_dedup.near_duplicates(df).agg(F.sum("n_links")).first()[0] >= 0.9 * links
+
+
+def test_sample_leaves_most_vectors_with_their_tasks(spark):
+    """The codebooks' sample is what it was, and the driver gets little more than that, however many tasks there are."""
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(20_000, 16)))], "vec_id long, embedding array<double>")
+    want = df.orderBy(F.xxhash64("vec_id"), "vec_id").limit(1_000).toPandas()["embedding"].to_list()
+    for total in (20_000, 2_000_000):  # at the second the bound is too low at first
+        assert additive_search._sample(df, total, 1_000).tolist() == [list(v) for v in want]
+    context = spark.sparkContext._jsc.sc()
+
+    def returned() -> int:
+        context.listenerBus().waitUntilEmpty(30_000)
+        stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), spark.sparkContext._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).resultSize() for i in range(stages.size()))
+
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        before = returned()
+        additive_search.nearest(df, F.col("vec_id") % 100 == 0, sample=1_000)
+        assert returned() - before < 1_500_000  # all vectors are 3 MB
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
