@@ -166,7 +166,8 @@ def nearest(vectors: DataFrame, is_query: Column, neighbours: int = NEIGHBOURS,
         return rows.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias(name)).agg(F.collect_list(F.struct(*rows.columns)).alias(f"{name}s"))
 
     asked = blocked(queries, n_query_blocks, "query").select("querys", F.expr(f"explode(sequence(0L, {n_blocks - 1}L))").alias("block"))
-    pairs = asked.join(blocked(encoded, n_blocks, "block"), "block").select("querys", "blocks")
+    # Spark takes rows that are exploded for no more than they were before, and would broadcast all of them through the driver
+    pairs = asked.hint("merge").join(blocked(encoded, n_blocks, "block"), "block").select("querys", "blocks")
     found = pairs.repartition(max(1, min(n_blocks * n_query_blocks, 10_000))).mapInArrow(_searched(books, neighbours, shortlist), "query_id long, vec_id long, score double")
     first = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")

@@ -117,3 +117,13 @@ def test_sample_leaves_most_vectors_with_their_tasks(spark):
     finally:
         for k, v in kept.items():
             spark.conf.set(k, v)
+
+
+def test_pairs_of_blocks_are_not_broadcast(spark):
+    """Spark counts exploded query blocks as one copy each, so under its threshold all copies would go through the driver."""
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(600, 8)))], "vec_id long, embedding array<double>")
+    found = additive_search.nearest(df, F.col("vec_id") % 20 == 0)
+    assert len(found.collect()) == 300
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
